@@ -67,10 +67,15 @@ def canonical_value(number) -> Column:
     return F.round(column.cast("double"), 4)
 
 
+def four_decimals(number) -> Column:
+    """Fixed text of a number, null for null."""
+    return F.when(number.isNotNull(), F.format_string("%.4f", number))
+
+
 def canonical_value_text(raw) -> Column:
     """P3 for raw text: the number to four decimals, else the trimmed text."""
     number = lenient_number(raw)
-    return F.coalesce(F.format_string("%.4f", F.round(number, 4)), F.trim(text(raw)), F.lit(""))
+    return F.coalesce(four_decimals(F.round(number, 4)), F.trim(text(raw)), F.lit(""))
 
 
 def match_key(token) -> Column:
@@ -136,7 +141,7 @@ def numbered_id(name, number, size=48, default="upload") -> Column:
 def reading_id(explicit, name, number, tag, value, clock) -> Column:
     """The given id, else file stem and row number, else a digest of the reading."""
     digest = F.md5(F.concat_ws("|", F.coalesce(text(tag), F.lit("")),
-                               F.coalesce(F.format_string("%.4f", value.cast("double")), F.lit("")),
+                               F.coalesce(four_decimals(value.cast("double")), F.lit("")),
                                F.coalesce(text(clock), F.lit(""))))
     return F.coalesce(
         blank_to_null(explicit),

@@ -18,7 +18,8 @@ def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_B
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -> DataFrame:
-    """Equi-join a large table with a lookup that has at most one row per key.
+    """Equi-join (left, inner, left_semi or left_anti) a large table with a lookup that has
+    at most one row per key.
 
     A lookup measured small is broadcast, so the fact table is not shuffled. Above the
     bound, keys that hold more than 1/1000 of the fact rows (fewer than 1000 such keys
@@ -31,7 +32,10 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -
     if small:
         return fact.join(F.broadcast(dim), keys, how)
 
-    columns = keys + [c for c in fact.columns if c not in keys] + [c for c in dim.columns if c not in keys]
+    filtering = how in ("left_semi", "left_anti")
+    columns = keys + [c for c in fact.columns if c not in keys]
+    if not filtering:
+        columns += [c for c in dim.columns if c not in keys]
     present = F.lit(True)
     for key in keys:
         present = present & F.col(key).isNotNull()
@@ -43,7 +47,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -
         F.broadcast(dim.join(F.broadcast(hot), keys, "left_semi")), keys, how)
     light = known.join(F.broadcast(hot), keys, "left_anti").join(dim, keys, how)
     joined = heavy.select(columns).unionByName(light.select(columns))
-    if how in ("left", "left_outer"):
+    if how in ("left", "left_anti"):
         joined = joined.unionByName(fact.filter(~present), allowMissingColumns=True)
     return joined
 

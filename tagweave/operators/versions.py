@@ -50,8 +50,8 @@ def delete_slot(datasets: DataFrame, rows: DataFrame, slots: DataFrame):
     doomed = datasets.withColumn("_slot", slot_of()).join(
         slots.select(F.col("slot").alias("_slot")).distinct(), "_slot", "left_semi")
     gone = doomed.select("dataset_id", F.col("_slot").alias("slot"))
-    kept = datasets.join(gone, "dataset_id", "left_anti")
-    kept_rows = rows.join(gone, "dataset_id", "left_anti")
+    kept = lookup_join(datasets, gone.select("dataset_id"), "dataset_id", "left_anti")
+    kept_rows = lookup_join(rows, gone.select("dataset_id"), "dataset_id", "left_anti")
     lost = rows.groupBy("dataset_id").agg(F.count("*").alias("_rows"))
     counts = gone.join(lost, "dataset_id", "left").groupBy("slot").agg(
         F.count("*").alias("deleted_datasets"), F.sum(F.coalesce("_rows", F.lit(0))).alias("deleted_readings"))
