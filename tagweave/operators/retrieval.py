@@ -98,8 +98,7 @@ def query_terms(queries: DataFrame, index: Index) -> DataFrame:
     words = queries.select("query_id", F.col("param").alias("q_param"), text.tokens("query").alias("words"))
     counts = (words.select("query_id", "q_param", F.size("words").alias("length"), F.explode("words").alias("term"))
               .groupBy("query_id", "q_param", "length", "term").agg(F.count("*").alias("tf")))
-    known = index.idf.select("term", "idf").join(
-        F.broadcast(counts) if fits_broadcast(counts) else counts, "term")
+    known = index.idf.select("term", "idf").join(counts, "term")
     known = known.withColumn("raw", F.col("tf") / F.col("length") * F.col("idf"))
     norms = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("q_norm"))
     return known.join(norms, "query_id").select(
@@ -142,16 +141,15 @@ def _unmatched(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """The k newest chunks, and the k newest of every parameter, offered to each query."""
     chunks = index.chunks.select("id", "seq", "piece", "param")
     newest = [F.desc("seq"), F.desc("piece")]
-    overall = chunks.orderBy(*newest).limit(k).withColumn("offer", F.lit(""))
-    per_param = top_per_key(chunks.filter(F.col("param").isNotNull()), ["param"], newest, k).drop("rank")
-    wanted = queries.select(F.col("param").alias("offer")).filter(F.col("offer").isNotNull()).distinct()
-    per_param = per_param.withColumn("offer", F.col("param")).join(wanted, "offer", "left_semi")
-    offers = overall.unionByName(per_param).select("offer", "id", "seq", "piece", "param")
-    grouped = offers.groupBy("offer").agg(F.collect_list(F.struct("id", "seq", "piece", "param")).alias("c"))
-    asked = queries.select("query_id", F.col("param").alias("q_param"),
-                           F.explode(F.array_compact(F.array(F.lit(""), F.col("param")))).alias("offer"))
-    return lookup_join(asked, grouped, "offer", "inner").select(
-        "query_id", "q_param", F.inline("c"))
+    overall = chunks.orderBy(*newest).limit(k)
+    per_param = top_per_key(chunks.filter(F.col("param").isNotNull()), ["param"], newest, k)
+    offer = F.collect_list(F.struct("id", "seq", "piece", "param"))
+    everyone = overall.agg(offer).scalar()
+    asked = queries.select("query_id", F.col("param").alias("q_param"))
+    own = per_param.groupBy(F.col("param").alias("q_param")).agg(offer.alias("own"))
+    asked = asked.join(own, "q_param", "left")
+    both = F.concat(everyone, F.coalesce("own", F.expr("array()").cast(dict(own.dtypes)["own"])))
+    return asked.select("query_id", "q_param", F.inline(both))
 
 
 def _with_text(top: DataFrame, index: Index, k: int) -> DataFrame:

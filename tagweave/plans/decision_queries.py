@@ -264,7 +264,8 @@ def _questions_sql():
         for q in fixed.QUESTIONS[(kind, state)]:
             body = _quoted(q)
             for word, col in (("name", "name"), ("zone", "shown_zone"), ("tag", "p_tag"), ("reading_id", "reading_id"), ("grounded_on", "grounded_on")):
-                body = f"replace({body}, '{{{word}}}', {col})"
+                if "{" + word + "}" in q:
+                    body = f"replace({body}, '{{{word}}}', {col})"
             out.append(body)
         return "[" + ", ".join(out) + "]"
     return f"""CASE WHEN agent = 'escalation' AND reading_id IS NOT NULL THEN {listed('escalation', 'remedy')}

@@ -177,7 +177,8 @@ def u02(spark, sf):
     docs = table(spark, sf, "documents").select(F.concat(F.lit("UP-"), F.col("doc_id").cast("string")).alias("id"), "lang",
                                                 F.col("doc_id").alias("seq"), F.lit(1).cast("long").alias("piece"))
     base = docs.filter("lang = 'en'").drop("lang").withColumn("text", F.lit("base"))
-    copies = docs.drop("lang", "piece").select("*", F.explode(F.array(F.lit(1), F.lit(0))).cast("long").alias("piece"))
+    twice = F.array(F.lit(1).cast("long"), F.lit(0).cast("long"))
+    copies = docs.drop("lang", "piece").select("*", F.explode(twice).alias("piece"))
     new = copies.withColumn("text", F.concat(F.lit("new "), F.col("piece").cast("string")))
     return rt.append_chunks(base, new).select("id", "text")
 

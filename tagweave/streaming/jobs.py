@@ -56,8 +56,8 @@ def stream_enriched(readings: DataFrame, load_lookups, events_path: str, rejects
     """
     def handle(batch: DataFrame, batch_id: int):
         full = enrich.enrich(batch, load_lookups(batch.sparkSession), parameters).persist()
-        enrich.events_of(full).drop("lookup_origin").write.mode("overwrite").parquet(f"{events_path}/batch={batch_id}")
-        enrich.rejects_of(full).write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
+        enrich.events_of(full).drop("lookup_origin").write.mode("overwrite").parquet(f"{events_path}/micro_batch={batch_id}")
+        enrich.rejects_of(full).write.mode("overwrite").parquet(f"{rejects_path}/micro_batch={batch_id}")
         full.unpersist()
 
     return _start(readings.writeStream.foreachBatch(handle), checkpoint, available_now)
@@ -65,27 +65,28 @@ def stream_enriched(readings: DataFrame, load_lookups, events_path: str, rejects
 
 def dedup_stream(readings: DataFrame, delay="1 day", clock="ts") -> DataFrame:
     """First copy of each natural key; keys are forgotten ``delay`` after their time."""
-    keyed = with_natural_key(readings).withWatermark(clock, delay)
-    return keyed.dropDuplicatesWithinWatermark(NATURAL_KEY)
+    # A watermark needs a zoned timestamp; one session zone maps every clock alike.
+    keyed = with_natural_key(readings).withColumn("event_time", F.col(clock).cast("timestamp_ltz"))
+    return keyed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(NATURAL_KEY)
 
 
 def stream_deduplicated(readings: DataFrame, path: str, checkpoint: str, delay="1 day", available_now=True):
-    rows = dedup_stream(readings, delay).drop(*NATURAL_KEY)
+    rows = dedup_stream(readings, delay).drop(*NATURAL_KEY, "event_time")
     return _start(rows.writeStream.format("parquet").option("path", path), checkpoint, available_now)
 
 
 def _state_writer(path: str):
     """Changed groups of each micro-batch under its id; the last batch of a key is its state."""
     def handle(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
     return handle
 
 
 def latest_state(spark: SparkSession, path: str, keys) -> DataFrame:
     """The current rows of a state written in update mode."""
     rows = spark.read.parquet(path)
-    rest = [c for c in rows.columns if c not in (*keys, "batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, "s.*")
+    rest = [c for c in rows.columns if c not in (*keys, "micro_batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "micro_batch").alias("s")).select(*keys, "s.*")
 
 
 def stream_latest(readings: DataFrame, path: str, checkpoint: str, key="tag", order="kafka_offset",
@@ -147,14 +148,14 @@ def stream_audit(entries: DataFrame, path: str, checkpoint: str, order, segment_
     """
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        last = sinks.existing(spark, f"{path}/ends/batch={batch_id - 1}") if batch_id else None
-        target = f"{path}/entries/batch={batch_id}"
+        last = sinks.existing(spark, f"{path}/ends/micro_batch={batch_id - 1}") if batch_id else None
+        target = f"{path}/entries/micro_batch={batch_id}"
         au.append(batch, order, segment_rows, last).write.mode("overwrite").parquet(target)
         ends = au.last_entries(spark.read.parquet(target))
         if last is not None:
             ends = ends.unionByName(last).groupBy("chain").agg(
                 F.max("last_seq").alias("last_seq"), F.max_by("last_hash", "last_seq").alias("last_hash"))
-        ends.write.mode("overwrite").parquet(f"{path}/ends/batch={batch_id}")
+        ends.write.mode("overwrite").parquet(f"{path}/ends/micro_batch={batch_id}")
 
     return _start(entries.writeStream.foreachBatch(handle), checkpoint, available_now)
 
