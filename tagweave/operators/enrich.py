@@ -1,5 +1,6 @@
 """The enrichment chain: tag -> asset -> batch in time -> material, and calibration."""
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -8,10 +9,11 @@ from pyspark.sql import functions as F
 from tagweave.functions import bands
 from tagweave.functions import scalars as s
 from tagweave.operators.lookups import Lookups
-from tagweave.operators.sizing import fits_broadcast, lookup_join
+from tagweave.operators.sizing import fit_broadcast, lookup_join
 from tagweave.schemas import FLAT_COLUMNS
 from tagweave.sources import parameters as dims
 
+PAGE_WINDOWS = 1000
 BATCH_FIELDS = ["batch", "product", "phase", "start", "end", "operator_shift"]
 
 
@@ -25,6 +27,7 @@ class Joinable:
     materials: DataFrame
     calibrations: DataFrame
     small: dict
+    window_pages: int = 1
 
 
 def prepare(lookups: Lookups) -> Joinable:
@@ -34,48 +37,66 @@ def prepare(lookups: Lookups) -> Joinable:
         F.col("name").alias("a_name"), F.col("unit").alias("a_unit"), F.col("control").alias("a_control"),
         F.col("alarm").alias("a_alarm"), F.col("trip").alias("a_trip"), F.col("line").alias("a_line"),
         F.col("origin").alias("a_origin"))
-    by_asset, windows = shape_batches(lookups.batches)
+    timed = _timed(lookups.batches).persist()
+    by_asset = batch_by_asset(timed).persist()
     materials = lookups.materials.select(
         "product", "material_no", "family", "grade", "equipment", "spec_source",
         F.col("origin").alias("s_origin"))
     calibrations = lookups.calibrations.select(
         "tag", "probe_calibration_date", "calibration_age_days", "drift_mv", "last_maintenance",
         "lab_note_ref", F.col("origin").alias("r_origin"))
-    tables = {"assets": assets, "batch_by_asset": by_asset, "batch_windows": windows,
-              "materials": materials, "calibrations": calibrations}
-    # The lookups are read by every join below and once more to be measured.
-    tables = {name: df.persist() for name, df in tables.items()}
-    return Joinable(**tables, small={name: fits_broadcast(df) for name, df in tables.items()})
+    # The lookups are read by every join and once more to be measured.
+    tables = {"assets": assets.persist(), "batch_by_asset": by_asset, "materials": materials.persist(),
+              "calibrations": calibrations.persist()}
+    small = fit_broadcast(tables)
+    placed = place_windows(timed, by_asset, small["batch_by_asset"]).persist()
+    fullest = placed.groupBy("a_asset", "b_bucket").count().agg(F.max("count")).first()[0]
+    pages = max(1, math.ceil((fullest or 0) / PAGE_WINDOWS))
+    windows = batch_windows(placed, pages).persist()
+    small = {**small, **fit_broadcast({"batch_windows": windows})}
+    return Joinable(**tables, batch_windows=windows, small=small, window_pages=pages)
 
 
-def shape_batches(batches: DataFrame):
-    """J2 build side: one row per asset, and one row per (asset, time bucket).
+def _timed(batches: DataFrame) -> DataFrame:
+    return (batches.withColumn("from_s", s.epoch_second(s.clock_of("start")))
+            .withColumn("to_s", s.epoch_second(s.clock_of("end"))))
 
-    The per-asset row carries the batch used outside every window (the first one with a
-    batch, else the first) and the bucket width: the mean window length of that asset.
-    The bucket row carries the windows alive in that bucket in file order, copies
-    removed, so a reading probes one row and never multiplies.
+
+def batch_by_asset(timed: DataFrame) -> DataFrame:
+    """J2 build side: one row per asset.
+
+    It carries the batch used outside every window (the first one with a batch, else the
+    first) and the bucket width: the mean window length of that asset.
     """
-    timed = (batches.withColumn("from_s", s.epoch_second(s.clock_of("start")))
-             .withColumn("to_s", s.epoch_second(s.clock_of("end"))))
     facts = F.struct(*BATCH_FIELDS, "from_s", "to_s")
     rank = F.struct(F.when(F.col("has_batch"), 0).otherwise(1), F.col("seq"))
     length = F.when(F.col("to_s") >= F.col("from_s"), F.col("to_s") - F.col("from_s") + 1)
-    by_asset = timed.groupBy("asset").agg(
+    return timed.groupBy(F.col("asset").alias("a_asset")).agg(
         F.min_by(facts, rank).alias("b_default"), F.first("origin").alias("b_origin"),
         F.greatest(F.ceil(F.avg(length)), F.lit(1)).cast("long").alias("b_width"))
-    widths = by_asset.select("asset", "b_width")
 
-    alive = timed.filter("to_s >= from_s").groupBy("asset", "from_s", "to_s").agg(
+
+def place_windows(timed: DataFrame, by_asset: DataFrame, small: bool) -> DataFrame:
+    """One row per asset, time bucket and window alive in it; copies of a window removed."""
+    alive = timed.filter("to_s >= from_s").groupBy(F.col("asset").alias("a_asset"), "from_s", "to_s").agg(
         F.min_by(F.struct("seq", *BATCH_FIELDS), F.col("seq")).alias("win"))
+    alive = lookup_join(alive, by_asset.select("a_asset", "b_width"), "a_asset", "inner", small)
     bucket = F.explode(F.sequence(F.floor(F.col("from_s") / F.col("b_width")),
                                   F.floor(F.col("to_s") / F.col("b_width"))))
-    windows = (alive.join(widths, "asset")
-               .select("asset", bucket.alias("b_bucket"),
-                       F.struct(F.col("win.seq").alias("seq"), "from_s", "to_s",
-                                *[F.col(f"win.{c}").alias(c) for c in BATCH_FIELDS]).alias("w"))
-               .groupBy("asset", "b_bucket").agg(F.array_sort(F.collect_list("w")).alias("b_windows")))
-    return by_asset.withColumnRenamed("asset", "a_asset"), windows.withColumnRenamed("asset", "a_asset")
+    window = F.struct(F.col("win.seq").alias("seq"), "from_s", "to_s", *[F.col(f"win.{c}").alias(c) for c in BATCH_FIELDS])
+    return alive.select("a_asset", bucket.alias("b_bucket"), window.alias("w"))
+
+
+def batch_windows(placed: DataFrame, pages: int = 1) -> DataFrame:
+    """J2 build side: the windows of an asset and bucket as one array per page.
+
+    A reading probes one row and never multiplies. Buckets are as wide as a typical
+    window, so an array holds about as many windows as run at once; where far more do,
+    they are spread over pages so that no array grows without bound.
+    """
+    page = F.pmod(F.xxhash64("w.seq"), F.lit(pages)).cast("int")
+    return placed.groupBy("a_asset", "b_bucket", page.alias("b_page")).agg(
+        F.array_sort(F.collect_list("w")).alias("b_windows"))
 
 
 def join_assets(readings: DataFrame, lk: Joinable) -> DataFrame:
@@ -83,6 +104,10 @@ def join_assets(readings: DataFrame, lk: Joinable) -> DataFrame:
     return lookup_join(readings, lk.assets, "tag", "left", lk.small["assets"])
 
 
+def window_type(windows: DataFrame) -> str:
+    return windows.schema["b_windows"].dataType.elementType.simpleString()
+
+
 def join_batches(readings: DataFrame, lk: Joinable) -> DataFrame:
     """The batch running on the asset at the reading's time.
 
@@ -92,9 +117,13 @@ def join_batches(readings: DataFrame, lk: Joinable) -> DataFrame:
     placed = lookup_join(readings, lk.batch_by_asset, "a_asset", "left", lk.small["batch_by_asset"])
     at = s.epoch_second("ts")
     placed = placed.withColumn("_at", at).withColumn("b_bucket", F.floor(F.col("_at") / F.col("b_width")))
-    found = lookup_join(placed, lk.batch_windows, ["a_asset", "b_bucket"], "left", lk.small["batch_windows"])
-    holds = F.filter("b_windows", lambda w: (w["from_s"] <= F.col("_at")) & (w["to_s"] >= F.col("_at")))
-    found = found.withColumn("_hit", F.try_element_at(holds, F.lit(1)))
+    found = placed.withColumn("_hit", F.expr(f"CAST(NULL AS {window_type(lk.batch_windows)})"))
+    for page in range(lk.window_pages):
+        windows = lk.batch_windows.filter(F.col("b_page") == page).drop("b_page")
+        found = lookup_join(found, windows, ["a_asset", "b_bucket"], "left", lk.small["batch_windows"])
+        holds = F.filter("b_windows", lambda w: (w["from_s"] <= F.col("_at")) & (w["to_s"] >= F.col("_at")))
+        # Arrays are in file order, and the least window is the first one over all pages.
+        found = found.withColumn("_hit", F.least("_hit", F.try_element_at(holds, F.lit(1)))).drop("b_windows")
     hit, default = F.col("_hit"), F.col("b_default")
     comparable = F.col("_at").isNotNull() & default["from_s"].isNotNull() & default["to_s"].isNotNull()
     uploaded = F.col("b_origin") == "upload"
@@ -104,7 +133,7 @@ def join_batches(readings: DataFrame, lk: Joinable) -> DataFrame:
             .when(comparable, "outside-window")
             .when(uploaded, "uploaded").otherwise("unparsed-ts"))
     chosen = [F.when(hit.isNotNull(), hit[c]).otherwise(default[c]).alias(c) for c in BATCH_FIELDS]
-    kept = [c for c in found.columns if c not in ("_hit", "_at", "b_default", "b_bucket", "b_width", "b_windows")]
+    kept = [c for c in found.columns if c not in ("_hit", "_at", "b_default", "b_bucket", "b_width")]
     return found.select(*kept, *chosen, flag.alias("time_match"),
                         default.isNotNull().alias("has_batch_row"))
 
@@ -128,10 +157,6 @@ def reject_reason():
             .when(~F.col("has_batch_row"), F.concat(F.lit("asset "), asset, F.lit(" not found in MES"))))
 
 
-def _band_pair(column):
-    return column[0], column[1]
-
-
 def compute(joined: DataFrame, parameters=dims.BUILT_IN) -> DataFrame:
     """Parameter, status, zone and delta of joined readings.
 

@@ -12,9 +12,18 @@ HOT_SHARE = 1000
 
 def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> bool:
     """Measure a build side; broadcasting is allowed only below both bounds."""
-    width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    rows, size = df.agg(F.count("*"), F.sum(width)).first()
-    return rows <= max_rows and (size or 0) <= max_bytes
+    return fit_broadcast({"table": df}, max_rows, max_bytes)["table"]
+
+
+def fit_broadcast(tables: dict, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> dict:
+    """Measure several build sides in one job."""
+    measured = None
+    for name, df in tables.items():
+        width = F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+        one = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
+        one = one.select(F.lit(name).alias("name"), "rows", "bytes")
+        measured = one if measured is None else measured.unionByName(one)
+    return {r["name"]: r["rows"] <= max_rows and r["bytes"] <= max_bytes for r in measured.collect()}
 
 
 def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -> DataFrame:

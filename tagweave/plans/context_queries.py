@@ -70,6 +70,22 @@ def j05(spark, sf):
         F.col("calibration_age_days").cast("long").alias("calibration_age_days"), "time_match")
 
 
+@query("j05_scale_enrichment", """
+WITH b AS (SELECT p_brand, min(p_type) AS product FROM part GROUP BY 1)
+SELECT concat(CAST(l_orderkey AS VARCHAR), '/', CAST(l_linenumber AS VARCHAR)) AS reading_id, CAST(l_partkey AS VARCHAR) AS tag, l_quantity AS value,
+  strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS "timestamp", p.p_brand AS asset, p_type AS line, b.product,
+  CASE WHEN l_quantity > 45 THEN 'OVER' WHEN l_quantity < 5 THEN 'UNDER' ELSE 'OK' END AS status,
+  CASE WHEN l_quantity BETWEEN 5 AND 45 THEN 'control' WHEN l_quantity > 2 AND l_quantity < 48 THEN 'alarm' ELSE 'trip' END AS zone,
+  concat(p.p_brand, '-', CAST(CASE WHEN inside THEN year(l_shipdate) ELSE (SELECT min(year(l_shipdate)) FROM lineitem) END AS VARCHAR)) AS batch,
+  CASE WHEN inside THEN 'in-window' ELSE 'outside-window' END AS time_match
+FROM (SELECT *, l_shipdate BETWEEN make_timestamp(year(l_shipdate), 1, 15, 0, 0, 0) AND make_timestamp(year(l_shipdate), 12, 15, 0, 0, 0) AS inside FROM lineitem)
+JOIN part p ON l_partkey = p_partkey JOIN b ON b.p_brand = p.p_brand""")
+def j05_scale(spark, sf):
+    """The chain over line items, whose asset table grows with the data."""
+    events = enrich.events_of(enrich.enrich(fx.scale_readings(spark, sf), fx.scale_lookups(spark, sf), fx.SCALE_PARAMETERS))
+    return events.select("reading_id", "tag", "value", "timestamp", "asset", "line", "product", "status", "zone", "batch", "time_match")
+
+
 @query("j06_reject_stream", fx.sql(f"""
 SELECT reading_id, tag, {CLOCK} AS "timestamp", reason FROM floor_placed WHERE reason IS NOT NULL
 UNION ALL SELECT concat('N-', CAST(kafka_offset AS VARCHAR)), CASE WHEN k < 50 THEN '' ELSE tag END, {CLOCK},

@@ -176,6 +176,33 @@ def plant_envelopes(spark, sf) -> DataFrame:
     return medallion.envelopes(plant_raw(spark, sf), [F.col("row_index")])
 
 
+SCALE_PARAMETERS = (Parameter("qty", "Quantity", "Quantity", "pcs", "qty", "", (5.0, 45.0), (2.0, 48.0), (1.0, 50.0), []),)
+
+
+def scale_readings(spark, sf) -> DataFrame:
+    """Line items as readings: the part is the tag, the ship date the time."""
+    li = table(spark, sf, "lineitem")
+    return li.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("reading_id"),
+                     F.col("l_partkey").cast("string").alias("tag"), F.lit("qty").alias("param"),
+                     F.col("l_quantity").alias("value"), F.col("l_shipdate").alias("ts"),
+                     s.clock_text("l_shipdate").alias("timestamp"))
+
+
+def scale_lookups(spark, sf) -> lookups.Lookups:
+    """Parts as the asset table, which grows with the data; a batch per brand and year."""
+    part = table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("tag"), F.col("p_brand").alias("asset"), F.lit("qty").alias("param"),
+        F.col("p_type").alias("line"))
+    years = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).distinct()
+    brands = part.groupBy("asset").agg(F.min("line").alias("product"))
+    spans = years.agg(F.collect_set("y")).scalar()
+    batches = brands.select("asset", "product", F.explode(spans).alias("y")).select(
+        "asset", F.concat_ws("-", "asset", "y").alias("batch"), "product",
+        F.concat(F.col("y").cast("string"), F.lit("-01-15")).alias("start_ts"),
+        F.concat(F.col("y").cast("string"), F.lit("-12-15")).alias("end_ts"), F.col("y").cast("long").alias("seq"))
+    return lookups.build_lookups(spark, assets=part, batches=batches, parameters=SCALE_PARAMETERS, reference=False)
+
+
 def documents(spark, sf) -> DataFrame:
     """Documents as saved files; line breaks are doubled so that lines become paragraphs."""
     docs = table(spark, sf, "documents")
