@@ -31,9 +31,10 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -
     at most one row per key.
 
     A lookup measured small is broadcast, so the fact table is not shuffled. Above the
-    bound, keys that hold more than 1/1000 of the fact rows (fewer than 1000 such keys
-    can exist) are joined by broadcasting just their lookup rows; the rest is a shuffle
-    join in which no key is hot. Rows with a null key never match and skip the shuffle.
+    bound it is a shuffle join in which no key is hot: a key that holds more than 1/1000
+    of the fact rows is split over as many salts as it holds thousandths, and only its
+    lookup row is repeated per salt. Fewer than 1000 such keys can exist, so their table
+    is bounded. Rows with a null key never match and are spread as well.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if small is None:
@@ -41,24 +42,29 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -
     if small:
         return fact.join(F.broadcast(dim), keys, how)
 
-    filtering = how in ("left_semi", "left_anti")
-    columns = keys + [c for c in fact.columns if c not in keys]
-    if not filtering:
-        columns += [c for c in dim.columns if c not in keys]
     present = F.lit(True)
     for key in keys:
         present = present & F.col(key).isNotNull()
-    counted = fact.filter(present).groupBy(*keys).count()
-    total = counted.agg(F.sum("count")).scalar()
-    hot = counted.filter(F.col("count") * HOT_SHARE > total).select(*keys)
-    known = fact.filter(present)
-    heavy = known.join(F.broadcast(hot), keys, "left_semi").join(
-        F.broadcast(dim.join(F.broadcast(hot), keys, "left_semi")), keys, how)
-    light = known.join(F.broadcast(hot), keys, "left_anti").join(dim, keys, how)
-    joined = heavy.select(columns).unionByName(light.select(columns))
-    if how in ("left", "left_anti"):
-        joined = joined.unionByName(fact.filter(~present), allowMissingColumns=True)
-    return joined
+    hot = F.broadcast(hot_keys(fact.filter(present), keys))
+    hashable = [f.name for f in fact.schema.fields if "map<" not in f.dataType.simpleString()]
+    # The row and its partition: the same again when a task is repeated, unlike for copies.
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in hashable], F.spark_partition_id())
+    parts = F.when(present, F.coalesce("_salts", F.lit(1))).otherwise(HOT_SHARE)
+    salted = fact.join(hot, keys, "left").withColumn("_salt", F.pmod(spread, parts)).drop("_salts")
+    salts = F.sequence(F.lit(0).cast("long"), F.coalesce("_salts", F.lit(1)) - 1)
+    repeated = dim.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_salts")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(fact: DataFrame, keys) -> DataFrame:
+    """Keys that hold more than 1/1000 of the rows, with the thousandths they hold."""
+    counted = fact.groupBy(*keys).count().persist()
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    hot = counted.filter(F.col("count") * HOT_SHARE > total).withColumn(
+        "_salts", F.ceil(F.col("count") * HOT_SHARE / F.lit(max(total, 1))).cast("long")).drop("count")
+    found = fact.sparkSession.createDataFrame(hot.collect(), hot.schema)
+    counted.unpersist()
+    return found
 
 
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:
