@@ -69,7 +69,8 @@ def test_chunk_sets(spark):
     new = rt.chunk_documents(docs)
     rows = {r.id: r for r in new.collect()}
     assert set(rows) == {"UP-SOP-My_SOP-001", "UP-SOP-empty-001"}
-    assert rows["UP-SOP-My_SOP-001"].param == "temp" and rows["UP-SOP-empty-001"].text == "[file] empty.txt"
+    # pH scores 3 (its name and its id as a word), the temperature tag 2.
+    assert rows["UP-SOP-My_SOP-001"].param == "ph" and rows["UP-SOP-empty-001"].text == "[file] empty.txt"
     once = rt.replace_kinds(passages, new)
     assert once.count() == 20 and rt.replace_kinds(once, new).count() == 20
     assert rt.append_chunks(once, new).count() == 20
