@@ -1,6 +1,6 @@
 """Registered queries of the operators, each over its whole table, and their SQL twins."""
 
-from tagweave.llm import simhash
+from tagweave.llm import decontamination, line_dedup, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -18,6 +18,38 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+GRAMS = """unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))"""
+
+
+@query("op1_decontamination", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
+     b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark),
+     dg AS (SELECT DISTINCT doc_id, {GRAMS} AS gram FROM d),
+     bg AS (SELECT DISTINCT item_id, {GRAMS} AS gram FROM b),
+     size AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id),
+     both_ AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN bg USING (gram) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n AS n_shingles, n_shared, CAST(n_shared AS DOUBLE) / n AS containment
+FROM both_ JOIN size USING (item_id) WHERE n_shared * 10000 >= n * 8000
+""")
+def op1_decontamination(spark, sf):
+    return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op7_line_dedup", """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
+     k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+     r AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 20
+           GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE doc_id < holder) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE holder IS NULL OR doc_id = holder), '')) AS kept_sha256
+FROM k LEFT JOIN r USING (key) GROUP BY doc_id
+""")
+def op7_line_dedup(spark, sf):
+    return line_dedup.dedup_lines(table(spark, sf, "documents"))
+
+
 @query("op10_simhash")
 def op10_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
