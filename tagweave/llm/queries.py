@@ -1,6 +1,6 @@
 """Registered queries of the operators, each over its whole table, and their SQL twins."""
 
-from tagweave.llm import decontamination, line_dedup, simhash
+from tagweave.llm import decontamination, line_dedup, packing, simhash
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,6 +35,11 @@ def op1_decontamination(spark, sf):
     return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query("op7_line_dedup", """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
      e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
