@@ -36,7 +36,7 @@ END = 2
 # Shares of the capacity (a quarter or more) up to which a piece is small, and numbers of
 # groups; the packing with the fewest sequences is taken. Over a half of the capacity there
 # is one configuration per size, and what the scheme adds to it is best-fit decreasing.
-SCHEMES = ((0.25, 64), (0.34, 256), (0.5, 1024))
+SCHEMES = ((0.25, 256), (0.34, 256), (0.5, 1024))
 
 
 def byte_bpe(json_path: str, ranks_path: str, pattern: str):
@@ -145,9 +145,9 @@ def configuration_counts(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -
     A simplex that generates its columns, begun with one size per sequence.
     """
     columns = [np.eye(len(sizes))[i] * (capacity // size) for i, size in enumerate(sizes)]
-    inverse = np.linalg.inv(np.array(columns).T)
+    inverse = np.diag(1.0 / (capacity // sizes))
     level = inverse @ wanted
-    for step in range(4 * len(sizes)):
+    for _ in range(4 * len(sizes)):
         prices = np.maximum(inverse.sum(axis=0), 0)
         entering = dearest_configuration(prices, sizes, capacity)
         if entering @ prices <= 1 + 1e-6:
@@ -158,12 +158,9 @@ def configuration_counts(sizes: np.ndarray, wanted: np.ndarray, capacity: int) -
         if not np.isfinite(ratio[leave]):
             break
         columns[leave] = entering
-        if step % 50 == 49:
-            inverse = np.linalg.inv(np.array(columns).T)
-        else:
-            pivot = inverse[leave] / column[leave]
-            inverse = inverse - np.outer(column, pivot)
-            inverse[leave] = pivot
+        pivot = inverse[leave] / column[leave]
+        inverse = inverse - np.outer(column, pivot)
+        inverse[leave] = pivot
         level = np.maximum(inverse @ wanted, 0)
     return [(c.astype(int), float(x)) for c, x in zip(columns, level) if x > 1e-9]
 
