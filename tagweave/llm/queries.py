@@ -1,6 +1,6 @@
 """Registered queries of the operators, each over its whole table, and their SQL twins."""
 
-from tagweave.llm import decontamination, line_dedup, packing, simhash
+from tagweave.llm import archive, decontamination, line_dedup, packing, simhash, token_count
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,6 +35,11 @@ def op1_decontamination(spark, sf):
     return decontamination.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+@query("op2_token_counts")
+def op2_token_counts(spark, sf):
+    return token_count.token_counts(table(spark, sf, "documents"))
+
+
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
@@ -55,6 +60,19 @@ def op7_line_dedup(spark, sf):
     return line_dedup.dedup_lines(table(spark, sf, "documents"))
 
 
+@query("op9_warc_archive", """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages),
+     d AS (SELECT page_id, url, strlen(h) AS bytes, sha256(h) AS digest FROM p),
+     o AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS owner FROM d)
+SELECT page_id, coalesce(url, '') AS url, bytes AS payload_bytes, digest AS payload_digest,
+       CASE WHEN bytes >= 100 AND page_id <> owner THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN bytes >= 100 AND page_id <> owner THEN owner END AS refers_to
+FROM o
+""")
+def op9_warc_archive(spark, sf):
+    return archive.archived(table(spark, sf, "pages"))
+
+
 @query("op10_simhash")
 def op10_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
