@@ -1,6 +1,6 @@
 """Registered queries of the operators, each over its whole table, and their SQL twins."""
 
-from tagweave.llm import archive, decontamination, line_dedup, packing, simhash, token_count
+from tagweave.llm import archive, decontamination, line_dedup, packing, preference, simhash, token_count, url_model
 
 QUERIES, ORACLES = {}, {}
 
@@ -45,6 +45,38 @@ def op3_best_fit_packing(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
 
 
+MASK = """coalesce(string_agg(CASE WHEN role = 'assistant' AND i > p THEN concat(
+    CAST({0}_at AS BIGINT) + 13 + length(role), ':', CAST({0}_at AS BIGINT) + 23 + length(role) + length({0})) END, ',' ORDER BY i), '')"""
+RENDER = """'<|im_start|>' || role || chr(10) || {0} || '<|im_end|>' || chr(10)"""
+
+
+@query("op4_preference_pairs", f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+     t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c),
+     last_ AS (SELECT conv_id, max(i) AS n FROM t WHERE role = 'assistant' GROUP BY conv_id),
+     a AS (SELECT conv_id, i, n, role, text FROM t JOIN last_ USING (conv_id) WHERE i <= n),
+     donor AS (SELECT conv_id - 1 AS conv_id, text AS reply FROM a WHERE i = n),
+     b AS (SELECT conv_id, i, n, role, text AS a, CASE WHEN i = n THEN coalesce(reply, '') ELSE text END AS b FROM a LEFT JOIN donor USING (conv_id)),
+     cut AS (SELECT conv_id, coalesce(min(i) FILTER (WHERE a <> b) - 1, max(n)) AS p FROM b GROUP BY conv_id),
+     placed AS (SELECT b.*, p,
+                  sum(CASE WHEN i > p THEN length({RENDER.format('a')}) ELSE 0 END) OVER w - CASE WHEN i > p THEN length({RENDER.format('a')}) ELSE 0 END AS a_at,
+                  sum(CASE WHEN i > p THEN length({RENDER.format('b')}) ELSE 0 END) OVER w - CASE WHEN i > p THEN length({RENDER.format('b')}) ELSE 0 END AS b_at
+                FROM b JOIN cut USING (conv_id) WINDOW w AS (PARTITION BY conv_id ORDER BY i ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, any_value(p) AS n_prompt_turns,
+       coalesce(string_agg({RENDER.format('a')}, '' ORDER BY i) FILTER (WHERE i <= p), '') AS prompt,
+       coalesce(string_agg({RENDER.format('a')}, '' ORDER BY i) FILTER (WHERE i > p), '') AS chosen, {MASK.format('a')} AS chosen_mask,
+       coalesce(string_agg({RENDER.format('b')}, '' ORDER BY i) FILTER (WHERE i > p), '') AS rejected, {MASK.format('b')} AS rejected_mask
+FROM placed GROUP BY conv_id
+""")
+def op4_preference_pairs(spark, sf):
+    return preference.formatted(table(spark, sf, "conversations"))
+
+
+@query("op8_url_model")
+def op8_url_model(spark, sf):
+    return url_model.judged(table(spark, sf, "pages"))
+
+
 @query("op7_line_dedup", """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
      e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
