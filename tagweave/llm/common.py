@@ -1,6 +1,7 @@
 """Helpers that several operators share."""
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
     """Cut an Arrow batch into runs of whole rows with bounded text."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start = held = 0
     for at, size in enumerate(sizes):
         if held and held + size > limit:

@@ -24,6 +24,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,7 +153,7 @@ def screen(docs: DataFrame, items: DataFrame, size: int = WORDS, threshold: floa
                 for part in text_slices(batch):
                     before = part.column("matches")
                     found = [index.matches(t) for t in part.column("text").to_pylist()]
-                    if pa.compute.any(pa.compute.greater(pa.compute.list_value_length(before), 0)).as_py():
+                    if pc.any(pc.greater(pc.list_value_length(before), 0)).as_py():
                         found = [old + new for old, new in zip(before.to_pylist(), found)]
                     at = part.schema.get_field_index("matches")
                     yield part.set_column(at, "matches", pa.array(found, before.type))

@@ -1,6 +1,6 @@
 """Registered queries of the operators, each over its whole table, and their SQL twins."""
 
-from tagweave.llm import archive, decontamination, line_dedup, packing, preference, simhash, token_count, url_model
+from tagweave.llm import archive, decontamination, language, line_dedup, packing, preference, quality, simhash, token_count, url_model
 
 QUERIES, ORACLES = {}, {}
 
@@ -77,6 +77,16 @@ def op8_url_model(spark, sf):
     return url_model.judged(table(spark, sf, "pages"))
 
 
+@query("op5_quality_rules")
+def op5_quality_rules(spark, sf):
+    return quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op6_language_mixture")
+def op6_language_mixture(spark, sf):
+    return language.identified(table(spark, sf, "documents"))
+
+
 @query("op7_line_dedup", """
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
      e AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l),
