@@ -1,28 +1,64 @@
-"""The corpus pipeline: documents through the operators of ``tagweave.llm``, stage by stage."""
+"""The corpus pipeline: documents through the operators of ``tagweave.llm``, stage by stage.
 
-from tagweave.llm import simhash
+Every stage but the last returns the columns of documents. Each decides on what the stage
+before kept, and its result is written as Parquet and read again by the next one.
+"""
+
+from pyspark.sql import functions as F
+
+from tagweave.llm import decontamination, language, line_dedup, packing, simhash
 from tagweave.llm.common import saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+# The share of the words that one language must hold.
+MIN_SHARE = 0.5
+
+
+def language_id(spark, docs, sf_dir):
+    """Documents without a letter go, and those in which no language holds half of the words."""
+    found = language.identified(docs, keep=COLUMNS)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*COLUMNS)
+
+
+def dedup_lines(spark, docs, sf_dir):
+    """Lines that three or more documents hold stay in the largest of them only. Every document
+    stays, with the text and length that are left."""
+    found = line_dedup.dedup_lines(docs, keep=["text", "lang", "source"])
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark, docs, sf_dir):
     """Of each SimHash component only the document with the smallest id stays."""
     groups = simhash.near_duplicates(docs)
-    stay = groups.filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    return docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+
+
+def decontaminate(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.screen(docs, items, keep=COLUMNS).filter(F.size("matches") == 0).select(*COLUMNS)
+
+
+def pack(spark, docs, sf_dir):
+    """The documents that are left as pieces of training sequences."""
+    return packing.pack(docs)
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", dedup_lines),
     ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
 ]
 
-# Fingerprints hash with XXH64, which the SQL of the twin queries lacks.
+# Mixture inference, XXH64 fingerprints and tokenizers cannot be said in SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to documents; each stage is written as Parquet and read again."""
+    """Apply the stages to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), name)
