@@ -169,8 +169,9 @@ def learned(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     counts = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     table = np.zeros((BUCKETS, len(languages)))
-    np.add.at(table, (counts["bucket"].to_numpy(), counts["lang"].map({c: i for i, c in enumerate(languages)}).to_numpy()),
-              counts["n"].to_numpy())
+    column = {lang: i for i, lang in enumerate(languages)}
+    for lang, bucket, n in zip(counts["lang"], counts["bucket"], counts["n"]):
+        table[bucket, column[lang]] = n
     return Model(languages, smoothed(table))
 
 
