@@ -39,6 +39,8 @@ BLOCKS = 3
 SCALE = 30.0
 PENALTY = 1e-4
 STEPS = 40
+# Hashing takes some 80 bytes per byte of text.
+SLICE = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -170,7 +172,7 @@ def trained(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS,
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 found = [sparse(t or b"") for t in as_bytes(part.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label"), part.column("fit"), pa.array([p for p, _ in found], pa.list_(pa.int32())),
@@ -202,7 +204,7 @@ def judged(docs: DataFrame, labels: DataFrame, keep_probability: float = KEEP_PR
     def run(batches):
         model = Verdict(*state.value) if state.value else None
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 texts = [t or b"" for t in as_bytes(part.column("text"))]
                 counts = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
                 failed = (counts[:, 0] < MIN_WORDS) | (100 * counts[:, 4] > MAX_REPEAT_PERCENT * counts[:, 0])
