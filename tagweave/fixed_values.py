@@ -66,8 +66,6 @@ LAB_NOTE_FORMAT = "LAB-{param}-2026-0{number}"
 
 # --- Ingest constants
 TOPIC = "scada.telemetry"
-TOPIC_PARTITION = 0
-FIRST_OFFSET = 8401
 LOG_HEADERS = {"content-type": "application/json", "source": "mqtt-uns", "from_layer": "connectivity"}
 RETAINED_ROWS = 5000
 DASHBOARD_EVENTS = 2000

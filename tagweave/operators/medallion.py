@@ -105,14 +105,12 @@ def annotate_file_rows(readings: DataFrame, order, filename="filename") -> DataF
                                                  s.numbered_id(name, F.col("row_index")))))
 
 
-def envelopes(readings: DataFrame, order, start=fixed.FIRST_OFFSET, arrival=None,
-              parameters=dims.BUILT_IN) -> DataFrame:
-    """K6: readings as keyed log envelopes with increasing offsets."""
-    ordered = numbered(readings, order, start=start, out="_offset")
-    return _envelope(ordered, F.col("_offset"), arrival, parameters)
+def envelopes(readings: DataFrame, arrival=None, parameters=dims.BUILT_IN) -> DataFrame:
+    """K6: readings as keyed log envelopes.
 
-
-def _envelope(readings: DataFrame, offset, arrival, parameters) -> DataFrame:
+    Positions in the log are given by the log. Readings that come from one carry theirs in
+    ``partition`` and ``offset``; without these columns both are null until a log assigns them.
+    """
     catalogue = dims.parameter_frame(readings.sparkSession, parameters)
     by_id = catalogue.select(F.col("param").alias("_id"), F.col("p_asset").alias("_id_asset"))
     by_tag = catalogue.select(F.col("p_tag").alias("_tag"), F.col("param").alias("_tag_param"),
@@ -132,20 +130,31 @@ def _envelope(readings: DataFrame, offset, arrival, parameters) -> DataFrame:
         _optional(readings, "row_index", "long").cast("long").alias("row_index"))
     headers = F.create_map(*[F.lit(x) for pair in fixed.LOG_HEADERS.items() for x in pair])
     return joined.filter(F.col("tag").isNotNull()).select(
-        F.lit(fixed.TOPIC).alias("topic"), F.lit(fixed.TOPIC_PARTITION).alias("partition"),
-        offset.cast("long").alias("offset"), F.col("tag").alias("key"),
+        F.lit(fixed.TOPIC).alias("topic"), _optional(readings, "partition", "int").cast("int").alias("partition"),
+        _optional(readings, "offset", "long").cast("long").alias("offset"), F.col("tag").alias("key"),
         F.coalesce(F.lit(arrival), stamp).alias("timestamp"),
         headers.alias("headers"), value.alias("value"))
 
 
-def log_records(envelope: DataFrame) -> DataFrame:
-    """Envelopes as key / value text, the shape a log topic or a JSON file holds."""
-    return envelope.select("key", F.to_json(F.struct(*envelope.columns)).alias("value"))
+def log_records(envelope: DataFrame, *also: str) -> DataFrame:
+    """Envelopes as key, value and headers of log records; the log gives them their position.
 
-
-def parse_log_value(df: DataFrame, column="value") -> DataFrame:
-    """JSON text of the envelope value back to typed columns."""
-    return df.withColumn(column, F.from_json(F.col(column), ENVELOPE_VALUE))
+    ``also`` names envelope columns that a record carries along.
+    """
+    headers = F.transform(F.map_entries("headers"), lambda h: F.struct(h["key"], h["value"].cast("binary").alias("value")))
+    return envelope.select("key", F.to_json("value").alias("value"), headers.alias("headers"), *also)
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """Records as a log's reader gives them (key, value, topic, partition, offset, timestamp,
+    headers) as envelopes. Topic, partition and offset are the record's own."""
+    value = F.from_json(F.col("value").cast("string"), ENVELOPE_VALUE)
+    names = F.transform("headers", lambda h: F.struct(h["key"], h["value"].cast("string").alias("value")))
+    return records.select(
+        "topic", F.col("partition").cast("int").alias("partition"), F.col("offset").cast("long").alias("offset"),
+        F.col("key").cast("string").alias("key"), F.col("timestamp").cast("string").alias("timestamp"),
+        F.map_from_entries(F.coalesce(names, F.array().cast("array<struct<key:string,value:string>>"))).alias("headers"),
+        value.alias("value"))
 
 
 def bronze(envelope: DataFrame) -> DataFrame:

@@ -63,8 +63,11 @@ def newest_versions(datasets: DataFrame, n=10) -> DataFrame:
     return datasets.orderBy(F.desc("dataset_id")).limit(n)
 
 
-def append_turns(turns: DataFrame, order, start=1) -> DataFrame:
-    """Chat turns with an increasing id; hits and chart are kept as JSON text."""
+def append_turns(turns: DataFrame, order, stored: DataFrame = None) -> DataFrame:
+    """Chat turns with increasing ids that go on after those of the stored turns; hits and
+    chart are kept as JSON text."""
+    last = stored.agg(F.max("id")).first()[0] if stored is not None else None
+    start = (last or 0) + 1
     ready = turns
     for name in ("hits", "chart"):
         if name in turns.columns and dict(turns.dtypes)[name] != "string":

@@ -85,6 +85,8 @@ FROM ({FLOOR}) r WHERE u < 15 GROUP BY tag
 
 # ---------------------------------------------------------------- plant: the built-in tags
 
+LOG_PARTITIONS = 3
+
 def _case(column: str, pairs) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in pairs) + " END"
 
@@ -167,13 +169,16 @@ def plant_raw(spark, sf) -> DataFrame:
     """Plant readings as they come off the wire: clock text with T and Z, unit, topic."""
     rows = plant(spark, sf)
     clock = F.concat(F.replace(s.clock_text("ts"), F.lit(" "), F.lit("T")), F.lit("Z"))
+    partition = F.coalesce(*[F.when(F.col("param") == p.param, i % LOG_PARTITIONS) for i, p in enumerate(dims.BUILT_IN)])
     return rows.select("reading_id", "row_index", "tag", "param", "value", "quality", clock.alias("timestamp"),
                        F.lit("raw").alias("unit"), F.lit("wire").alias("source"),
-                       F.concat(F.lit("plant/"), "param").alias("uns_topic"))
+                       F.concat(F.lit("plant/"), "param").alias("uns_topic"),
+                       partition.alias("partition"), F.col("row_index").alias("offset"))
 
 
 def plant_envelopes(spark, sf) -> DataFrame:
-    return medallion.envelopes(plant_raw(spark, sf), [F.col("row_index")])
+    """The plant's log: a tag always goes to the same partition, and its offsets have gaps."""
+    return medallion.envelopes(plant_raw(spark, sf))
 
 
 SCALE_PARAMETERS = (Parameter("qty", "Quantity", "Quantity", "pcs", "qty", "", (5.0, 45.0), (2.0, 48.0), (1.0, 50.0), []),)

@@ -127,13 +127,14 @@ def s07(spark, sf):
 
 
 @query("s08_event_log_stream", fx.sql(f"""
-SELECT 8401 + row_number() OVER (ORDER BY row_index) - 1 AS "offset", tag AS "key", value, param, {WIRE_CLOCK} AS "timestamp"
-FROM plant""", "plant"))
+SELECT row_index AS "offset", CAST(pos % 3 AS BIGINT) AS "partition", tag AS "key", value, r.param, {WIRE_CLOCK} AS "timestamp"
+FROM plant r JOIN params p ON r.param = p.param""", "plant", "params"))
 def s08(spark, sf):
     """Envelopes read back from log files as a stream."""
     log = sinks.write_log_files(fx.plant_envelopes(spark, sf), fx.scratch(spark, "log"))
     out, checkpoint = fx.scratch(spark, "log-out"), fx.scratch(spark, "log-cp")
-    stream = jobs.log_stream(spark, log).select("offset", "key", "value.value", "value.param", "value.timestamp")
+    stream = jobs.log_stream(spark, log).select(
+        "offset", F.col("partition").cast("long").alias("partition"), "key", "value.value", "value.param", "value.timestamp")
     (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(out)
@@ -197,7 +198,7 @@ def s12(spark, sf):
 
 
 BRONZE_SQL = f"""
-SELECT 8401 + row_number() OVER (ORDER BY row_index) - 1 AS kafka_offset, 'scada.telemetry' AS kafka_topic, 0 AS kafka_partition,
+SELECT row_index AS kafka_offset, 'scada.telemetry' AS kafka_topic, CAST(pos % 3 AS INTEGER) AS kafka_partition,
        tag, value, 'raw' AS unit, {WIRE_CLOCK} AS ts_raw,
        CASE WHEN coalesce(quality, '') = '' THEN 'GOOD' ELSE quality END AS quality, r.param, p_asset AS asset, '' AS name,
        concat('plant/', r.param) AS uns_topic, 'wire' AS source, '' AS filename, 'bronze' AS medallion_zone,
@@ -235,16 +236,21 @@ def k03(spark, sf):
     return spark.read.parquet(path).select(*GOLD_COLUMNS)
 
 
-@query("k04_idempotent_historian", fx.sql(
-    "SELECT kafka_offset, tag, value, ts_raw FROM bronze", "plant", "params", bronze=BRONZE_SQL))
+@query("k04_idempotent_historian", fx.sql("""
+SELECT kafka_partition, kafka_offset, tag, value, ts_raw FROM bronze
+UNION ALL SELECT kafka_partition + 3, kafka_offset, tag, value, ts_raw FROM bronze""", "plant", "params", bronze=BRONZE_SQL))
 def k04(spark, sf):
-    """The same rows inserted twice, the second time doubled; every offset is stored once."""
+    """Two batches, the second doubled, and once more; the same offsets occur in other partitions.
+
+    Every position of the log is stored once.
+    """
     path = fx.scratch(spark, "historian")
     rows = _bronze(spark, sf)
+    again = rows.withColumn("kafka_partition", F.col("kafka_partition") + fx.LOG_PARTITIONS)
     sinks.append_historian(rows.filter(F.col("param") == "temp"), path)
-    sinks.append_historian(rows.unionByName(rows), path)
-    sinks.append_historian(rows, path)
-    return spark.read.parquet(path).select("kafka_offset", "tag", "value", "ts_raw")
+    sinks.append_historian(rows.unionByName(rows).unionByName(again), path)
+    sinks.append_historian(again.unionByName(rows), path)
+    return spark.read.parquet(path).select("kafka_partition", "kafka_offset", "tag", "value", "ts_raw")
 
 
 @query("k05_event_append", fx.sql(
@@ -256,17 +262,16 @@ def k05(spark, sf):
 
 
 @query("k06_envelope_producer", fx.sql(f"""
-SELECT 8401 + row_number() OVER (ORDER BY row_index) - 1 AS "offset", 'scada.telemetry' AS topic, tag AS "key", r.param,
+SELECT row_index AS "offset", CAST(pos % 3 AS BIGINT) AS "partition", 'scada.telemetry' AS topic, tag AS "key", r.param,
        p_asset AS asset, reading_id, 'application/json' AS content_type,
        CASE WHEN coalesce(quality, '') = '' THEN 'GOOD' ELSE quality END AS quality, {WIRE_CLOCK} AS "timestamp"
 FROM plant r JOIN params p ON r.param = p.param""", "plant", "params"))
 def k06(spark, sf):
-    """Envelopes as JSON text and back."""
-    log = medallion.log_records(fx.plant_envelopes(spark, sf))
-    e = F.from_json("value", jobs.ENVELOPE)
-    return log.select("key", e.alias("e")).select(
-        "e.offset", "e.topic", "key", "e.value.param", "e.value.asset", "e.value.reading_id",
-        F.col("e.headers")["content-type"].alias("content_type"), "e.value.quality", "e.timestamp")
+    """Envelopes as log records, and back through the columns in which a log's reader gives them."""
+    records = medallion.log_records(fx.plant_envelopes(spark, sf), "topic", "partition", "offset", "timestamp")
+    got = medallion.from_records(records)
+    return got.select("offset", F.col("partition").cast("long").alias("partition"), "topic", "key", "value.param", "value.asset",
+                      "value.reading_id", F.col("headers")["content-type"].alias("content_type"), "value.quality", "timestamp")
 
 
 def datasets(spark, sf):
@@ -349,11 +354,16 @@ def k12(spark, sf):
 
 
 @query("k13_append_turns", """
-SELECT row_number() OVER (ORDER BY conv_id, turn) AS id, concat('agent-', CAST(conv_id AS VARCHAR)) AS agent, role AS source,
+SELECT row_number() OVER (ORDER BY conv_id % 2, conv_id, turn) AS id, concat('agent-', CAST(conv_id AS VARCHAR)) AS agent, role AS source,
        text AS query, concat('[{"ref":"', role, '"}]') AS hits FROM conversations""")
 def k13(spark, sf):
-    return versions.append_turns(turns(spark, sf), [F.col("conv_id"), F.col("turn")]).select(
-        "id", "agent", "source", "query", "hits")
+    """Two appends; the second goes on after the first."""
+    order = [F.col("conv_id"), F.col("turn")]
+    path = fx.scratch(spark, "turns")
+    for part in (0, 1):
+        new = versions.append_turns(turns(spark, sf).filter(F.col("conv_id") % 2 == part), order, sinks.existing(spark, path))
+        new.write.mode("append").parquet(path)
+    return spark.read.parquet(path).select("id", "agent", "source", "query", "hits")
 
 
 def turns(spark, sf):

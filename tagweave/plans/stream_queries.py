@@ -20,7 +20,7 @@ def _log(spark, sf, copies=1):
     path = fx.scratch(spark, "log")
     rows = fx.plant_envelopes(spark, sf)
     for _ in range(copies):
-        rows.repartition(FILES, "offset").write.mode("append").json(path)
+        rows.repartition(FILES, "partition", "offset").write.mode("append").json(path)
     return jobs.log_stream(spark, path, files_per_batch=2)
 
 
@@ -101,12 +101,17 @@ def z06(spark, sf):
     return jobs.latest_state(spark, out, ["param"])
 
 
-@query("z07_stream_historian", fx.sql("SELECT kafka_offset, tag, value FROM bronze", "plant", "params", bronze=BRONZE_SQL))
+@query("z07_stream_historian", fx.sql("""
+SELECT kafka_partition, kafka_offset, tag, value FROM bronze
+UNION ALL SELECT kafka_partition + 3, kafka_offset, tag, value FROM bronze""", "plant", "params", bronze=BRONZE_SQL))
 def z07(spark, sf):
-    """The log holds every envelope twice; the historian holds every offset once."""
+    """The log holds every envelope twice, and the same offsets in other partitions; the
+    historian holds every position once."""
     out, checkpoint = _paths(spark, "z-historian")
-    jobs.stream_historian(medallion.bronze(_log(spark, sf, copies=2)), out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("kafka_offset", "tag", "value")
+    log = _log(spark, sf, copies=2)
+    both = log.withColumn("partition", F.explode(F.array("partition", F.col("partition") + fx.LOG_PARTITIONS)))
+    jobs.stream_historian(medallion.bronze(both), out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("kafka_partition", "kafka_offset", "tag", "value")
 
 
 PACED = 12

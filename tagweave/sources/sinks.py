@@ -37,14 +37,18 @@ def write_gold(silver: DataFrame, path: str) -> str:
     return write_days(day.withColumn("dt", F.coalesce(F.col("ts").cast("date").cast("string"), F.lit("unknown"))), path)
 
 
-def insert_new(batch: DataFrame, target: DataFrame, key="kafka_offset", order=None) -> DataFrame:
-    """K4: the rows of a batch whose key is new, first copy of each key."""
-    fresh = first_per_key(batch, [key], [order if order is not None else F.col(key)])
-    return fresh.join(target.select(key), key, "left_anti")
+# What identifies a log record: an offset counts within its partition only.
+LOG_POSITION = ["kafka_topic", "kafka_partition", "kafka_offset"]
 
 
-def append_historian(batch: DataFrame, path: str, key="kafka_offset") -> None:
-    """K4: insert that may be repeated; offsets already stored are skipped.
+def insert_new(batch: DataFrame, target: DataFrame, key=tuple(LOG_POSITION)) -> DataFrame:
+    """K4: the rows of a batch whose key is new, one copy of each key."""
+    fresh = first_per_key(batch, list(key), [F.col(key[-1])])
+    return fresh.join(target.select(*key), list(key), "left_anti").select(*batch.columns)
+
+
+def append_historian(batch: DataFrame, path: str, key=tuple(LOG_POSITION)) -> None:
+    """K4: insert that may be repeated; log positions already stored are skipped.
 
     Only target rows within the batch's offset range are read, through the Parquet
     min / max statistics.
@@ -52,22 +56,24 @@ def append_historian(batch: DataFrame, path: str, key="kafka_offset") -> None:
     spark = batch.sparkSession
     target = existing(spark, path)
     if target is not None:
-        low, high = batch.agg(F.min(key), F.max(key)).first()
+        low, high = batch.agg(F.min(key[-1]), F.max(key[-1])).first()
         if low is None:
             return
-        batch = insert_new(batch, target.filter(F.col(key).between(low, high)), key)
+        batch = insert_new(batch, target.filter(F.col(key[-1]).between(low, high)), key)
     else:
-        batch = first_per_key(batch, [key], [F.col(key)])
+        batch = first_per_key(batch, list(key), [F.col(key[-1])])
     batch.write.mode("append").parquet(path)
 
 
 def existing(spark: SparkSession, path: str):
-    """The table at a path, or None before the first write."""
+    """The table at a path, or None before the first write; any other error is raised."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

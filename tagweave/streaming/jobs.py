@@ -26,8 +26,8 @@ def log_stream(spark: SparkSession, path: str, files_per_batch=None) -> DataFram
 def topic_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """A Kafka topic as the same envelopes (needs the Kafka connector)."""
     raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-           .option("subscribe", topic).option("startingOffsets", "earliest").load())
-    return raw.select(F.from_json(F.col("value").cast("string"), ENVELOPE).alias("e")).select("e.*")
+           .option("subscribe", topic).option("startingOffsets", "earliest").option("includeHeaders", True).load())
+    return medallion.from_records(raw)
 
 
 def _start(writer, checkpoint: str, available_now: bool):

@@ -92,11 +92,27 @@ def test_sample_counts_per_zone(spark, path):
 
 
 def test_historian_insert_can_be_repeated(spark, path):
-    rows = spark.range(100).select(F.col("id").alias("kafka_offset"), F.lit("a").alias("tag"))
+    rows = spark.range(200).select((F.col("id") % 100).alias("kafka_offset"), F.lit("t").alias("kafka_topic"),
+                                   F.floor(F.col("id") / 100).cast("int").alias("kafka_partition"), F.lit("a").alias("tag"))
     for part in (rows.filter("kafka_offset < 60"), rows.filter("kafka_offset > 40"), rows.limit(0), rows):
         sinks.append_historian(part, path)
     stored = spark.read.parquet(path)
-    assert stored.count() == 100 == stored.select("kafka_offset").distinct().count()
+    assert stored.count() == 200 == stored.select(*sinks.LOG_POSITION).distinct().count()
+
+
+def test_records_keep_their_own_position(spark):
+    """A log's records: topic, partition and offset come from the record, not from its value."""
+    value = json.dumps({"tag": "AT-3401", "value": 7.1, "timestamp": "2026-08-14T10:00:00Z", "offset": 99, "partition": 9})
+    row = (bytearray(b"AT-3401"), bytearray(value.encode()), "plant", 2, 17, "2026-08-14 10:00:01", [("content-type", bytearray(b"json"))])
+    schema = ("key binary, value binary, topic string, partition int, offset long, timestamp string, "
+              "headers array<struct<key:string,value:binary>>")
+    records = spark.createDataFrame([row, (None, bytearray(b"not json"), "plant", 2, 18, None, None)], schema)
+    got = medallion.from_records(records).orderBy("offset").collect()
+    assert (got[0].topic, got[0].partition, got[0].offset, got[0].key) == ("plant", 2, 17, "AT-3401")
+    assert got[0].value.value == 7.1 and got[0].headers == {"content-type": "json"}
+    assert got[1].offset == 18 and got[1].value.tag is None
+    bronze = medallion.bronze(medallion.from_records(records)).collect()
+    assert [(r.kafka_topic, r.kafka_partition, r.kafka_offset) for r in bronze] == [("plant", 2, 17), ("plant", 2, 18)]
 
 
 def test_day_layout_is_pruned(spark, path):

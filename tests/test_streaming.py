@@ -11,7 +11,7 @@ def test_restart_and_new_files(spark, tmp_path, sf):
     """Stopped and started again, with files added in between, nothing is lost or doubled."""
     log, out, checkpoint = (str(tmp_path / n) for n in ("log", "out", "cp"))
     rows = fx.plant_envelopes(spark, sf).persist()
-    for part in ("offset < 8800", "offset >= 8800"):
+    for part in ("offset < 400", "offset >= 400"):
         sinks.write_log_files(rows.filter(part), log)
         for _ in range(2):
             jobs.stream_bronze(jobs.log_stream(spark, log, 3), out, checkpoint).awaitTermination()
