@@ -31,11 +31,22 @@ PARAMETERS = [
 
 # --- Extra words that name a parameter (besides its tag, id, short and full name)
 PARAMETER_WORDS = {
-    "temp": ["temp", "temperature", "reactortemperature"],
-    "ph": ["ph", "acidity"],
-    "press": ["press", "pressure", "differentialpressure", "dp"],
-    "cond": ["cond", "conductivity", "wfi"],
-    "hum": ["hum", "humidity", "rh", "relativehumidity"],
+    "temp": "temp",
+    "temperature": "temp",
+    "reactortemperature": "temp",
+    "ph": "ph",
+    "acidity": "ph",
+    "press": "press",
+    "pressure": "press",
+    "differentialpressure": "press",
+    "dp": "press",
+    "cond": "cond",
+    "conductivity": "cond",
+    "wfi": "cond",
+    "hum": "hum",
+    "humidity": "hum",
+    "rh": "hum",
+    "relativehumidity": "hum",
 }
 
 # --- Asset to line: display name, and the segment used in topic paths
@@ -67,8 +78,6 @@ LAB_NOTE_FORMAT = "LAB-{param}-2026-0{number}"
 # --- Ingest constants
 TOPIC = "scada.telemetry"
 LOG_HEADERS = {"content-type": "application/json", "source": "mqtt-uns", "from_layer": "connectivity"}
-RETAINED_ROWS = 5000
-DASHBOARD_EVENTS = 2000
 
 # --- Header words of reading files
 TAG_HEADERS = ["tag", "parameter", "param"]

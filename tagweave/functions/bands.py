@@ -1,4 +1,4 @@
-"""Control, alarm and trip bands: parsing, status, zone, delta, scenario values."""
+"""Control, alarm and trip bands: parsing, status, zone, delta."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,13 +16,13 @@ def status_of(value: Column, lo: Column, hi: Column) -> Column:
 
 
 def zone_of(value: Column, control, alarm, trip) -> Column:
-    """The order of the tests matters, so a value on an alarm limit is a trip."""
-    (lo_c, hi_c), (lo_a, hi_a), (lo_t, hi_t) = control, alarm, trip
-    return (F.when(F.isnan(value), "trip")
-            .when(value.between(lo_c, hi_c), "control")
-            .when(value.between(lo_t, lo_a) | value.between(hi_a, hi_t), "trip")
-            .when(((value >= lo_a) & (value < lo_c)) | ((value > hi_c) & (value <= hi_a)), "alarm")
-            .otherwise("trip"))
+    """Inside control, else strictly inside alarm, else trip. NaN lies in no band.
+
+    ``trip`` is the outermost band; what lies beyond it is a trip as well.
+    """
+    inside = value.between(*control)
+    between = (value > alarm[0]) & (value < alarm[1])
+    return F.when(inside, "control").when(between, "alarm").otherwise("trip")
 
 
 def delta_of(status: Column, value: Column, lo: Column, hi: Column) -> Column:
@@ -44,19 +44,3 @@ def widened(control: Column, factor: float) -> Column:
     width = F.abs(control[1] - control[0])
     width = F.when(width == 0, F.lit(1.0)).otherwise(width)
     return F.array(control[0] - width * factor, control[1] + width * factor)
-
-
-def scenario_value(zone: Column, control, alarm, trip) -> Column:
-    """A fixed value inside the asked zone, high side first."""
-    (lo_c, hi_c), (lo_a, hi_a), (lo_t, hi_t) = control, alarm, trip
-
-    def middle(a, b):
-        return F.round((a + b) / 2.0, 3)
-
-    return (F.when(zone == "control", middle(lo_c, hi_c))
-            .when((zone == "alarm") & (hi_a > hi_c), middle(hi_c, hi_a))
-            .when((zone == "alarm") & (lo_a < lo_c), middle(lo_a, lo_c))
-            .when(zone == "alarm", F.round(hi_c + F.greatest(F.lit(0.05), F.abs(hi_c) * 0.01), 3))
-            .when(hi_t > hi_a, middle(hi_a, hi_t))
-            .when(lo_t < lo_a, middle(lo_t, lo_a))
-            .otherwise(F.round(hi_a + F.greatest(F.lit(0.1), F.abs(hi_a) * 0.02), 3)))

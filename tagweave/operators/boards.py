@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave import fixed_values as fixed
 from tagweave.functions import bands
 from tagweave.functions import scalars as s
 from tagweave.operators import enrich as en
 from tagweave.operators.dedup import keep_first_id, keep_first_reading
 from tagweave.operators.medallion import latest_by_arrival
-from tagweave.operators.sizing import first_per_key, lookup_join
+from tagweave.operators.sizing import lookup_join
+from tagweave.operators.versions import active_versions, slot_of
 from tagweave.schemas import FLAT_COLUMNS
 from tagweave.sources import parameters as dims
 
@@ -120,51 +120,38 @@ def board_totals(events: DataFrame, zones=("trip", "alarm")) -> DataFrame:
                       F.count("*").alias("total"))
 
 
-def scenario_readings(lake: DataFrame, lookups, zones=tuple(ZONES), now=None,
-                      parameters=dims.BUILT_IN) -> DataFrame:
-    """D3: one reading per parameter and zone with a value inside that zone.
+def zone_examples(observed: DataFrame, order="row_index", zones=tuple(ZONES)) -> DataFrame:
+    """Of every parameter and zone the newest reading that lies in it."""
+    rest = [c for c in observed.columns if c not in ("param", "scenario")]
+    rows = observed.filter(F.col("scenario").isin(list(zones)))
+    newest = rows.groupBy("param", "scenario").agg(F.max_by(F.struct(*rest), F.col(order)).alias("r"))
+    return newest.select("param", "scenario", "r.*")
 
-    Tag, time and asset come from the parameter's latest lake row where there is one.
-    """
-    lk = lookups if isinstance(lookups, en.Joinable) else en.prepare(lookups)
-    catalogue = dims.parameter_frame(lake.sparkSession, parameters)
-    newest = latest_by_arrival(lake.filter(F.col("param").isin([p.param for p in parameters])), "param")
-    newest = newest.select("param", F.col("tag").alias("l_tag"), F.col("unit").alias("l_unit"),
-                           F.col("asset").alias("l_asset"), F.col("timestamp").alias("l_time"))
-    rows = catalogue.join(newest, "param", "left").withColumn("tag", F.coalesce("l_tag", "p_tag"))
-    limits = lk.assets.select("tag", "a_control", "a_alarm", "a_trip")
-    rows = lookup_join(rows, limits, "tag", "left", lk.small["assets"])
-    control, alarm, trip = resolved_bands()
-    rows = rows.withColumn("zone", F.explode(F.array(*map(F.lit, zones))))
-    value = bands.scenario_value(F.col("zone"), *[(b[0], b[1]) for b in (control, alarm, trip)])
-    clock = F.coalesce(s.blank_to_null("l_time"), F.lit(now))
-    return rows.select(
-        F.concat_ws("-", F.lit("scenario"), "param", "zone").alias("reading_id"), "tag",
-        value.alias("value"), F.coalesce("l_unit", "p_unit").alias("unit"),
-        s.canonical_clock(clock).alias("timestamp"), s.clock_of(clock).alias("ts"), "param",
-        F.coalesce("l_asset", "p_asset").alias("asset"), F.lit("GOOD").alias("quality"),
-        F.when(F.col("l_tag").isNotNull(), "gold-lake+scenario").otherwise("scenario").alias("source"),
-        F.col("zone").alias("scenario"))
 
-
-def scenario_events(lake, lookups, zones=tuple(ZONES), now=None, parameters=dims.BUILT_IN) -> DataFrame:
-    """D3: scenario readings through the enrichment chain."""
+def scenario_events(readings: DataFrame, lookups, order="row_index", zones=tuple(ZONES),
+                    parameters=dims.BUILT_IN) -> DataFrame:
+    """D3: the newest reading of every parameter and zone through the enrichment chain."""
     lk = lookups if isinstance(lookups, en.Joinable) else en.prepare(lookups)
-    readings = scenario_readings(lake, lk, zones, now, parameters).drop("asset")
-    return en.events_of(en.enrich(readings, lk, parameters))
+    newest = zone_examples(observations(readings, lk, parameters), order, zones)
+    return en.events_of(en.enrich(newest.drop("asset", "control", "alarm", "trip"), lk, parameters))
 
 
-def parameter_board(readings: DataFrame, lookups, order, zones=("trip", "alarm"), now=None,
+def parameter_board(readings: DataFrame, lookups, order, zones=("trip", "alarm"), newest="row_index",
                     parameters=dims.BUILT_IN) -> DataFrame:
-    """Events per parameter and zone; an empty group shows its scenario event instead."""
+    """Events per parameter and zone; an empty group shows the parameter's newest reading."""
     lk = lookups if isinstance(lookups, en.Joinable) else en.prepare(lookups)
-    events = all_observation_runs(readings, lk, order, zones, parameters)["events"]
-    events = events.select("scenario", *FLAT_COLUMNS).withColumn("fallback", F.lit(False))
-    lake = readings.withColumn("bronze_offset", -F.col("row_index"))
-    spare = scenario_events(lake, lk, zones, now, parameters).select("scenario", *FLAT_COLUMNS)
-    filled = events.select("param", "scenario").distinct()
-    spare = spare.join(F.broadcast(filled), ["param", "scenario"], "left_anti")
-    return events.unionByName(spare.withColumn("fallback", F.lit(True)))
+    run = all_observation_runs(readings, lk, order, zones, parameters)
+    events = run["events"].select("scenario", *FLAT_COLUMNS).withColumn("fallback", F.lit(False))
+    # A row per parameter and zone from here on, which the catalogue bounds.
+    catalogue = dims.parameter_frame(readings.sparkSession, parameters)
+    groups = catalogue.select("param", F.explode(F.array(*map(F.lit, zones))).alias("scenario"))
+    empty = groups.join(events.select("param", "scenario").distinct(), ["param", "scenario"], "left_anti")
+    seen = run["observations"]
+    rest = [c for c in seen.columns if c not in ("param", "scenario", "asset", "control", "alarm", "trip")]
+    last = seen.groupBy("param").agg(F.max_by(F.struct(*rest), F.col(newest)).alias("r"))
+    spare = empty.join(last, "param").select("param", "scenario", "r.*")
+    shown = en.events_of(en.enrich(spare, lk, parameters)).select("scenario", *FLAT_COLUMNS)
+    return events.unionByName(shown.withColumn("fallback", F.lit(True)))
 
 
 def decompose(readings: DataFrame, lookups, param, zone, reading_id, order,
@@ -182,24 +169,21 @@ def newest_events(events: DataFrame, n: int, param=None, order="seq") -> DataFra
 
 
 def newest_excursions(events: DataFrame, n=10, order="seq") -> DataFrame:
-    """T4: newest OVER / UNDER events among the dashboard's newest events."""
-    recent = newest_events(events, fixed.DASHBOARD_EVENTS, order=order)
-    return recent.filter(F.col("status").isin("OVER", "UNDER")).orderBy(F.desc(order)).limit(n)
+    """T4: the newest n OVER / UNDER events."""
+    return newest_events(events.filter(F.col("status").isin("OVER", "UNDER")), n, order=order)
 
 
-def status_counts(events: DataFrame, order="seq") -> DataFrame:
-    """A2: OK / OVER / UNDER over the newest events."""
-    recent = newest_events(events, fixed.DASHBOARD_EVENTS, order=order)
-    return recent.agg(*[F.count_if(F.col("status") == x).alias(x.lower()) for x in ("OK", "OVER", "UNDER")],
+def status_counts(events: DataFrame) -> DataFrame:
+    """A2: OK / OVER / UNDER over all events."""
+    return events.agg(*[F.count_if(F.col("status") == x).alias(x.lower()) for x in ("OK", "OVER", "UNDER")],
                       F.count("*").alias("total_events"))
 
 
 def dashboard(events: DataFrame, parameters=dims.BUILT_IN, order="seq") -> DataFrame:
-    """A3: latest state per parameter over the newest events."""
+    """A3: latest state and excursions per parameter over all events."""
     catalogue = dims.parameter_frame(events.sparkSession, parameters)
-    recent = newest_events(events, fixed.DASHBOARD_EVENTS, order=order)
     state = F.struct("value", "status", "batch", "product", "zone")
-    latest = recent.groupBy("param").agg(
+    latest = events.groupBy("param").agg(
         F.max_by(state, F.col(order)).alias("now"),
         F.count_if(F.col("status") != "OK").alias("excursions"))
     return catalogue.join(latest, "param", "left").select(
@@ -258,19 +242,28 @@ def distinct_keys(readings: DataFrame, key="tag") -> DataFrame:
     return readings.select(key).distinct().orderBy(key)
 
 
-def retained(rows: DataFrame, order, n=fixed.RETAINED_ROWS) -> DataFrame:
-    """The newest n rows that a store keeps."""
-    return rows.orderBy(F.desc(order)).limit(n)
+def retained(rows: DataFrame, clock, days: int) -> DataFrame:
+    """The rows of the last ``days`` days before the newest one; rows without a time stay."""
+    newest = rows.agg(F.max(clock)).scalar()
+    age = F.datediff(newest.cast("date"), clock.cast("date"))
+    return rows.filter(F.coalesce(age < days, F.lit(True)))
 
 
 def source_catalogue(datasets: DataFrame, rows: DataFrame) -> DataFrame:
-    """Per slot its kind, rows and bytes, from the newest version of the slot."""
-    current = first_per_key(datasets, ["slot"], [F.desc("dataset_id")])
+    """Per slot its kind, columns, rows and bytes, from the newest version of the slot.
+
+    A dataset without a slot counts under its kind. ``rows`` hold their cells in ``payload``,
+    a map; its keys are the columns.
+    """
+    current = active_versions(datasets).withColumn("slot", slot_of())
     sized = rows.groupBy("dataset_id").agg(
-        F.count("*").alias("n_rows"), F.sum(F.length("payload")).alias("n_bytes"))
-    return current.join(sized, "dataset_id", "left").select(
+        F.count("*").alias("n_rows"),
+        F.sum(F.length(F.array_join(F.map_values("payload"), ""))).alias("n_bytes"),
+        F.collect_set(F.array_sort(F.map_keys("payload"))).alias("_headers"))
+    columns = F.array_sort(F.array_distinct(F.flatten("_headers")))
+    return lookup_join(current, sized, "dataset_id").select(
         "slot", "kind", "dataset_id", "persisted", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
-        F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"),
+        F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce(F.array_join(columns, ", "), F.lit("")).alias("columns"),
         (F.coalesce("n_rows", F.lit(0)) > 0).alias("loaded"))
 
 

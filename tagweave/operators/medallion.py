@@ -71,21 +71,24 @@ def pack(rows: DataFrame, source: str, parameters=dims.BUILT_IN, arrival=None) -
 
 
 def parse_report(rows: DataFrame, parameters=dims.BUILT_IN, order="row_index") -> DataFrame:
-    """Raw, kept and skipped counts and the first 12 unknown tags in file order."""
+    """Rows read, kept and skipped, and every unknown tag with its rows and first place."""
     token = s.first_present(*[c for c in ("tag", "param", "id") if c in rows.columns])
     known = resolve_parameter(rows.withColumn("_token", token), "_token", "_param", parameters)
     number = F.when(F.trim(s.text("value")).rlike(s.NUMBER), F.trim(s.text("value"))).try_cast("double")
     kept = F.col("_param").isNotNull() & number.isNotNull()
-    counts = known.agg(F.count("*").alias("raw"),
-                       F.count_if(kept).alias("kept"),
-                       F.count_if(~kept).alias("skipped"))
-    unknown = (known.filter(F.col("_param").isNull() & F.col("_token").isNotNull())
-               .groupBy("_token").agg(F.min(order).alias("_at"))
-               .orderBy("_at", "_token").limit(12)
-               .agg(F.array_join(F.transform(
-                   F.array_sort(F.collect_list(F.struct("_at", "_token"))),
-                   lambda x: x["_token"]), ", ").alias("unknown_tags")))
-    return counts.withColumn("unknown_tags", unknown.scalar())
+    unknown = F.when(F.col("_param").isNull(), F.col("_token"))
+    # One pass: counts per unknown tag, which add up to the totals.
+    counted = known.groupBy(unknown.alias("tag")).agg(
+        F.count("*").alias("raw"), F.count_if(kept).alias("kept"), F.min(order).alias("first_at"))
+    lines = counted.select("tag", "first_at", F.explode(F.array(
+        F.struct(F.lit("raw").alias("item"), F.col("raw").alias("n_rows")),
+        F.struct(F.lit("kept").alias("item"), F.col("kept").alias("n_rows")),
+        F.struct(F.lit("skipped").alias("item"), (F.col("raw") - F.col("kept")).alias("n_rows")),
+        F.struct(F.lit("unknown").alias("item"), F.when(F.col("tag").isNotNull(), F.col("raw")).alias("n_rows")))).alias("l"))
+    total = F.col("l.item") != "unknown"
+    return lines.filter(F.col("l.n_rows").isNotNull()).groupBy(
+        F.col("l.item").alias("item"), F.when(~total, F.col("tag")).alias("tag")).agg(
+        F.sum("l.n_rows").alias("n_rows"), F.min(F.when(~total, F.col("first_at"))).alias("first_at"))
 
 
 def annotate_file_rows(readings: DataFrame, order, filename="filename") -> DataFrame:

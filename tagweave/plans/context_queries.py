@@ -11,6 +11,7 @@ from tagweave.plans import fixtures as fx
 from tagweave.plans.registry import query, run_view, table
 from tagweave.plans.scan_queries import (BRONZE_SQL, CLOCK, PACK_TOKENS, SILVER_SQL, WIRE_CLOCK, _bronze, _pack_rows,
                                          dataset_rows, datasets, turns)
+from tagweave.sources import parameters as dims
 
 # ---------------------------------------------------------------- joins
 
@@ -307,12 +308,12 @@ def a01(spark, sf):
     return bd.zone_counts(_first_readings(spark, sf))
 
 
-NEWEST = "SELECT *, row_index AS seq FROM plant_flat ORDER BY row_index DESC LIMIT 2000"
+EVENTS = "SELECT *, row_index AS seq FROM plant_flat"
 
 
 @query("a02_status_counts", fx.sql("""
 SELECT count(CASE status WHEN 'OK' THEN 1 END) AS ok, count(CASE status WHEN 'OVER' THEN 1 END) AS "over",
-       count(CASE status WHEN 'UNDER' THEN 1 END) AS "under", count(*) AS total_events FROM n""", "plant_flat", n=NEWEST))
+       count(CASE status WHEN 'UNDER' THEN 1 END) AS "under", count(*) AS total_events FROM n""", "plant_flat", n=EVENTS))
 def a02(spark, sf):
     return bd.status_counts(fx.plant_events(spark, sf))
 
@@ -321,7 +322,7 @@ def a02(spark, sf):
 SELECT p.param, p_name AS name, p_unit AS unit, p_asset AS asset, c_lo AS spec_lo, c_hi AS spec_hi, arg_max(value, seq) AS value,
        coalesce(arg_max(status, seq), '—') AS status, arg_max(batch, seq) AS batch, arg_max(product, seq) AS product,
        arg_max(zone, seq) AS zone, count(CASE WHEN status <> 'OK' THEN 1 END) AS excursions
-FROM params p LEFT JOIN n ON n.param = p.param GROUP BY ALL""", "params", "plant_flat", n=NEWEST))
+FROM params p LEFT JOIN n ON n.param = p.param GROUP BY ALL""", "params", "plant_flat", n=EVENTS))
 def a03(spark, sf):
     return bd.dashboard(fx.plant_events(spark, sf))
 
@@ -365,11 +366,11 @@ def a07(spark, sf):
 
 
 @query("a08_parse_report", fx.sql("""
-SELECT count(*) AS raw, count(CASE WHEN k >= 5 AND k < 95 THEN 1 END) AS kept, count(CASE WHEN k < 5 OR k >= 95 THEN 1 END) AS skipped,
- (SELECT string_agg(token, ', ' ORDER BY place) FROM (SELECT concat('tag ', CAST(u AS VARCHAR)) AS token, min(row_index) AS place FROM plant WHERE k < 5 GROUP BY 1 ORDER BY place LIMIT 12)) AS unknown_tags
-FROM t""", "plant", "params", t=PACK_TOKENS))
+SELECT unnest(['raw', 'kept', 'skipped']) AS item, NULL AS tag,
+       unnest([count(*), count(CASE WHEN k >= 5 AND k < 95 THEN 1 END), count(CASE WHEN k < 5 OR k >= 95 THEN 1 END)]) AS n_rows, NULL AS first_at FROM t
+UNION ALL SELECT 'unknown', concat('tag ', CAST(u AS VARCHAR)), count(*), min(row_index) FROM plant WHERE k < 5 GROUP BY u""", "plant", "params", t=PACK_TOKENS))
 def a08(spark, sf):
-    """Twenty different unknown tags; the first twelve in file order are named."""
+    """Twenty different unknown tags, each with its rows and where it came first."""
     rows = _pack_rows(spark, sf).join(fx.plant(spark, sf).select("reading_id", "u"), "reading_id")
     tag = F.when(F.col("tag") == "nothing known", F.concat(F.lit("tag "), F.col("u").cast("string"))).otherwise(F.col("tag"))
     return medallion.parse_report(rows.withColumn("tag", tag))
@@ -404,24 +405,33 @@ def a14(spark, sf):
     return bd.distinct_keys(fx.floor(spark, sf))
 
 
-@query("a15_retention", fx.sql("SELECT kafka_offset, tag, value, ts_raw FROM bronze ORDER BY kafka_offset DESC LIMIT 5000",
+@query("a15_retention", fx.sql("""
+SELECT kafka_partition, kafka_offset, tag, value, ts_raw FROM bronze WHERE CAST(ts AS DATE) > (SELECT max(CAST(ts AS DATE)) FROM plant) - 14""",
                                "plant", "params", bronze=BRONZE_SQL))
 def a15(spark, sf):
-    """The store's own rule: the newest 5000 rows are kept."""
-    return bd.retained(_bronze(spark, sf), "kafka_offset").select("kafka_offset", "tag", "value", "ts_raw")
+    """What a store keeps that holds the last fourteen days."""
+    kept = bd.retained(_bronze(spark, sf), F.col("ts_raw").try_cast("timestamp_ntz"), 14)
+    return kept.select("kafka_partition", "kafka_offset", "tag", "value", "ts_raw")
 
 
 CATALOGUE_SQL = """
-SELECT concat('c', CAST(o_custkey AS VARCHAR)) AS slot, o_orderpriority AS kind, o_orderkey AS dataset_id, o_orderstatus <> 'P' AS persisted,
-       coalesce(n, 0) AS n_rows, CAST(coalesce(b, 0) AS BIGINT) AS n_bytes, coalesce(n, 0) > 0 AS loaded
-FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
-LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(length(CAST(l_partkey AS VARCHAR))) AS b FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
+SELECT slot, kind, o_orderkey AS dataset_id, persisted, coalesce(n, 0) AS n_rows, CAST(coalesce(b, 0) AS BIGINT) AS n_bytes,
+       CASE WHEN n IS NULL THEN '' WHEN returned > 0 THEN 'part, returned' ELSE 'part' END AS columns, coalesce(n, 0) > 0 AS loaded
+FROM (SELECT *, o_orderstatus <> 'P' AS persisted FROM (SELECT *, o_orderpriority AS kind, CASE WHEN o_custkey % 5 = 0 THEN o_orderpriority ELSE concat('c', CAST(o_custkey AS VARCHAR)) END AS slot FROM orders)
+      QUALIFY row_number() OVER (PARTITION BY slot ORDER BY o_orderkey DESC) = 1)
+LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(length(CAST(l_partkey AS VARCHAR)) + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS b,
+                  count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS returned FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey"""
 
 
 @query("a16_source_catalogue", CATALOGUE_SQL)
 def a16(spark, sf):
-    rows = dataset_rows(spark, sf).withColumn("payload", F.col("part").cast("string"))
-    return bd.source_catalogue(datasets(spark, sf), rows)
+    """Every fifth customer's datasets have no slot and go under their kind; returned items have a second column."""
+    data = datasets(spark, sf).withColumn("slot", F.when(F.substring("slot", 2, 20).cast("long") % 5 != 0, F.col("slot")))
+    items = table(spark, sf, "lineitem")
+    part = F.create_map(F.lit("part"), F.col("l_partkey").cast("string"))
+    both = F.map_concat(part, F.create_map(F.lit("returned"), F.col("l_returnflag")))
+    rows = items.select(F.col("l_orderkey").alias("dataset_id"), F.when(F.col("l_returnflag") == "R", both).otherwise(part).alias("payload"))
+    return bd.source_catalogue(data, rows)
 
 
 @query("a16_source_totals", f"""
@@ -459,7 +469,7 @@ def t03(spark, sf):
 
 
 @query("t04_newest_excursions", fx.sql("""
-SELECT reading_id, status, zone, delta FROM n WHERE status <> 'OK' ORDER BY seq DESC LIMIT 10""", "plant_flat", n=NEWEST))
+SELECT reading_id, status, zone, delta FROM n WHERE status <> 'OK' ORDER BY seq DESC LIMIT 10""", "plant_flat", n=EVENTS))
 def t04(spark, sf):
     return bd.newest_excursions(fx.plant_events(spark, sf)).select("reading_id", "status", "zone", "delta")
 
@@ -488,9 +498,9 @@ def t06_audit(spark, sf):
 
 @query("u01_priority_union", fx.sql("""
 SELECT param AS asked, concat(CASE param WHEN 'temp' THEN 'F' WHEN 'press' THEN 'S' ELSE 'L' END, '-', CAST(row_index AS VARCHAR)) AS reading_id,
-       value FROM plant_first WHERE param IN ('temp', 'press', 'hum')""", "plant_first"))
+       value FROM plant_first""", "plant_first"))
 def u01(spark, sf):
-    """The file holds temp, the stream temp and press; hum is only in the lake."""
+    """The file holds temp, the stream temp and press; the other parameters are only in the lake."""
     rows = _three_sources(spark, sf).drop("source_rank")
 
     def of(source, *params):
@@ -498,15 +508,13 @@ def u01(spark, sf):
 
     floor_rows, stream_rows, lake_rows = of("F", "temp"), of("S", "temp", "press"), of("L")
     out = None
-    for param, tag in (("temp", "TT-1202B"), ("press", "PT-2201"), ("hum", "MT-6601")):
-        got = dedup.priority_union(floor_rows, stream_rows, lake_rows, param=param, tag=tag)
-        got = got.select(F.lit(param).alias("asked"), "reading_id", "value")
+    for p in dims.BUILT_IN:
+        got = dedup.priority_union(floor_rows, stream_rows, lake_rows, param=p.param, tag=p.tag)
+        got = got.select(F.lit(p.param).alias("asked"), "reading_id", "value")
         out = got if out is None else out.unionByName(got)
     return out
 
 
-
-
 @query("d01_observation_run", fx.sql("""
 SELECT reading_id, param, value, zone AS scenario, status, batch, time_match FROM plant_flat SEMI JOIN plant_first USING (row_index)
 WHERE param = 'press' AND zone = 'trip'""", "plant_flat", "plant_first"))
@@ -543,38 +551,26 @@ def d02_totals(spark, sf):
     return bd.board_totals(board["events"])
 
 
-SCENARIO_SQL = """
-SELECT concat('scenario-', p.param, '-', zone) AS reading_id, p.param, zone, l.clock AS "timestamp",
-  round(CASE zone WHEN 'control' THEN (c_lo + c_hi) / 2 WHEN 'alarm' THEN (c_hi + a_hi) / 2 ELSE (a_hi + t_hi) / 2 END, 3) AS value,
-  CASE WHEN zone = 'control' THEN 'OK' ELSE 'OVER' END AS status, b.batch
-FROM params p JOIN (SELECT param, arg_max(strftime(ts, '%Y-%m-%d %H:%M:%S'), {order}) AS clock FROM plant GROUP BY 1) l ON l.param = p.param
-JOIN batches b ON b.asset = p.p_asset, (VALUES ('control'), ('alarm'), ('trip')) z(zone)"""
+SCENARIO_SQL = "SELECT * FROM plant_flat QUALIFY row_number() OVER (PARTITION BY param, zone ORDER BY row_index DESC) = 1"
 
 
-@query("d03_scenario_run", fx.sql(SCENARIO_SQL.format(order="row_index"), "plant", "params", "batches"))
+@query("d03_scenario_run", fx.sql("SELECT reading_id, param, zone, \"timestamp\", value, status, batch FROM s", "plant_flat", s=SCENARIO_SQL))
 def d03(spark, sf):
-    """Every parameter and zone at the time of the parameter's newest lake row."""
-    lake = fx.plant_readings(spark, sf).withColumn("bronze_offset", F.col("row_index")).withColumn(
-        "asset", F.lit(None).cast("string")).withColumn("unit", F.lit(None).cast("string"))
-    events = bd.scenario_events(lake, fx.plant_joinable(spark, sf))
+    """The newest reading of every parameter and zone, in context."""
+    events = bd.scenario_events(fx.plant_readings(spark, sf), fx.plant_joinable(spark, sf))
     return events.select("reading_id", "param", "zone", "timestamp", "value", "status", "batch")
 
 
 @query("d04_parameter_board", fx.sql("""
-SELECT reading_id, param, zone, value, status, FALSE AS fallback FROM e
-UNION ALL SELECT reading_id, param, zone, value, status, TRUE FROM s
-WHERE zone <> 'control' AND (param, zone) NOT IN (SELECT (param, zone) FROM e)""",
-                                     "plant_flat", "plant_first", "params", "batches",
-                                     s=SCENARIO_SQL.format(order="-row_index"), e="""
-SELECT * FROM plant_flat SEMI JOIN plant_first USING (row_index)
-WHERE zone <> 'control' AND NOT (param = 'hum' AND zone = 'trip') AND param <> 'ph'"""))
+SELECT reading_id, param, zone AS scenario, zone, value, status, FALSE AS fallback FROM f WHERE zone <> 'control'
+UNION ALL SELECT l.reading_id, p.param, z.zone, l.zone, l.value, l.status, TRUE FROM params p CROSS JOIN (VALUES ('alarm'), ('trip')) z(zone)
+JOIN (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY param ORDER BY row_index DESC) = 1) l ON l.param = p.param
+WHERE (p.param, z.zone) NOT IN (SELECT (param, zone) FROM f)""", "plant_flat", "plant_first", "params",
+                                     f="SELECT * FROM plant_flat SEMI JOIN plant_first USING (row_index)"))
 def d04(spark, sf):
-    """pH has no excursions and humidity no trips left, so scenario events stand in."""
-    rows = fx.plant_readings(spark, sf).withColumn("asset", F.lit(None).cast("string")).withColumn("unit", F.lit(None).cast("string"))
-    calm = (F.col("param") == "ph") & ~F.col("value").between(6.8, 7.2)
-    wet = (F.col("param") == "hum") & ((F.col("value") <= 36) | (F.col("value") >= 59))
-    board = bd.parameter_board(rows.filter(~calm & ~wet), fx.plant_joinable(spark, sf), [F.col("row_index")])
-    return board.select("reading_id", "param", "zone", "value", "status", "fallback")
+    """All excursions; a parameter without one in a zone would show its newest reading there."""
+    board = bd.parameter_board(fx.plant_readings(spark, sf), fx.plant_joinable(spark, sf), [F.col("row_index")])
+    return board.select("reading_id", "param", "scenario", "zone", "value", "status", "fallback")
 
 
 @query("d05_decompose_reading", fx.sql("""

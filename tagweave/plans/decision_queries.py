@@ -319,15 +319,10 @@ def d17(spark, sf):
                       F.coalesce(F.size("history"), F.lit(0)).cast("long").alias("turns"))
 
 
-SCENARIO_FLAT = f"""SELECT s.*, p_short AS short, p_asset AS asset, p_tag AS tag, drivers FROM ({SCENARIO_SQL.format(order='row_index')}) s JOIN params USING (param)"""
-
-
-@query("d18_policy_what_if", fx.sql(POLICY_SQL, "plant", "params", "batches", flat=SCENARIO_FLAT, **agent_parts("flat")))
+@query("d18_policy_what_if", fx.sql(POLICY_SQL, "plant_flat", flat=SCENARIO_SQL, **agent_parts("flat")))
 def d18(spark, sf):
-    """The policy outcome of every parameter and zone at its newest reading, nothing committed."""
-    lake = fx.plant_readings(spark, sf).withColumn("bronze_offset", F.col("row_index")).withColumn(
-        "asset", F.lit(None).cast("string")).withColumn("unit", F.lit(None).cast("string"))
-    events = bd.scenario_events(lake, fx.plant_joinable(spark, sf))
+    """The policy outcome of the newest reading of every parameter and zone, nothing committed."""
+    events = bd.scenario_events(fx.plant_readings(spark, sf), fx.plant_joinable(spark, sf))
     return dc.policy_view(dc.run_agent(events, passage_index(spark, sf)))
 
 

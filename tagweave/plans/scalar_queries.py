@@ -241,16 +241,11 @@ def p21(spark, sf):
 
 
 @query("p22_scenario_value", fx.sql("""
-SELECT s_suppkey, zone, CASE WHEN zone = 'control' THEN round((lo + hi) / 2, 3) WHEN zone = 'alarm' THEN round((hi + hi + 10) / 2, 3)
-   ELSE round((hi + 10 + hi + 30) / 2, 3) END AS value
-FROM (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS lo, 50 + abs(s_acctbal) AS hi FROM supplier), (VALUES ('control'), ('alarm'), ('trip')) z(zone)"""))
+SELECT param, zone, arg_max(value, row_index) AS value, max(row_index) AS row_index FROM plant_graded GROUP BY ALL""", "plant_graded"))
 def p22(spark, sf):
-    rows = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("double").alias("lo"),
-                                               (F.abs("s_acctbal") + 50).alias("hi"))
-    rows = rows.withColumn("zone", F.explode(F.array(*map(F.lit, bd.ZONES))))
-    value = bands.scenario_value(F.col("zone"), (F.col("lo"), F.col("hi")), (F.col("lo") - 10, F.col("hi") + 10),
-                                 (F.col("lo") - 30, F.col("hi") + 30))
-    return rows.select("s_suppkey", "zone", value.alias("value"))
+    """A value that stands for each zone: the newest reading in it."""
+    newest = bd.zone_examples(bd.observations(fx.plant_readings(spark, sf), fx.plant_joinable(spark, sf)))
+    return newest.select("param", F.col("scenario").alias("zone"), "value", "row_index")
 
 
 @query("p23_flat_events", fx.sql(f"SELECT {fx.FLAT_SQL} FROM plant_flat", "plant_flat"))

@@ -73,17 +73,24 @@ def s03(spark, sf):
 @query("s04_header_detection", fx.sql(
     f"SELECT tag, value, {WIRE_CLOCK} AS \"timestamp\" FROM plant", "plant"))
 def s04(spark, sf):
-    """Files that begin with three title lines before the header."""
-    path = fx.scratch(spark, "titled")
-    raw = fx.plant_raw(spark, sf).withColumn("part", F.floor(F.col("row_index") / 2000))
-    body = raw.select("part", (F.col("row_index") + 4).alias("line"),
-                      F.concat_ws(",", "tag", F.col("value").cast("string"), "timestamp").alias("value"))
+    """One folder of files with three title lines before the header, files with another
+    delimiter and none, and wide files."""
+    path = fx.scratch(spark, "mixed")
+    raw = fx.plant_raw(spark, sf).join(fx.plant(spark, sf).select("reading_id", "k"), "reading_id")
+    raw = raw.withColumn("part", F.floor(F.col("row_index") / 2000))
+    titled = raw.filter("k < 40")
+    body = titled.select("part", (F.col("row_index") + 4).alias("line"),
+                         F.concat_ws(",", "tag", F.col("value").cast("string"), "timestamp").alias("value"))
     titles = F.array(F.concat(F.lit("Export "), F.col("part").cast("string")), F.lit("Plant 1"),
                      F.lit("Shift B, night"), F.lit("tag,value,timestamp"))
-    heads = raw.select("part").distinct().select("part", F.posexplode(titles).alias("line", "value"))
+    heads = titled.select("part").distinct().select("part", F.posexplode(titles).alias("line", "value"))
     lines = heads.withColumn("line", F.col("line").cast("long")).unionByName(body)
     (lines.repartition("part").sortWithinPartitions("part", "line").select("part", "value")
-     .write.partitionBy("part").text(path))
+     .write.partitionBy("part").text(f"{path}/titled"))
+    (raw.filter("k >= 40 AND k < 70").select(F.col("timestamp").alias("Time"), F.col("tag").alias("Tag"), F.col("value").alias("Reading"))
+     .write.option("header", True).option("sep", ";").csv(f"{path}/semicolon"))
+    tags = [F.when(F.col("tag") == p.tag, F.col("value")).alias(p.tag) for p in dims.BUILT_IN]
+    raw.filter("k >= 70").select("timestamp", *tags).write.option("header", True).option("sep", "\t").csv(f"{path}/wide")
     got = readings.read_delimited(spark, path)
     return got.select("tag", s.lenient_number("value").alias("value"), "timestamp")
 

@@ -37,7 +37,7 @@ def parameter_frame(spark: SparkSession, parameters=BUILT_IN) -> DataFrame:
 
 def alias_frame(spark: SparkSession, parameters=BUILT_IN) -> DataFrame:
     """Every word (as a match key) that names a parameter."""
-    keys = {word: param for param, words in fixed.PARAMETER_WORDS.items() for word in words}
+    keys = dict(fixed.PARAMETER_WORDS)
     for p in parameters:
         for token in (p.tag, p.param, p.short, p.name):
             keys["".join(c for c in token.lower() if c.isascii() and c.isalnum())] = p.param

@@ -1,8 +1,6 @@
 """Reading files (delimited or JSON, long or wide) as rows of text."""
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave import fixed_values as fixed
@@ -11,94 +9,116 @@ from tagweave.operators.sizing import lookup_join, top_per_key
 from tagweave.sources import parameters as dims
 
 HEAD_LINES = 25
-
-
-@dataclass
-class Layout:
-    """What the first lines of a file tell: its delimiter, header cells and header line."""
-
-    delimiter: str
-    header: list
-    header_line: int
+BYTE_ORDER_MARK = "\ufeff"
 
 
 def _key(cell: str) -> str:
     return "".join(c for c in cell.lower() if c.isascii() and c.isalnum())
 
 
-def header_parameters(parameters=dims.BUILT_IN) -> dict:
-    """Match key of every word that names a parameter, for headers known at build time."""
-    words = {w: p for p, ws in fixed.PARAMETER_WORDS.items() for w in ws}
-    for p in parameters:
-        words.update({_key(t): p.param for t in (p.tag, p.param, p.short, p.name)})
-    return {w: p for w, p in words.items() if p in {x.param for x in parameters}}
+def header_words(parameters=dims.BUILT_IN) -> list:
+    """Match keys of all words that name one of the parameters."""
+    known = {p.param for p in parameters}
+    words = {w for w, p in fixed.PARAMETER_WORDS.items() if p in known}
+    return sorted(words.union(*({_key(t) for t in (p.tag, p.param, p.short, p.name)} for p in parameters)))
 
 
-def detect_layout(lines, parameters=dims.BUILT_IN) -> Layout:
-    """S1 + S4: delimiter that occurs most in the head, and the first line that is a header."""
-    lines = [line.lstrip("﻿") for line in lines][:HEAD_LINES]
-    words = header_parameters(parameters)
-    delimiter = max(fixed.DELIMITERS, key=lambda d: sum(line.count(d) for line in lines))
-    for i, line in enumerate(lines):
-        cells = [c.strip().strip('"') for c in line.split(delimiter)]
-        keys = {_key(c) for c in cells}
-        named = keys & set(fixed.TAG_HEADERS) and keys & set(fixed.VALUE_HEADERS)
-        if named or sum(_key(c) in words for c in cells) >= 2:
-            return Layout(delimiter, cells, i)
-    first = lines[0] if lines else ""
-    return Layout(delimiter, [c.strip().strip('"') for c in first.split(delimiter)], 0)
+def file_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of text files: filename, block, at (their order in a block) and value.
+
+    A record is a line. Only in files where some line has an odd number of quotes, lines are
+    joined until the quotes close; such a file is put in order as a whole.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("filename"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"), F.ltrim("value", F.lit(BYTE_ORDER_MARK)).alias("value"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    open_files = lines.filter(quotes % 2 == 1).groupBy("filename").agg(F.lit(True).alias("_open"))
+    marked = lookup_join(lines, open_files, "filename")
+    before = Window.partitionBy("filename").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("filename").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, 0)
+    broken = marked.filter("_open").withColumn("_starts", F.coalesce(F.sum(quotes).over(before), F.lit(0)) % 2 == 0)
+    broken = broken.withColumn("_record", F.count_if("_starts").over(upto))
+    joined = broken.groupBy("filename", "_record").agg(
+        F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("p"))
+    joined = joined.select("filename", F.col("p")[0]["block"].alias("block"), F.col("p")[0]["at"].alias("at"),
+                           F.array_join(F.transform("p", lambda x: x["value"]), "\n").alias("value"))
+    return marked.filter("_open IS NULL").drop("_open").unionByName(joined)
+
+
+def file_layouts(records: DataFrame, parameters=dims.BUILT_IN) -> DataFrame:
+    """S1 + S4, per file: the delimiter that occurs most in its first lines, the first line that
+    is a header (else the first line), and where the columns are.
+
+    A header names a tag and a value column, or two or more parameters.
+    """
+    heads = top_per_key(records.filter("block = 0"), ["filename"], [F.col("at")], HEAD_LINES, rank="n")
+    files = heads.groupBy("filename").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("head"))
+    text = F.array_join(F.transform("head", lambda line: line["value"]), "\n")
+    counts = F.array(*[F.struct((F.length(text) - F.length(F.replace(text, F.lit(d), F.lit("")))).alias("n"),
+                                F.lit(-i).alias("turn"), F.lit(d).alias("d")) for i, d in enumerate(fixed.DELIMITERS)])
+    files = files.withColumn("delimiter", F.array_max(counts)["d"])
+
+    def cells(line):
+        parts = F.split(line["value"], F.concat(F.lit("\\Q"), F.col("delimiter"), F.lit("\\E")))
+        names = F.transform(parts, lambda c: F.trim(F.trim(c), F.lit('"')))
+        return F.struct(line["at"].alias("at"), names.alias("names"), F.transform(names, s.match_key).alias("keys"))
+
+    words = F.array(*map(F.lit, header_words(parameters)))
+    tags, values = (F.array(*map(F.lit, names)) for names in (fixed.TAG_HEADERS, fixed.VALUE_HEADERS))
+
+    def is_header(line):
+        named = F.arrays_overlap(line["keys"], tags) & F.arrays_overlap(line["keys"], values)
+        return named | (F.size(F.filter(line["keys"], lambda k: F.array_contains(words, k))) >= 2)
+
+    split = files.withColumn("lines", F.transform("head", cells))
+    found = split.withColumn("header", F.coalesce(F.try_element_at(F.filter("lines", is_header), F.lit(1)), F.col("lines")[0]))
+
+    def place(names):
+        return F.coalesce(*[F.nullif(F.array_position("header.keys", n), F.lit(0)) for n in names])
+
+    found = found.select("filename", "delimiter", F.col("header.at").alias("header_at"), F.size("header.names").alias("width"),
+                         place(fixed.TAG_HEADERS).alias("tag_at"), place(fixed.VALUE_HEADERS).alias("value_at"),
+                         place(fixed.TIME_HEADERS).alias("time_at"), place(["unit"]).alias("unit_at"),
+                         place(["readingid"]).alias("id_at"), "header")
+    wide = F.filter(F.transform("header.keys", lambda k, i: F.struct(
+        (i + 1).alias("place"), F.element_at("header.names", (i + 1).cast("int")).alias("name"),
+        F.array_contains(words, k).alias("known"))), lambda c: c["known"])
+    taken = F.array(F.coalesce("time_at", F.lit(0)), F.coalesce("unit_at", F.lit(0)))
+    wide = F.filter(wide, lambda c: ~F.array_contains(taken, c["place"].cast("long")))
+    return found.withColumn("wide", wide).drop("header")
 
 
 def read_delimited(spark: SparkSession, path: str, parameters=dims.BUILT_IN) -> DataFrame:
-    """Files of one layout as rows tag, value, unit, timestamp, reading_id, all text.
+    """Files as rows tag, value, unit, timestamp, reading_id, all text, each file by its own layout.
 
-    The layout comes from 25 lines; everything else is one distributed text scan. The
-    lines up to the header are dropped in every file, whatever they say there.
+    The lines up to a file's header are left out by their place. A file with two or more
+    parameter columns is wide (S5): a row per filled cell.
     """
-    lines = spark.read.text(path).select(
-        "value", F.col("_metadata.file_path").alias("filename"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    head = [r.value for r in spark.read.text(path).limit(HEAD_LINES).collect()]
-    layout = detect_layout(head, parameters)
-    top = top_per_key(lines.filter("block = 0"), ["filename"], [F.col("at")], layout.header_line + 1)
-    # A handful of lines per file; the same text further down is no reading either.
-    body = lookup_join(lines, top.select("filename", "value").distinct(), ["filename", "value"], "left_anti")
-    names = [f"c{i}" for i in range(len(layout.header))]
-    cells = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"sep": layout.delimiter})
-    table = body.filter(F.trim("value") != "").select("filename", "block", "at", cells.alias("c"))
-    table = table.select("filename", "block", "at", *[F.trim(F.col(f"c.{n}")).alias(n) for n in names])
-    return to_readings(table, dict(zip(names, layout.header)), ["filename", "block", "at"], parameters)
-
-
-def to_readings(table: DataFrame, headers: dict, keep=(), parameters=dims.BUILT_IN) -> DataFrame:
-    """S5 first, else the long form: columns (named by ``headers``) to reading rows."""
-    words = header_parameters(parameters)
-    at = {_key(h): c for c, h in reversed(list(headers.items())) if h}
-    time = next((at[k] for k in fixed.TIME_HEADERS if k in at), None)
-    unit = at.get("unit")
-    wide = {c: h for c, h in headers.items() if c not in (time, unit) and _key(h) in words}
-
-    def column(name):
-        return F.coalesce(F.col(name), F.lit("")) if name else F.lit("")
-
-    if len(wide) >= 2:
-        return widen(table, wide, column(time), column(unit), keep)
-    tag = next((at[k] for k in fixed.TAG_HEADERS if k in at), None)
-    value = next((at[k] for k in fixed.VALUE_HEADERS if k in at), None)
-    if tag is None or value is None:
-        raise ValueError("the file needs a tag and a value column, or one column per tag")
-    return table.select(
-        *keep, F.trim(tag).alias("tag"), F.trim(value).alias("value"), column(unit).alias("unit"),
-        column(time).alias("timestamp"), column(at.get("readingid")).alias("reading_id"),
-    ).filter(F.coalesce("tag", F.lit("")) != "")
-
-
-def widen(table: DataFrame, tag_columns: dict, time, unit, keep=()) -> DataFrame:
-    """One column per tag to one row per filled cell."""
-    base = table.select(*keep, time.alias("timestamp"), unit.alias("unit"),
-                        *[F.col(c).cast("string").alias(h) for c, h in tag_columns.items()])
-    long = base.unpivot([*keep, "timestamp", "unit"], list(tag_columns.values()), "tag", "value")
-    return long.filter(s.blank_to_null("value").isNotNull()).withColumn("reading_id", F.lit(""))
+    records = file_records(spark, path)
+    layouts = file_layouts(records, parameters)
+    width = layouts.agg(F.max("width")).first()[0] or 1
+    table = lookup_join(records, layouts, "filename", "inner").filter(
+        ((F.col("block") > 0) | (F.col("at") > F.col("header_at"))) & (F.trim("value") != ""))
+    shape = ", ".join(f"c{i} string" for i in range(width))
+    cells = F.coalesce(*[F.when(F.col("delimiter") == d, F.from_csv("value", shape, {"sep": d, "escape": '"'})) for d in fixed.DELIMITERS])
+    table = table.withColumn("_c", cells).withColumn("cells", F.array(*[F.trim(F.col(f"_c.c{i}")) for i in range(width)])).drop("_c")
+
+    def cell(place):
+        return F.coalesce(F.try_element_at("cells", F.col(place).cast("int")), F.lit(""))
+
+    keep = ["filename", "block", "at"]
+    is_wide = F.size("wide") >= 2
+    unreadable = F.raise_error(F.concat(F.lit("a tag and a value column, or one column per tag, are needed in "), "filename"))
+    long = table.filter(~is_wide).withColumn("tag_at", F.when(
+        F.col("tag_at").isNull() | F.col("value_at").isNull(), unreadable.cast("long")).otherwise(F.col("tag_at")))
+    long = long.select(*keep, cell("tag_at").alias("tag"), F.try_element_at("cells", F.col("value_at").cast("int")).alias("value"),
+                       cell("unit_at").alias("unit"), cell("time_at").alias("timestamp"), cell("id_at").alias("reading_id"))
+    filled = table.filter(is_wide).select(*keep, "cells", "unit_at", "time_at", F.explode("wide").alias("w"))
+    filled = filled.select(*keep, F.col("w.name").alias("tag"), F.try_element_at("cells", F.col("w.place").cast("int")).alias("value"),
+                           cell("unit_at").alias("unit"), cell("time_at").alias("timestamp"), F.lit("").alias("reading_id"))
+    return long.filter(F.coalesce("tag", F.lit("")) != "").unionByName(
+        filled.filter(s.blank_to_null("value").isNotNull()))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -80,15 +80,6 @@ def test_bands(spark):
     assert same == [2.5, 3.5]
 
 
-def test_scenario_values_of_the_five_parameters(spark):
-    want = {"temp": (37.0, 37.75, 38.25), "ph": (7.0, 7.3, 7.5), "press": (105.0, 112.0, 116.0),
-            "cond": (800.0, 930.0, 980.0), "hum": (47.5, 57.0, 61.0)}
-    for p in BUILT_IN:
-        pairs = pairs_of(p)
-        got = spark.range(1).select(*[bands.scenario_value(F.lit(z), *pairs) for z in ("control", "alarm", "trip")]).first()
-        assert tuple(got) == pytest.approx(want[p.param])
-
-
 def python_chunks(value, size=420):
     """The packing rule, one paragraph at a time."""
     import re

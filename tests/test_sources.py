@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars as s
@@ -48,6 +49,28 @@ def test_wide_files_come_before_the_long_form(spark, tmp_path):
     assert got == {("TT-1202B", "37", "u", "2026-08-14"), ("TT-1202B", "38", "u", "2026-08-15"), ("ph", "7", "u", "2026-08-15")}
 
 
+def test_every_file_has_its_own_layout(spark, tmp_path):
+    """Delimiters, title lines, a wide file, a title line that comes again, quoted line breaks."""
+    folder = tmp_path / "in"
+    write(folder, "a.csv", "Plant 1\nTT-1202B,9,x\nnight\ntag,value,ts\nTT-1202B,1,a\nTT-1202B,9,x\n")
+    write(folder, "b.csv", "tag,value,ts\n" + "".join(f"AT-3401,{n},b\n" for n in range(10)))
+    write(folder, "c.csv", "Time;Tag;Value;Unit\nc;PT-2201;1,5;bar\n")
+    write(folder, "d.csv", "time\tTT-1202B\tph\nd\t37\t\nd\t38\t7\n")
+    write(folder, "e.csv", 'tag,value,unit,ts\n"MT-6601",5,"two\nlines, quoted",e\nMT-6601,6,"a ""b""",e\n')
+    got = readings.read_delimited(spark, str(folder)).select("tag", "value", "unit", "timestamp").collect()
+    want = [("TT-1202B", "1", "", "a"), ("TT-1202B", "9", "", "x"), *[("AT-3401", str(n), "", "b") for n in range(10)],
+            ("PT-2201", "1,5", "bar", "c"), ("TT-1202B", "37", "", "d"), ("TT-1202B", "38", "", "d"), ("ph", "7", "", "d"),
+            ("MT-6601", "5", "two\nlines, quoted", "e"), ("MT-6601", "6", 'a "b"', "e")]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_a_file_without_readings_is_named(spark, tmp_path):
+    folder = tmp_path / "in"
+    write(folder, "x.csv", "a,b\n1,2\n")
+    with pytest.raises(Exception, match="x.csv"):
+        readings.read_delimited(spark, str(folder)).collect()
+
+
 def test_json_files(spark, tmp_path):
     folder = tmp_path / "in"
     rows = [{"tag": "AT-3401", "value": 7, "timestamp": "2026-08-14"}, {"param": "hum", "value": "50%"}]
