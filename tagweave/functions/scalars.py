@@ -123,8 +123,13 @@ def slug(name, default="source") -> Column:
 
 
 def file_topic(filename, tag) -> Column:
-    """Topic of a reading replayed from a file."""
-    return F.concat(F.lit("plant/file/"), safe_stem(filename), F.lit("/"), text(tag))
+    """Topic of a reading from a file; the digest keeps files apart whose names begin alike."""
+    return F.concat(F.lit("plant/file/"), safe_stem(filename), F.lit("-"), digest(filename), F.lit("/"), text(tag))
+
+
+def digest(*parts) -> Column:
+    """Whole digest of a key's parts, null as blank."""
+    return F.md5(F.concat_ws("|", *[F.coalesce(text(p), F.lit("")) for p in parts]))
 
 
 def plant_topic(line, asset, param) -> Column:
@@ -133,18 +138,15 @@ def plant_topic(line, asset, param) -> Column:
 
 
 def numbered_id(name, number, size=48, default="upload") -> Column:
-    """``stem-0001``."""
-    return F.concat(safe_stem(name, size, default), F.lit("-"),
+    """The name's stem to read, the digest of the whole name to tell files apart, the number."""
+    return F.concat(safe_stem(name, size, default), F.lit("-"), digest(name), F.lit("-"),
                     F.format_string("%04d", number.cast("long")))
 
 
 def reading_id(explicit, name, number, tag, value, clock) -> Column:
-    """The given id, else file stem and row number, else a digest of the reading."""
-    digest = F.md5(F.concat_ws("|", F.coalesce(text(tag), F.lit("")),
-                               F.coalesce(four_decimals(value.cast("double")), F.lit("")),
-                               F.coalesce(text(clock), F.lit(""))))
+    """The given id, else file and row number, else a digest of the reading."""
     return F.coalesce(
         blank_to_null(explicit),
         F.when(number.isNotNull(), numbered_id(name, number, size=24, default="R")),
-        F.concat(F.lit("R-"), F.substring(digest, 1, 10)),
+        F.concat(F.lit("R-"), digest(tag, four_decimals(value.cast("double")), clock)),
     )

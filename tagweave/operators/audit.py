@@ -1,11 +1,12 @@
 """Hash-chained audit log that is appended and verified in parallel.
 
-Entries are chained per key (an asset, say). A chain is cut into segments of a fixed
-number of entries. Inside a segment every entry carries the hash of the one before it;
-a segment starts from the genesis hash, so all segments of a large chain hash in
-parallel. The last hashes of the segments are chained the same way one level up, and so
-on until a chain has one segment: these seals fix the order of the segments. A chain
-that fits one segment is one plain hash chain.
+Entries are chained per key (an asset, say). A chain is cut into segments of a fixed number
+of entries, which is part of the log's format. Inside a segment every entry carries the hash
+of the one before it; a segment starts from a hash made of its chain and its number, so all
+segments of a large chain hash in parallel and none can take another one's place. Whoever
+appends stores a seal per segment: how far it goes and its last hash. The seals are kept
+apart from the log, and verifying compares both: what was edited, added, moved or removed
+shows wherever it stood.
 """
 
 from pyspark.sql import DataFrame, Window
@@ -15,6 +16,8 @@ from tagweave.fixed_values import GENESIS_HASH
 from tagweave.functions.scalars import text
 from tagweave.operators.sizing import lookup_join, numbered
 from tagweave.schemas import AUDIT_COLUMNS
+from tagweave.session import remove, scratch_path
+from tagweave.sources.tables import existing
 
 SEGMENT_ROWS = 1024
 
@@ -28,6 +31,10 @@ def entry_hash(prev, body):
     return F.sha2(F.concat(prev, body), 256)
 
 
+def segment_start():
+    return F.sha2(F.concat(F.lit(GENESIS_HASH), F.col("chain"), F.lit("#"), F.col("segment").cast("string")), 256)
+
+
 def _link(rows: DataFrame, segment_rows: int, last: DataFrame = None) -> DataFrame:
     """rows(chain, seq, body, ...) with segment, prev_hash and hash.
 
@@ -38,7 +45,7 @@ def _link(rows: DataFrame, segment_rows: int, last: DataFrame = None) -> DataFra
     others = [c for c in rows.columns if c not in ("chain", "segment", "seq", "body")]
     folded = rows.groupBy("chain", "segment").agg(
         F.array_sort(F.collect_list(F.struct("seq", "body", *others))).alias("rows"))
-    start = F.lit(GENESIS_HASH)
+    start = segment_start()
     if last is not None:
         folded = lookup_join(folded, last, "chain")
         open_segment = (F.floor(F.col("last_seq") / segment_rows) == F.col("segment")) & (
@@ -72,57 +79,66 @@ def last_entries(audit: DataFrame) -> DataFrame:
     return audit.groupBy("chain").agg(F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("last_hash"))
 
 
-def seals(audit: DataFrame, segment_rows=SEGMENT_ROWS) -> DataFrame:
-    """The chains over the segments' last hashes, all levels up to one segment per chain."""
-    level, rows, out = 1, audit, None
-    while True:
-        heads = rows.groupBy("chain", "segment").agg(F.max_by("hash", "seq").alias("body"))
-        heads = heads.select("chain", (F.col("segment") + 1).alias("seq"), "body")
-        sealed = _link(heads, segment_rows).withColumn("level", F.lit(level).cast("long"))
-        out = sealed if out is None else out.unionByName(sealed)
-        if not sealed.filter("segment > 0").limit(1).count():
-            return out.select("chain", "level", "segment", "seq", "body", "prev_hash", "hash")
-        level, rows = level + 1, sealed
-
-
-def check_links(audit: DataFrame) -> DataFrame:
-    """Each row's own hash and its link to the row before, segment by segment."""
-    before = F.lag("hash").over(Window.partitionBy("chain", "segment").orderBy("seq"))
-    body = F.col("body") if "body" in audit.columns else body_of()
-    return (audit.withColumn("hash_ok", F.col("hash") == entry_hash(F.col("prev_hash"), body))
-            .withColumn("link_ok", F.col("prev_hash") == F.coalesce(before, F.lit(GENESIS_HASH))))
-
-
-def verify(audit: DataFrame, sealed: DataFrame = None, segment_rows=SEGMENT_ROWS) -> DataFrame:
-    """Per chain whether it is intact, its entries, and the first broken seq."""
-    checked = check_links(audit)
-    bad = ~(F.col("hash_ok") & F.col("link_ok"))
-    result = checked.groupBy("chain").agg(F.count("*").alias("entries"),
-                                          F.min(F.when(bad, F.col("seq"))).alias("broken_at"))
-    if sealed is not None:
-        wrong = _broken_seals(audit, sealed, segment_rows)
-        result = result.join(wrong, "chain", "left").withColumn(
-            "broken_at", F.least("broken_at", "seal_broken_at")).drop("seal_broken_at")
-    return result.select("chain", "entries", F.col("broken_at").isNull().alias("valid"), "broken_at")
-
-
-def _broken_seals(audit: DataFrame, sealed: DataFrame, segment_rows: int) -> DataFrame:
-    """First entry of the first segment whose seal is wrong, per chain."""
-    links = check_links(sealed.withColumnRenamed("chain", "_c").withColumn(
-        "chain", F.concat_ws("#", "_c", F.col("level").cast("string"))))
-    own = links.select(F.col("_c").alias("chain"), "level", "seq", (F.col("hash_ok") & F.col("link_ok")).alias("ok"))
-    lower = audit.select("chain", "segment", "seq", "hash", F.lit(0).cast("long").alias("level")).unionByName(
-        sealed.select("chain", "segment", "seq", "hash", "level"))
-    heads = lower.groupBy("chain", "level", "segment").agg(F.max_by("hash", "seq").alias("head"))
-    heads = heads.select("chain", (F.col("level") + 1).alias("level"), (F.col("segment") + 1).alias("seq"), "head")
-    top = sealed.groupBy("chain").agg(F.max("level").alias("top"))
-    stored = sealed.select("chain", "level", "seq", "body")
-    matched = (heads.join(stored, ["chain", "level", "seq"], "full").join(top, "chain", "left")
-               .filter(F.col("level") <= F.col("top"))
-               .select("chain", "level", "seq", F.coalesce(F.col("head") == F.col("body"), F.lit(False)).alias("ok")))
-    span = F.pow(F.lit(float(segment_rows)), F.col("level")).cast("long")
-    return (own.unionByName(matched).filter(~F.col("ok"))
-            .groupBy("chain").agg(F.min((F.col("seq") - 1) * span + 1).alias("seal_broken_at")))
+def seals(audit: DataFrame) -> DataFrame:
+    """Of every segment its first and last entry, its entries and its last hash."""
+    return audit.groupBy("chain", "segment").agg(
+        F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("head"))
+
+
+def newest_seals(sealed: DataFrame) -> DataFrame:
+    """One seal per segment out of those written while it grew."""
+    return sealed.groupBy("chain", "segment").agg(
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.max_by("head", "last_seq").alias("head"))
+
+
+def write_log(entries: DataFrame, order, path: str, segment_rows=SEGMENT_ROWS) -> None:
+    """Append entries to the log at a path and store the seals of the segments that grew."""
+    spark = entries.sparkSession
+    stored = existing(spark, f"{path}/seals")
+    last = None
+    if stored is not None:
+        last = stored.groupBy("chain").agg(F.max("last_seq").alias("last_seq"), F.max_by("head", "last_seq").alias("last_hash"))
+    rows = append(entries, order, segment_rows, last)
+    # Written first on its own, so that the seals are those of the rows that are stored.
+    batch = scratch_path(spark, "audit-batch")
+    rows.write.parquet(batch)
+    written = spark.read.parquet(batch)
+    written.write.mode("append").parquet(f"{path}/entries")
+    seals(written).write.mode("append").parquet(f"{path}/seals")
+    remove(spark, batch)
+
+
+def check_links(audit: DataFrame, segment_rows=SEGMENT_ROWS) -> DataFrame:
+    """Each row's own hash, its link to the row before in its segment, and that no row
+    between them is missing."""
+    inside = Window.partitionBy("chain", "segment").orderBy("seq")
+    first = F.col("segment") * segment_rows + 1
+    before, place = F.lag("hash").over(inside), F.coalesce(F.lag("seq").over(inside) + 1, first)
+    rows = audit.withColumn("_before", F.coalesce(before, segment_start())).withColumn("_place", place)
+    return (rows.withColumn("hash_ok", F.col("hash") == entry_hash(F.col("prev_hash"), body_of()))
+            .withColumn("link_ok", (F.col("prev_hash") == F.col("_before")) & (F.col("seq") == F.col("_place")))
+            .withColumn("broken_at", F.when(~(F.col("hash_ok") & F.col("link_ok")), F.least("_place", "seq")))
+            .drop("_before", "_place"))
+
+
+def verify(audit: DataFrame, sealed: DataFrame, segment_rows=SEGMENT_ROWS) -> DataFrame:
+    """Per chain whether it is intact, its entries, and the first broken seq.
+
+    ``sealed`` are the stored seals. Chains that only the seals know were removed.
+    """
+    checked = check_links(audit, segment_rows).groupBy("chain", "segment").agg(
+        F.count("*").alias("entries"), F.min("broken_at").alias("broken"), F.max("seq").alias("_last"),
+        F.max_by("hash", "seq").alias("_head"))
+    both = checked.join(newest_seals(sealed), ["chain", "segment"], "full")
+    first = F.col("segment") * segment_rows + 1
+    wrong = (F.when(F.col("_last").isNull() | F.col("last_seq").isNull(), first)
+             .when(F.col("_last") < F.col("last_seq"), F.col("_last") + 1)
+             .when(F.col("_last") > F.col("last_seq"), F.col("last_seq") + 1)
+             .when(F.col("_head") != F.col("head"), first))
+    # A row that is wrong in itself says more than the seal of its segment.
+    at = F.coalesce("broken", wrong)
+    return both.groupBy("chain").agg(F.sum(F.coalesce("entries", F.lit(0))).alias("entries"), F.min(at).alias("broken_at")).select(
+        "chain", "entries", F.col("broken_at").isNull().alias("valid"), "broken_at")
 
 
 def newest_entries(audit: DataFrame, n=30) -> DataFrame:

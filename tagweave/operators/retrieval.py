@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave import fixed_values as fixed
+from tagweave.functions import scalars as s
 from tagweave.functions import text
 from tagweave.operators.sizing import first_per_key, fits_broadcast, lookup_join, top_per_key
 from tagweave.session import shared_dir
@@ -32,7 +33,11 @@ def built_in_passages(spark: SparkSession) -> DataFrame:
 
 
 def chunk_documents(documents: DataFrame, parameters=dims.BUILT_IN) -> DataFrame:
-    """R5 + R6: documents(filename, text, kind, seq) to identified chunks."""
+    """R5 + R6: documents(filename, text, kind, seq) to identified chunks.
+
+    An id shows the kind and the stem of the name, cut; the digest of the whole name and kind
+    and the piece make it unique.
+    """
     name = F.regexp_replace("filename", r"\.[^.]*$", "")
     stem = F.substring(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "_"), 1, 40)
     kind = F.col("kind") if "kind" in documents.columns else F.lit(None).cast("string")
@@ -42,11 +47,12 @@ def chunk_documents(documents: DataFrame, parameters=dims.BUILT_IN) -> DataFrame
     pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(whole))
     cut = documents.select("filename", kind.alias("rag_kind"), F.col("seq").cast("long").alias("seq"),
                            text.document_type(F.col("filename"), kind).alias("type"),
-                           stem.alias("_stem"), prefix.alias("_prefix"),
+                           stem.alias("_stem"), prefix.alias("_prefix"), s.digest("filename", kind).alias("_digest"),
                            F.posexplode(pieces).alias("_pos", "text"))
     number = F.col("_pos") + 1
     return cut.select(
-        F.concat(F.lit("UP-"), "_prefix", F.lit("-"), "_stem", F.lit("-"), F.format_string("%03d", number)).alias("id"),
+        F.concat(F.lit("UP-"), "_prefix", F.lit("-"), "_stem", F.lit("-"), "_digest", F.lit("-"),
+                 F.format_string("%03d", number)).alias("id"),
         "type", F.concat("_stem", F.lit(" §"), number.cast("string")).alias("ref"),
         text.guess_parameter(F.col("text"), parameters).alias("param"), "text",
         F.lit("upload").alias("source"), "filename", "rag_kind", "seq", number.cast("long").alias("piece"))

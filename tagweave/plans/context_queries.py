@@ -262,8 +262,8 @@ SELECT chain, segment, unnest(seqs) AS seq, unnest(range(1, len(seqs) + 1)) AS i
   SELECT chain, segment, list(seq ORDER BY seq) AS seqs, list(body ORDER BY seq) AS bodies FROM e GROUP BY 1, 2)"""
 AUDIT_HASH_SQL = f"""
 SELECT chain, segment, seq,
-       list_reduce(list_prepend('{'0' * 64}', bodies[1:i - 1]), lambda h, b: sha256(concat(h, b))) AS prev_hash,
-       list_reduce(list_prepend('{'0' * 64}', bodies[1:i]), lambda h, b: sha256(concat(h, b))) AS hash FROM f"""
+       list_reduce(list_prepend(sha256(concat('{'0' * 64}', chain, '#', segment)), bodies[1:i - 1]), lambda h, b: sha256(concat(h, b))) AS prev_hash,
+       list_reduce(list_prepend(sha256(concat('{'0' * 64}', chain, '#', segment)), bodies[1:i]), lambda h, b: sha256(concat(h, b))) AS hash FROM f"""
 
 
 def audit_log(spark, sf):
@@ -273,7 +273,7 @@ def audit_log(spark, sf):
 @query("w06_audit_link_check", fx.sql("SELECT chain, seq, prev_hash, hash, TRUE AS ok FROM h",
                                       e=AUDIT_SQL, f=AUDIT_FOLD_SQL, h=AUDIT_HASH_SQL))
 def w06(spark, sf):
-    checked = au.check_links(audit_log(spark, sf))
+    checked = au.check_links(audit_log(spark, sf), AUDIT_SEGMENT)
     return checked.select("chain", "seq", "prev_hash", "hash", (F.col("hash_ok") & F.col("link_ok")).alias("ok"))
 
 

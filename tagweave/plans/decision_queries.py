@@ -9,7 +9,7 @@ from tagweave.operators import decide as dc
 from tagweave.operators import enrich
 from tagweave.plans import fixtures as fx
 from tagweave.plans.context_queries import (AUDIT_FOLD_SQL, AUDIT_HASH_SQL, AUDIT_SEGMENT, AUDIT_SQL, SCENARIO_SQL,
-                                            audit_log)
+                                            audit_log, audit_source)
 from tagweave.plans.registry import query, table
 from tagweave.plans.text_queries import PASSAGE_CHUNKS, chat_turns, memory, passage_index, search_parts
 from tagweave.sources import parameters as dims
@@ -200,32 +200,37 @@ def d13(spark, sf):
     return audit_log(spark, sf).select("chain", "segment", "seq", "action", "prev_hash", "hash")
 
 
-def _fold(rows):
-    """One more level of the same chaining in SQL."""
-    return f"""SELECT chain, segment, seq, list_reduce(list_prepend('{fixed.GENESIS_HASH}', bodies[1:i]), lambda h, b: sha256(concat(h, b))) AS hash FROM (
-      SELECT chain, segment, unnest(seqs) AS seq, unnest(range(1, len(seqs) + 1)) AS i, bodies FROM (
-        SELECT chain, segment, list(seq ORDER BY seq) AS seqs, list(body ORDER BY seq) AS bodies FROM ({rows}) GROUP BY 1, 2))"""
+def stored_log(spark, sf):
+    """The log written in two parts, with its stored seals."""
+    path = fx.scratch(spark, "audit")
+    rows = audit_source(spark, sf)
+    for part in ("ts < '2024-01-12'", "ts >= '2024-01-12'"):
+        au.write_log(rows.filter(part), [F.col("event_id")], path, AUDIT_SEGMENT)
+    return spark.read.parquet(f"{path}/entries"), spark.read.parquet(f"{path}/seals")
 
 
-SEAL_ROWS = f"SELECT chain, segment + 1 AS seq, segment // {AUDIT_SEGMENT} AS segment, arg_max(hash, seq) AS body FROM h GROUP BY chain, segment, segment // {AUDIT_SEGMENT}"
-
-
-@query("d13_audit_seals", fx.sql("SELECT chain, segment, seq, hash FROM s", e=AUDIT_SQL, f=AUDIT_FOLD_SQL, h=AUDIT_HASH_SQL, s=_fold(SEAL_ROWS)))
+@query("d13_audit_seals", fx.sql("""
+SELECT chain, segment, min(seq) AS first_seq, max(seq) AS last_seq, arg_max(hash, seq) AS head FROM h GROUP BY chain, segment""",
+                                 e=AUDIT_SQL, f=AUDIT_FOLD_SQL, h=AUDIT_HASH_SQL))
 def d13_seals(spark, sf):
-    """The first level of seals over the segments of every chain."""
-    sealed = au.seals(audit_log(spark, sf), AUDIT_SEGMENT)
-    return sealed.filter("level = 1").select("chain", "segment", "seq", "hash")
+    """The seals stored while the log was written in two parts, the newest of every segment."""
+    return au.newest_seals(stored_log(spark, sf)[1]).select("chain", "segment", "first_seq", "last_seq", "head")
 
 
-@query("d14_audit_verify", """
-SELECT CAST(user_id AS VARCHAR) AS chain, count(*) AS entries, count(CASE WHEN props = '{"k": 7}' THEN 1 END) = 0 AS valid,
-  min(CASE WHEN props = '{"k": 7}' THEN s END) AS broken_at
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events) GROUP BY 1""")
+@query("d14_audit_verify", f"""
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS s, user_id % 4 AS deed FROM events),
+ n AS (SELECT *, max(s) OVER (PARTITION BY user_id) AS top, CAST((s - 1) // {AUDIT_SEGMENT} AS BIGINT) AS segment FROM s),
+ hit AS (SELECT *, CASE deed WHEN 0 THEN props = '{{"k": 7}}' WHEN 1 THEN s = 3 WHEN 2 THEN segment = 1 ELSE FALSE END AS touched FROM n)
+SELECT CAST(user_id AS VARCHAR) AS chain, CAST(count(CASE WHEN deed IN (0, 3) OR NOT touched THEN 1 END) AS BIGINT) AS entries,
+  count(CASE WHEN touched THEN 1 END) = 0 AS valid, min(CASE WHEN touched THEN s END) AS broken_at FROM hit GROUP BY user_id""")
 def d14(spark, sf):
-    """Payloads edited after the fact; each chain reports its first broken entry."""
-    audit = audit_log(spark, sf)
-    edited = audit.withColumn("payload", F.when(F.col("payload") == '{"k": 7}', '{"k": 8}').otherwise(F.col("payload")))
-    return au.verify(edited, au.seals(audit, AUDIT_SEGMENT), AUDIT_SEGMENT)
+    """Against the stored seals: edited payloads in some chains, a removed entry or a removed
+    segment in others; each chain reports its first broken entry."""
+    audit, sealed = stored_log(spark, sf)
+    deed = F.col("chain").cast("long") % 4
+    edited = audit.withColumn("payload", F.when((deed == 0) & (F.col("payload") == '{"k": 7}'), '{"k": 8}').otherwise(F.col("payload")))
+    gone = ((deed == 1) & (F.col("seq") == 3)) | ((deed == 2) & (F.col("segment") == 1))
+    return au.verify(edited.filter(~gone), sealed, AUDIT_SEGMENT)
 
 
 MEMORY_SQL = """

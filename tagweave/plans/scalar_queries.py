@@ -80,8 +80,8 @@ def p06(spark, sf):
 
 @query("p07_file_annotation", fx.sql(f"""
 SELECT filename, tag, row_number() OVER (PARTITION BY filename ORDER BY row_index) AS row_index, {WIRE_CLOCK} AS file_ts,
-       'raw' AS file_unit, concat('plant/file/', stem, '/', tag) AS uns_topic,
-       concat(stem, '-', printf('%04d', row_number() OVER (PARTITION BY filename ORDER BY row_index))) AS reading_id
+       'raw' AS file_unit, concat('plant/file/', stem, '-', md5(filename), '/', tag) AS uns_topic,
+       concat(stem, '-', md5(filename), '-', printf('%04d', row_number() OVER (PARTITION BY filename ORDER BY row_index))) AS reading_id
 FROM (SELECT *, concat('line ', u, '.csv') AS filename, concat('line_', u) AS stem FROM plant)""", "plant"))
 def p07(spark, sf):
     raw = fx.plant_raw(spark, sf).join(fx.plant(spark, sf).select("reading_id", "u"), "reading_id")
@@ -94,7 +94,8 @@ def p07(spark, sf):
 
 @query("p08_topic_path", fx.sql("""
 SELECT reading_id, concat('plant/', p_topic_line, '/', p_asset, '/', p.param) AS live,
-       concat('plant/file/', substr(concat('Export_', repeat('x', u), '_', CAST(event_id AS VARCHAR), repeat('y', 40)), 1, 48), '/', tag) AS file
+       concat('plant/file/', substr(concat('Export_', repeat('x', u), '_', CAST(event_id AS VARCHAR), repeat('y', 40)), 1, 48), '-',
+         md5(concat('C:\in\Export ', repeat('x', u), '#', CAST(event_id AS VARCHAR), repeat('y', 40), '.csv')), '/', tag) AS file
 FROM plant r JOIN params p ON r.param = p.param""", "plant", "params"))
 def p08(spark, sf):
     lines = F.coalesce(*[F.when(F.col("p_asset") == a, F.lit(x)) for a, x in fixed.ASSET_TOPIC_LINE.items()])
@@ -155,13 +156,14 @@ def p13(spark, sf):
 
 @query("p14_reading_id", fx.sql(f"""
 SELECT event_id, CASE WHEN k < 30 THEN concat('id', CAST(u AS VARCHAR))
-   WHEN k < 60 THEN concat('a_rather_long_file_name_', '-', printf('%04d', event_id))
-   ELSE concat('R-', substr(md5(concat(tag, '|', printf('%.4f', value), '|', {CLOCK})), 1, 10)) END AS reading_id FROM plant""", "plant"))
+   WHEN k < 60 THEN concat('a_rather_long_file_name_', '-', md5(concat('a rather long file name, exported ', u, '.csv')), '-', printf('%04d', event_id // 100))
+   ELSE concat('R-', md5(concat(tag, '|', printf('%.4f', value), '|', {CLOCK}))) END AS reading_id FROM plant""", "plant"))
 def p14(spark, sf):
     given = F.when(F.col("k") < 30, F.concat(F.lit(" id"), F.col("u").cast("string")))
-    number = F.when(F.col("k") < 60, F.col("event_id"))
+    number = F.when(F.col("k") < 60, F.floor(F.col("event_id") / 100))
+    name = F.concat(F.lit("a rather long file name, exported "), F.col("u").cast("string"), F.lit(".csv"))
     return fx.plant(spark, sf).select("event_id", s.reading_id(
-        given, F.lit("a rather long file name, exported.csv"), number, F.col("tag"), F.col("value"),
+        given, name, number, F.col("tag"), F.col("value"),
         s.clock_text("ts")).alias("reading_id"))
 
 

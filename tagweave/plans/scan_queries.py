@@ -62,7 +62,7 @@ def _pack_rows(spark, sf):
 
 @query("s03_inline_rows", fx.sql(f"""
 SELECT reading_id, row_index, token AS tag, round(value, 3) AS value, p_unit AS unit, 'GOOD' AS quality, {CLOCK} AS "timestamp",
-       concat('plant/file/floor/', token) AS uns_topic, 'uploaded/CSV' AS source, param, p_asset AS asset, p_short AS name,
+       concat('plant/file/floor-', md5('floor.csv'), '/', token) AS uns_topic, 'uploaded/CSV' AS source, param, p_asset AS asset, p_short AS name,
        token AS file_tag FROM t WHERE k >= 5 AND k < 95""", "plant", "params", t=PACK_TOKENS))
 def s03(spark, sf):
     packed = medallion.pack(_pack_rows(spark, sf), "uploaded/CSV")

@@ -71,11 +71,14 @@ def z03(spark, sf):
 SELECT tag, round(value, 4) AS value, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "timestamp", count(*) OVER () AS kept
 FROM (SELECT DISTINCT tag, round(value, 4) AS value, date_trunc('second', ts) AS ts FROM plant)""", "plant"))
 def z04(spark, sf):
-    """Every reading arrives three times in mixed order; the delay covers the whole month."""
+    """Every reading arrives three times; half of them, a fortnight late, for the first time."""
     rows = fx.plant_readings(spark, sf)
-    out, checkpoint = _paths(spark, "z-dedup")
-    stream = _reading_files(spark, rows.unionByName(rows).unionByName(rows))
-    jobs.stream_deduplicated(stream, out, checkpoint, delay="60 days").awaitTermination()
+    path, (out, checkpoint) = fx.scratch(spark, "late"), _paths(spark, "z-dedup")
+    new = F.col("ts") >= F.lit("2026-08-28").cast("timestamp_ntz")
+    for part in (rows.filter(new), rows.filter(new).unionByName(rows.filter(~new)), rows.filter(~new).unionByName(rows)):
+        part.coalesce(2).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    jobs.stream_deduplicated(stream, out, checkpoint).awaitTermination()
     kept = spark.read.parquet(out).select("tag", F.round("value", 4).alias("value"), "timestamp")
     return kept.withColumn("kept", kept.agg(F.count("*")).scalar())
 

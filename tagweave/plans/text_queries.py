@@ -110,13 +110,22 @@ def r05(spark, sf):
 
 
 @query("r06_chunk_identity", fx.sql("""
-SELECT concat('UP-', upper(lang), '-doc_', CAST(doc_id AS VARCHAR), '-', printf('%03d', piece)) AS id,
+SELECT concat('UP-', upper(lang), '-doc_', CAST(doc_id AS VARCHAR), '-', md5(concat(filename, '|', lang)), '-', printf('%03d', piece)) AS id,
        concat('doc_', CAST(doc_id AS VARCHAR), ' §', CAST(piece AS VARCHAR)) AS ref, upper(lang) AS type, 'upload' AS source,
        lang AS rag_kind, doc_id AS seq FROM c""", c=CHUNK_SQL))
 def r06(spark, sf):
     return document_chunks(spark, sf).select("id", "ref", "type", "source", "rag_kind", "seq")
 
 
+@query("r06_long_names", fx.sql("SELECT lang AS rag_kind, piece, count(*) AS n_chunks, count(*) AS n_ids FROM c GROUP BY ALL", c=CHUNK_SQL))
+def r06_long(spark, sf):
+    """Names that agree for 60 characters; every chunk is kept under an id of its own."""
+    docs = fx.documents(spark, sf).withColumn("filename", F.concat(F.lit("a long name of the yearly review " * 2), "filename"))
+    chunks = rt.chunk_documents(docs)
+    kept = rt.append_chunks(chunks.limit(0), chunks)
+    return kept.groupBy("rag_kind", "piece").agg(F.count("*").alias("n_chunks"), F.count_distinct("id").alias("n_ids"))
+
+
 def _earlier_upload(spark, sf):
     """A knowledge base from an earlier run: the passages and older French and Spanish pages."""
     old = table(spark, sf, "documents").filter(F.col("lang").isin("fr", "es")).select(
@@ -129,13 +138,20 @@ def _earlier_upload(spark, sf):
 
 
 @query("r07_index_pipeline", fx.sql(f"""
-SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest({WORDS.format('text')}) AS term FROM kb) GROUP BY term""", c=CHUNK_SQL, kb=f"""
-SELECT concat(CAST(doc_id AS VARCHAR), '#', CAST(piece AS VARCHAR)) AS id, text FROM c UNION ALL SELECT id, text FROM ({PASSAGE_CHUNKS})
-UNION ALL SELECT concat('OLD', CAST(doc_id AS VARCHAR)), 'stale words' FROM documents WHERE lang = 'es'"""))
+SELECT kb.id, md5(text) AS text_digest, count(DISTINCT term) AS n_terms, CAST(sum(df) AS BIGINT) AS df_sum FROM kb
+LEFT JOIN (SELECT DISTINCT id, unnest({WORDS.format('text')}) AS term FROM kb) t ON t.id = kb.id LEFT JOIN d USING (term) GROUP BY ALL""", c=CHUNK_SQL, kb=f"""
+SELECT concat('UP-', upper(lang), '-doc_', CAST(doc_id AS VARCHAR), '-', md5(concat(filename, '|', lang)), '-', printf('%03d', piece)) AS id, text FROM c
+UNION ALL SELECT id, text FROM ({PASSAGE_CHUNKS})
+UNION ALL SELECT concat('OLD-', CAST(doc_id AS VARCHAR)), 'stale words' FROM documents WHERE lang = 'es'""",
+                               d=f"SELECT term, count(*) AS df FROM (SELECT DISTINCT id, unnest({WORDS.format('text')}) AS term FROM kb) GROUP BY term"))
 def r07(spark, sf):
     """Saved documents to chunks, replacing their kinds in the base, to an index."""
     base = rt.replace_kinds(_earlier_upload(spark, sf), document_chunks(spark, sf))
-    return rt.build_index(base).idf.select("term", "df")
+    index = rt.build_index(base)
+    terms = index.postings.select("id", "term").join(index.idf.select("term", "df"), "term")
+    sums = terms.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum("df").alias("df_sum"))
+    return index.chunks.join(sums, "id", "left").select(
+        "id", F.md5("text").alias("text_digest"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "df_sum")
 
 
 @query("r08_confidence_gate", fx.sql("""

@@ -7,6 +7,7 @@ from tagweave import fixed_values as fixed
 from tagweave.operators import medallion
 from tagweave.operators.sizing import first_per_key
 from tagweave.schemas import ENVELOPE
+from tagweave.sources.tables import existing
 
 
 def write_days(df: DataFrame, path: str, mode="append") -> str:
@@ -65,18 +66,6 @@ def append_historian(batch: DataFrame, path: str, key=tuple(LOG_POSITION)) -> No
     batch.write.mode("append").parquet(path)
 
 
-def existing(spark: SparkSession, path: str):
-    """The table at a path, or None before the first write; any other error is raised."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
 def append_events(events: DataFrame, path: str) -> None:
     """K5: contextualized events, marked as gold."""
     events.withColumn("medallion_zone", F.lit("gold")).write.mode("append").parquet(path)

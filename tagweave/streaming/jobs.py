@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tagweave.operators import audit as au
 from tagweave.operators import boards, enrich, medallion
 from tagweave.operators.dedup import NATURAL_KEY, with_natural_key
+from tagweave.operators.sizing import first_per_key
 from tagweave.schemas import ENVELOPE
+from tagweave.session import remove
 from tagweave.sources import parameters as dims
 from tagweave.sources import sinks
 
@@ -63,30 +65,52 @@ def stream_enriched(readings: DataFrame, load_lookups, events_path: str, rejects
     return _start(readings.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
-def dedup_stream(readings: DataFrame, delay="1 day", clock="ts") -> DataFrame:
-    """First copy of each natural key; keys are forgotten ``delay`` after their time."""
-    # A watermark needs a zoned timestamp; one session zone maps every clock alike.
-    keyed = with_natural_key(readings).withColumn("event_time", F.col(clock).cast("timestamp_ltz"))
-    return keyed.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(NATURAL_KEY)
+def stream_deduplicated(readings: DataFrame, path: str, checkpoint: str, available_now=True):
+    """The first copy of each physical reading, however late it comes.
 
+    A micro-batch is compared with what is stored for its own days, so there is no state
+    that forgets keys and no reading is too late. Output lands under the batch id and
+    replaces it, so a repeated batch changes nothing.
+    """
+    def handle(batch: DataFrame, batch_id: int):
+        day = F.when(F.col("key_time") == "", "unknown").otherwise(F.substring("key_time", 1, 10))
+        fresh = first_per_key(with_natural_key(batch), NATURAL_KEY, [F.xxhash64(*batch.columns)]).withColumn("dt", day)
+        stored = sinks.existing(batch.sparkSession, path)
+        if stored is not None:
+            days = [r[0] for r in fresh.select("dt").distinct().collect()]  # as many as the calendar has
+            before = stored.filter((F.col("micro_batch") < batch_id) & F.col("dt").cast("string").isin(days))
+            fresh = fresh.join(with_natural_key(before).select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
+        (fresh.drop(*NATURAL_KEY).write.mode("overwrite").partitionBy("dt").parquet(f"{path}/micro_batch={batch_id}"))
 
-def stream_deduplicated(readings: DataFrame, path: str, checkpoint: str, delay="1 day", available_now=True):
-    rows = dedup_stream(readings, delay).drop(*NATURAL_KEY, "event_time")
-    return _start(rows.writeStream.format("parquet").option("path", path), checkpoint, available_now)
+    return _start(readings.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
-def _state_writer(path: str):
-    """Changed groups of each micro-batch under its id; the last batch of a key is its state."""
-    def handle(batch: DataFrame, batch_id: int):
-        batch.write.mode("overwrite").parquet(f"{path}/micro_batch={batch_id}")
-    return handle
+COMPACT_EVERY = 10
 
 
-def latest_state(spark: SparkSession, path: str, keys) -> DataFrame:
-    """The current rows of a state written in update mode."""
-    rows = spark.read.parquet(path)
+def save_changes(batch: DataFrame, path: str, batch_id: int, keys, order="micro_batch") -> None:
+    """The changed keys of a micro-batch under its id; every tenth batch the state is written as
+    a snapshot, and what went into it is removed."""
+    spark = batch.sparkSession
+    batch.write.mode("overwrite").parquet(f"{path}/changes/micro_batch={batch_id}")
+    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+        snapshot = latest_state(spark, path, keys, order).withColumn("micro_batch", F.lit(batch_id))
+        snapshot.write.mode("overwrite").parquet(f"{path}/snapshots/upto={batch_id}")
+        for old in range(batch_id - COMPACT_EVERY, batch_id):
+            remove(spark, f"{path}/changes/micro_batch={old}")
+        remove(spark, f"{path}/snapshots/upto={batch_id - COMPACT_EVERY}")
+
+
+def latest_state(spark: SparkSession, path: str, keys, order="micro_batch") -> DataFrame:
+    """The current row of every key: of the last snapshot and the changes after it."""
+    rows = sinks.existing(spark, f"{path}/changes")
+    snapshots = sinks.existing(spark, f"{path}/snapshots")
+    if snapshots is not None:
+        last = snapshots.agg(F.max("upto")).first()[0]
+        kept = snapshots.filter(F.col("upto") == last).drop("upto")
+        rows = kept if rows is None else rows.filter(F.col("micro_batch") > last).unionByName(kept)
     rest = [c for c in rows.columns if c not in (*keys, "micro_batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "micro_batch").alias("s")).select(*keys, "s.*")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("s")).select(*keys, "s.*")
 
 
 def stream_latest(readings: DataFrame, path: str, checkpoint: str, key="tag", order="kafka_offset",
@@ -94,7 +118,8 @@ def stream_latest(readings: DataFrame, path: str, checkpoint: str, key="tag", or
     """The last arrived reading per tag, kept in state."""
     rest = [c for c in readings.columns if c != key]
     latest = readings.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(key, "r.*")
-    return _start(latest.writeStream.outputMode("update").foreachBatch(_state_writer(path)), checkpoint, available_now)
+    return _start(latest.writeStream.outputMode("update").foreachBatch(
+        lambda batch, batch_id: save_changes(batch, path, batch_id, [key])), checkpoint, available_now)
 
 
 def stream_counts(events: DataFrame, path: str, checkpoint: str, available_now=True):
@@ -103,7 +128,8 @@ def stream_counts(events: DataFrame, path: str, checkpoint: str, available_now=T
         *[F.count_if(F.col("zone") == z).alias(z) for z in boards.ZONES],
         *[F.count_if(F.col("status") == x).alias(x.lower()) for x in ("OK", "OVER", "UNDER")],
         F.count("*").alias("total"))
-    return _start(counts.writeStream.outputMode("update").foreachBatch(_state_writer(path)), checkpoint, available_now)
+    return _start(counts.writeStream.outputMode("update").foreachBatch(
+        lambda batch, batch_id: save_changes(batch, path, batch_id, ["param"])), checkpoint, available_now)
 
 
 def graded(readings: DataFrame, parameters=dims.BUILT_IN) -> DataFrame:
@@ -142,24 +168,31 @@ def stream_audit(entries: DataFrame, path: str, checkpoint: str, order, segment_
                  available_now=True):
     """Continue every chain from its last hash, per micro-batch.
 
-    Rows and the ends of all chains are written under the batch id, and the ends are read
-    from the batch before, so a repeated batch gives the same rows and no batch reads the
-    history.
+    Rows, the seals of the segments that grew and the new ends of the chains that grew are
+    written under the batch id. The ends are read from the batches before, so a repeated
+    batch gives the same rows and no batch reads the history.
     """
     def handle(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        last = sinks.existing(spark, f"{path}/ends/micro_batch={batch_id - 1}") if batch_id else None
+        ends = f"{path}/ends"
+        last = None
+        if batch_id:
+            remove(spark, f"{ends}/changes/micro_batch={batch_id}")  # of an attempt that broke off
+            last = latest_state(spark, ends, ["chain"], "last_seq")
         target = f"{path}/entries/micro_batch={batch_id}"
         au.append(batch, order, segment_rows, last).write.mode("overwrite").parquet(target)
-        ends = au.last_entries(spark.read.parquet(target))
-        if last is not None:
-            ends = ends.unionByName(last).groupBy("chain").agg(
-                F.max("last_seq").alias("last_seq"), F.max_by("last_hash", "last_seq").alias("last_hash"))
-        ends.write.mode("overwrite").parquet(f"{path}/ends/micro_batch={batch_id}")
+        written = spark.read.parquet(target)
+        au.seals(written).write.mode("overwrite").parquet(f"{path}/seals/micro_batch={batch_id}")
+        save_changes(au.last_entries(written), ends, batch_id, ["chain"], "last_seq")
 
     return _start(entries.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
 def audit_of(spark: SparkSession, path: str) -> DataFrame:
     """The audit rows that a stream has written."""
-    return spark.read.parquet(f"{path}/entries")
+    return spark.read.parquet(f"{path}/entries").drop("micro_batch")
+
+
+def seals_of(spark: SparkSession, path: str) -> DataFrame:
+    """The seals that a stream has written; a segment that grew later has its last one."""
+    return au.newest_seals(spark.read.parquet(f"{path}/seals").drop("micro_batch"))

@@ -39,11 +39,15 @@ def entries(spark, n, chain="c"):
                                  F.lit("x").alias("action"), F.col("id").cast("string").alias("payload"), "id")
 
 
-def python_chain(n, segment):
-    out, prev = [], GENESIS
+def start(chain, segment):
+    return hashlib.sha256(f"{GENESIS}{chain}#{segment}".encode()).hexdigest()
+
+
+def python_chain(n, segment, chain="c"):
+    out, prev = [], None
     for seq in range(1, n + 1):
         if (seq - 1) % segment == 0:
-            prev = GENESIS
+            prev = start(chain, (seq - 1) // segment)
         body = json.dumps([str(seq), "t", "a", "x", str(seq - 1)], separators=(",", ":"))
         h = hashlib.sha256((prev + body).encode()).hexdigest()
         out.append((seq, prev, h))
@@ -58,21 +62,23 @@ def test_chain_equals_a_loop(spark):
 
 def test_a_chain_of_one_segment_is_linear(spark):
     got = au.append(entries(spark, 30), [F.col("id")]).orderBy("seq").collect()
-    assert [r.prev_hash for r in got] == [GENESIS] + [r.hash for r in got[:-1]]
+    assert [r.prev_hash for r in got] == [start("c", 0)] + [r.hash for r in got[:-1]]
 
 
-def test_continued_chain_equals_one_run(spark):
+def test_continued_chain_equals_one_run(spark, path):
     rows = entries(spark, 37)
-    whole = sorted(map(tuple, au.append(rows, [F.col("id")], 8).collect()))
-    first = au.append(rows.filter("id < 13"), [F.col("id")], 8)
-    rest = au.append(rows.filter("id >= 13"), [F.col("id")], 8, au.last_entries(first))
-    assert sorted(map(tuple, first.unionByName(rest).collect())) == whole
+    whole = au.append(rows, [F.col("id")], 8)
+    for part in ("id < 13", "id >= 13 and id < 16", "id >= 16"):
+        au.write_log(rows.filter(part), [F.col("id")], path, 8)
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/entries").select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    stored = au.newest_seals(spark.read.parquet(f"{path}/seals"))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, au.seals(whole).collect()))
 
 
 @pytest.fixture(scope="module")
 def log(spark):
     audit = au.append(entries(spark, 70).unionByName(entries(spark, 3, "d")), [F.col("id")], 4).persist()
-    return audit, au.seals(audit, 4).persist()
+    return audit, au.seals(audit).persist()
 
 
 def state(audit, sealed):
@@ -80,9 +86,7 @@ def state(audit, sealed):
 
 
 def test_verify(spark, log):
-    audit, sealed = log
-    assert sealed.agg(F.max("level")).first()[0] == 3
-    assert state(audit, sealed) == {"c": (True, None), "d": (True, None)}
+    assert state(*log) == {"c": (True, None), "d": (True, None)}
 
 
 @pytest.mark.parametrize("seq", [1, 4, 5, 33, 70])
@@ -92,6 +96,12 @@ def test_any_edit_is_found(spark, log, seq):
     assert state(edited, sealed) == {"c": (False, seq), "d": (True, None)}
 
 
+@pytest.mark.parametrize("seq", [1, 2, 4, 33, 70])
+def test_a_removed_entry_is_found(spark, log, seq):
+    audit, sealed = log
+    assert state(audit.filter(f"not (chain = 'c' and seq = {seq})"), sealed)["c"] == (False, seq)
+
+
 def test_a_rewritten_segment_is_found_by_its_seal(spark, log):
     """A segment replaced as a whole, with hashes that fit each other."""
     audit, sealed = log
@@ -100,9 +110,25 @@ def test_a_rewritten_segment_is_found_by_its_seal(spark, log):
     assert state(mixed, sealed)["c"] == (False, 21)
 
 
-def test_a_missing_segment_is_found(spark, log):
+@pytest.mark.parametrize("segment", [0, 7, 17])
+def test_a_missing_segment_is_found(spark, log, segment):
+    audit, sealed = log
+    assert state(audit.filter(f"not (chain = 'c' and segment = {segment})"), sealed)["c"] == (False, 4 * segment + 1)
+
+
+def test_swapped_segments_and_removed_chains_are_found(spark, log):
+    audit, sealed = log
+    other = F.when(F.col("segment") == 2, 3).when(F.col("segment") == 3, 2).otherwise(F.col("segment")).cast("long")
+    swapped = audit.withColumn("seq", F.when(F.col("chain") == "c", F.col("seq") + 4 * (other - F.col("segment"))).otherwise(F.col("seq"))).withColumn(
+        "segment", F.when(F.col("chain") == "c", other).otherwise(F.col("segment")))
+    assert state(swapped, sealed)["c"] == (False, 9)
+    assert state(audit.filter("chain = 'c'"), sealed) == {"c": (True, None), "d": (False, 1)}
+
+
+def test_added_entries_are_found(spark, log):
     audit, sealed = log
-    assert state(audit.filter("not (chain = 'c' and segment = 17)"), sealed)["c"] == (False, 69)
+    longer = au.append(entries(spark, 75).unionByName(entries(spark, 3, "d")), [F.col("id")], 4)
+    assert state(longer, sealed)["c"] == (False, 71)
 
 
 def test_versions(spark):

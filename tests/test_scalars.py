@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -51,10 +52,10 @@ def test_names_and_ids(spark):
     assert one(spark, ["My File (2).csv", "x", "***.txt"], s.slug) == ["my_file_2", "x", "source"]
     assert one(spark, ["/in/Floor data.v2.csv", "", None], lambda c: s.safe_stem(c)) == ["Floor_data_v2", "upload", "upload"]
     got = one(spark, ["a.csv"], lambda c: s.reading_id(F.lit(" "), c, F.lit(7), F.lit("T"), F.lit(1.0), F.lit("")))
-    assert got == ["a-0007"]
+    assert got == [f"a-{hashlib.md5(b'a.csv').hexdigest()}-0007"]
     none = F.lit(None).cast("double")
     digest = one(spark, ["T"], lambda c: s.reading_id(F.lit(None), F.lit(None), F.lit(None).cast("int"), c, none, F.lit("")))
-    assert digest[0].startswith("R-") and len(digest[0]) == 12
+    assert digest[0].startswith("R-") and len(digest[0]) == 34
 
 
 TEMP = BUILT_IN[0]
