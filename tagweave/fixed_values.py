@@ -313,3 +313,27 @@ EXPORT_COLUMNS = [
     "material_no", "family", "grade", "equipment", "spec_source",
     "calibration_age_days", "probe_calibration_date", "last_maintenance", "lab_note_ref",
 ]
+
+# --- Search texts of an event, and the lookup SQL shown with them; results depend on the words
+EVENT_QUERIES = [
+    ("nl", "Diagnosis query", "{short} {status} {zone} excursion on {asset} drivers {drivers} corrective action remedy"),
+    ("nl", "SOP retrieve", "SOP excursion response {short} {asset} setpoint control loop"),
+    ("nl", "CAPA retrieve", "CAPA historical root cause {asset} {short} {tag}"),
+]
+DECOMPOSE_TEXT = (
+    "SELECT r.reading_id, r.value, a.asset, m.batch, s.material_no\n"
+    "FROM readings r\n"
+    "JOIN asset_model a ON r.tag = a.tag\n"
+    "JOIN mes_batches m ON a.asset = m.asset AND r.ts BETWEEN m.start AND m.end\n"
+    "JOIN sap_master s ON m.product = s.product\n"
+    "WHERE r.reading_id = '"
+)
+
+# --- Sentences of a co-pilot answer, in their order; one is left out when a word of it is missing
+ANSWER_PARTS = [
+    "Referring to the last SCADA Intelligence {zone} on {reading} ({measured} · {status}).",
+    "Automated remedy: {summary}",
+    "{passage}",
+    "Also see {others}.",
+    "{note}",
+]

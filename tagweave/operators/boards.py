@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tagweave.functions import bands
 from tagweave.functions import scalars as s
 from tagweave.operators import enrich as en
-from tagweave.operators.dedup import keep_first_id, keep_first_reading
+from tagweave.operators.dedup import NATURAL_KEY, keep_first_id, keep_first_reading, with_natural_key
 from tagweave.operators.medallion import latest_by_arrival
 from tagweave.operators.sizing import lookup_join
 from tagweave.operators.versions import active_versions, slot_of
@@ -156,8 +156,14 @@ def parameter_board(readings: DataFrame, lookups, order, zones=("trip", "alarm")
 
 def decompose(readings: DataFrame, lookups, param, zone, reading_id, order,
               parameters=dims.BUILT_IN) -> DataFrame:
-    """The event of one reading id within one parameter and zone."""
-    run = observation_run(readings, lookups, param, zone, order, parameters)
+    """The event of one reading id within one parameter and zone.
+
+    Only the copies of that reading are classified and enriched.
+    """
+    keyed = with_natural_key(readings)
+    asked = keyed.filter(F.trim("reading_id") == reading_id.strip()).select(*NATURAL_KEY).distinct()
+    copies = keyed.join(asked, NATURAL_KEY, "left_semi").drop(*NATURAL_KEY)
+    run = observation_run(copies, lookups, param, zone, order, parameters)
     return run["events"].filter(F.trim("reading_id") == reading_id.strip())
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tagweave.functions import bands
 from tagweave.functions import scalars as s
 from tagweave.operators.lookups import Lookups
-from tagweave.operators.sizing import fit_broadcast, lookup_join
+from tagweave.operators.sizing import lookup_join, stored
 from tagweave.schemas import FLAT_COLUMNS
 from tagweave.sources import parameters as dims
 
@@ -31,29 +31,28 @@ class Joinable:
 
 
 def prepare(lookups: Lookups) -> Joinable:
-    """Shape the lookups once per job, and measure which of them may be broadcast."""
+    """Shape the lookups and write them once per job; their files tell which may be broadcast."""
     assets = lookups.assets.select(
         "tag", F.col("asset").alias("a_asset"), F.col("parameter").alias("a_param"),
         F.col("name").alias("a_name"), F.col("unit").alias("a_unit"), F.col("control").alias("a_control"),
         F.col("alarm").alias("a_alarm"), F.col("trip").alias("a_trip"), F.col("line").alias("a_line"),
         F.col("origin").alias("a_origin"))
-    timed = _timed(lookups.batches).persist()
-    by_asset = batch_by_asset(timed).persist()
     materials = lookups.materials.select(
         "product", "material_no", "family", "grade", "equipment", "spec_source",
         F.col("origin").alias("s_origin"))
     calibrations = lookups.calibrations.select(
         "tag", "probe_calibration_date", "calibration_age_days", "drift_mv", "last_maintenance",
         "lab_note_ref", F.col("origin").alias("r_origin"))
-    # The lookups are read by every join and once more to be measured.
-    tables = {"assets": assets.persist(), "batch_by_asset": by_asset, "materials": materials.persist(),
-              "calibrations": calibrations.persist()}
-    small = fit_broadcast(tables)
-    placed = place_windows(timed, by_asset, small["batch_by_asset"]).persist()
+    timed, _ = stored(_timed(lookups.batches), "batches")
+    tables = {"assets": assets, "batch_by_asset": batch_by_asset(timed), "materials": materials,
+              "calibrations": calibrations}
+    small = {}
+    for name, df in tables.items():
+        tables[name], small[name] = stored(df, name)
+    placed, _ = stored(place_windows(timed, tables["batch_by_asset"], small["batch_by_asset"]), "windows")
     fullest = placed.groupBy("a_asset", "b_bucket").count().agg(F.max("count")).first()[0]
     pages = max(1, math.ceil((fullest or 0) / PAGE_WINDOWS))
-    windows = batch_windows(placed, pages).persist()
-    small = {**small, **fit_broadcast({"batch_windows": windows})}
+    windows, small["batch_windows"] = stored(batch_windows(placed, pages), "batch-windows")
     return Joinable(**tables, batch_windows=windows, small=small, window_pages=pages)
 
 
@@ -288,21 +287,17 @@ def trace(enriched: DataFrame) -> DataFrame:
                            F.slice(stepped, F.lit(1), reached).alias("trace"))
 
 
-DECOMPOSE_SQL = """
-SELECT r.reading_id, r.value, a.asset, m.batch, s.material_no
-FROM {readings} r
-JOIN {asset_model} a ON r.tag = a.tag
-JOIN {mes_batches} m ON a.asset = m.asset AND r.ts BETWEEN m.start AND m.end
-JOIN {sap_master} s ON m.product = s.product
-"""
-
-
 def decompose_join(readings, asset_model, mes_batches, sap_master, reading_id=None) -> DataFrame:
-    """The generated lookup SQL, all inner joins, for one reading id or for all."""
-    spark = readings.sparkSession
-    views = {"readings": readings, "asset_model": asset_model,
-             "mes_batches": mes_batches, "sap_master": sap_master}
-    query, arguments = DECOMPOSE_SQL, None
+    """The generated lookup SQL, all inner joins, for one reading id or for all.
+
+    Windows are spread over the days they touch, so that a reading meets the windows of its
+    own day and not all windows of its asset.
+    """
     if reading_id is not None:
-        query, arguments = query + "WHERE r.reading_id = :reading_id", {"reading_id": reading_id}
-    return spark.sql(query, args=arguments, **views)
+        readings = readings.filter(F.col("reading_id") == reading_id)
+    days = F.sequence(F.col("start").cast("date"), F.col("end").cast("date"))
+    windows = mes_batches.filter("end >= start").select("asset", "batch", "product", "start", "end", F.explode(days).alias("_day"))
+    placed = readings.join(asset_model.select("tag", "asset"), "tag").withColumn("_day", F.col("ts").cast("date"))
+    found = placed.join(windows, ["asset", "_day"]).filter(F.col("ts").between(F.col("start"), F.col("end")))
+    return found.join(sap_master.select("product", "material_no"), "product").select(
+        "reading_id", "value", "asset", "batch", "material_no")

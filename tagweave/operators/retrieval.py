@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from tagweave import fixed_values as fixed
 from tagweave.functions import scalars as s
 from tagweave.functions import text
-from tagweave.operators.sizing import first_per_key, fits_broadcast, lookup_join, top_per_key
-from tagweave.session import shared_dir
+from tagweave.operators.sizing import first_per_key, lookup_join, stored, top_per_key
 from tagweave.sources import parameters as dims
 
 CHUNK_COLUMNS = ["id", "type", "ref", "param", "text", "source", "filename", "rag_kind", "seq", "piece"]
@@ -76,26 +75,27 @@ def replace_kinds(base: DataFrame, new: DataFrame) -> DataFrame:
 def build_index(chunks: DataFrame) -> Index:
     """Term weights tf / length x idf, scaled to unit length per chunk.
 
-    Chunks move once, by id; term counts and lengths are then computed in place. Term
-    frequencies are checkpointed because both the idf and the weights read them. A term
-    found in most chunks is only a large count in a pre-aggregated group-by, and meets
-    its idf through a join that does not shuffle hot terms.
+    Words are counted in their own task before anything moves. Counts, idf and postings are
+    written, so a search reads its weights instead of computing them. A term found in most
+    chunks is only a large count in a pre-aggregated group-by, and meets its idf through a
+    join that does not shuffle hot terms.
     """
-    shared_dir(chunks.sparkSession)
-    words = chunks.select("id", "seq", "piece", "param", text.tokens("text").alias("words")).repartition("id")
+    words = chunks.select("id", "seq", "piece", "param", text.tokens("text").alias("words"))
     counts = (words.select("id", "seq", "piece", "param", F.greatest(F.size("words"), F.lit(1)).alias("length"),
                            F.explode("words").alias("term"))
-              .groupBy("id", "seq", "piece", "param", "length", "term").agg(F.count("*").alias("tf"))
-              .checkpoint(eager=True))
+              .groupBy("id", "seq", "piece", "param", "length", "term").agg(F.count("*").alias("tf")))
+    counts, _ = stored(counts, "term-counts")
     n = chunks.agg(F.count("*")).scalar()
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).withColumn(
-        "idf", F.log((F.greatest(n, F.lit(1)) + 1) / (F.col("df") + 1)) + 1)
-    weighted = lookup_join(counts, idf.select("term", "idf"), "term", "inner").withColumn(
+    idf, small = stored(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn(
+        "idf", F.log((F.greatest(n, F.lit(1)) + 1) / (F.col("df") + 1)) + 1), "idf")
+    weighted = lookup_join(counts, idf.select("term", "idf"), "term", "inner", small).withColumn(
         "raw", F.col("tf") / F.col("length") * F.col("idf"))
     norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     postings = weighted.join(norms, "id").select(
         "id", "seq", "piece", "param", "term", "tf", "length", "raw", "norm",
         (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("weight"))
+    # In ranges of terms, a frequent term over several files: a search reads the files of its terms.
+    postings, _ = stored(postings.repartitionByRange("term", "id").sortWithinPartitions("term"), "postings")
     return Index(chunks, postings, idf)
 
 
@@ -121,7 +121,7 @@ def search(index: Index, queries: DataFrame, k: int = 4) -> DataFrame:
     that share no word score 0 but may fill the top k: only the k newest chunks overall
     and of the query's parameter can get there, so just those are added.
     """
-    terms = query_terms(queries, index).persist()
+    terms, _ = stored(query_terms(queries, index), "query-terms")
     rows = terms.count()
     slices = max(1, math.ceil(rows / QUERY_ROWS))
     scored = None
@@ -160,8 +160,7 @@ def _unmatched(index: Index, queries: DataFrame, k: int) -> DataFrame:
 
 def _with_text(top: DataFrame, index: Index, k: int) -> DataFrame:
     """Fetch type, ref and text for the hits; the few hits travel, not the chunks."""
-    wanted = top.persist()
-    small = fits_broadcast(wanted)
+    wanted, small = stored(top, "hits")
     body = index.chunks.select("id", "seq", "piece", "type", "ref", "param", "text")
     found = body.join(F.broadcast(wanted) if small else wanted, ["id", "seq", "piece"])
     return found.select("query_id", "rank", "id", "type", "ref", "param",

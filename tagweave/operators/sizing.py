@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagweave.session import shared_dir
+from tagweave.session import scratch_path, shared_dir
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Files are compressed.
+BROADCAST_FILE_BYTES = 16 * 1024 * 1024
 HOT_SHARE = 1000
 
 
@@ -26,6 +28,21 @@ def fit_broadcast(tables: dict, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYT
     return {r["name"]: r["rows"] <= max_rows and r["bytes"] <= max_bytes for r in measured.collect()}
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
+    """Write a lookup table once and read it back, with its size class.
+
+    The class comes from the bytes and the row count of the files, not from a pass over the
+    rows; nothing stays cached.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+    return table, size <= BROADCAST_FILE_BYTES and table.count() <= BROADCAST_ROWS
+
+
 def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -> DataFrame:
     """Equi-join (left, inner, left_semi or left_anti) a large table with a lookup that has
     at most one row per key.

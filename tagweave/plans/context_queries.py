@@ -580,7 +580,7 @@ def d05(spark, sf):
     """The newest conductivity alarm, looked up by its id."""
     readings, lk, order = fx.plant_readings(spark, sf), fx.plant_joinable(spark, sf), [F.col("row_index")]
     run = bd.observation_run(readings, lk, "cond", "alarm", order)
-    newest = run["events"].agg(F.max_by("reading_id", "row_index")).first()[0]
+    newest = run["observations"].filter("scenario = 'alarm'").agg(F.max_by("reading_id", "row_index")).first()[0]
     got = bd.decompose(readings, lk, "cond", "alarm", newest or "", order)
     return got.select("reading_id", "tag", "value", "asset", "batch", "material_no")
 

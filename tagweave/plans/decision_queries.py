@@ -30,7 +30,7 @@ TEXTS = ["concat(short, ' ', status, ' ', zone, ' excursion on ', asset, ' drive
 
 @query("u05_query_fan_out", fx.sql(f"""
 SELECT reading_id, CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS query_rank, unnest(['nl', 'nl', 'nl', 'sql']) AS kind,
-  unnest([{', '.join(TEXTS)}, concat({_quoted(dc.DECOMPOSE_TEXT)}, reading_id, '''')]) AS text FROM plant_flat""", "plant_flat"))
+  unnest([{', '.join(TEXTS)}, concat({_quoted(fixed.DECOMPOSE_TEXT)}, reading_id, '''')]) AS text FROM plant_flat""", "plant_flat"))
 def u05(spark, sf):
     rows = dc.event_queries(fx.plant_events(spark, sf))
     return rows.select("reading_id", F.col("query_rank").cast("long").alias("query_rank"), "kind", "text")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars as s
-from tagweave.operators import dedup, medallion
+from tagweave.operators import dedup, enrich, medallion
 from tagweave.plans import fixtures as fx
 from tagweave.plans.context_queries import (AUDIT_FOLD_SQL, AUDIT_HASH_SQL, AUDIT_SEGMENT, AUDIT_SQL, REPLAY_SQL, TICKS,
                                             audit_source)
@@ -59,7 +59,7 @@ UNION ALL SELECT reading_id, 'reject', NULL, NULL, NULL, NULL, NULL, reason FROM
 def z03(spark, sf):
     events, rejects = fx.scratch(spark, "z-events"), fx.scratch(spark, "z-rejects")
     stream = _reading_files(spark, fx.floor_good(spark, sf))
-    jobs.stream_enriched(stream, lambda session: fx.floor_joinable(session, sf), events, rejects,
+    jobs.stream_enriched(stream, lambda session: enrich.prepare(fx.floor_lookups(session, sf)), events, rejects,
                          fx.scratch(spark, "z-cp"), fx.FLOOR_PARAMETERS).awaitTermination()
     good = spark.read.parquet(events).select("reading_id", F.lit("event").alias("kind"), "asset", "batch", "status", "zone",
                                              "time_match", F.lit(None).cast("string").alias("reason"))

@@ -89,6 +89,14 @@ def r04(spark, sf):
     return rt.search(document_index(spark, sf), fx.questions(spark, sf), 4).select("query_id", "rank", "id", "score")
 
 
+@query("t05_top_per_query", fx.sql("SELECT query_id, rank, id, score, md5(text) AS text_digest FROM hits",
+                                   **search_parts(DOC_CHUNKS, ASKED.replace("'en'", "NULL"), 2)))
+def t05(spark, sf):
+    """The best two documents of every benchmark text, without a parameter."""
+    asked = fx.questions(spark, sf).withColumn("param", F.lit(None).cast("string"))
+    return rt.search(document_index(spark, sf), asked, 2).select("query_id", "rank", "id", "score", F.md5("text").alias("text_digest"))
+
+
 SPACE_SQL = text.SPACE.replace("'", "''")
 CHUNK_SQL = f"""
 SELECT doc_id, lang, concat('doc ', CAST(doc_id AS VARCHAR), '.txt') AS filename, unnest(range(1, len(pieces) + 1)) AS piece, unnest(pieces) AS text FROM (

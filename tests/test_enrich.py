@@ -65,8 +65,7 @@ def test_large_lookups_and_full_buckets_give_the_same(spark, sf, monkeypatch, pa
     """Without any broadcast of lookups, and with windows spread over pages."""
     readings = fx.floor_good(spark, sf)
     want = rows_of(en.enrich(readings, fx.floor_joinable(spark, sf), fx.FLOOR_PARAMETERS))
-    monkeypatch.setattr(sizing, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(en, "fit_broadcast", lambda tables: {name: False for name in tables})
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(en, "PAGE_WINDOWS", 1000 if pages == 1 else 1)
     shaped = en.prepare(fx.floor_lookups(spark, sf))
     assert (shaped.window_pages == 1) == (pages == 1)

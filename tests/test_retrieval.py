@@ -52,15 +52,16 @@ def test_index_without_broadcast(spark, monkeypatch):
     passages = rt.built_in_passages(spark)
     want = sorted(map(str, rt.build_index(passages).postings.select("id", "term", F.round("weight", 9)).collect()))
     from tagweave.operators import sizing
-    monkeypatch.setattr(sizing, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", -1)
     assert sorted(map(str, rt.build_index(passages).postings.select("id", "term", F.round("weight", 9)).collect())) == want
 
 
-def test_hits_are_cut_before_the_shuffle(spark):
+def test_nothing_stays_cached(spark):
     index = rt.build_index(rt.built_in_passages(spark))
     asked = spark.createDataFrame([(1, "batch hold", "ph")], "query_id int, query string, param string")
-    plan = rt.search(index, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
-    assert "WindowGroupLimit" in plan or "InMemoryRelation" in plan
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert rt.search(index, asked, 3).count() == 3
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
 
 
 def test_chunk_sets(spark):
