@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tagweave.functions import bands
 from tagweave.functions import scalars as s
 from tagweave.operators.lookups import Lookups
-from tagweave.operators.sizing import lookup_join, stored
+from tagweave.operators.sizing import lookup_join, stored, stored_all
 from tagweave.schemas import FLAT_COLUMNS
 from tagweave.sources import parameters as dims
 
@@ -43,12 +43,10 @@ def prepare(lookups: Lookups) -> Joinable:
     calibrations = lookups.calibrations.select(
         "tag", "probe_calibration_date", "calibration_age_days", "drift_mv", "last_maintenance",
         "lab_note_ref", F.col("origin").alias("r_origin"))
-    timed, _ = stored(_timed(lookups.batches), "batches")
-    tables = {"assets": assets, "batch_by_asset": batch_by_asset(timed), "materials": materials,
-              "calibrations": calibrations}
-    small = {}
-    for name, df in tables.items():
-        tables[name], small[name] = stored(df, name)
+    tables, small = stored_all({"assets": assets, "materials": materials, "calibrations": calibrations,
+                                "batches": _timed(lookups.batches),
+                                "batch_by_asset": batch_by_asset(_timed(lookups.batches))})
+    timed = tables.pop("batches")
     placed, _ = stored(place_windows(timed, tables["batch_by_asset"], small["batch_by_asset"]), "windows")
     fullest = placed.groupBy("a_asset", "b_bucket").count().agg(F.max("count")).first()[0]
     pages = max(1, math.ceil((fullest or 0) / PAGE_WINDOWS))

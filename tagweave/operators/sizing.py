@@ -1,5 +1,7 @@
 """Joins and numbering that stay safe when one key holds a large share of the rows."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
     return table, size <= BROADCAST_FILE_BYTES and table.count() <= BROADCAST_ROWS
 
 
+def stored_all(tables: dict) -> tuple[dict, dict]:
+    """``stored`` for several independent tables at once: the tables and their size classes."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        done = dict(zip(tables, pool.map(stored, tables.values(), tables)))
+    return {name: df for name, (df, _) in done.items()}, {name: small for name, (_, small) in done.items()}
+
+
 def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -> DataFrame:
     """Equi-join (left, inner, left_semi or left_anti) a large table with a lookup that has
     at most one row per key.
