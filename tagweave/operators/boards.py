@@ -59,9 +59,13 @@ def observations(readings: DataFrame, lookups, parameters=dims.BUILT_IN, param=N
 
 def resolved_bands():
     """Asset table, then parameter default, then control widened by 0.5 and 1.0."""
-    control = F.coalesce("a_control", F.array("p_control_lo", "p_control_hi"))
-    alarm = F.coalesce("a_alarm", F.array("p_alarm_lo", "p_alarm_hi"), bands.widened(control, 0.5))
-    trip = F.coalesce("a_trip", F.array("p_trip_lo", "p_trip_hi"), bands.widened(control, 1.0))
+    def default(kind):
+        lo, hi = F.col(f"p_{kind}_lo"), F.col(f"p_{kind}_hi")
+        return F.when(lo.isNotNull() & hi.isNotNull(), F.array(lo, hi))
+
+    control = F.coalesce("a_control", default("control"))
+    alarm = F.coalesce("a_alarm", default("alarm"), bands.widened(control, 0.5))
+    trip = F.coalesce("a_trip", default("trip"), bands.widened(control, 1.0))
     return control, alarm, trip
 
 

@@ -1,10 +1,10 @@
-"""One row per physical reading: deduplication, source priority, replay schedule."""
+"""One row per physical reading: deduplication, source priority, order of stored readings."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars as s
-from tagweave.operators.sizing import first_per_key, lookup_join, numbered
+from tagweave.operators.sizing import first_per_key, numbered
 
 
 def with_natural_key(readings: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def of_parameter(readings: DataFrame, param=None, tag=None) -> DataFrame:
 def present_parameters(readings: DataFrame, parameters: DataFrame) -> DataFrame:
     """The catalogue rows whose parameter occurs in the readings."""
     seen = readings.select("param").distinct()
-    return parameters.join(F.broadcast(seen), "param", "left_semi")
+    return parameters.join(seen, "param", "left_semi")
 
 
 def priority_union(floor: DataFrame, stream: DataFrame, lake: DataFrame, order="row_index",
@@ -54,15 +54,6 @@ def priority_union(floor: DataFrame, stream: DataFrame, lake: DataFrame, order="
     return keep_first_reading(rows, [F.col("source_rank"), F.col(order)])
 
 
-def replay(readings: DataFrame, ticks: int, order) -> DataFrame:
-    """Tick t of a parameter replays row t mod pool of its rows.
-
-    Row i of a pool of n rows emits the ticks i, i + n, i + 2n, ... so nothing is joined
-    per tick.
-    """
-    placed = numbered(readings, order, group=["param"], start=0, out="_i")
-    pools = readings.groupBy("param").agg(F.count("*").alias("_pool"))
-    placed = lookup_join(placed, pools, "param", "inner")
-    due = placed.filter(F.col("_i") < ticks)
-    return due.withColumn("tick", F.explode(F.sequence(
-        F.col("_i"), F.lit(ticks - 1).cast("long"), F.col("_pool")))).drop("_i", "_pool")
+def replay_order(readings: DataFrame, order) -> DataFrame:
+    """The place of every stored reading in its parameter's order, from 0."""
+    return numbered(readings, order, group=["param"], start=0, out="tick")

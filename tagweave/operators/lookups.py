@@ -38,6 +38,7 @@ def _band(df: DataFrame, *names):
 
 
 def _sequence(df: DataFrame):
+    """The order of rows: ``seq`` where there is one (see ``files.read_lookup_table``)."""
     return F.col("seq").cast("long") if "seq" in df.columns else F.monotonically_increasing_id()
 
 
@@ -137,12 +138,6 @@ def active_dataset(datasets: DataFrame, by="kind") -> DataFrame:
     return first_per_key(loaded, [by], [F.desc("persisted"), F.desc("seq")])
 
 
-def active_rows(datasets: DataFrame, rows: DataFrame, kind: str) -> DataFrame:
-    """Rows of the chosen dataset of one kind."""
-    chosen = active_dataset(datasets.filter(F.col("kind") == kind)).select("dataset_id")
-    return rows.join(F.broadcast(chosen), "dataset_id", "left_semi")
-
-
 def with_fallback(uploaded: DataFrame, reference: DataFrame, key: str) -> DataFrame:
     """Uploaded rows, and reference rows only for keys that were not uploaded."""
     reference = reference.withColumn("origin", F.lit("reference"))

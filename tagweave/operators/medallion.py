@@ -221,6 +221,11 @@ def gold(silver_rows: DataFrame) -> DataFrame:
             .withColumn("context_status", F.lit("pending")).select(*GOLD_COLUMNS))
 
 
+def with_day(rows: DataFrame, clock="ts") -> DataFrame:
+    """The day folder of a row; rows without a readable time share one."""
+    return rows.withColumn("dt", F.coalesce(F.col(clock).cast("date").cast("string"), F.lit("unknown")))
+
+
 def latest_by_time(gold_rows: DataFrame, key="tag") -> DataFrame:
     """Newest reading per tag by its clock, nulls last, later offset on a tie."""
     newest = first_per_key(gold_rows, [key], [F.desc_nulls_last("ts"), F.desc("bronze_offset")])

@@ -11,7 +11,7 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Files are compressed.
 BROADCAST_FILE_BYTES = 16 * 1024 * 1024
-HOT_SHARE = 1000
+HOT_SHARE = 10_000
 
 
 def fits_broadcast(df: DataFrame, max_rows=BROADCAST_ROWS, max_bytes=BROADCAST_BYTES) -> bool:
@@ -57,10 +57,10 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -
     at most one row per key.
 
     A lookup measured small is broadcast, so the fact table is not shuffled. Above the
-    bound it is a shuffle join in which no key is hot: a key that holds more than 1/1000
-    of the fact rows is split over as many salts as it holds thousandths, and only its
-    lookup row is repeated per salt. Fewer than 1000 such keys can exist, so their table
-    is bounded. Rows with a null key never match and are spread as well.
+    bound it is a shuffle join in which no key is hot: a key that holds more than
+    1/HOT_SHARE of the fact rows is split over as many salts as it holds such shares, and only
+    its lookup row is repeated per salt. Fewer than HOT_SHARE such keys can exist, so their
+    table is bounded. Rows with a null key never match and are spread as well.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if small is None:
@@ -83,7 +83,7 @@ def lookup_join(fact: DataFrame, dim: DataFrame, keys, how="left", small=None) -
 
 
 def hot_keys(fact: DataFrame, keys) -> DataFrame:
-    """Keys that hold more than 1/1000 of the rows, with the thousandths they hold."""
+    """Keys that hold more than 1/HOT_SHARE of the rows, with the shares they hold."""
     counted = fact.groupBy(*keys).count().persist()
     total = counted.agg(F.sum("count")).first()[0] or 0
     hot = counted.filter(F.col("count") * HOT_SHARE > total).withColumn(

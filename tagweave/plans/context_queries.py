@@ -6,7 +6,7 @@ from tagweave.functions import scalars as s
 from tagweave.operators import audit as au
 from tagweave.operators import boards as bd
 from tagweave.operators import dedup, enrich, lookups, medallion, versions
-from tagweave.operators.sizing import numbered
+from tagweave.operators.sizing import lookup_join, numbered
 from tagweave.plans import fixtures as fx
 from tagweave.plans.registry import query, run_view, table
 from tagweave.plans.scan_queries import (BRONZE_SQL, CLOCK, PACK_TOKENS, SILVER_SQL, WIRE_CLOCK, _bronze, _pack_rows,
@@ -153,7 +153,7 @@ SELECT kind, id AS dataset_id, l_partkey AS part, l_quantity AS value FROM a JOI
 def j09(spark, sf):
     """Per kind one version: saved before unsaved, then the newest; joined to its rows."""
     chosen = lookups.active_dataset(_catalogue(spark, sf)).select("dataset_id", "kind")
-    return dataset_rows(spark, sf).join(F.broadcast(chosen), "dataset_id").select("kind", "dataset_id", "part", "value")
+    return lookup_join(dataset_rows(spark, sf), chosen, "dataset_id", "inner").select("kind", "dataset_id", "part", "value")
 
 
 @query("j10_decompose_sql", fx.sql("""
@@ -277,16 +277,11 @@ def w06(spark, sf):
     return checked.select("chain", "seq", "prev_hash", "hash", (F.col("hash_ok") & F.col("link_ok")).alias("ok"))
 
 
-TICKS = 3000
-REPLAY_SQL = f"""
-SELECT tick, param, reading_id, value FROM (SELECT param, reading_id, value, row_number() OVER (PARTITION BY param ORDER BY row_index) - 1 AS i,
-  count(*) OVER (PARTITION BY param) AS pool FROM plant) r, range({TICKS}) t(tick) WHERE tick % pool = i"""
-
-
-@query("w07_replay_schedule", fx.sql(REPLAY_SQL, "plant"))
+@query("w07_replay_schedule", fx.sql("""
+SELECT row_number() OVER (PARTITION BY param ORDER BY ts, row_index) - 1 AS tick, param, reading_id, value FROM plant""", "plant"))
 def w07(spark, sf):
-    ticked = dedup.replay(fx.plant_readings(spark, sf), TICKS, [F.col("row_index")])
-    return ticked.select("tick", "param", "reading_id", "value")
+    """The order in which the stored readings of a parameter are to be played."""
+    return dedup.replay_order(fx.plant_readings(spark, sf), [F.col("ts"), F.col("row_index")]).select("tick", "param", "reading_id", "value")
 
 
 # ---------------------------------------------------------------- aggregations

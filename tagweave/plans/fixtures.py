@@ -226,7 +226,8 @@ def whole_documents(spark, sf) -> DataFrame:
 
 def questions(spark, sf) -> DataFrame:
     items = table(spark, sf, "benchmark")
-    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("en").alias("param"))
+    return items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"),
+                        F.when(F.col("item_id") % 5 == 4, "es").otherwise("en").alias("param"))
 
 
 def scratch(spark, name) -> str:

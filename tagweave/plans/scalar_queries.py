@@ -227,19 +227,27 @@ def p20(spark, sf):
 
 
 @query("p21_band_resolution", """
-WITH b AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS c_lo, abs(s_acctbal) AS c_hi FROM supplier)
-SELECT s_suppkey, c_lo, c_hi, c_lo - w * 0.5 AS a_lo, c_hi + w * 0.5 AS a_hi, c_lo - w AS t_lo, c_hi + w AS t_hi
-FROM (SELECT *, CASE WHEN c_hi = c_lo THEN CAST(1 AS DOUBLE) ELSE abs(c_hi - c_lo) END AS w FROM b)""")
+WITH b AS (SELECT s_suppkey AS k, CASE WHEN k % 2 = 0 THEN CAST(s_nationkey AS DOUBLE) ELSE s_nationkey + 1.5::DOUBLE END AS c_lo,
+             CASE WHEN k % 2 = 0 THEN abs(s_acctbal) ELSE abs(s_acctbal) + 1.5 END AS c_hi FROM supplier),
+ w AS (SELECT *, CASE WHEN c_hi = c_lo THEN CAST(1 AS DOUBLE) ELSE abs(c_hi - c_lo) END AS w FROM b)
+SELECT k AS s_suppkey, c_lo, c_hi, CASE WHEN k % 3 = 0 THEN -5::DOUBLE WHEN k % 5 <> 0 THEN -7::DOUBLE ELSE c_lo - w * 0.5 END AS a_lo,
+  CASE WHEN k % 3 = 0 THEN 5::DOUBLE WHEN k % 5 <> 0 THEN 7::DOUBLE ELSE c_hi + w * 0.5 END AS a_hi,
+  CASE WHEN k % 7 = 0 THEN -9::DOUBLE WHEN k % 4 <> 0 THEN -11::DOUBLE ELSE c_lo - w END AS t_lo,
+  CASE WHEN k % 7 = 0 THEN 9::DOUBLE WHEN k % 4 <> 0 THEN 11::DOUBLE ELSE c_hi + w END AS t_hi FROM w""")
 def p21(spark, sf):
-    """Assets that give a control band only, with no parameter to fall back on."""
-    none = F.lit(None).cast("array<double>")
+    """Bands of the asset, else of the parameter, else widened from the control band."""
+    k, lo, hi = F.col("s_suppkey"), F.col("s_nationkey").cast("double"), F.abs("s_acctbal")
+
+    def when(given, value):
+        return F.when(given, F.lit(value) if isinstance(value, float) else value)
+
     rows = table(spark, sf, "supplier").select(
-        "s_suppkey", F.array(F.col("s_nationkey").cast("double"), F.abs("s_acctbal")).alias("a_control"),
-        none.alias("a_alarm"), none.alias("a_trip"),
-        *[F.lit(None).cast("double").alias(f"p_{k}_{e}") for k in bd.ZONES for e in ("lo", "hi")])
-    widen = [bands.widened(F.col("a_control"), f) for f in (0.5, 1.0)]
-    pairs = dict(zip("cat", [F.col("a_control"), *widen]))
-    return rows.select("s_suppkey", *[pairs[k][i].alias(f"{k}_{e}") for k in "cat" for i, e in enumerate(("lo", "hi"))])
+        k, when(k % 2 == 0, F.array(lo, hi)).alias("a_control"), when(k % 3 == 0, F.array(F.lit(-5.0), F.lit(5.0))).alias("a_alarm"),
+        when(k % 7 == 0, F.array(F.lit(-9.0), F.lit(9.0))).alias("a_trip"), (lo + 1.5).alias("p_control_lo"), (hi + 1.5).alias("p_control_hi"),
+        when(k % 5 != 0, -7.0).alias("p_alarm_lo"), when(k % 5 != 0, 7.0).alias("p_alarm_hi"),
+        when(k % 4 != 0, -11.0).alias("p_trip_lo"), when(k % 4 != 0, 11.0).alias("p_trip_hi"))
+    pairs = dict(zip("cat", bd.resolved_bands()))
+    return rows.select("s_suppkey", *[pairs[b][i].alias(f"{b}_{e}") for b in "cat" for i, e in enumerate(("lo", "hi"))])
 
 
 @query("p22_scenario_value", fx.sql("""
@@ -296,32 +304,42 @@ def p25(spark, sf):
             .unionByName(body(lookups.normalise_calibrations(ages), "rdbms", "tag", "calibration_age_days", "lab_note_ref")))
 
 
-@query("p26_table_classifier", """
-SELECT o_orderkey, CASE CAST(substr(o_orderpriority, 1, 1) AS INT)
-  WHEN 1 THEN 'mes' WHEN 2 THEN 'asset' WHEN 3 THEN 'sap' WHEN 4 THEN 'other' ELSE 'rdbms' END AS kind,
-  CASE CAST(substr(o_orderpriority, 1, 1) AS INT) WHEN 1 THEN 8 WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 7 END AS score FROM orders""")
+def _scores_sql():
+    """Score per kind of a table named by a text, with the text's words as its columns."""
+    out = []
+    for kind, words in fixed.TABLE_NAME_WORDS.items():
+        named = " OR ".join(f"contains(name, '{w}')" for w in words)
+        columns = ", ".join(f"'{c}'" for c in fixed.TABLE_COLUMNS[kind])
+        out.append(f"(CASE WHEN {named} THEN 6 ELSE 0 END + len(list_intersect(columns, [{columns}])))")
+    return "[" + ", ".join(out) + "]"
+
+
+@query("p26_table_classifier", f"""
+WITH t AS (SELECT doc_id, lower(substring(text, 1, 400)) AS name, list_transform(string_split(concat(text, ' unit ', source, ' tag'), ' '), lambda c: replace(replace(lower(trim(c)), ' ', '_'), '-', '_')) AS columns FROM documents),
+ s AS (SELECT doc_id, {_scores_sql()} AS scores FROM t)
+SELECT doc_id, CASE WHEN list_max(scores) >= 2 THEN {list(fixed.TABLE_NAME_WORDS)}[list_position(scores, list_max(scores))] ELSE 'other' END AS kind,
+       CAST(list_max(scores) AS BIGINT) AS score FROM s""")
 def p26(spark, sf):
-    """File name and columns by order priority; a tie goes to the earlier kind."""
-    level = F.substring("o_orderpriority", 1, 1)
-    name = (F.when(level == "1", "Batch export.csv").when(level == "5", "LAB results.csv").otherwise("upload.csv"))
-    columns = (F.when(level == "1", F.array(F.lit("Start"), F.lit("end"), F.lit("x")))
-               .when(level == "2", F.array(F.lit("Control-Lo"), F.lit("unit"), F.lit("product"), F.lit("grade")))
-               .when(level == "3", F.array(F.lit("Material No"), F.lit("grade")))
-               .when(level == "4", F.array(F.lit("tag"), F.lit("other"))).otherwise(F.array(F.lit("drift mv"))))
-    tables = table(spark, sf, "orders").select("o_orderkey", name.alias("filename"), columns.alias("columns"))
-    return lookups.classify_tables(tables).select("o_orderkey", "kind", "score")
-
-
-@query("p27_document_classifier", """
-SELECT doc_id, CASE lang WHEN 'en' THEN 'CAPA' WHEN 'fr' THEN 'REGULATORY' WHEN 'de' THEN 'OEM' ELSE 'OTHER' END AS by_name,
-       CASE lang WHEN 'en' THEN 'SOP' WHEN 'fr' THEN 'REGULATORY' WHEN 'de' THEN 'MASTER_INDEX' ELSE 'NOTES' END AS by_kind FROM documents""")
+    """Tables named by the beginning of a document, with its words as columns."""
+    words = F.split(F.concat("text", F.lit(" unit "), "source", F.lit(" tag")), " ")
+    tables = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("filename"), words.alias("columns"))
+    return lookups.classify_tables(tables).select("doc_id", "kind", "score")
+
+
+def _type_sql(name):
+    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({name}, '{w}')" for w in words) + f" THEN '{kind}'"
+                              for kind, words in fixed.DOCUMENT_TYPES) + " ELSE 'OTHER' END"
+
+
+@query("p27_document_classifier", f"""
+SELECT doc_id, {_type_sql('lower(text)')} AS by_name, CASE WHEN source IN ('src1', 'src2') THEN upper(source) WHEN source = 'src3' THEN 'MASTER_INDEX'
+  ELSE {_type_sql('lower(text)')} END AS by_kind FROM documents""")
 def p27(spark, sf):
-    lang = F.col("lang")
-    name = F.concat(F.when(lang == "en", "CAPA index sop").when(lang == "fr", "annex 11 sop").when(lang == "de", "Manual")
-                    .otherwise("letter"), F.col("doc_id").cast("string"))
-    kind = F.when(lang == "en", "sop").when(lang == "fr", "Auto").when(lang == "de", "Master-Index").otherwise("notes")
-    return table(spark, sf, "documents").select("doc_id", text.document_type(name).alias("by_name"),
-                                                text.document_type(name, kind).alias("by_kind"))
+    """The whole text stands for the file name; some sources state a kind."""
+    kind = F.when(F.col("source").isin("src1", "src2"), F.col("source")).when(F.col("source") == "src3", "Master-Index").when(
+        F.col("source") == "src4", "Auto").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", text.document_type("text").alias("by_name"),
+                                                text.document_type("text", kind).alias("by_kind"))
 
 
 @query("p28_slug", """
@@ -337,14 +355,25 @@ def p28(spark, sf):
     return lookups.unique_slots(c.select("c_custkey", name.alias("filename")), "c_custkey").select("c_custkey", "filename", "slot")
 
 
-@query("p29_parameter_guess", """
-SELECT doc_id, CASE lang WHEN 'en' THEN 'temp' WHEN 'fr' THEN 'press' WHEN 'de' THEN 'temp' END AS param FROM documents""")
+def _guess_sql():
+    """The score of every parameter in a text, written the long way."""
+    words = f"string_split(trim(regexp_replace(low, '{text.SPACE}+', ' ', 'g')), ' ')"
+    scores = ", ".join(
+        f"CASE WHEN contains(low, '{p.short.lower()}') OR contains(low, '{p.name.lower()}') THEN 2 ELSE 0 END + CASE WHEN contains(low, '{p.tag.lower()}') THEN 2 ELSE 0 END"
+        f" + CASE WHEN list_contains({words}, '{p.param}') THEN 1 ELSE 0 END" for p in sorted(dims.BUILT_IN, key=lambda p: p.param, reverse=True))
+    names = sorted((p.param for p in dims.BUILT_IN), reverse=True)
+    return f"SELECT doc_id, [{scores}] AS scores, {names} AS names FROM t"
+
+
+@query("p29_parameter_guess", f"""
+WITH t AS (SELECT doc_id, lower(concat(text, CASE lang WHEN 'en' THEN ' The reactor temperature, TT-1202B, and the pressure.'
+   WHEN 'fr' THEN ' Pressure against conductivity here.' WHEN 'de' THEN ' temp hum ' ELSE '' END)) AS low FROM documents), s AS ({_guess_sql()})
+SELECT doc_id, CASE WHEN list_max(scores) > 0 THEN names[list_position(scores, list_max(scores))] END AS param FROM s""")
 def p29(spark, sf):
-    """Whole documents with a sentence that names a parameter; ties go to the greater id."""
+    """Whole documents, most with a sentence that names a parameter; ties go to the greater id."""
     words = (F.when(F.col("lang") == "en", " The reactor temperature, TT-1202B, and the pressure.")
              .when(F.col("lang") == "fr", " Pressure against conductivity here.").when(F.col("lang") == "de", " temp hum ").otherwise(""))
-    body = F.concat(F.regexp_replace("text", "(?i)ph|hum|temp|press|cond", "-"), words)
-    return table(spark, sf, "documents").select("doc_id", text.guess_parameter(body, dims.BUILT_IN).alias("param"))
+    return table(spark, sf, "documents").select("doc_id", text.guess_parameter(F.concat("text", words), dims.BUILT_IN).alias("param"))
 
 
 @query("p30_driver_slice", fx.sql("SELECT reading_id, drivers FROM plant_graded", "plant_graded"))

@@ -148,21 +148,24 @@ def s08(spark, sf):
 
 
 def _document_files(spark, sf):
+    """All documents in one text file per source, in order of their ids."""
     path = fx.scratch(spark, "texts")
-    table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value")).repartition("item_id").write.partitionBy(
-        "item_id").text(path)
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.col("text").alias("value"))
+    docs.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
     return path
 
 
-def _item():
-    return F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long")
+def _source():
+    return F.regexp_extract("path", "source=([^/]+)", 1)
 
 
-@query("s09_text_documents", "SELECT item_id, text FROM benchmark")
+@query("s09_text_documents", """
+SELECT source, md5(string_agg(text, chr(10) ORDER BY doc_id)) AS digest, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY 1""")
 def s09(spark, sf):
-    """One text file per document, read whole."""
+    """Text files, read whole."""
     got = files.read_documents(spark, _document_files(spark, sf))
-    return got.select(_item().alias("item_id"), F.regexp_replace("text", "\n$", "").alias("text"))
+    return got.select(_source().alias("source"), F.md5(F.regexp_replace("text", "\n$", "")).alias("digest"),
+                      F.length("text").cast("long").alias("chars"))
 
 
 @query("s10_file_profile", """
@@ -186,11 +189,11 @@ def s10(spark, sf):
 
 
 @query("s11_file_inventory", """
-SELECT item_id, CAST(strlen(text) + 1 AS BIGINT) AS bytes, TRUE AS preferred FROM benchmark""")
+SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, TRUE AS preferred FROM documents GROUP BY 1""")
 def s11(spark, sf):
     """Files on disk with size, preferred prefix first; content is not read."""
     listing = files.inventory(files.scan_files(spark, _document_files(spark, sf)), prefix="PART-")
-    return listing.select(_item().alias("item_id"), "bytes", "preferred")
+    return listing.select(_source().alias("source"), "bytes", "preferred")
 
 
 @query("s12_parameter_dimension", fx.sql("""

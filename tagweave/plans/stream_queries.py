@@ -2,11 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from tagweave.functions import scalars as s
-from tagweave.operators import dedup, enrich, medallion
+from tagweave.operators import enrich, medallion
 from tagweave.plans import fixtures as fx
-from tagweave.plans.context_queries import (AUDIT_FOLD_SQL, AUDIT_HASH_SQL, AUDIT_SEGMENT, AUDIT_SQL, REPLAY_SQL, TICKS,
-                                            audit_source)
+from tagweave.plans.context_queries import AUDIT_FOLD_SQL, AUDIT_HASH_SQL, AUDIT_SEGMENT, AUDIT_SQL, audit_source
 from tagweave.plans.registry import query
 from tagweave.plans.scan_queries import BRONZE_LIST, BRONZE_SQL, SILVER_SQL
 from tagweave.schemas import BRONZE_COLUMNS
@@ -117,19 +115,17 @@ def z07(spark, sf):
     return spark.read.parquet(out).select("kafka_partition", "kafka_offset", "tag", "value")
 
 
-PACED = 12
-
-
-@query("z08_paced_replay", fx.sql(REPLAY_SQL.replace(f"range({TICKS})", f"range({PACED})"), "plant"))
+@query("z08_paced_replay", fx.sql("""
+SELECT strftime(ts, '%Y-%m-%d') AS dt, param, reading_id, value FROM plant""", "plant"))
 def z08(spark, sf):
-    """One file per tick, one tick per micro-batch."""
-    path, (out, checkpoint) = fx.scratch(spark, "ticks"), _paths(spark, "z-replay")
-    ticked = dedup.replay(fx.plant_readings(spark, sf), PACED, [F.col("row_index")])
-    jobs.write_replay(ticked.select("tick", "param", "reading_id", "value", s.clock_text("ts").alias("timestamp")), path)
-    stream = jobs.replay_stream(spark, path, "tick long, param string, reading_id string, value double, timestamp string")
+    """All stored readings, a few days' files per micro-batch."""
+    path, (out, checkpoint) = fx.scratch(spark, "days"), _paths(spark, "z-paced")
+    jobs.write_paced(fx.plant_readings(spark, sf).select("param", "reading_id", "value", "ts"), path)
+    schema = "param string, reading_id string, value double, ts timestamp_ntz, dt string"
+    stream = jobs.paced_stream(spark, path, schema, files_per_tick=8)
     (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
      .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.parquet(out).select("tick", "param", "reading_id", "value")
+    return spark.read.parquet(out).select("dt", "param", "reading_id", "value")
 
 
 @query("z09_stream_audit", fx.sql("SELECT e.chain, e.segment, e.seq, h.prev_hash, h.hash FROM e JOIN h USING (chain, segment, seq)",

@@ -1,11 +1,5 @@
 """Explicit schemas of the data contracts."""
 
-READING = (
-    "tag string, value double, unit string, quality string, timestamp string, uns_topic string, "
-    "source string, param string, asset string, name string, reading_id string, file_tag string, "
-    "file_unit string, file_ts string, filename string, row_index long"
-)
-
 ENVELOPE_VALUE = (
     "tag string, value double, unit string, timestamp string, quality string, param string, "
     "asset string, name string, uns_topic string, source string, filename string, "

@@ -1,5 +1,7 @@
 """Session settings and the shared folder for written intermediates."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,12 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tagweave-")
+        named = context.getCheckpointDir() or _own_folder()
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _own_folder() -> str:
+    """A folder of this process, removed when it ends."""
+    folder = tempfile.mkdtemp(prefix="tagweave-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/tagweave/{name}-{uuid.uuid4().hex}"

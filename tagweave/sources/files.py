@@ -1,29 +1,48 @@
 """Lookup tables, lake tables, documents and file listings."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave import fixed_values as fixed
 from tagweave.functions import scalars as s
+from tagweave.operators.sizing import lookup_join
 
 
-def _normal_rows(df: DataFrame) -> DataFrame:
+def _normal_rows(df: DataFrame, keep=None) -> DataFrame:
     """Header names normalised, cells trimmed, rows without any content dropped."""
-    named = df.select(*[F.trim(F.col(f"`{c}`").cast("string")).alias(s.field_name(c)) for c in df.columns])
-    return named.filter(F.coalesce(*[s.blank_to_null(c) for c in named.columns]).isNotNull())
+    cells = [c for c in df.columns if c != keep]
+    named = df.select(*[F.trim(F.col(f"`{c}`").cast("string")).alias(s.field_name(c)) for c in cells], *[keep] * bool(keep))
+    return named.filter(F.coalesce(*[s.blank_to_null(s.field_name(c)) for c in cells]).isNotNull())
 
 
-def read_lookup_table(spark: SparkSession, path: str, kind="csv") -> DataFrame:
-    """A CSV, TSV, TXT or JSON lookup file as text columns under normalised names."""
+def read_lookup_table(spark: SparkSession, path: str, kind="csv", order=False) -> DataFrame:
+    """A CSV, TSV, TXT or JSON lookup file as text columns under normalised names.
+
+    With ``order`` a column ``seq`` follows the order of the files' names and of the rows in
+    them, however Spark deals the files out; joins that take the first row rely on it.
+    """
     if kind == "json":
         raw = spark.read.option("multiLine", True).option("primitivesAsString", True).json(path)
-        inner = [c for c in ("rows", "data", "records")
-                 if c in raw.columns and dict(raw.dtypes)[c].startswith("array<struct")]
-        if inner:
-            raw = raw.select(F.inline(F.col(inner[0])))
+    else:
+        raw = spark.read.option("header", True).option("sep", "\t" if kind == "tsv" else ",").csv(path)
+    at = ["_file", "_block", "_at"] if order else []
+    if order:
+        raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                         F.monotonically_increasing_id().alias("_at"))
+    inner = [c for c in ("rows", "data", "records") if c in raw.columns and dict(raw.dtypes)[c].startswith("array<struct")]
+    if kind == "json" and inner:
+        raw = raw.select(*at, F.posexplode(F.col(inner[0])).alias("_pos", "_row")).select(*at, "_pos", "_row.*")
+        if order:
+            raw = raw.withColumn("_at", F.col("_at") + F.col("_pos"))
+        raw = raw.drop("_pos")
+    if not order:
         return _normal_rows(raw)
-    separator = "\t" if kind == "tsv" else ","
-    return _normal_rows(spark.read.option("header", True).option("sep", separator).csv(path))
+    # Rows before a row in its block take a byte or more each, so block start plus row is in order.
+    blocks = raw.groupBy("_file", "_block").agg(F.min("_at").alias("_first"))
+    files = blocks.select("_file").distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))
+    placed = lookup_join(raw, blocks.join(files, "_file"), ["_file", "_block"], "inner")
+    seq = F.col("_rank") * F.lit(1 << 44) + F.col("_block") + F.col("_at") - F.col("_first")
+    return _normal_rows(placed.withColumn("_seq", seq.cast("long")).drop(*at, "_first", "_rank"), keep="_seq").withColumnRenamed("_seq", "seq")
 
 
 def read_lake(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:

@@ -13,11 +13,10 @@ from tagweave.sources.tables import existing
 def write_days(df: DataFrame, path: str, mode="append") -> str:
     """A table under dt=YYYY-MM-DD.
 
-    Rows move by day and a hash of the row, so a day that holds most rows is written by
-    many tasks and a task still writes few days.
+    Rows are rebalanced by day under adaptive execution: a large day is cut into as many
+    tasks as its size asks for, small days share one.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c != "dt"]), F.lit(16))
-    df.repartition("dt", spread).write.mode(mode).partitionBy("dt").parquet(path)
+    df.hint("rebalance", "dt").write.mode(mode).partitionBy("dt").parquet(path)
     return path
 
 
@@ -28,14 +27,12 @@ def land_bronze(envelopes: DataFrame, path: str) -> str:
 
 def write_silver(bronze: DataFrame, path: str) -> str:
     """K2: Silver under the day of the raw clock."""
-    day = medallion.silver(bronze)
-    return write_days(day.withColumn("dt", F.coalesce(F.col("ts").cast("date").cast("string"), F.lit("unknown"))), path)
+    return write_days(medallion.with_day(medallion.silver(bronze)), path)
 
 
 def write_gold(silver: DataFrame, path: str) -> str:
     """K3: the Gold lake table; the snapshot is ``medallion.latest_by_time`` over it."""
-    day = medallion.gold(silver)
-    return write_days(day.withColumn("dt", F.coalesce(F.col("ts").cast("date").cast("string"), F.lit("unknown"))), path)
+    return write_days(medallion.with_day(medallion.gold(silver)), path)
 
 
 # What identifies a log record: an offset counts within its partition only.

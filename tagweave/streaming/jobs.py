@@ -45,9 +45,9 @@ def stream_bronze(envelopes: DataFrame, path: str, checkpoint: str, available_no
 
 
 def stream_gold(envelopes: DataFrame, path: str, checkpoint: str, parameters=dims.BUILT_IN, available_now=True):
-    """Log to Gold in one stateless chain."""
-    rows = medallion.gold(medallion.silver(medallion.bronze(envelopes), parameters))
-    return _start(rows.writeStream.format("parquet").option("path", path), checkpoint, available_now)
+    """Log to Gold in one stateless chain, under day folders as the batch writer."""
+    rows = medallion.with_day(medallion.gold(medallion.silver(medallion.bronze(envelopes), parameters)))
+    return _start(rows.writeStream.format("parquet").partitionBy("dt").option("path", path), checkpoint, available_now)
 
 
 def stream_enriched(readings: DataFrame, load_lookups, events_path: str, rejects_path: str,
@@ -152,16 +152,14 @@ def stream_historian(bronze: DataFrame, path: str, checkpoint: str, available_no
     return _start(bronze.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
-def write_replay(ticked: DataFrame, path: str) -> str:
-    """Replay rows (W7) as files, one folder per tick, in tick order for the source."""
-    ticked.repartition("tick").write.mode("overwrite").partitionBy("tick").json(path)
-    return path
+def write_paced(rows: DataFrame, path: str, clock="ts") -> str:
+    """Stored rows as files, one folder per day, to be streamed in that order."""
+    return sinks.write_days(medallion.with_day(rows, clock), path, mode="overwrite")
 
 
-def replay_stream(spark: SparkSession, path: str, schema, files_per_tick=1) -> DataFrame:
-    """The replay folders as a paced stream."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_tick)
-            .option("recursiveFileLookup", False).json(path))
+def paced_stream(spark: SparkSession, path: str, schema, files_per_tick=1) -> DataFrame:
+    """The files as a stream of a few per micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_tick).parquet(path)
 
 
 def stream_audit(entries: DataFrame, path: str, checkpoint: str, order, segment_rows=au.SEGMENT_ROWS,

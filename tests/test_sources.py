@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars as s
-from tagweave.operators import boards, medallion
+from tagweave.operators import boards, lookups, medallion
 from tagweave.plans import fixtures as fx
 from tagweave.sources import files, readings, sinks
 from tagweave.sources.parameters import BUILT_IN
@@ -90,6 +90,22 @@ def test_lookup_tables(spark, tmp_path):
     assert [(r.tag, r.n_o) for r in got.collect()] == [("A", "1")]
 
 
+def test_lookup_rows_in_file_order(spark, tmp_path):
+    """The first row of a key is the first by file name and line, whatever the files' sizes."""
+    folder = tmp_path / "in"
+    write(folder, "a.csv", "tag,asset\nT,first\nU,x\n")
+    write(folder, "b.csv", "tag,asset\n" + "".join(f"T,b{n}\nV,v{n}\n" for n in range(3000)))
+    write(folder, "c.csv", "tag,asset\nV,late\nT,late\n")
+    rows = files.read_lookup_table(spark, str(folder), order=True)
+    got = {r.tag: r.asset for r in lookups.first_match(rows, "tag").collect()}
+    assert got == {"T": "first", "U": "x", "V": "v0"}
+    ordered = [r.asset for r in rows.filter("tag = 'V'").orderBy("seq").collect()]
+    assert ordered == [f"v{n}" for n in range(3000)] + ["late"]
+    write(tmp_path / "j", "t.json", json.dumps({"rows": [{"tag": "A", "n": i} for i in range(50)]}))
+    got = files.read_lookup_table(spark, str(tmp_path / "j"), "json", order=True)
+    assert [r.n for r in got.orderBy("seq").collect()] == [str(i) for i in range(50)]
+
+
 def test_file_profile_and_inventory(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
