@@ -33,6 +33,8 @@ TRAIN_ROWS = 4000
 PRIOR = 1000.0
 PENALTY = 3.0
 STEPS = 12
+# Inference takes some 60 bytes per byte of text.
+SLICE = 1 << 20
 SHARES = "array<struct<lang:string,share:double>>"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -200,7 +202,7 @@ def identified(docs: DataFrame, keep: list = (), train_rows: int = TRAIN_ROWS) -
     def run(batches):
         model = Model(*state.value)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 found = model.infer(part.column("text").to_pylist())
                 shares = [[{"lang": n, "share": s} for n, s in parts] for _, _, parts in found]
                 kept = part if with_text else part.drop_columns(["text"])

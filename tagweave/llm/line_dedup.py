@@ -4,8 +4,8 @@ A run is a table of distinct line keys, bucketed and sorted by key: the key's 12
 the number of documents that hold it and its holder, the largest doc_id. Batches arrive
 with falling document ids. The keys of a batch are merge-anti-joined with the runs, which
 share their buckets: a key that no run has yet takes its holder from this batch, a known
-key only adds to the count. The batch then becomes a run of level 0, and whenever a level
-holds ``fanout`` runs they are merged into one of the next level.
+key only adds to the count. The batch then becomes a run of level 0. Before a level would
+hold more than ``fanout`` runs, they are merged into one of the next level.
 
 Defined cases: a text is split at line feeds; null and empty texts are one empty line. Keys
 are lines stripped of ASCII white space with A-Z lower-cased. Every row of documents counts
@@ -21,12 +21,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import HOT_SHARE, as_bytes, saved
+from tagweave.llm.common import HOT_SHARE, as_bytes, saved, text_slices
 from tagweave.session import scratch_path
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-BATCHES = 4
+BATCHES = 3
 FANOUT = 2
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -43,13 +43,14 @@ def keys_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, k): every distinct key of every row of documents."""
     def run(batches):
         for batch in batches:
-            owners, found = [], []
-            for owner, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
-                own = {line_key(line, min_chars) for line in (text or b"").split(b"\n")} - {None}
-                owners += [owner] * len(own)
-                found += own
-            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(found, pa.binary())],
-                                             ["doc_id", "k"])
+            for part in text_slices(batch):
+                owners, found = [], []
+                for owner, text in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text"))):
+                    own = {line_key(line, min_chars) for line in (text or b"").split(b"\n")} - {None}
+                    owners += [owner] * len(own)
+                    found += own
+                yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(found, pa.binary())],
+                                                 ["doc_id", "k"])
 
     plain = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"),
                                                      F.col("text").cast("string").alias("text"))
@@ -67,6 +68,7 @@ class LineRuns:
 
     def add(self, keys: DataFrame) -> str:
         """Take in the (doc_id, k) rows of a batch whose ids are below those of earlier batches."""
+        self._compact()
         batch = keys.groupBy("k").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
         known = F.lit(False)
         for at, run in enumerate(self.runs()):
@@ -74,7 +76,6 @@ class LineRuns:
             known = known | F.col(f"_in_{at}").isNotNull()
         name = self._write(batch.select("k", "n", F.when(~known, F.col("holder")).alias("holder")))
         self.levels[0].append(name)
-        self._compact()
         return name
 
     def runs(self) -> list[DataFrame]:
@@ -102,6 +103,7 @@ class LineRuns:
         return one
 
     def _compact(self) -> None:
+        """Make room for one more run."""
         for at, level in enumerate(self.levels):
             if len(level) >= self.fanout:
                 merged = self._write(self._merge([self.spark.table(name) for name in level]))
@@ -114,7 +116,8 @@ class LineRuns:
 
     def _write(self, df: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (df.write.format("parquet").option("path", scratch_path(self.spark, name))
+        # Hashes do not compress, and every file of a codec would hold buffers outside the heap.
+        (df.write.format("parquet").option("path", scratch_path(self.spark, name)).option("compression", "uncompressed")
          .bucketBy(self.buckets, "k").sortBy("k").saveAsTable(name))
         return name
 
@@ -128,7 +131,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     cuts = sorted(set(ids.approxQuantile("doc_id", shares, 0.01))) if shares else []
     number = sum((F.when(F.col("doc_id") < F.lit(int(c)), 1).otherwise(0) for c in cuts), F.lit(0))
     path = scratch_path(spark, "line-keys")
-    keys_of(docs, min_chars).withColumn("batch", number).write.partitionBy("batch").parquet(path)
+    keys_of(docs, min_chars).withColumn("batch", number).write.option("compression", "uncompressed").parquet(path)
     keys = spark.read.schema("doc_id long, k binary, batch int").parquet(path)
 
     runs = LineRuns(spark)
@@ -161,9 +164,9 @@ def dedup_lines(docs: DataFrame, keep: list = (), min_chars: int = MIN_CHARS, mi
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *own)
 
     def run(batches_):
-        for batch in batches_:
+        for part in (p for batch in batches_ for p in text_slices(batch)):
             texts, lines, lost, digests = [], [], [], []
-            for text, gone in zip(as_bytes(batch.column("text")), batch.column("drops").to_pylist()):
+            for text, gone in zip(as_bytes(part.column("text")), part.column("drops").to_pylist()):
                 all_lines = (text or b"").split(b"\n")
                 kept = all_lines
                 if gone:
@@ -177,7 +180,7 @@ def dedup_lines(docs: DataFrame, keep: list = (), min_chars: int = MIN_CHARS, mi
                 digests.append(hashlib.sha256(joined).hexdigest())
             new = [pa.array(texts, pa.binary()).cast(pa.string())] if with_text else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[batch.column(c) for c in own], *new,
+                [part.column("doc_id"), *[part.column(c) for c in own], *new,
                  pa.array(lines, pa.int64()), pa.array(lost, pa.int64()), pa.array(digests, pa.string())],
                 ["doc_id", *own, *["text"] * with_text, "n_lines", "n_dropped", "kept_sha256"])
 

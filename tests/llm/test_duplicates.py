@@ -122,7 +122,7 @@ def test_runs_are_compacted(spark, documents):
     keys = line_dedup.keys_of(documents)
     for low, high in ((150, 1000), (100, 150), (50, 100), (0, 50)):
         runs.add(keys.filter(f"doc_id >= {low} AND doc_id < {high}"))
-    assert [len(level) for level in runs.levels] == [0, 0, 1]
+    assert [len(level) for level in runs.levels] == [2, 1]
     want = keys.groupBy("k").agg({"doc_id": "max", "*": "count"}).selectExpr("k", "`count(1)`", "`max(doc_id)`")
     assert sorted(map(tuple, runs.merged().collect())) == sorted(map(tuple, want.collect()))
     runs.close()
