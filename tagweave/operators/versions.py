@@ -42,13 +42,15 @@ def load_active(datasets: DataFrame, rows: DataFrame) -> DataFrame:
     return lookup_join(rows, active, "dataset_id", "inner")
 
 
-def delete_slot(datasets: DataFrame, rows: DataFrame, slots: DataFrame):
-    """K9: drop the datasets of the given slots (or without slot, of that kind) and their rows.
+def delete_slot(datasets: DataFrame, rows: DataFrame, slots: DataFrame = None):
+    """K9: drop the datasets of the given slots (or without slot, of that kind) and their rows;
+    without ``slots`` drop all.
 
     Returns the kept datasets, the kept rows and the counts of what was deleted per slot.
     """
-    doomed = datasets.withColumn("_slot", slot_of()).join(
-        slots.select(F.col("slot").alias("_slot")).distinct(), "_slot", "left_semi")
+    doomed = datasets.withColumn("_slot", slot_of())
+    if slots is not None:
+        doomed = doomed.join(slots.select(F.col("slot").alias("_slot")).distinct(), "_slot", "left_semi")
     gone = doomed.select("dataset_id", F.col("_slot").alias("slot"))
     kept = lookup_join(datasets, gone.select("dataset_id"), "dataset_id", "left_anti")
     kept_rows = lookup_join(rows, gone.select("dataset_id"), "dataset_id", "left_anti")

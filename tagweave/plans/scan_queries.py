@@ -330,6 +330,17 @@ def k09(spark, sf):
     return versions.delete_slot(datasets(spark, sf), dataset_rows(spark, sf), slots)[2]
 
 
+@query("k09_delete_all", """
+SELECT concat('c', CAST(o_custkey AS VARCHAR)) AS slot, count(*) AS deleted_datasets, CAST(sum(coalesce(n, 0)) AS BIGINT) AS deleted_readings,
+       CAST(0 AS BIGINT) AS kept
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey GROUP BY 1""")
+def k09_all(spark, sf):
+    """Delete every slot; nothing is kept."""
+    kept, kept_rows, counts = versions.delete_slot(datasets(spark, sf), dataset_rows(spark, sf))
+    left = kept.agg(F.count("*").alias("n")).unionAll(kept_rows.agg(F.count("*"))).agg(F.sum("n")).scalar()
+    return counts.withColumn("kept", left)
+
+
 @query("k10_board_export", fx.sql("""
 SELECT reading_id, "timestamp", param, CAST(value AS VARCHAR) AS value, spec, CAST(delta AS VARCHAR) AS delta, batch,
        mes_window, lab_note_ref, zone AS board FROM plant_flat WHERE zone <> 'control'""", "plant_flat"))
