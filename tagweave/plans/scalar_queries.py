@@ -95,7 +95,7 @@ def p07(spark, sf):
 @query("p08_topic_path", fx.sql("""
 SELECT reading_id, concat('plant/', p_topic_line, '/', p_asset, '/', p.param) AS live,
        concat('plant/file/', substr(concat('Export_', repeat('x', u), '_', CAST(event_id AS VARCHAR), repeat('y', 40)), 1, 48), '-',
-         md5(concat('C:\in\Export ', repeat('x', u), '#', CAST(event_id AS VARCHAR), repeat('y', 40), '.csv')), '/', tag) AS file
+         md5(concat('C:\\in\\Export ', repeat('x', u), '#', CAST(event_id AS VARCHAR), repeat('y', 40), '.csv')), '/', tag) AS file
 FROM plant r JOIN params p ON r.param = p.param""", "plant", "params"))
 def p08(spark, sf):
     lines = F.coalesce(*[F.when(F.col("p_asset") == a, F.lit(x)) for a, x in fixed.ASSET_TOPIC_LINE.items()])
