@@ -47,6 +47,14 @@ def test_simhash_equals_brute_force(documents, edges):
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
 
 
+def test_simhash_with_clashing_columns(edges):
+    got = simhash.near_duplicates(edges).collect()
+    assert len(got) == edges.count()
+    by_id = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert {i for i, r in by_id.items() if r["fingerprint"] == "0" * 16} == {1, 2, 3}
+    assert all(by_id[i]["component_id"] == 1 for i in (1, 2, 3)) and by_id[7]["component_id"] == 6
+
+
 def test_simhash_links_every_pair_within_three_bits(spark):
     random.seed(3)
     values = {random.getrandbits(64) for _ in range(60)}

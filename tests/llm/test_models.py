@@ -197,5 +197,10 @@ def test_token_store_is_bounded(monkeypatch):
     assert small.text(text) == want and len(small) <= 10
 
 
+def test_token_counts_with_clashing_columns(edges):
+    got = token_counts_of(edges)
+    assert len(got) == edges.count() and all(r["n_tokens"] >= (r["n_chars"] > 0) for r in got)
+
+
 def test_token_counts_of_nothing(none):
     assert token_count.token_counts(none).collect() == []
