@@ -14,6 +14,7 @@ without a doc_id are neither counted nor changed.
 """
 
 import hashlib
+import math
 import uuid
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ MIN_CHARS = 20
 MIN_DOCS = 3
 BATCHES = 3
 FANOUT = 2
+# Key rows of all batches per bucket.
+BUCKET_ROWS = 1 << 19
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -60,9 +63,9 @@ def keys_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 class LineRuns:
     """The runs of one line index, as bucketed tables in the shared folder."""
 
-    def __init__(self, spark: SparkSession, buckets: int = None, fanout: int = FANOUT):
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
         self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets
         self.fanout = fanout
         self.levels = [[]]
 
@@ -70,6 +73,7 @@ class LineRuns:
         """Take in the (doc_id, k) rows of a batch whose ids are below those of earlier batches."""
         self._compact()
         batch = keys.groupBy("k").agg(F.count("*").alias("n"), F.max("doc_id").alias("holder"))
+        batch = batch.repartition(self.buckets, "k")  # one file per bucket, and the runs stay where they are
         known = F.lit(False)
         for at, run in enumerate(self.runs()):
             batch = batch.join(run.select("k", F.lit(True).alias(f"_in_{at}")), "k", "left")
@@ -134,7 +138,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     keys_of(docs, min_chars).withColumn("batch", number).write.option("compression", "uncompressed").parquet(path)
     keys = spark.read.schema("doc_id long, k binary, batch int").parquet(path)
 
-    runs = LineRuns(spark)
+    runs = LineRuns(spark, max(1, math.ceil(keys.count() / BUCKET_ROWS)))
     for batch in range(len(cuts) + 1):
         runs.add(keys.filter(F.col("batch") == batch).select("doc_id", "k"))
     often = saved(runs.merged().filter(F.col("n") >= min_docs), "repeated-lines")
