@@ -76,7 +76,7 @@ class LineRuns:
         batch = batch.repartition(self.buckets, "k")  # one file per bucket, and the runs stay where they are
         known = F.lit(False)
         for at, run in enumerate(self.runs()):
-            batch = batch.join(run.select("k", F.lit(True).alias(f"_in_{at}")), "k", "left")
+            batch = batch.join(run.select("k", F.lit(True).alias(f"_in_{at}")).hint("merge"), "k", "left")
             known = known | F.col(f"_in_{at}").isNotNull()
         name = self._write(batch.select("k", "n", F.when(~known, F.col("holder")).alias("holder")))
         self.levels[0].append(name)
