@@ -40,7 +40,7 @@ SCALE = 30.0
 PENALTY = 1e-4
 STEPS = 40
 # Hashing takes some 80 bytes per byte of text.
-SLICE = 1 << 20
+SLICE = 1 << 19
 BASE = 0x9E3779B97F4A7C15
 
 
