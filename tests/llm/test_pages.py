@@ -118,6 +118,31 @@ def test_scores_are_exact_without_shared_slots(spark, monkeypatch):
     assert got["https://good1.net/zz"] > 0 > got["http://spam-9.net/"]
 
 
+def test_no_gram_is_left_out(spark):
+    """Some 16,000 grams: hashed to 131,072 slots, many of them would be lost to others."""
+    def url(i):
+        return "http://" + hashlib.sha256(str(i).encode()).hexdigest()
+
+    train = [(url(i), "allow" if i % 3 else "block") for i in range(300)]
+    asked = [url(i) for i in range(1000, 1030)]
+    model = url_model.trained(spark.createDataFrame(train, "url string, decided string"))
+    got = {r["url"]: r["score"] for r in url_model.scored(spark.createDataFrame([(u,) for u in asked], "url string"), model).collect()}
+    want = slow_scores(train, asked)
+    assert [u for u in asked if abs(got[u] - want[u]) > 1e-9] == []
+
+
+def test_a_verdict_missing_from_the_held_out_fifth(spark):
+    """Three blocked URLs of which none is held out still block what is like them."""
+    urls = [f"https://good{i}.org/page" for i in range(40)] + [f"http://x.com/de/spam-{i}/buy" for i in range(60)]
+    marked = spark.createDataFrame([(u,) for u in urls], "url string").selectExpr(
+        "url", f"pmod(xxhash64(url), {url_model.HELD_OUT}) = 0 AS held").collect()
+    blocked = [r["url"] for r in marked if "/de/" in r["url"] and not r["held"]][:3]
+    asked = ["http://x.net/de/spam-77/buy", "https://good77.net/page"]
+    rows = url_model.judged(pages(spark, list(enumerate(urls[:40] + blocked + asked)))).collect()
+    spam, good = sorted((r for r in rows if r["rule"] is None), key=lambda r: r["page_id"])
+    assert spam["verdict"] == "block" and spam["score"] < good["score"]
+
+
 def test_threshold(spark):
     rows = [(x / 10, "allow") for x in range(3, 30)] + [(-x / 10, "block") for x in range(2, 30)] + [(5.0, "block"), (99.0, "allow")]
     limit = url_model.threshold(spark.createDataFrame(rows, "score double, decided string"))
