@@ -1,3 +1,5 @@
+import csv
+import io
 import json
 
 import pytest
@@ -64,6 +66,25 @@ def test_every_file_has_its_own_layout(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_a_quote_within_a_cell_is_text(spark, tmp_path):
+    """As csv.reader: an inch mark opens nothing, cells with line breaks do, over block bounds too."""
+    body = ['5" pipe', '"two\nlines"', '"a ""b"""', '7" and 9"', '"x\n""y"",\nz"', "plain", '"a"b', '3"']
+    text = "tag,value,note\n" + "".join(f"AT-3401,{n},{body[n * n % 7 if n % 5 else 7]}\n" for n in range(400))
+    want = sorted((r["value"], r["note"]) for r in csv.DictReader(io.StringIO(text)) if r["note"] != "ab")
+    write(tmp_path / "in", "a.csv", text)
+    for block in ("128m", "512b"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        try:
+            records = readings.file_records(spark, str(tmp_path / "in"))
+            cells = F.from_csv("value", "tag string, value string, note string", {"sep": ",", "escape": '"'})
+            got = records.filter("NOT startswith(value, 'tag,')").select(cells.alias("c")).select("c.*").collect()
+            read = readings.read_delimited(spark, str(tmp_path / "in")).select("value").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert sorted((r["value"], r["note"]) for r in got if r["note"] != '"a"b') == want
+        assert sorted(int(r["value"]) for r in read) == list(range(400))
+
+
 def test_a_file_without_readings_is_named(spark, tmp_path):
     folder = tmp_path / "in"
     write(folder, "x.csv", "a,b\n1,2\n")
