@@ -1,6 +1,9 @@
 """Registered queries of the operators, each over its whole table, and their SQL twins."""
 
-from tagweave.llm import archive, decontamination, language, line_dedup, packing, preference, quality, simhash, token_count, url_model
+from pyspark.sql import functions as F
+
+from tagweave.llm import (archive, decontamination, language, line_dedup, packing, piece_merge, preference, quality, simhash,
+                          spelling, token_count, url_model, whitening)
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,3 +121,19 @@ def op9_warc_archive(spark, sf):
 @query("op10_simhash")
 def op10_simhash(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, sf):
+    return piece_merge.digests(table(spark, sf, "documents"))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf):
+    found = whitening.whitened(table(spark, sf, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
