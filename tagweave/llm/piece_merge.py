@@ -2,15 +2,19 @@
 
 A text is a chain of symbols, at first its characters. Every adjacent pair that spells a
 piece stands on an agenda; the pair of highest score, leftmost of equal ones, is taken,
-becomes one symbol, and brings up to two new pairs. Entries whose symbols have changed since
-are passed over. What is left is looked up; a symbol that is no piece is written as its
-UTF-8 bytes, or as the unknown piece where the model has no byte pieces.
+becomes one symbol, and brings up to two new pairs. What is left is looked up; a symbol that
+is no piece is written as its UTF-8 bytes, or as the unknown piece where the model has no
+byte pieces.
 
 A merge never reaches over two characters that stand side by side in no piece, so a text is
 cut there and each stretch is merged on its own: at the marks in front of words, at line
-feeds, and inside long words. Distinct stretches are merged once per task, in a store of
-bounded size. Every row is checked in its Arrow batch against the sentencepiece library,
-which also decodes.
+feeds, between letters and other characters, and inside long stretches. Whether the
+vocabulary allows these cuts is looked up in its pieces. Distinct stretches are merged once
+per task, in a store of bounded size: those of one length side by side, with a row of an
+agenda matrix each, from which every step takes the best pair of every row; long ones and
+those with strange characters by themselves, with a heap as agenda, in which entries whose
+symbols have changed since are passed over. Every row is checked in its Arrow batch against
+the sentencepiece library, which also decodes.
 
 Defined cases: null and empty texts have no ids and decode to an empty text. Control,
 unknown and byte pieces are never matched in a text. Every row of documents is encoded by
@@ -21,7 +25,10 @@ one chain of n symbols.
 import heapq
 import re
 import struct
+import sys
+from itertools import chain, filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +36,15 @@ from pyspark.sql import functions as F
 from tagweave.llm.common import text_slices
 
 MARK = "▁"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 KEPT_LENGTH = 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGE_TYPE = 2
+LETTER = r"[^\W\d_]"
+# No symbol, no rank, and more than any number of pieces.
+GONE, NO_RANK, SPAN = -1, 1 << 40, 1 << 31
+# Stretches merged side by side.
+ROWS = 8192
 
 
 def fields(data: bytes):
@@ -93,26 +105,104 @@ class Encoder(dict):
         super().__init__()
         self.model = model
         self.joints = {piece[i:i + 2] for piece in model.ids for i in range(len(piece) - 1)}
-        inner = any(MARK in piece.lstrip(MARK) for piece in model.ids)
-        cut = r"\n" if not any("\n" in joint for joint in self.joints) else ""
-        words = f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + (f"|{cut}" if cut else "")
-        self.words = re.compile(r"(?s).+" if inner else words).findall
+        self.words = re.compile(self.pattern()).findall
+        self.symbols = np.full(sys.maxunicode + 1, GONE, dtype=np.int32)
+        for piece, i in model.ids.items():
+            if len(piece) == 1:
+                self.symbols[ord(piece)] = i
+        rank = {cost: at for at, cost in enumerate(sorted(set(model.cost.values())))}
+        made = sorted((left * SPAN + right, rank[model.cost[piece]], i) for piece, i in model.ids.items()
+                      for at in range(1, len(piece))
+                      if (left := model.ids.get(piece[:at])) is not None and (right := model.ids.get(piece[at:])) is not None)
+        self.pairs, self.ranks, self.made = (np.array(c, dtype=np.int64) for c in zip(*[(-1, 0, 0), *made]))
+
+    def pattern(self) -> str:
+        """Stretches between which no piece reaches."""
+        if any(MARK in piece.lstrip(MARK) for piece in self.model.ids):
+            return r"(?s).+"
+        other = f"[^{MARK}" + ("" if any("\n" in joint for joint in self.joints) else r"\n") + "]"
+        joints = [joint for joint in self.joints if MARK not in joint]
+        letter = LETTER
+        for _ in range(2):  # letters that a piece joins to other characters count as others
+            is_letter = re.compile(letter).match
+            mixed = [joint for joint in joints if bool(is_letter(joint[0])) != bool(is_letter(joint[1]))]
+            if not mixed:
+                return rf"{MARK}*{letter}+|{MARK}*(?:(?!{letter}){other})+|{MARK}+|\n"
+            letter = LETTER[:-1] + re.escape("".join(sorted({c for joint in mixed for c in joint if is_letter(c)}))) + "]"
+        return rf"{MARK}*{other}+|{MARK}+|\n"
 
     def __missing__(self, word: str) -> list:
+        """Ids of a stretch by itself; long ones are cut further and not kept."""
         if len(word) > KEPT_LENGTH:
             start, ids = 0, []
             for at in range(1, len(word)):
                 if word[at - 1:at + 1] not in self.joints:
-                    ids += self.merged(word[start:at])
+                    ids += self.named(self.merged(word[start:at]))
                     start = at
-            return ids + self.merged(word[start:])
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        self[word] = ids = self.merged(word)
+            return ids + self.named(self.merged(word[start:]))
+        self[word] = ids = self.named(self.merged(word))
         return ids
 
+    def learn(self, texts: list) -> None:
+        """Merge those of many stretches that are not in the store."""
+        fresh = set(filterfalse(self.__contains__, chain.from_iterable(texts)))
+        if len(self) + len(fresh) > KEPT_WORDS:
+            self.clear()
+            fresh = set(chain.from_iterable(texts))
+        by_length = {}
+        for word in fresh:
+            if len(word) <= KEPT_LENGTH:
+                by_length.setdefault(len(word), []).append(word)
+        for length, some in by_length.items():
+            codes = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32).reshape(-1, length)
+            symbols = self.symbols[codes]
+            plain = (symbols != GONE).all(axis=1)
+            for at in range(0, len(some), ROWS):
+                part = plain[at:at + ROWS]
+                known = [word for word, fine in zip(some[at:at + ROWS], part) if fine]
+                self.update(zip(known, self.merged_together(symbols[at:at + ROWS][part])))
+
+    def look_up(self, left: np.ndarray, right: np.ndarray):
+        """Rank and piece of pairs of symbols."""
+        keys = left.astype(np.int64) * SPAN + right
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        hit = self.pairs[at] == keys
+        return np.where(hit, self.ranks[at], NO_RANK), self.made[at]
+
+    def merged_together(self, start: np.ndarray) -> list:
+        """Ids of stretches of one length, given as rows of pieces of one character each.
+
+        ``agenda[r, i]`` ranks the pair of symbol i of row r and the symbol after it. The last
+        column stands before the first symbol and after the last one; no pair has a rank there.
+        """
+        rows, length = start.shape
+        symbols = np.full((rows, length + 1), GONE, dtype=np.int32)
+        symbols[:, :length] = start
+        after = np.tile(np.arange(1, length + 2), (rows, 1))
+        before = np.tile(np.arange(-1, length), (rows, 1))
+        before[:, 0] = length
+        agenda = np.full((rows, length + 1), NO_RANK)
+        made = np.zeros((rows, length + 1), dtype=np.int64)
+        agenda[:, :length], made[:, :length] = self.look_up(symbols[:, :-1], symbols[:, 1:])
+        live = np.arange(rows)
+        while len(live):
+            left = agenda[live].argmin(axis=1)
+            going = agenda[live, left] < NO_RANK
+            live, left = live[going], left[going]
+            right = after[live, left]
+            symbols[live, left] = made[live, left]
+            symbols[live, right] = GONE
+            agenda[live, right] = NO_RANK
+            after[live, left] = follower = after[live, right]
+            before[live, follower] = left
+            agenda[live, left], made[live, left] = self.look_up(symbols[live, left], symbols[live, follower])
+            leader = before[live, left]
+            agenda[live, leader], made[live, leader] = self.look_up(symbols[live, leader], symbols[live, left])
+        kept = symbols != GONE
+        ids, ends = symbols[kept].tolist(), kept.sum(axis=1).cumsum().tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
     def merged(self, word: str) -> list:
-        """Ids of a stretch after all merges."""
         cost, symbols, last = self.model.cost, list(word), len(word)
         before, after = list(range(-1, last - 1)), list(range(1, last + 1))
         agenda = []
@@ -138,8 +228,12 @@ class Encoder(dict):
                 pair = symbols[leader] + symbols[left]
                 if pair in cost:
                     heapq.heappush(agenda, (cost[pair], leader, len(pair)))
+        return list(filter(None, symbols))
+
+    def named(self, symbols: list) -> list:
+        """Ids of symbols."""
         ids = []
-        for symbol in filter(None, symbols):
+        for symbol in symbols:
             known = self.model.ids.get(symbol)
             if known is not None:
                 ids.append(known)
@@ -149,14 +243,15 @@ class Encoder(dict):
                 ids.append(self.model.unknown)
         return ids
 
-    def text(self, text: str | None) -> list:
-        ids = []
-        for word in self.words(self.model.prefix + text.replace(" ", MARK)) if text else ():
-            ids += self[word]
+    def texts(self, texts: list) -> list:
+        """Ids of every text."""
+        cut = [self.words(self.model.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.learn(cut)
+        found = [list(chain.from_iterable(map(self.__getitem__, words))) for words in cut]
         if self.model.bytes is None:  # unknown characters side by side are one unknown piece
             unknown = self.model.unknown
-            ids = [i for at, i in enumerate(ids) if i != unknown or not at or ids[at - 1] != unknown]
-        return ids
+            found = [[i for at, i in enumerate(ids) if i != unknown or not at or ids[at - 1] != unknown] for ids in found]
+        return found
 
 
 def encode(docs: DataFrame, model_path: str = None) -> DataFrame:
@@ -178,11 +273,11 @@ def encode(docs: DataFrame, model_path: str = None) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [encoder.text(t) for t in texts]
+                ids = encoder.texts(texts)
                 checked = library.encode(texts, num_threads=1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
-                     pa.array([library.decode(i) for i in ids], pa.string()),
+                     pa.array(library.decode(ids, num_threads=1), pa.string()),
                      pa.array([a == b for a, b in zip(ids, checked)], pa.bool_())],
                     ["doc_id", "ids", "decoded", "agrees"])
 

@@ -47,8 +47,9 @@ def test_pieces_of_hard_texts(library, encoder):
     letters = "ab the▁  \n\t\0é日本語🙂́<s>0x41 ing" + "​"
     texts = ["", " ", "  a", "▁x ▁", "</s><0x41>", "x" * 3000, "日本語" * 500, "a\n\nb\r\n", "é" * 70, " " * 100]
     texts += ["".join(random.choices(letters, k=random.randrange(1, 200))) for _ in range(500)]
+    assert encoder.texts(texts) == library.encode(texts)
     for text in texts:
-        assert encoder.text(text) == library.encode(text), text
+        assert encoder.texts([text])[0] == library.encode(text), text
 
 
 def test_agenda_order(encoder):
@@ -61,7 +62,8 @@ def test_agenda_order(encoder):
         while pairs := [(cost[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in cost]:
             at = min(pairs)[1]
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-        assert encoder.merged(word) == [encoder.model.ids[s] for s in symbols]
+        rows = encoder.symbols[[ord(c) for c in word]].reshape(1, -1)
+        assert encoder.merged(word) == symbols and encoder.merged_together(rows) == [[encoder.model.ids[s] for s in symbols]]
 
 
 def test_pieces_of_text_ids_and_nothing(spark, none):
