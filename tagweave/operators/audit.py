@@ -9,15 +9,14 @@ apart from the log, and verifying compares both: what was edited, added, moved o
 shows wherever it stood.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave.fixed_values import GENESIS_HASH
 from tagweave.functions.scalars import text
 from tagweave.operators.sizing import lookup_join, numbered
 from tagweave.schemas import AUDIT_COLUMNS
-from tagweave.session import remove, scratch_path
-from tagweave.sources.tables import existing
+from tagweave.sources.commits import Batch, read_table
 
 SEGMENT_ROWS = 1024
 
@@ -91,21 +90,28 @@ def newest_seals(sealed: DataFrame) -> DataFrame:
         F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"), F.max_by("head", "last_seq").alias("head"))
 
 
-def write_log(entries: DataFrame, order, path: str, segment_rows=SEGMENT_ROWS) -> None:
-    """Append entries to the log at a path and store the seals of the segments that grew."""
-    spark = entries.sparkSession
-    stored = existing(spark, f"{path}/seals")
-    last = None
-    if stored is not None:
-        last = stored.groupBy("chain").agg(F.max("last_seq").alias("last_seq"), F.max_by("head", "last_seq").alias("last_hash"))
-    rows = append(entries, order, segment_rows, last)
-    # Written first on its own, so that the seals are those of the rows that are stored.
-    batch = scratch_path(spark, "audit-batch")
-    rows.write.parquet(batch)
-    written = spark.read.parquet(batch)
-    written.write.mode("append").parquet(f"{path}/entries")
-    seals(written).write.mode("append").parquet(f"{path}/seals")
-    remove(spark, batch)
+def write_log(entries: DataFrame, order, path: str, segment_rows=SEGMENT_ROWS, batch_id: int = None, owner="batch") -> None:
+    """Append entries to the log at a path, in one commit.
+
+    Entries, the seals of the segments that grew and the new ends of their chains are one
+    batch. An append that broke off is not there; one that is repeated under its number
+    starts from the ends before it and gives the same rows, and no batch reads the history.
+    """
+    batch = Batch(entries.sparkSession, path, batch_id, owner)
+    written = batch.append("entries", append(entries, order, segment_rows, batch.state(["chain"])))
+    batch.append("seals", seals(written))
+    batch.change(last_entries(written), ["chain"])
+    batch.commit()
+
+
+def stored_entries(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of the log at a path."""
+    return read_table(spark, path, "entries")
+
+
+def stored_seals(spark: SparkSession, path: str) -> DataFrame:
+    """Its seals, the last one of a segment that grew."""
+    return newest_seals(read_table(spark, path, "seals"))
 
 
 def check_links(audit: DataFrame, segment_rows=SEGMENT_ROWS) -> DataFrame:

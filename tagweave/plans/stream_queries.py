@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tagweave.operators import audit as au
 from tagweave.operators import enrich, medallion
 from tagweave.plans import fixtures as fx
 from tagweave.plans.context_queries import AUDIT_FOLD_SQL, AUDIT_HASH_SQL, AUDIT_SEGMENT, AUDIT_SQL, audit_source
@@ -141,6 +142,6 @@ def z09(spark, sf):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     out, checkpoint = _paths(spark, "z-audit")
     jobs.stream_audit(stream, out, checkpoint, [F.col("event_id")], AUDIT_SEGMENT).awaitTermination()
-    return jobs.audit_of(spark, out).select("chain", "segment", "seq", "prev_hash", "hash")
+    return au.stored_entries(spark, out).select("chain", "segment", "seq", "prev_hash", "hash")
 
 

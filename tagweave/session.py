@@ -59,5 +59,41 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has written, if it is there."""
+    target, files = _file_system(spark, path)
+    files.delete(target, True)
+
+
+def _file_system(spark: SparkSession, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def names_in(spark: SparkSession, path: str) -> list:
+    """Names in a folder, none if it is not there; hidden files are left out."""
+    target, files = _file_system(spark, path)
+    if not files.exists(target):
+        return []
+    return [n for n in (f.getPath().getName() for f in files.listStatus(target)) if n[0] not in "._"]
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that appears as a whole: under a hidden name first, then renamed."""
+    target, files = _file_system(spark, path)
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(target.getParent(), "." + target.getName())
+    out = files.create(hidden, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    if not files.rename(hidden, target):
+        raise OSError(f"could not write {path}")
+
+
+def file_text(spark: SparkSession, path: str) -> str:
+    """The content of a small file."""
+    target, files = _file_system(spark, path)
+    stream = files.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()

@@ -12,9 +12,8 @@ from tagweave.operators import boards, enrich, medallion
 from tagweave.operators.dedup import NATURAL_KEY, with_natural_key
 from tagweave.operators.sizing import first_per_key
 from tagweave.schemas import ENVELOPE
-from tagweave.session import remove
+from tagweave.sources import commits, sinks
 from tagweave.sources import parameters as dims
-from tagweave.sources import sinks
 
 
 def log_stream(spark: SparkSession, path: str, files_per_batch=None) -> DataFrame:
@@ -85,32 +84,16 @@ def stream_deduplicated(readings: DataFrame, path: str, checkpoint: str, availab
     return _start(readings.writeStream.foreachBatch(handle), checkpoint, available_now)
 
 
-COMPACT_EVERY = 10
+def _change_state(batch: DataFrame, path: str, batch_id: int, keys, owner: str) -> None:
+    """The changed keys of a micro-batch, as one commit."""
+    change = commits.Batch(batch.sparkSession, path, batch_id, owner)
+    change.change(batch, keys)
+    change.commit()
 
 
-def save_changes(batch: DataFrame, path: str, batch_id: int, keys, order="micro_batch") -> None:
-    """The changed keys of a micro-batch under its id; every tenth batch the state is written as
-    a snapshot, and what went into it is removed."""
-    spark = batch.sparkSession
-    batch.write.mode("overwrite").parquet(f"{path}/changes/micro_batch={batch_id}")
-    if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
-        snapshot = latest_state(spark, path, keys, order).withColumn("micro_batch", F.lit(batch_id))
-        snapshot.write.mode("overwrite").parquet(f"{path}/snapshots/upto={batch_id}")
-        for old in range(batch_id - COMPACT_EVERY, batch_id):
-            remove(spark, f"{path}/changes/micro_batch={old}")
-        remove(spark, f"{path}/snapshots/upto={batch_id - COMPACT_EVERY}")
-
-
-def latest_state(spark: SparkSession, path: str, keys, order="micro_batch") -> DataFrame:
-    """The current row of every key: of the last snapshot and the changes after it."""
-    rows = sinks.existing(spark, f"{path}/changes")
-    snapshots = sinks.existing(spark, f"{path}/snapshots")
-    if snapshots is not None:
-        last = snapshots.agg(F.max("upto")).first()[0]
-        kept = snapshots.filter(F.col("upto") == last).drop("upto")
-        rows = kept if rows is None else rows.filter(F.col("micro_batch") > last).unionByName(kept)
-    rest = [c for c in rows.columns if c not in (*keys, "micro_batch")]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("s")).select(*keys, "s.*")
+def latest_state(spark: SparkSession, path: str, keys) -> DataFrame:
+    """The current row of every key that a stream keeps at a path."""
+    return commits.read_state(spark, path, keys)
 
 
 def stream_latest(readings: DataFrame, path: str, checkpoint: str, key="tag", order="kafka_offset",
@@ -119,7 +102,7 @@ def stream_latest(readings: DataFrame, path: str, checkpoint: str, key="tag", or
     rest = [c for c in readings.columns if c != key]
     latest = readings.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("r")).select(key, "r.*")
     return _start(latest.writeStream.outputMode("update").foreachBatch(
-        lambda batch, batch_id: save_changes(batch, path, batch_id, [key])), checkpoint, available_now)
+        lambda batch, batch_id: _change_state(batch, path, batch_id, [key], checkpoint)), checkpoint, available_now)
 
 
 def stream_counts(events: DataFrame, path: str, checkpoint: str, available_now=True):
@@ -129,7 +112,7 @@ def stream_counts(events: DataFrame, path: str, checkpoint: str, available_now=T
         *[F.count_if(F.col("status") == x).alias(x.lower()) for x in ("OK", "OVER", "UNDER")],
         F.count("*").alias("total"))
     return _start(counts.writeStream.outputMode("update").foreachBatch(
-        lambda batch, batch_id: save_changes(batch, path, batch_id, ["param"])), checkpoint, available_now)
+        lambda batch, batch_id: _change_state(batch, path, batch_id, ["param"], checkpoint)), checkpoint, available_now)
 
 
 def graded(readings: DataFrame, parameters=dims.BUILT_IN) -> DataFrame:
@@ -164,33 +147,8 @@ def paced_stream(spark: SparkSession, path: str, schema, files_per_tick=1) -> Da
 
 def stream_audit(entries: DataFrame, path: str, checkpoint: str, order, segment_rows=au.SEGMENT_ROWS,
                  available_now=True):
-    """Continue every chain from its last hash, per micro-batch.
-
-    Rows, the seals of the segments that grew and the new ends of the chains that grew are
-    written under the batch id. The ends are read from the batches before, so a repeated
-    batch gives the same rows and no batch reads the history.
-    """
+    """Continue every chain from its last hash; a micro-batch is an append of its number."""
     def handle(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        ends = f"{path}/ends"
-        last = None
-        if batch_id:
-            remove(spark, f"{ends}/changes/micro_batch={batch_id}")  # of an attempt that broke off
-            last = latest_state(spark, ends, ["chain"], "last_seq")
-        target = f"{path}/entries/micro_batch={batch_id}"
-        au.append(batch, order, segment_rows, last).write.mode("overwrite").parquet(target)
-        written = spark.read.parquet(target)
-        au.seals(written).write.mode("overwrite").parquet(f"{path}/seals/micro_batch={batch_id}")
-        save_changes(au.last_entries(written), ends, batch_id, ["chain"], "last_seq")
+        au.write_log(batch, order, path, segment_rows, batch_id, checkpoint)
 
     return _start(entries.writeStream.foreachBatch(handle), checkpoint, available_now)
-
-
-def audit_of(spark: SparkSession, path: str) -> DataFrame:
-    """The audit rows that a stream has written."""
-    return spark.read.parquet(f"{path}/entries").drop("micro_batch")
-
-
-def seals_of(spark: SparkSession, path: str) -> DataFrame:
-    """The seals that a stream has written; a segment that grew later has its last one."""
-    return au.newest_seals(spark.read.parquet(f"{path}/seals").drop("micro_batch"))

@@ -70,8 +70,8 @@ def test_continued_chain_equals_one_run(spark, path):
     whole = au.append(rows, [F.col("id")], 8)
     for part in ("id < 13", "id >= 13 and id < 16", "id >= 16"):
         au.write_log(rows.filter(part), [F.col("id")], path, 8)
-    assert sorted(map(tuple, spark.read.parquet(f"{path}/entries").select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
-    stored = au.newest_seals(spark.read.parquet(f"{path}/seals"))
+    assert sorted(map(tuple, au.stored_entries(spark, path).select(whole.columns).collect())) == sorted(map(tuple, whole.collect()))
+    stored = au.stored_seals(spark, path)
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, au.seals(whole).collect()))
 
 

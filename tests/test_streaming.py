@@ -49,11 +49,11 @@ def test_live_chains_stay_valid(spark, tmp_path):
         rows.filter(f"id >= {low} and id < {low + 15 if low else 10}").coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(rows.schema).parquet(source)
         jobs.stream_audit(stream, out, str(tmp_path / "cp"), [F.col("id")], 4).awaitTermination()
-    audit = jobs.audit_of(spark, out)
+    audit = au.stored_entries(spark, out)
     assert audit.count() == 40
-    assert all(r.valid for r in au.verify(audit, jobs.seals_of(spark, out), 4).collect())
+    assert all(r.valid for r in au.verify(audit, au.stored_seals(spark, out), 4).collect())
     cut = audit.filter("not (chain = '0' and segment = 1)")
-    assert [r.valid for r in au.verify(cut, jobs.seals_of(spark, out), 4).orderBy("chain").collect()] == [False, True, True]
+    assert [r.valid for r in au.verify(cut, au.stored_seals(spark, out), 4).orderBy("chain").collect()] == [False, True, True]
 
 
 def test_late_first_copies_are_kept(spark, tmp_path, sf):
@@ -66,12 +66,3 @@ def test_late_first_copies_are_kept(spark, tmp_path, sf):
         stream = spark.readStream.schema(rows.schema).parquet(source)
         jobs.stream_deduplicated(stream, out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == with_natural_key(rows).select(*NATURAL_KEY).distinct().count()
-
-
-def test_state_is_compacted(spark, tmp_path):
-    path = str(tmp_path / "state")
-    for n in range(23):
-        jobs.save_changes(spark.createDataFrame([(n % 3, n), (7, n)], "k int, v int"), path, n, ["k"])
-    assert len(list((tmp_path / "state" / "changes").iterdir())) <= 4 + 1
-    got = {r.k: r.v for r in jobs.latest_state(spark, path, ["k"]).collect()}
-    assert got == {0: 21, 1: 22, 2: 20, 7: 22}
