@@ -11,7 +11,7 @@ from tagweave.plans import fixtures as fx
 from tagweave.plans.context_queries import (AUDIT_FOLD_SQL, AUDIT_HASH_SQL, AUDIT_SEGMENT, AUDIT_SQL, SCENARIO_SQL,
                                             audit_log, audit_source)
 from tagweave.plans.registry import query, table
-from tagweave.plans.text_queries import PASSAGE_CHUNKS, chat_turns, memory, passage_index, search_parts
+from tagweave.plans.text_queries import FOUND_SQL, PASSAGE_CHUNKS, chat_turns, memory, passage_index, search_parts
 from tagweave.sources import parameters as dims
 
 
@@ -245,6 +245,34 @@ def d15(spark, sf):
     return memory(spark, sf).select("key", "rec.reading_id", "rec.zone", "rec.param", F.col("rec.remedy.confidence").alias("confidence"))
 
 
+# All turns ask about a trip: the memory of agent and zone, else the agent's if it is of that zone.
+ANSWER_SQL = f"""
+SELECT query_id, best >= 0.08 AS rag_ok,
+  CASE WHEN best >= 0.08 THEN concat_ws(chr(10) || chr(10),
+    'Referring to the last SCADA Intelligence ' || zone || ' on ' || reading_id || ' (' ||
+      trim(concat(tag, ' ', CAST(value AS VARCHAR), unit)) || ' · ' || status || ').',
+    'Automated remedy: ' || summary, texts[1],
+    concat('Also see ', types[2], ' ', refs[2], ', ', types[3], ' ', refs[3], ', ', types[4], ' ', refs[4], '.'),
+    CASE WHEN agent <> 'temp' THEN {_quoted(fixed.ESCALATION_NOTE)} END)
+  ELSE replace({_quoted(fixed.NOT_GROUNDED)}, '{{agent_name}}', CASE agent WHEN 'temp' THEN 'Temperature Agent' ELSE 'Human Escalation Agent' END) END AS answer,
+  CASE WHEN best >= 0.08 THEN 'rag' ELSE 'none' END AS source, best < 0.08 AND agent = 'temp' AS suggest_escalation
+FROM (SELECT f.*, coalesce(m1."key", CASE WHEN m2.zone = 'trip' THEN m2."key" END) AS "key" FROM ({FOUND_SQL}) f
+  LEFT JOIN m m1 ON m1."key" = concat(f.agent, ':trip') LEFT JOIN m m2 ON m2."key" = f.agent) LEFT JOIN m USING ("key")"""
+
+
+@query("r10_grounded_answer", fx.sql(f"SELECT query_id, answer FROM ({ANSWER_SQL}) WHERE rag_ok", "plant_flat", **AGENT, m=MEMORY_SQL))
+def r10(spark, sf):
+    got = dc.answer(chat_turns(spark, sf), passage_index(spark, sf), memory(spark, sf))
+    return got.filter("rag_ok").select("query_id", "answer")
+
+
+@query("r11_answer_routing", fx.sql(f"SELECT query_id, source, suggest_escalation, md5(answer) AS digest FROM ({ANSWER_SQL})",
+                                    "plant_flat", **AGENT, m=MEMORY_SQL))
+def r11(spark, sf):
+    got = dc.answer(chat_turns(spark, sf), passage_index(spark, sf), memory(spark, sf))
+    return got.select("query_id", "source", "suggest_escalation", F.md5("answer").alias("digest"))
+
+
 def asked_agents(spark, sf):
     """Every agent and zone that occurs in the events, and the escalation desk."""
     pairs = fx.plant_events(spark, sf).select(F.explode(F.array(F.col("param"), F.lit("escalation"))).alias("agent"), "zone")

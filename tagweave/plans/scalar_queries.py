@@ -315,14 +315,14 @@ def _scores_sql():
 
 
 @query("p26_table_classifier", f"""
-WITH t AS (SELECT doc_id, lower(substring(text, 1, 400)) AS name, list_transform(string_split(concat(text, ' unit ', source, ' tag'), ' '), lambda c: replace(replace(lower(trim(c)), ' ', '_'), '-', '_')) AS columns FROM documents),
+WITH t AS (SELECT doc_id, lower(text) AS name, list_transform(string_split(concat(text, ' unit ', source, ' tag'), ' '), lambda c: replace(replace(lower(trim(c)), ' ', '_'), '-', '_')) AS columns FROM documents),
  s AS (SELECT doc_id, {_scores_sql()} AS scores FROM t)
 SELECT doc_id, CASE WHEN list_max(scores) >= 2 THEN {list(fixed.TABLE_NAME_WORDS)}[list_position(scores, list_max(scores))] ELSE 'other' END AS kind,
        CAST(list_max(scores) AS BIGINT) AS score FROM s""")
 def p26(spark, sf):
-    """Tables named by the beginning of a document, with its words as columns."""
+    """Tables named by a whole document, with its words as columns."""
     words = F.split(F.concat("text", F.lit(" unit "), "source", F.lit(" tag")), " ")
-    tables = table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 400).alias("filename"), words.alias("columns"))
+    tables = table(spark, sf, "documents").select("doc_id", F.col("text").alias("filename"), words.alias("columns"))
     return lookups.classify_tables(tables).select("doc_id", "kind", "score")
 
 

@@ -271,36 +271,13 @@ def chat_turns(spark, sf):
                     asked.alias("query"))
 
 
-def no_memory(spark, sf):
-    """A co-pilot without any remembered remedy."""
-    return memory(spark, sf).limit(0)
-
-
 def memory(spark, sf):
     acted = dc.run_agent(fx.plant_events(spark, sf), passage_index(spark, sf))
     return dc.remember(acted.filter("action_required"))
 
 
-ANSWER_SQL = """
-SELECT a.query_id, best >= 0.08 AS rag_ok,
-  CASE WHEN best >= 0.08 THEN concat_ws(chr(10) || chr(10), texts[1],
-    concat('Also see ', types[2], ' ', refs[2], ', ', types[3], ' ', refs[3], ', ', types[4], ' ', refs[4], '.'),
-    CASE WHEN agent <> 'temp' THEN {note} END)
-  ELSE replace({refusal}, '{{agent_name}}', CASE agent WHEN 'temp' THEN 'Temperature Agent' ELSE 'Human Escalation Agent' END) END AS answer,
-  CASE WHEN best >= 0.08 THEN 'rag' ELSE 'none' END AS source, best < 0.08 AND agent = 'temp' AS suggest_escalation
+# Every turn with its best score and the texts, types and refs of its hits.
+FOUND_SQL = fx.sql("""
+SELECT a.query_id, CASE agent WHEN 'temp' THEN 'temp' ELSE 'escalation' END AS agent, best, texts, types, refs
 FROM asked a JOIN (SELECT query_id, max(score) AS best, list(text ORDER BY rank) AS texts, list(upper(type) ORDER BY rank) AS types,
-  list(ref ORDER BY rank) AS refs FROM hits GROUP BY 1) USING (query_id)""".format(
-    note="'" + fixed.ESCALATION_NOTE + "'", refusal="'" + fixed.NOT_GROUNDED + "'")
-
-
-@query("r10_grounded_answer", fx.sql(f"SELECT query_id, answer FROM ({ANSWER_SQL}) WHERE rag_ok", **search_parts(PASSAGE_CHUNKS, TURNS, 6)))
-def r10(spark, sf):
-    got = dc.answer(chat_turns(spark, sf), passage_index(spark, sf), no_memory(spark, sf))
-    return got.filter("rag_ok").select("query_id", "answer")
-
-
-@query("r11_answer_routing", fx.sql(f"SELECT query_id, source, suggest_escalation, md5(answer) AS digest FROM ({ANSWER_SQL})",
-                                    **search_parts(PASSAGE_CHUNKS, TURNS, 6)))
-def r11(spark, sf):
-    got = dc.answer(chat_turns(spark, sf), passage_index(spark, sf), no_memory(spark, sf))
-    return got.select("query_id", "source", "suggest_escalation", F.md5("answer").alias("digest"))
+  list(ref ORDER BY rank) AS refs FROM hits GROUP BY 1) USING (query_id)""", **search_parts(PASSAGE_CHUNKS, TURNS, 6))

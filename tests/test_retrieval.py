@@ -87,6 +87,24 @@ def test_citations(spark):
     assert [tuple(r) for r in got.collect()] == [("S", "O", "L"), (fixed.DEFAULT_CITATION,) * 3, ("only",) * 3]
 
 
+def test_answers_name_the_remembered_remedy(spark):
+    """By agent and zone; the agent's own record counts only if it is of the asked zone."""
+    index = rt.build_index(rt.built_in_passages(spark))
+    text = "reactor temperature coolant loop"
+    asked = spark.createDataFrame([("1", "temp", "trip", text), ("2", "temp", "alarm", text), ("3", "escalation", "trip", text)],
+                                  "query_id string, agent string, zone string, query string")
+    record = (1, "temp", "trip", "R-7", "TT-1", "E", "OVER", 81.5, "C", "B", ("lower the jacket", "SOP-1", 0.9), (True,), "Temperature Agent")
+    memory = spark.createDataFrame([("temp", record), ("escalation:trip", record)],
+                                   "key string, rec struct<at:long,param:string,zone:string,reading_id:string,tag:string,"
+                                   "asset:string,status:string,value:double,unit:string,batch:string,"
+                                   "remedy:struct<summary:string,grounded_on:string,confidence:double>,"
+                                   "governance:struct<required:boolean>,agent_name:string>")
+    got = {r.query_id: r.answer.split("\n\n") for r in dc.answer(asked, index, memory).collect()}
+    known = ["Referring to the last SCADA Intelligence trip on R-7 (TT-1 81.5C · OVER).", "Automated remedy: lower the jacket"]
+    assert got["1"][:2] == known and got["3"][:2] == known
+    assert not any(part.startswith(("Referring", "Automated")) for part in got["2"])
+
+
 def test_answers(spark):
     index = rt.build_index(rt.built_in_passages(spark))
     asked = spark.createDataFrame([("1", "temp", "trip", "reactor temperature coolant loop"), ("2", "temp", "trip", "zzz qqq"),
