@@ -4,19 +4,21 @@
 ``records`` holds the exact header block of every record, apart from the payloads. A record
 of the archive is its header block, an empty line, its body and two line ends. The body of a
 response is joined from the payload store; a revisit has none and refers to the response.
-Reading parses the header blocks, verifies every stored payload against its digest and
-length once, and joins.
+Reading rebuilds every record, parses it, and verifies length and digest of its body against
+its header; a revisit takes its payload's length from a response that was read.
 
 Defined cases: null payloads are empty and null URLs are written as empty. Payloads under
 ``min_revisit`` bytes are always responses. Rows that repeat the smallest page_id of a
 payload are all responses; rows without a page_id come last, and are responses only if the
-payload has no other row. Line ends in a URL are percent-encoded in its header.
+payload has no other row. Line ends in a URL are percent-encoded in its header. Rows that repeat
+a page_id have records that repeat its id.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import attach, saved
+from tagweave.operators.sizing import lookup_join
 from tagweave.session import scratch_path
 
 MIN_REVISIT = 100
@@ -72,37 +74,43 @@ def page_of(value) -> F.Column:
     return F.regexp_extract(value, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
 
 
-def payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """(digest, payload, payload_bytes) of the store; a payload that is not its digest's fails the job."""
+def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
+    """(record): the exact bytes of every record.
+
+    Only responses are joined to the payload store; a payload with many of them (a short one,
+    or rows that repeat a page) is spread over tasks.
+    """
+    records = spark.read.parquet(f"{folder}/records")
+    revisit = F.decode("header", "UTF-8").contains(f"{END}WARC-Type: revisit{END}")
     stored = spark.read.parquet(f"{folder}/payloads")
-    found = F.sha2("payload", 256)
-    wrong = F.raise_error(F.concat(F.lit("payload is not that of digest "), "digest"))
-    return stored.select(F.when(found == F.col("digest"), F.col("digest")).otherwise(wrong.cast("string")).alias("digest"),
-                         "payload", F.octet_length("payload").cast("long").alias("payload_bytes"))
+    responses = lookup_join(records.filter(~revisit), stored, "digest", small=False)
+    blank, end = F.lit(END.encode()), F.lit(END.encode() * 2)
+    missing = F.raise_error(F.concat(F.lit("no payload of digest "), "digest")).cast("binary")
+    return responses.select(F.concat("header", blank, F.coalesce("payload", missing), end).alias("record")).unionByName(
+        records.filter(revisit).select(F.concat("header", blank, end).alias("record")))
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
-    """The parsed headers of every record, with the verified length of its whole payload."""
-    head = F.decode("header", "UTF-8")
-    # The digest comes from the header itself; the column beside it is only the store's key.
-    parsed = spark.read.parquet(f"{folder}/records").select(head.alias("head")).select(
+    """Page, URL, type, reference and payload of every record, read from its rebuilt bytes."""
+    whole = F.decode("record", "UTF-8")
+    cut = F.instr("whole", END * 2)
+    parts = reconstruct(spark, folder).select(whole.alias("whole")).select(
+        F.substring("whole", F.lit(1), cut + 1).alias("head"),
+        F.encode(F.substring("whole", cut + 4, F.length("whole") - cut - 7), "UTF-8").alias("body"))
+    parts = parts.select(
         page_of(field("WARC-Record-ID")).alias("page_id"), field("WARC-Target-URI").alias("url"),
         field("WARC-Type").alias("record_type"), page_of(field("WARC-Refers-To")).alias("refers_to"),
-        F.regexp_extract("head", "\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("payload_digest"))
+        F.regexp_extract("head", "\r\nWARC-Payload-Digest: sha256:([0-9a-f]{64})\r\n", 1).alias("payload_digest"),
+        field("Content-Length").cast("long").alias("length"), F.octet_length("body").cast("long").alias("bytes"),
+        F.sha2("body", 256).alias("found"))
+    fine = (F.col("length") == F.col("bytes")) & ((F.col("record_type") == "revisit") | (F.col("found") == F.col("payload_digest")))
+    wrong = F.raise_error(F.concat(F.lit("payload is not that of digest "), "payload_digest")).cast("string")
+    parsed = parts.select("page_id", "url", F.when(fine, F.col("record_type")).otherwise(wrong).alias("record_type"), "refers_to",
+                          "payload_digest", "bytes")
     parsed = saved(parsed, "parsed")
-    uses = parsed.groupBy("payload_digest").agg(F.count("*").alias("uses"))
-    sizes = payloads(spark, folder).select(F.col("digest").alias("payload_digest"), "payload_bytes")
-    total = parsed.count()
-    return attach(parsed, saved(uses.join(sizes, "payload_digest", "left"), "payload-sizes"), "payload_digest", "uses", total)
-
-
-def reconstruct(spark: SparkSession, folder: str) -> DataFrame:
-    """(record, payload): the exact bytes of every record, and the payload it stands for."""
-    records = spark.read.parquet(f"{folder}/records")
-    joined = records.join(payloads(spark, folder), "digest", "left")
-    revisit = F.decode("header", "UTF-8").contains(f"{END}WARC-Type: revisit{END}")
-    body = F.when(revisit, F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select(F.concat("header", F.lit(END.encode()), body, F.lit(END.encode() * 2)).alias("record"), "payload")
+    own = F.col("record_type") == "response"
+    uses = parsed.groupBy("payload_digest").agg(F.count("*").alias("uses"), F.max(F.when(own, F.col("bytes"))).alias("payload_bytes"))
+    return attach(parsed.drop("bytes"), saved(uses, "payload-sizes"), "payload_digest", "uses", parsed.count())
 
 
 def archived(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:

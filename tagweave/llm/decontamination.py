@@ -14,9 +14,10 @@ words themselves.
 The benchmark is the query set. It is taken in blocks of about ``BLOCK_BYTES`` of text, the
 documents are read where they lie, and nothing of theirs is shuffled.
 
-Defined cases: words are runs of letters and digits of the lower-cased text. An item under
-five words has no shingle and is never found; items that share an id are searched each
-under that id; null texts are empty. Items without an id are not searched.
+Defined cases: words are runs of letters and digits of the lower-cased text. The words of an
+item under five are its one shingle, and documents are searched for it at that size; an item
+without a word is never found. Items that share an id are searched each under that id; null
+texts are empty. Items without an id are not searched.
 """
 
 import re
@@ -61,18 +62,31 @@ def misses_allowed(n: int, threshold: float) -> int:
     return n - -(-n * round(threshold * 10_000) // 10_000)
 
 
+def indexes(items: list, size: int = WORDS, threshold: float = THRESHOLD) -> list:
+    """An index of the items with ``size`` words and more, and one for each smaller number of words."""
+    by_size = defaultdict(list)
+    for item_id, text in items:
+        words = WORD.findall((text or "").lower())
+        if words:
+            by_size[min(size, len(words))].append((item_id, words))
+    return [ItemIndex(some, own, threshold) for own, some in sorted(by_size.items())]
+
+
+def matches(found: list, text: str | None) -> list:
+    """The items of all indexes that a text contains, verified."""
+    words = WORD.findall((text or "").lower())
+    return sorted((m for index in found for m in index.matches(words)), key=lambda m: m["item_id"])
+
+
 class ItemIndex:
     """The sketches and shingles of a block of items, small enough for every task."""
 
-    def __init__(self, items: list, size: int = WORDS, threshold: float = THRESHOLD):
+    def __init__(self, items: list, size: int, threshold: float):
         self.size, self.threshold = size, threshold
         self.ids, self.shingles, self.vocabulary = [], [], {}
         partitions = defaultdict(list)
-        for item_id, text in items:
-            words = WORD.findall((text or "").lower())
+        for item_id, words in items:
             grams = {tuple(words[i:i + size]) for i in range(len(words) - size + 1)}
-            if not grams:
-                continue
             for word in words:
                 # Never zero: zero stands for a word that no item holds.
                 self.vocabulary.setdefault(word, xxhash.xxh64_intdigest(word.encode()) | 1)
@@ -103,9 +117,8 @@ class ItemIndex:
                 found.update(owners[np.searchsorted(sketch, value):np.searchsorted(sketch, value, "right")].tolist())
         return found
 
-    def matches(self, text: str | None) -> list:
-        """The items that a text contains, verified."""
-        words = WORD.findall((text or "").lower())
+    def matches(self, words: list) -> list:
+        """The items that a text of these words contains, verified."""
         known = np.fromiter(map(self.vocabulary.get, words, [0] * len(words)), dtype=np.uint64, count=len(words))
         hashes = shingle_hashes(known, self.size)
         if not len(hashes):
@@ -144,15 +157,17 @@ def screen(docs: DataFrame, items: DataFrame, size: int = WORDS, threshold: floa
                         *[c for c in own if c != "text"])
     plain = plain.withColumn("matches", F.array().cast(MATCHES))
     for block in item_blocks(items):
-        state = docs.sparkSession.sparkContext.broadcast(vars(ItemIndex(block, size, threshold)))
+        state = docs.sparkSession.sparkContext.broadcast([vars(index) for index in indexes(block, size, threshold)])
 
         def run(batches, state=state):
-            index = ItemIndex([])
-            vars(index).update(state.value)
+            found_in = []
+            for known in state.value:
+                found_in.append(ItemIndex.__new__(ItemIndex))
+                vars(found_in[-1]).update(known)
             for batch in batches:
                 for part in text_slices(batch):
                     before = part.column("matches")
-                    found = [index.matches(t) for t in part.column("text").to_pylist()]
+                    found = [matches(found_in, t) for t in part.column("text").to_pylist()]
                     if pc.any(pc.greater(pc.list_value_length(before), 0)).as_py():
                         found = [old + new for old, new in zip(before.to_pylist(), found)]
                     at = part.schema.get_field_index("matches")

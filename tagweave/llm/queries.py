@@ -21,16 +21,17 @@ def table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-GRAMS = """unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))"""
+GRAMS = """unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' ')))"""
 
 
 @query("op1_decontamination", rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM documents),
      b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS ws FROM benchmark),
-     dg AS (SELECT DISTINCT doc_id, {GRAMS} AS gram FROM d),
-     bg AS (SELECT DISTINCT item_id, {GRAMS} AS gram FROM b),
+     sized AS (SELECT item_id, ws, least(len(ws), 5) AS k FROM b WHERE len(ws) > 0),
+     dg AS (SELECT DISTINCT doc_id, k, {GRAMS} AS gram FROM d, (SELECT DISTINCT k FROM sized)),
+     bg AS (SELECT DISTINCT item_id, k, {GRAMS} AS gram FROM sized),
      size AS (SELECT item_id, count(*) AS n FROM bg GROUP BY item_id),
-     both_ AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN bg USING (gram) GROUP BY doc_id, item_id)
+     both_ AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN bg USING (gram, k) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n AS n_shingles, n_shared, CAST(n_shared AS DOUBLE) / n AS containment
 FROM both_ JOIN size USING (item_id) WHERE n_shared * 10000 >= n * 8000
 """)

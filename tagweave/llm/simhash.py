@@ -9,8 +9,9 @@ is verified in the join. Only distinct fingerprints are indexed, so copies cost
 
 Defined cases: A-Z are lower-cased and words are runs of other characters than white space.
 A text without a word (null and empty too) has fingerprint zero and links like any other.
-Rows that share a doc_id count as rows of one document; a null doc_id is grouped like any
-other row but never names a component unless no row of the component has an id.
+Rows that share a doc_id are one document: their fingerprints are linked, however far apart,
+so all of them have one component. Rows without an id are documents of their own, grouped like
+any other row, but they never name a component unless no row of the component has an id.
 """
 
 import numpy as np
@@ -57,15 +58,18 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0]) if total else 0
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every document; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keep: list = ()) -> DataFrame:
+    """(doc_id, fp) of every document and the columns named in ``keep``; fp is the fingerprint
+    as a signed long."""
     def run(batches):
         for batch in batches:
             values = pa.array([fingerprint(t) for t in as_bytes(batch.column("text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "fp"])
+            others = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *others, values], ["doc_id", *keep, "fp"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, fp long")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    own = "".join(f", `{c}` {plain.schema[c].dataType.simpleString()}" for c in keep)
+    return plain.mapInArrow(run, f"doc_id long{own}, fp long")
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -90,6 +94,17 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return left.join(right, F.expr(near)).select("u", "v")
 
 
+def shared_ids(prints: DataFrame) -> DataFrame:
+    """Edges (u, v) from the fingerprints of one document to the smallest of them."""
+    own = prints.filter("doc_id IS NOT NULL")
+    several = own.groupBy("doc_id").agg(F.min("fp").alias("low"), F.max("fp").alias("high"), F.count("*").alias("rows"))
+    several = saved(several.filter("low < high").drop("high"), "several")
+    if several.isEmpty():
+        return own.limit(0).selectExpr("fp AS u", "fp AS v")
+    total = own.count()
+    return attach(own, several, "doc_id", "rows", total).filter("fp <> low").selectExpr("fp AS u", "low AS v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge; the root is the smallest node it reaches.
 
@@ -111,20 +126,27 @@ def components(edges: DataFrame) -> DataFrame:
         edges = saved(moved.union(lowest.selectExpr("u", "m AS v")).distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fingerprint, component_id, copies) of every row of documents.
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, keep: list = ()) -> DataFrame:
+    """(doc_id, fingerprint, component_id, copies, root) of every row of documents, and the
+    columns named in ``keep``.
 
-    ``component_id`` is the smallest doc_id reachable over links; ``copies`` counts the
-    rows with the same fingerprint.
+    ``component_id`` is the smallest doc_id reachable over links, ``root`` the component's
+    smallest fingerprint; ``copies`` counts the rows with the same fingerprint.
     """
-    prints = saved(fingerprints(docs), "fingerprints")
+    prints = saved(fingerprints(docs, keep), "fingerprints")
     groups = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "groups")
     total = groups.agg(F.sum("copies")).first()[0] or 0
-    roots = components(links(groups.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    edges = links(groups.select("fp"), max_bits).union(shared_ids(prints))
+    roots = components(edges).withColumnRenamed("node", "fp")
     linked = roots.join(groups.select("fp", "first"), "fp")
     smallest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(smallest, "root").select("fp", "component_id")
+    named = roots.join(smallest, "root").select("fp", "component_id", "root")
     dim = groups.join(named, "fp", "left").select(
-        "fp", F.coalesce("component_id", "first").alias("component_id"), "copies", F.col("copies").alias("_rows"))
+        "fp", F.coalesce("component_id", "first").alias("component_id"), "copies", F.coalesce("root", "fp").alias("root"),
+        F.col("copies").alias("_rows"))
     joined = attach(prints, saved(dim, "components"), "fp", "_rows", total)
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    return joined.select("doc_id", in_hex("fp").alias("fingerprint"), "component_id", "copies", in_hex("root").alias("root"), *keep)
+
+
+def in_hex(value: str) -> F.Column:
+    return F.lower(F.lpad(F.hex(value), 16, "0"))

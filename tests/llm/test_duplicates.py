@@ -28,7 +28,8 @@ def slow_components(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if (rows[i][1] ^ rows[j][1]).bit_count() <= 3:
+            same = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if same or (rows[i][1] ^ rows[j][1]).bit_count() <= 3:
                 root[find(i)] = find(j)
     ids = {}
     for i, (doc_id, _) in enumerate(rows):
@@ -47,6 +48,14 @@ def test_simhash_equals_brute_force(documents, edges):
     assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
 
 
+def test_simhash_of_a_document_with_two_texts(spark):
+    """A document's own texts are linked, however far apart: 7 reaches 2 over 3."""
+    a, c = (" ".join(random.Random(n).choices("abcdefghij", k=60)) for n in (1, 2))
+    rows = [(3, a), (7, a), (3, c), (2, c), (None, a), (8, "something else")]
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, 2), (2, 2), (3, 2), (3, 2), (7, 2), (8, 8)]
+
+
 def test_simhash_with_clashing_columns(edges):
     got = simhash.near_duplicates(edges).collect()
     assert len(got) == edges.count()
@@ -138,13 +147,14 @@ def test_runs_are_compacted(spark, documents):
 
 def slow_matches(text, items, size=5):
     words = re.findall(r"[^\W_]+", (text or "").lower())
-    own = {tuple(words[i:i + size]) for i in range(len(words) - size + 1)}
+    own = {k: {tuple(words[i:i + k]) for i in range(len(words) - k + 1)} for k in range(1, size + 1)}
     found = []
     for item_id, item in items:
         w = re.findall(r"[^\W_]+", (item or "").lower())
-        grams = {tuple(w[i:i + size]) for i in range(len(w) - size + 1)}
-        if item_id is not None and grams and len(grams & own) * 10 >= 8 * len(grams):
-            found.append((item_id, len(grams), len(grams & own)))
+        k = min(size, len(w))
+        grams = {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
+        if item_id is not None and grams and len(grams & own[k]) * 10 >= 8 * len(grams):
+            found.append((item_id, len(grams), len(grams & own[k])))
     return found
 
 
@@ -152,7 +162,8 @@ def test_containment_equals_brute_force(spark, documents, edges, sf, monkeypatch
     rows = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()
     items = [tuple(r) for r in rows] + [(900, None), (901, ""), (902, "one two three four"), (None, "a b c d e f"),
                                         (903, "The quick brown fox jumps over the lazy dog"), (904, "word0 the0 word1 the1 word2"),
-                                        (904, "le chat est sur la TABLE, et le chien"), (905, "x" * 3000 + " a b c d e")]
+                                        (904, "le chat est sur la TABLE, et le chien"), (906, "Some words."),
+                                        (907, "chien"), (908, "the quick brown fox"), (909, "never seen words"), (905, "x" * 3000 + " a b c d e")]
     random.seed(5)
     mutated = []
     for n, (_, text) in enumerate(items[:40]):
