@@ -8,16 +8,22 @@ from pyspark.sql import functions as F
 
 from tagweave.llm import decontamination, language, line_dedup, packing, simhash
 from tagweave.llm.common import saved
+from tagweave.operators.sizing import lookup_join
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# The share of the words that one language must hold.
+# A language is one of a document's if it holds so large a share of the words; all of a
+# document's languages together must hold half of them.
+MIN_PART = 0.1
 MIN_SHARE = 0.5
 
 
 def language_id(spark, docs, sf_dir):
-    """Documents without a letter go, and those in which no language holds half of the words."""
+    """Documents without a letter go, and those in which no languages hold half of the words.
+    A text in several languages stays."""
     found = language.identified(docs, keep=COLUMNS)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SHARE)).select(*COLUMNS)
+    parts = F.filter(F.transform("languages", lambda part: part["share"]), lambda share: share >= MIN_PART)
+    held = F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (held >= MIN_SHARE)).select(*COLUMNS)
 
 
 def dedup_lines(spark, docs, sf_dir):
@@ -28,10 +34,23 @@ def dedup_lines(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Of each SimHash component only the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs)
-    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """Of each SimHash component one row stays: that of the smallest id, a row without an id only
+    if the component has no other, and of several rows with that id the one of smallest hash.
+    Of identical rows one stays."""
+    rows = docs.select(*COLUMNS).withColumn("row", F.xxhash64("text", "lang", "source", "n_chars"))
+    groups = simhash.near_duplicates(rows, keep=["row"])
+    counted = groups.groupBy("root", "doc_id", "row").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("s")
+    stay = saved(counted.groupBy("root").agg(first).select(
+        F.col("s.doc_id").alias("_id"), F.col("s.row").alias("_row"), F.col("s.n").alias("_n")), "stay")
+    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row"))
+    kept = rows.join(stay.filter("_n = 1"), match, "left_semi").select(*COLUMNS)
+    several = stay.filter("_n > 1").select(F.coalesce(F.col("_id").cast("string"), F.lit("none")).alias("_id"), "_row")
+    if several.isEmpty():
+        return kept
+    keyed = rows.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).withColumnRenamed("row", "_row")
+    same = lookup_join(keyed, several, ["_id", "_row"], "left_semi", small=False)
+    return kept.unionByName(same.dropDuplicates(["_id", "_row"]).select(*COLUMNS))
 
 
 def decontaminate(spark, docs, sf_dir):
