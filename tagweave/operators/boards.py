@@ -12,6 +12,7 @@ from tagweave.operators.sizing import lookup_join
 from tagweave.operators.versions import active_versions, slot_of
 from tagweave.schemas import FLAT_COLUMNS
 from tagweave.sources import parameters as dims
+from tagweave.sources.sinks import LOG_POSITION
 
 ZONES = ["control", "alarm", "trip"]
 
@@ -171,8 +172,14 @@ def decompose(readings: DataFrame, lookups, param, zone, reading_id, order,
     return run["events"].filter(F.trim("reading_id") == reading_id.strip())
 
 
+def newest_log_rows(bronze: DataFrame, n: int) -> DataFrame:
+    """Newest n rows of the historian by the reading's clock, then by position in the log:
+    an offset says nothing across partitions."""
+    return bronze.orderBy(F.desc_nulls_last(s.clock_of("ts_raw")), *[F.desc(c) for c in LOG_POSITION]).limit(n)
+
+
 def newest_events(events: DataFrame, n: int, param=None, order="seq") -> DataFrame:
-    """Newest n rows; a parameter filter applies before the cut."""
+    """Newest n rows; a parameter filter applies before the cut."""
     if param:
         events = events.filter(F.col("param") == param)
     return events.orderBy(F.desc(order)).limit(n)

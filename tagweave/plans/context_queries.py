@@ -448,10 +448,11 @@ def t01(spark, sf):
     return numbered(bd.board_order(events), order, out="place")
 
 
-@query("t02_newest_historian_rows", fx.sql(
-    "SELECT kafka_offset, tag, value FROM bronze ORDER BY kafka_offset DESC LIMIT 50", "plant", "params", bronze=BRONZE_SQL))
+@query("t02_newest_historian_rows", fx.sql("""
+SELECT kafka_partition, kafka_offset, tag, value FROM bronze
+ORDER BY date_trunc('second', ts) DESC NULLS LAST, kafka_topic DESC, kafka_partition DESC, kafka_offset DESC LIMIT 50""", "plant", "params", bronze=BRONZE_SQL))
 def t02(spark, sf):
-    return bd.newest_events(_bronze(spark, sf), 50, order="kafka_offset").select("kafka_offset", "tag", "value")
+    return bd.newest_log_rows(_bronze(spark, sf), 50).select("kafka_partition", "kafka_offset", "tag", "value")
 
 
 @query("t03_newest_gold_events", fx.sql("""
