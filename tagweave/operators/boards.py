@@ -275,10 +275,12 @@ def source_catalogue(datasets: DataFrame, rows: DataFrame) -> DataFrame:
     current = active_versions(datasets).withColumn("slot", slot_of())
     sized = rows.groupBy("dataset_id").agg(
         F.count("*").alias("n_rows"),
-        F.sum(F.length(F.array_join(F.map_values("payload"), ""))).alias("n_bytes"),
-        F.collect_set(F.array_sort(F.map_keys("payload"))).alias("_headers"))
-    columns = F.array_sort(F.array_distinct(F.flatten("_headers")))
-    return lookup_join(current, sized, "dataset_id").select(
+        F.sum(F.length(F.array_join(F.map_values("payload"), ""))).alias("n_bytes"))
+    # A dataset's names are few; its distinct lists of them need not be.
+    names = rows.select("dataset_id", F.explode(F.map_keys("payload")).alias("_name")).groupBy("dataset_id").agg(
+        F.array_sort(F.collect_set("_name")).alias("_names"))
+    columns = F.col("_names")
+    return lookup_join(current, sized.join(names, "dataset_id", "left"), "dataset_id").select(
         "slot", "kind", "dataset_id", "persisted", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
         F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce(F.array_join(columns, ", "), F.lit("")).alias("columns"),
         (F.coalesce("n_rows", F.lit(0)) > 0).alias("loaded"))
