@@ -1,7 +1,8 @@
 """TF-IDF index and cosine search over document chunks."""
 
 import math
-from dataclasses import dataclass
+from copy import copy
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,19 +11,66 @@ from tagweave import fixed_values as fixed
 from tagweave.functions import scalars as s
 from tagweave.functions import text
 from tagweave.operators.sizing import first_per_key, lookup_join, stored, top_per_key
+from tagweave.session import scratch_path
 from tagweave.sources import parameters as dims
+from tagweave.sources.commits import Batch, committed
 
 CHUNK_COLUMNS = ["id", "type", "ref", "param", "text", "source", "filename", "rag_kind", "seq", "piece"]
 QUERY_ROWS = 200_000
+# So many segments of one level are merged into one of the next.
+MERGE_SEGMENTS = 8
 
 
-@dataclass
 class Index:
-    """postings(id, seq, piece, param, term, weight) with unit length per chunk; idf per term."""
+    """What a search reads: chunks, terms(id, seq, piece, param, length, words) and df(term, df).
 
-    chunks: DataFrame
-    postings: DataFrame
-    idf: DataFrame
+    Inverse document frequencies belong to all chunks together, so they are summed when they
+    are first asked for, and the weights after them; each is written once per index.
+    """
+
+    def __init__(self, chunks: DataFrame, terms: DataFrame, df: DataFrame):
+        self.chunks, self.terms, self._df = chunks, terms, df
+
+    def with_chunks(self, chunks: DataFrame) -> "Index":
+        """The same index, with its vectors, over chunks that carry other columns."""
+        self.vectors
+        other = copy(self)
+        other.chunks = chunks
+        return other
+
+    @cached_property
+    def _idf(self) -> tuple:
+        n = max(self.terms.count(), 1)
+        df = self._df.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+        return stored(df.withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1), "idf")
+
+    @property
+    def idf(self) -> DataFrame:
+        """R2: term, df, idf."""
+        return self._idf[0]
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """Id, seq, piece, param, norm, words(term, tf, raw): tf / length x idf per chunk.
+
+        Words meet their idf through a join that does not shuffle hot terms and come
+        together again as one row per chunk; the norm comes from that row.
+        """
+        idf, small = self._idf
+        keys = ["id", "seq", "piece", "param", "length"]
+        spread = self.terms.select(*keys, F.inline("words"))
+        weighed = lookup_join(spread, idf.select("term", "idf"), "term", "inner", small).withColumn(
+            "raw", F.col("tf") / F.col("length") * F.col("idf"))
+        whole = weighed.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf", "raw")).alias("words"),
+                                           F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+        return stored(whole.select("id", "seq", "piece", "param", "norm", "words"), "vectors")[0]
+
+    @property
+    def postings(self) -> DataFrame:
+        """id, seq, piece, param, norm, term, tf, raw, and weight: of unit length per chunk."""
+        unit = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
+        return self.vectors.select("id", "seq", "piece", "param", "norm", F.inline("words")).withColumn(
+            "weight", F.col("raw") / unit)
 
 
 def built_in_passages(spark: SparkSession) -> DataFrame:
@@ -72,31 +120,149 @@ def replace_kinds(base: DataFrame, new: DataFrame) -> DataFrame:
     return append_chunks(kept.select(*base.columns), new)
 
 
-def build_index(chunks: DataFrame) -> Index:
-    """Term weights tf / length x idf, scaled to unit length per chunk.
+def counted_words(chunks: DataFrame) -> DataFrame:
+    """The chunks with _length and _words, an array of (term, tf) in term order.
 
-    Words are counted in their own task before anything moves. Counts, idf and postings are
-    written, so a search reads its weights instead of computing them. A term found in most
-    chunks is only a large count in a pre-aggregated group-by, and meets its idf through a
-    join that does not shuffle hot terms.
+    Words are sorted and counted inside their row, so nothing is shuffled: a term begins
+    where a word differs from the one before and lasts up to the next beginning.
+    """
+    words = chunks.withColumn("_sorted", F.sort_array(F.coalesce(text.tokens("text"), F.array().cast("array<string>"))))
+    places = F.sequence(F.lit(0), F.size("_sorted") - 1)
+    begins = F.filter(places, lambda i: (i == 0) | (F.get("_sorted", i) != F.get("_sorted", i - 1)))
+    marked = words.withColumn("_begins", F.when(F.size("_sorted") > 0, begins).otherwise(F.array().cast("array<int>")))
+    counted = F.transform("_begins", lambda at, i: F.struct(
+        F.get("_sorted", at).alias("term"),
+        (F.coalesce(F.get("_begins", i + 1), F.size("_sorted")) - at).cast("long").alias("tf")))
+    return marked.withColumn("_length", F.greatest(F.size("_sorted"), F.lit(1)).cast("long")).withColumn(
+        "_words", counted).drop("_sorted", "_begins")
+
+
+def _document_counts(rows: DataFrame, *keys) -> DataFrame:
+    terms = rows.select(*keys, F.explode("_words.term").alias("term"))
+    return terms.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+
+
+class SegmentedIndex:
+    """An index on disk that grows by immutable segments, one per change.
+
+    A segment holds its chunks with their counted words and its own document counts. Removed
+    chunks stay in their segment and are named, with the counts to take off, by the change that
+    removed them; frequencies of all chunks are summed when the index is read. The segments of a
+    level are merged into the next segment written when there are MERGE_SEGMENTS of them, which
+    leaves removed chunks out. A change is one commit: it shows as a whole or not at all,
+    and repeating it under its number replaces it.
     """
-    words = chunks.select("id", "seq", "piece", "param", text.tokens("text").alias("words"))
-    counts = (words.select("id", "seq", "piece", "param", F.greatest(F.size("words"), F.lit(1)).alias("length"),
-                           F.explode("words").alias("term"))
-              .groupBy("id", "seq", "piece", "param", "length", "term").agg(F.count("*").alias("tf")))
-    counts, _ = stored(counts, "term-counts")
-    n = chunks.agg(F.count("*")).scalar()
-    idf, small = stored(counts.groupBy("term").agg(F.count("*").alias("df")).withColumn(
-        "idf", F.log((F.greatest(n, F.lit(1)) + 1) / (F.col("df") + 1)) + 1), "idf")
-    weighted = lookup_join(counts, idf.select("term", "idf"), "term", "inner", small).withColumn(
-        "raw", F.col("tf") / F.col("length") * F.col("idf"))
-    norms = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    postings = weighted.join(norms, "id").select(
-        "id", "seq", "piece", "param", "term", "tf", "length", "raw", "norm",
-        (F.col("raw") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("weight"))
-    # In ranges of terms, a frequent term over several files: a search reads the files of its terms.
-    postings, _ = stored(postings.repartitionByRange("term", "id").sortWithinPartitions("term"), "postings")
-    return Index(chunks, postings, idf)
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, chunks: DataFrame, change: int = None) -> None:
+        """Add chunks; ids that are there and later copies of an id are left out."""
+        self._change(chunks, None, None, change)
+
+    def replace(self, chunks: DataFrame, change: int = None) -> None:
+        """Remove the chunks of every kind that the new ones bring, then add."""
+        kinds = chunks.select("rag_kind").filter(F.col("rag_kind").isNotNull()).distinct()
+        self._change(chunks, kinds, "rag_kind", change)
+
+    def remove(self, ids: DataFrame, change: int = None) -> None:
+        """Remove chunks by id."""
+        self._change(None, ids.select("id").distinct(), "id", change)
+
+    def fill(self, chunks: DataFrame) -> None:
+        """Write the first segment from chunks whose ids are known to differ."""
+        batch = Batch(self.spark, self.path)
+        if batch.base.parts:
+            raise ValueError(f"{self.path} holds an index")
+        self._write_segment(batch, counted_words(chunks), 0)
+        batch.commit()
+
+    def index(self) -> Index:
+        """The index as the last commit has it."""
+        parts = committed(self.spark, self.path).parts
+        rows = self._rows(parts)
+        if rows is None:
+            raise ValueError(f"{self.path} holds no index")
+        live = self._live(rows, parts)
+        hidden = ["_length", "_words", "_segment"]
+        terms = live.select("id", "seq", "piece", "param", F.col("_length").alias("length"), F.col("_words").alias("words"))
+        return Index(live.drop(*hidden), terms, self._counts(parts))
+
+    def segments(self) -> list:
+        """(level, change) of every segment, oldest first."""
+        return [(int(kind[5:]), number) for kind, number, _ in committed(self.spark, self.path).parts if kind.startswith("rows-")]
+
+    def _change(self, chunks, wanted, key, change) -> None:
+        batch = Batch(self.spark, self.path, change)
+        parts = list(batch.base.parts)
+        rows = self._rows(parts)
+        live = None if rows is None else self._live(rows, parts)
+        gone = None
+        if live is not None and wanted is not None:
+            found = lookup_join(live.withColumnRenamed(key, "_key"), wanted.select(F.col(key).alias("_key")), "_key", "left_semi")
+            found = found.withColumnRenamed("_key", key)
+            gone = batch.part("gone", found.select("id", "_segment"))
+            batch.part("lost", _document_counts(found, "_segment").withColumn("df", -F.col("df")))
+        if chunks is not None:
+            fresh = first_per_key(chunks.filter(F.coalesce("id", F.lit("")) != ""), ["id"], [F.col("seq"), F.col("piece")])
+            if live is not None:
+                there = live.select("id", "_segment")
+                if gone is not None:
+                    there = there.join(gone, ["id", "_segment"], "left_anti")
+                fresh = fresh.join(there.select("id"), "id", "left_anti")
+            self._write_segment(batch, counted_words(fresh), 0)
+        batch.commit()
+
+    def _write_segment(self, batch: Batch, rows: DataFrame, level: int) -> None:
+        """One segment of the new rows and of the levels that have become full."""
+        while True:
+            full = [p for p in batch.parts if p[0] == f"rows-{level}"]
+            if len(full) < MERGE_SEGMENTS - 1:
+                break
+            old = self._live(self._rows(full), batch.parts).drop("_segment")
+            rows = rows.unionByName(old, allowMissingColumns=True)
+            numbers = {number for _, number, _ in full}
+            batch.parts = [p for p in batch.parts if not (p[1] in numbers and p[0].split("-")[0] in ("rows", "df"))]
+            level += 1
+        if not any(p[0].startswith("rows-") for p in batch.parts):
+            # Nothing older is left that a removal could name.
+            batch.parts = []
+        written = batch.part(f"rows-{level}", rows)
+        batch.part("df", _document_counts(written))
+
+    def _read(self, parts: list, kind: str) -> DataFrame:
+        """The rows of the parts of a kind, None without any; _part is the change that wrote a row."""
+        found = [(k, number, attempt) for k, number, attempt in parts if k.split("-")[0] == kind]
+        if not found:
+            return None
+        folders = [f"{self.path}/state/kind={k}/batch={number}/attempt={attempt}" for k, number, attempt in found]
+        reader = self.spark.read.option("basePath", f"{self.path}/state").option("mergeSchema", str(len(found) > 1))
+        rows = reader.parquet(*folders)
+        return rows.withColumn("_part", F.col("batch").cast("long")).drop("kind", "batch", "attempt")
+
+    def _rows(self, parts: list) -> DataFrame:
+        rows = self._read(parts, "rows")
+        return None if rows is None else rows.withColumnRenamed("_part", "_segment")
+
+    def _live(self, rows: DataFrame, parts: list) -> DataFrame:
+        gone = self._read(parts, "gone")
+        return rows if gone is None else lookup_join(rows, gone.select("id", "_segment"), ["id", "_segment"], "left_anti")
+
+    def _counts(self, parts: list) -> DataFrame:
+        """Document counts, and what removals take off the segments that are still there."""
+        counts = self._read(parts, "df").select("term", "df")
+        lost = self._read(parts, "lost")
+        if lost is None:
+            return counts
+        numbers = [number for kind, number, _ in parts if kind.startswith("rows-")]
+        return counts.unionByName(lost.filter(F.col("_segment").isin(numbers)).select("term", "df"))
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """An index of chunks with distinct ids, as one segment in the shared folder."""
+    built = SegmentedIndex(chunks.sparkSession, scratch_path(chunks.sparkSession, "index"))
+    built.fill(chunks)
+    return built.index()
 
 
 def query_terms(queries: DataFrame, index: Index) -> DataFrame:

@@ -157,7 +157,7 @@ def r07(spark, sf):
     """Saved documents to chunks, replacing their kinds in the base, to an index."""
     base = rt.replace_kinds(_earlier_upload(spark, sf), document_chunks(spark, sf))
     index = rt.build_index(base)
-    terms = index.postings.select("id", "term").join(index.idf.select("term", "df"), "term")
+    terms = index.terms.select("id", F.explode("words.term").alias("term")).join(index.idf.select("term", "df"), "term")
     sums = terms.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum("df").alias("df_sum"))
     return index.chunks.join(sums, "id", "left").select(
         "id", F.md5("text").alias("text_digest"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "df_sum")
@@ -184,7 +184,7 @@ def r09(spark, sf):
     """First hit of a type, else the fallback hit; requests without hits cite the constant."""
     index = document_index(spark, sf)
     kind = F.when(F.col("param") == "en", "sop").when(F.col("param") == "fr", "OEM").otherwise("OTHER")
-    typed = rt.Index(index.chunks.withColumn("type", kind), index.postings, index.idf)
+    typed = index.with_chunks(index.chunks.withColumn("type", kind))
     lists = rt.hit_lists(rt.search(typed, fx.questions(spark, sf), 3))
     none = lists.select((F.col("query_id") + 1000000).alias("query_id"), F.slice("hits", 1, 0).alias("hits"))
     return lists.unionByName(none).select("query_id", rt.citation(F.col("hits"), "SOP", 0).alias("sop"),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tagweave.session import create_file, file_text, names_in, remove
 
 SNAPSHOT_EVERY = 10
-# changes: the parts of the state, [kind, batch, attempt], the snapshot first.
+# parts: the parts of the state, [kind, batch, attempt], the snapshot first.
 Manifest = namedtuple("Manifest", "batch attempt owner parts tables")
 NOTHING = Manifest(-1, 0, None, [], [])
 
@@ -127,10 +127,14 @@ class Batch:
         """The state as the batches before this one have left it."""
         return read_state(self.spark, self.path, keys, self.base)
 
+    def part(self, kind: str, rows: DataFrame) -> DataFrame:
+        """Write a part of its kind, which stays until ``parts`` no longer names it."""
+        self.parts.append([kind, self.batch_id, self.attempt])
+        return self._write(rows, f"state/kind={kind}")
+
     def change(self, rows: DataFrame, keys) -> None:
         """The new rows of the keys that changed, one row per key."""
-        self._write(rows, "state/kind=changes")
-        self.parts.append(["changes", self.batch_id, self.attempt])
+        self.part("changes", rows)
         if len(self.parts) > SNAPSHOT_EVERY:
             whole = read_state(self.spark, self.path, keys, self._manifest())
             self._write(whole, "state/kind=snapshot")

@@ -120,3 +120,68 @@ def test_answers(spark):
     # The parameter boost alone reaches the threshold for a parameter agent.
     assert got["2"].source == "rag" and not got["2"].suggest_escalation
     assert got["3"].agent == "escalation" and got["3"].answer.endswith("before execution.")
+
+
+def contents(index):
+    """Everything a search depends on."""
+    chunks = sorted((r.id, r.text) for r in index.chunks.select("id", "text").collect())
+    idf = sorted((r.term, r.df, round(r.idf, 9)) for r in index.idf.collect())
+    weights = sorted((r.id, r.term, r.tf, round(r.norm, 9), round(r.weight, 9)) for r in index.postings.collect())
+    return chunks, idf, weights
+
+
+def chunk_rows(spark, rows):
+    return spark.createDataFrame([(f"C{i}", "sop", f"ref {i}", None, words, kind, i, 1) for i, words, kind in rows],
+                                 "id string, type string, ref string, param string, text string, rag_kind string, seq long, piece long")
+
+
+def test_index_grows_by_segments(spark, path, monkeypatch):
+    """After every kind of change, across merges, the index is that of a full rebuild."""
+    monkeypatch.setattr(rt, "MERGE_SEGMENTS", 3)
+    index, held = rt.SegmentedIndex(spark, path), {}
+
+    def same():
+        want = contents(rt.build_index(chunk_rows(spark, sorted(held.values()))))
+        assert contents(index.index()) == want
+
+    def add(*rows):
+        index.add(chunk_rows(spark, rows))
+        for row in rows:
+            held.setdefault(row[0], row)
+
+    add((1, "pump seal leak leak", "a"), (2, "pump", "b"), (3, "", "b"), (4, None, "a"))
+    assert index.segments() == [(0, 0)]
+    add((5, "seal of the pump", "a"), (1, "an id that is there", "a"))
+    assert index.segments() == [(0, 0), (0, 1)]
+    add((6, "third segment", "c"))
+    same()
+    assert index.segments() == [(1, 2)]
+    index.remove(chunk_rows(spark, [(2, "", ""), (6, "", ""), (77, "", "")]))
+    del held[2], held[6]
+    same()
+    add((2, "pump again", "d"))
+    index.replace(chunk_rows(spark, [(8, "new words of a", "a"), (2, "id of a kept kind", "a")]))
+    held = {k: v for k, v in held.items() if v[2] != "a"}
+    held[8] = (8, "new words of a", "a")
+    same()
+    for i in range(10, 14):
+        add((i, f"pump {i} seal", "e"))
+    same()
+    assert len(index.segments()) < 6
+
+
+def test_repeated_change_of_the_index(spark, path):
+    """A change that is repeated under its number takes the place of the first attempt."""
+    index = rt.SegmentedIndex(spark, path)
+    index.add(chunk_rows(spark, [(1, "pump seal", "a")]), 0)
+    for _ in range(2):
+        index.add(chunk_rows(spark, [(2, "seal", "a")]), 1)
+    for _ in range(2):
+        index.remove(chunk_rows(spark, [(1, "", "")]), 2)
+    assert contents(index.index()) == contents(rt.build_index(chunk_rows(spark, [(2, "seal", "a")])))
+
+
+def test_words_are_counted_in_their_row(spark):
+    rows = [(1, "b a b  B c", "a"), (2, "", "a"), (3, None, "a"), (4, "x " * 20_000 + "y", "a")]
+    got = {r.id: (r._length, [(w.term, w.tf) for w in r._words]) for r in rt.counted_words(chunk_rows(spark, rows)).collect()}
+    assert got == {"C1": (5, [("a", 1), ("b", 3), ("c", 1)]), "C2": (1, []), "C3": (1, []), "C4": (20_001, [("x", 20_000), ("y", 1)])}
