@@ -5,7 +5,8 @@ A pair is a chosen and a rejected conversation. Their longest common prefix of e
 the rejected completion. A mask lists the spans of a completion that are trained on: the
 texts of assistant turns with their end marks, as ``start:end`` in characters.
 
-Only DataFrame functions are used. A conversation is one row, as its rendering is.
+Only DataFrame functions are used. A conversation is one row, as its rendering is, so its
+text must fit a row (2 GB). Keys may be of any type that sorts.
 
 Defined cases: turns are ordered by turn, role and text, nulls first; null roles and texts
 are empty. Equal conversations are all prompt and have empty completions. Rows without a
@@ -15,6 +16,8 @@ key are left out; a pair needs both conversations.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.operators.sizing import numbered
+
 ASSISTANT = "assistant"
 # The turn format of the rendered text.
 OPEN, CLOSE, LINE = "<|im_start|>", "<|im_end|>", "\n"
@@ -66,18 +69,31 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, key: str) -> DataFr
         rendered(after_b).alias("rejected"), mask(after_b).alias("rejected_mask"))
 
 
+def next_keys(turns: DataFrame) -> DataFrame:
+    """(conv_id, next_id): the next conversation, in the order of conv_id, that has a reply.
+
+    Only keys are sorted and numbered, over many tasks, and meet the key one number on.
+    """
+    replying = turns.filter(F.col("conv_id").isNotNull() & (F.col("role") == ASSISTANT)).select("conv_id").distinct()
+    placed = numbered(replying, [F.col("conv_id")], out="place")
+    following = placed.select((F.col("place") - 1).alias("place"), F.col("conv_id").alias("next_id"))
+    return placed.join(following, "place").select("conv_id", "next_id")
+
+
 def swapped_replies(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chosen and rejected conversations out of plain ones (conv_id, turn, role, text).
 
-    Chosen is a conversation up to its last assistant turn. Rejected is the same with the
-    last reply of the conversation with the next conv_id in that place, or an empty one.
-    Conversations without an assistant turn have no reply to prefer and make no pair.
+    Chosen is a conversation up to its last assistant turn. Rejected has in that turn's
+    place the last reply of the next conversation with a reply, by order of conv_id; the
+    last such conversation gets an empty one. Conversations without an assistant turn have
+    no reply to prefer and make no pair.
     """
     whole = gathered(turns, "conv_id")
     back = F.array_position(F.transform(F.reverse("turns"), lambda t: t["role"]), ASSISTANT)
     upto = whole.withColumn("n", F.size("turns") - back.cast("int") + 1).filter(back > 0)
     chosen = upto.select("conv_id", F.slice("turns", 1, F.col("n")).alias("turns"))
-    donors = chosen.select((F.col("conv_id") - 1).alias("conv_id"), F.element_at("turns", -1)["text"].alias("_reply"))
+    replies = chosen.select(F.col("conv_id").alias("next_id"), F.element_at("turns", -1)["text"].alias("_reply"))
+    donors = replies.join(next_keys(turns), "next_id").select("conv_id", "_reply")
     replied = chosen.join(donors, "conv_id", "left")
     reply = F.array(F.struct(F.lit(ASSISTANT).alias("role"), F.coalesce("_reply", F.lit("")).alias("text")))
     before = F.slice("turns", 1, F.size("turns") - 1)

@@ -59,7 +59,7 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
      t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM c),
      last_ AS (SELECT conv_id, max(i) AS n FROM t WHERE role = 'assistant' GROUP BY conv_id),
      a AS (SELECT conv_id, i, n, role, text FROM t JOIN last_ USING (conv_id) WHERE i <= n),
-     donor AS (SELECT conv_id - 1 AS conv_id, text AS reply FROM a WHERE i = n),
+     donor AS (SELECT lag(conv_id) OVER (ORDER BY conv_id) AS conv_id, text AS reply FROM a WHERE i = n),
      b AS (SELECT conv_id, i, n, role, text AS a, CASE WHEN i = n THEN coalesce(reply, '') ELSE text END AS b FROM a LEFT JOIN donor USING (conv_id)),
      cut AS (SELECT conv_id, coalesce(min(i) FILTER (WHERE a <> b) - 1, max(n)) AS p FROM b GROUP BY conv_id),
      placed AS (SELECT b.*, p,

@@ -42,8 +42,10 @@ def slow_pairs(rows):
         places = [i for i, (role, _) in enumerate(turns) if role == "assistant"]
         if places:
             chosen[key] = turns[:places[-1] + 1]
+    order = sorted(chosen)
+    following = dict(zip(order, order[1:]))
     for key, turns in chosen.items():
-        donor = chosen.get(key + 1)
+        donor = chosen.get(following.get(key))
         yield pair(key, turns, turns[:-1] + [("assistant", donor[-1][1] if donor else "")])
 
 
@@ -70,5 +72,15 @@ def test_pairs_of_any_conversations(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_keys_with_gaps_and_keys_of_text(spark):
+    """Only the last conversation with a reply finds no other reply."""
+    rows = [(key, turn, role, f"{key} {role}") for key in ("b", "aa", "z", "ä", "a") for turn, role in enumerate(("user", "assistant"))]
+    rows += [("c", 0, "user", "no reply"), ("y", 0, None, None)]
+    frame = spark.createDataFrame(rows, SCHEMA.replace("conv_id long", "conv_id string")).repartition(7)
+    got = preference.formatted(frame).collect()
+    assert sorted(map(tuple, got)) == sorted(slow_pairs(rows))
+    assert sum("\n<|im_end|>" in r["rejected"] for r in got) == 1
+
+
 def test_no_conversations(spark):
     assert preference.formatted(spark.createDataFrame([], SCHEMA)).collect() == []
