@@ -6,10 +6,10 @@ at most ``capacity`` numbers, is packed centrally:
 1. Pieces over ``capacity * small`` are large. Sorted by length they are cut into groups of
    equal cardinality, and every length is rounded up to the longest of its group.
 2. For these few sizes a linear program over the configurations that fit a sequence
-   (columns generated by dual prices) says how often each is used. The whole parts are
-   taken; what remains is packed best-fit at its rounded size.
-3. Real lengths take the places of the rounded ones, which frees the rounding error.
-4. Small pieces, longest first, go where they fit best.
+   (columns generated by dual prices) says how often each is used. The whole parts are taken.
+3. Real lengths take the places of the rounded ones, which frees the rounding error. The
+   pieces left over are grouped again, at their real lengths, until no whole part is left.
+4. Small pieces and the last few large ones, longest first, go where they fit best.
 
 All of this works on runs of equal sequences, so its cost depends on the number of lengths
 and not on the number of pieces. The outcome is a list of slots (length, rank from, rank to
@@ -34,9 +34,11 @@ from tagweave.llm.common import saved, text_slices
 CAPACITY = 1024
 END = 2
 # Shares of the capacity (a quarter or more) up to which a piece is small, and numbers of
-# groups; the packing with the fewest sequences is taken. Over a half of the capacity there
-# is one configuration per size, and what the scheme adds to it is best-fit decreasing.
-SCHEMES = ((0.25, 256), (0.34, 256), (0.5, 1024))
+# groups; the first packing with the fewest sequences is taken. Small pieces fill what the
+# configurations leave free, so it depends on the lengths how many of them should be small.
+# Over a half a configuration has one large piece, as in best-fit decreasing; this comes
+# last, so it is taken only where it needs fewer sequences than the others.
+SCHEMES = ((0.45, 512), (0.25, 256), (0.5, 1024))
 
 
 def byte_bpe(json_path: str, ranks_path: str, pattern: str):
@@ -207,26 +209,30 @@ def pack_histogram(counts: dict, capacity: int, small: float, groups: int) -> Ru
     """Pack ``counts`` pieces of every length."""
     runs = Runs(capacity)
     runs.add(counts.get(capacity, 0), (capacity,))
-    large = {l: c for l, c in counts.items() if small * capacity < l < capacity and c}
-    if large:
-        sizes = grouped(large, groups)
-        rounded = [s for s, _ in sizes]
-        wanted = np.array([sum(c for _, c in members) for _, members in sizes], dtype=float)
-        left = wanted.astype(int)
+    left = {l: c for l, c in counts.items() if small * capacity < l < capacity and c}
+    while left:
+        sizes = grouped(left, min(groups, -(-sum(left.values()) // 2)))
+        rounded = np.array([s for s, _ in sizes])
+        wanted = np.array([sum(c for _, c in members) for _, members in sizes])
         used = []
-        for need, uses in configuration_counts(np.array(rounded), wanted, capacity):
-            whole = int(min([uses + 1e-6, *(left[i] // need[i] for i in np.flatnonzero(need))]))
+        for need, uses in configuration_counts(rounded, wanted.astype(float), capacity):
+            whole = int(min([uses + 1e-6, *(wanted[i] // need[i] for i in np.flatnonzero(need))]))
             if whole:
                 used.append((whole, [i for i in range(len(rounded)) for _ in range(need[i])]))
-                left = left - whole * need
-        rest = Runs(capacity)
-        for i in np.argsort([-s for s in rounded], kind="stable"):
-            rest.best_fit(rounded[i], int(left[i]))
-        index = {s: i for i, s in enumerate(rounded)}
-        used += [(copies, [index[s] for s in contents]) for copies, contents in rest.all()]
-        substitute(runs, used, [list(members) for _, members in sizes])
-    for length in sorted((l for l in counts if l <= small * capacity), reverse=True):
-        runs.best_fit(length, counts[length])
+                wanted = wanted - whole * need
+        members = [list(m) for _, m in sizes]
+        substitute(runs, used, members)
+        left = {}
+        for length, count in (part for group in members for part in group):
+            left[length] = left.get(length, 0) + count
+        if not used:
+            break
+    rest = dict(left)
+    for length, count in counts.items():
+        if length <= small * capacity:
+            rest[length] = rest.get(length, 0) + count
+    for length in sorted(rest, reverse=True):
+        runs.best_fit(length, rest[length])
     return runs
 
 
@@ -310,7 +316,8 @@ def pack(docs: DataFrame, tokenizer_files=None, capacity: int = CAPACITY, end: i
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sequence), pa.array(offset)],
                                              [*kept.schema.names, "sequence_id", "offset"])
 
-    ranked = pieces.join(per_task.select("length", "task", "before"), ["length", "task"])
+    # One row per length and task of the first pass: it grows with the input and is not broadcast.
+    ranked = pieces.join(per_task.select("length", "task", "before").hint("merge"), ["length", "task"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank", "before")
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, "
                                   "sequence_id long, offset long")
