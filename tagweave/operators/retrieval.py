@@ -1,10 +1,9 @@
 """TF-IDF index and cosine search over document chunks."""
 
-import math
 from copy import copy
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagweave import fixed_values as fixed
@@ -16,7 +15,14 @@ from tagweave.sources import parameters as dims
 from tagweave.sources.commits import Batch, committed
 
 CHUNK_COLUMNS = ["id", "type", "ref", "param", "text", "source", "filename", "rag_kind", "seq", "piece"]
+# Query terms up to this number are broadcast.
 QUERY_ROWS = 200_000
+# The first pass of a search reads a query's rarest terms, up to about so many postings per hit asked for.
+SEED_POSTINGS = 64
+# So many postings of a term meet its queries in one place when query terms are not broadcast.
+TERM_POSTINGS = 10_000
+# Bounds and scores are sums of doubles in different orders.
+MARGIN = 1e-6
 # So many segments of one level are merged into one of the next.
 MERGE_SEGMENTS = 8
 
@@ -33,7 +39,7 @@ class Index:
 
     def with_chunks(self, chunks: DataFrame) -> "Index":
         """The same index, with its vectors, over chunks that carry other columns."""
-        self.vectors
+        self.bounds
         other = copy(self)
         other.chunks = chunks
         return other
@@ -51,7 +57,7 @@ class Index:
 
     @cached_property
     def vectors(self) -> DataFrame:
-        """Id, seq, piece, param, norm, words(term, tf, raw): tf / length x idf per chunk.
+        """Id, seq, piece, param, norm, words(term, tf, raw, df): raw is tf / length x idf.
 
         Words meet their idf through a join that does not shuffle hot terms and come
         together again as one row per chunk; the norm comes from that row.
@@ -59,19 +65,24 @@ class Index:
         idf, small = self._idf
         keys = ["id", "seq", "piece", "param", "length"]
         spread = self.terms.select(*keys, F.inline("words"))
-        weighed = lookup_join(spread, idf.select("term", "idf"), "term", "inner", small).withColumn(
+        weighed = lookup_join(spread, idf.select("term", "idf", "df"), "term", "inner", small).withColumn(
             "raw", F.col("tf") / F.col("length") * F.col("idf"))
-        whole = weighed.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf", "raw")).alias("words"),
+        whole = weighed.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf", "raw", "df")).alias("words"),
                                            F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
         return stored(whole.select("id", "seq", "piece", "param", "norm", "words"), "vectors")[0]
 
     @property
     def postings(self) -> DataFrame:
-        """id, seq, piece, param, norm, term, tf, raw, and weight: of unit length per chunk."""
+        """id, seq, piece, param, norm, term, tf, raw, df, and weight: of unit length per chunk."""
         unit = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
         return self.vectors.select("id", "seq", "piece", "param", "norm", F.inline("words")).withColumn(
             "weight", F.col("raw") / unit)
 
+    @cached_property
+    def bounds(self) -> DataFrame:
+        """term, top: the largest weight that a term has in any chunk."""
+        return stored(self.postings.groupBy("term").agg(F.max("weight").alias("top")), "bounds")[0]
+
 
 def built_in_passages(spark: SparkSession) -> DataFrame:
     rows = [(*row, "seed", None, None, i, 1) for i, row in enumerate(fixed.PASSAGES)]
@@ -266,45 +277,116 @@ def build_index(chunks: DataFrame) -> Index:
 
 
 def query_terms(queries: DataFrame, index: Index) -> DataFrame:
-    """Unit-length query vectors; words that no chunk holds weigh nothing."""
+    """Unit-length query vectors; words that no chunk holds weigh nothing.
+
+    ``most`` is the most that a term can add to the score of any chunk.
+    """
     words = queries.select("query_id", F.col("param").alias("q_param"), text.tokens("query").alias("words"))
     counts = (words.select("query_id", "q_param", F.size("words").alias("length"), F.explode("words").alias("term"))
               .groupBy("query_id", "q_param", "length", "term").agg(F.count("*").alias("tf")))
-    known = index.idf.select("term", "idf").join(counts, "term")
+    known = index.idf.select("term", "idf", "df").join(index.bounds, "term").join(counts, "term")
     known = known.withColumn("raw", F.col("tf") / F.col("length") * F.col("idf"))
     norms = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("q_norm"))
-    return known.join(norms, "query_id").select(
-        "query_id", "q_param", "term",
-        (F.col("raw") / F.when(F.col("q_norm") == 0, 1.0).otherwise(F.col("q_norm"))).alias("q_weight"))
+    weighed = known.join(norms, "query_id").withColumn(
+        "q_weight", F.col("raw") / F.when(F.col("q_norm") == 0, 1.0).otherwise(F.col("q_norm")))
+    return weighed.select("query_id", "q_param", "term", "df", "q_weight", (F.col("q_weight") * F.col("top")).alias("most"))
+
+
+HIT = ["query_id", "id", "seq", "piece"]
+
+
+def _boost():
+    return F.when(F.col("q_param") == F.col("param"), fixed.PARAMETER_BOOST).otherwise(0.0)
+
+
+def _dots(index: Index, terms: DataFrame, small: bool) -> DataFrame:
+    """Sum of the products of the given query terms, per chunk that holds one of them.
+
+    Few query terms are broadcast and meet a chunk's words where they lie. Many are shuffled
+    by term, once; a common term is spread over as many places as its document count asks for.
+    """
+    postings, asked = index.postings, terms.drop("df")
+    if small:
+        met = postings.join(F.broadcast(asked), "term")
+    else:
+        places = F.ceil(F.col("df") / TERM_POSTINGS).cast("long")
+        asked = terms.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), places - 1))).drop("df")
+        met = postings.withColumn("_place", F.pmod(F.xxhash64("id", "seq", "piece"), places)).join(asked, ["term", "_place"])
+    return met.groupBy(*HIT, "param", "q_param").agg(F.sum(F.col("q_weight") * F.col("weight")).alias("dot"))
+
+
+def pruned_terms(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, bool]:
+    """The terms of every query with what decides which postings are read, and whether they fit a broadcast.
+
+    A first pass scores the rarest terms (``seed``). The k-th best of these sums is a floor
+    under the query's k-th best score. The terms of least effect that together cannot lift
+    a chunk to the floor are not ``essential``: a chunk that holds no other term of the query
+    cannot be among the best. ``unread`` is the most that they add together.
+    """
+    terms, small = stored(query_terms(queries, index), "query-terms")
+    small = small and terms.count() <= QUERY_ROWS
+    rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    terms = terms.withColumn("seed", F.coalesce(F.sum("df").over(rarest), F.lit(0)) < SEED_POSTINGS * k)
+    seeds = terms.filter("seed").select("query_id", "q_param", "term", "df", "q_weight")
+    scored = _dots(index, seeds, small).withColumn("score", F.col("dot") + _boost())
+    floor = top_per_key(scored.select("query_id", "score"), ["query_id"], [F.desc("score")], k).filter(F.col("rank") == k)
+    least = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    together = F.sum("most").over(least) + F.when(F.col("q_param").isNull(), 0.0).otherwise(fixed.PARAMETER_BOOST)
+    known = terms.join(floor.select("query_id", F.col("score").alias("floor")), "query_id", "left")
+    known = known.withColumn("essential", F.coalesce(together + MARGIN >= F.col("floor"), F.lit(True)))
+    unread = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("most"))).over(Window.partitionBy("query_id"))
+    return stored(known.withColumn("unread", unread), "pruned-terms")[0], small
+
+
+def search_effort(index: Index, queries: DataFrame, k: int = 4) -> DataFrame:
+    """Per query: postings of all its terms, of the first pass, and of the terms that bring up chunks."""
+    terms, _ = pruned_terms(index, queries, k)
+    return terms.groupBy("query_id").agg(
+        F.sum("df").alias("postings"), F.sum(F.when(F.col("seed"), F.col("df")).otherwise(0)).alias("seed_postings"),
+        F.sum(F.when(F.col("essential"), F.col("df")).otherwise(0)).alias("essential_postings"))
+
+
+def _matched(index: Index, queries: DataFrame, k: int) -> DataFrame:
+    """Scores of all chunks that can be among the k best of a query by a word of it.
+
+    Essential terms bring chunks up. Those whose sum could reach the floor with everything that
+    was not read are completed from their own row; the words of other chunks are not met.
+    """
+    terms, small = pruned_terms(index, queries, k)
+    essential = terms.filter("essential").select("query_id", "q_param", "term", "df", "q_weight", "floor", "unread")
+    parts = _dots(index, essential.drop("floor", "unread"), small)
+    limits = essential.groupBy("query_id").agg(F.first("floor").alias("floor"), F.first("unread").alias("unread"))
+    parts = parts.join(F.broadcast(limits) if small else limits, "query_id")
+    reaches = F.col("floor").isNull() | (F.col("dot") + F.col("unread") + _boost() + MARGIN >= F.col("floor"))
+    left, few = stored(parts.filter(reaches).select(*HIT, "param", "q_param", "dot", "unread"), "survivors")
+    rest = terms.filter(~F.col("essential")).select("query_id", "term", "q_weight")
+    rows = index.vectors.select("id", "seq", "piece", "norm", "words")
+    open_ = left.filter("unread > 0").drop("dot", "unread")
+    if few:
+        found = rows.join(F.broadcast(open_), ["id", "seq", "piece"])
+    else:
+        found = lookup_join(open_, rows, ["id", "seq", "piece"], "inner", False)
+    unit = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
+    words = found.select(*HIT, "param", "q_param", unit.alias("_unit"), F.inline("words"))
+    more = words.join(F.broadcast(rest) if small else rest, ["query_id", "term"]).select(
+        *HIT, "param", "q_param", (F.col("q_weight") * F.col("raw") / F.col("_unit")).alias("dot"))
+    whole = left.drop("unread").unionByName(more).groupBy(*HIT, "param", "q_param").agg(F.sum("dot").alias("dot"))
+    return whole.select(*HIT, F.round(F.col("dot") + _boost(), 9).alias("score"))
 
 
 def search(index: Index, queries: DataFrame, k: int = 4) -> DataFrame:
     """R4 + T5: top k chunks per query(query_id, query, param) by cosine, boosted by parameter.
 
-    Postings are scored where they lie against broadcast query terms, and each task keeps
-    only its own top k per query before anything is shuffled. A query set too large to
-    broadcast is split into slices of bounded size, so all queries are answered. Chunks
+    Exact, without scoring the postings of words that decide nothing (see ``pruned_terms``).
+    Each task keeps only its own top k per query before anything is shuffled. Chunks
     that share no word score 0 but may fill the top k: only the k newest chunks overall
     and of the query's parameter can get there, so just those are added.
     """
-    terms, _ = stored(query_terms(queries, index), "query-terms")
-    rows = terms.count()
-    slices = max(1, math.ceil(rows / QUERY_ROWS))
-    scored = None
-    for i in range(slices):
-        part = terms if slices == 1 else terms.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
-        one = (index.postings.join(F.broadcast(part), "term")
-               .groupBy("id", "seq", "piece", "param", "query_id", "q_param")
-               .agg(F.sum(F.col("q_weight") * F.col("weight")).alias("dot")))
-        scored = one if scored is None else scored.unionByName(one)
-    boost = F.when(F.col("q_param") == F.col("param"), fixed.PARAMETER_BOOST).otherwise(0.0)
     order = [F.desc("score"), F.desc("seq"), F.desc("piece")]
-    shape = ["query_id", "id", "seq", "piece", "score"]
-    matched = scored.withColumn("score", F.round(F.col("dot") + boost, 9)).select(*shape)
-    matched = top_per_key(matched, ["query_id"], order, k).drop("rank")
-    filled = _unmatched(index, queries, k).withColumn(
-        "score", F.when(F.col("q_param") == F.col("param"), fixed.PARAMETER_BOOST).otherwise(0.0)).select(*shape)
-    both = matched.unionByName(filled).groupBy("query_id", "id", "seq", "piece").agg(F.max("score").alias("score"))
+    shape = [*HIT, "score"]
+    matched = top_per_key(_matched(index, queries, k), ["query_id"], order, k).drop("rank")
+    filled = _unmatched(index, queries, k).withColumn("score", _boost()).select(*shape)
+    both = matched.unionByName(filled).groupBy(*HIT).agg(F.max("score").alias("score"))
     top = top_per_key(both, ["query_id"], order, k)
     return _with_text(top, index, k)
 

@@ -42,12 +42,33 @@ def test_search_against_brute_force(spark, monkeypatch):
     index = rt.build_index(passages)
     asked = spark.createDataFrame([(i, q, p) for i, (q, p) in enumerate(QUERIES)], "query_id int, query string, param string")
     want = {(i, rank + 1): hit for i, (q, p) in enumerate(QUERIES) for rank, hit in enumerate(brute_force(chunks, q, 5, p))}
-    for slice_rows in (200_000, 3):  # the second run answers the queries in several slices
-        monkeypatch.setattr(rt, "QUERY_ROWS", slice_rows)
+    for rows, seeds in ((200_000, 64), (3, 64), (200_000, 0.3), (3, 0.3)):  # few or many query terms, short or long first pass
+        monkeypatch.setattr(rt, "QUERY_ROWS", rows)
+        monkeypatch.setattr(rt, "SEED_POSTINGS", seeds)
+        monkeypatch.setattr(rt, "TERM_POSTINGS", 2)
         got = {(r.query_id, r.rank): (r.id, r.score) for r in rt.search(index, asked, 5).collect()}
         assert got == want
 
 
+def test_common_words_are_not_read(spark, monkeypatch):
+    """Chunks of common words only are passed over, and the hits are those of all postings."""
+    rows = [(i, f"the batch of the line {'pump ' * (i % 3)}" + (f"seal{i // 40} leak" if i % 40 == 0 else "runs"), "a")
+            for i in range(400)]
+    chunks = chunk_rows(spark, rows)
+    index = rt.build_index(chunks)
+    words = [("the seal3 of the batch", None), ("pump line of the batch runs", None), ("leak of seal7 the line", "ph")]
+    asked = spark.createDataFrame([(i, q, p) for i, (q, p) in enumerate(words)], "query_id int, query string, param string")
+    made = [r.asDict() for r in chunks.orderBy("seq").collect()]
+    for seeds in (64, 1, 0.5):
+        monkeypatch.setattr(rt, "SEED_POSTINGS", seeds)
+        for k in (1, 3):
+            got = {(r.query_id, r.rank): (r.id, r.score) for r in rt.search(index, asked, k).collect()}
+            assert got == {(i, rank + 1): hit for i, (q, p) in enumerate(words) for rank, hit in enumerate(brute_force(made, q, k, p))}
+    effort = {r.query_id: r for r in rt.search_effort(index, asked, 1).collect()}
+    assert effort[0].postings > 1200 and effort[0].seed_postings + effort[0].essential_postings <= 10
+    assert all(r.essential_postings <= r.postings for r in effort.values())
+
+
 def test_index_without_broadcast(spark, monkeypatch):
     passages = rt.built_in_passages(spark)
     want = sorted(map(str, rt.build_index(passages).postings.select("id", "term", F.round("weight", 9)).collect()))
