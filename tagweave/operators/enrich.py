@@ -13,7 +13,8 @@ from tagweave.operators.sizing import lookup_join, stored, stored_all
 from tagweave.schemas import FLAT_COLUMNS
 from tagweave.sources import parameters as dims
 
-PAGE_WINDOWS = 1000
+# An asset's times are cut into at most so many pages.
+MAX_PAGES = 10_000
 BATCH_FIELDS = ["batch", "product", "phase", "start", "end", "operator_shift"]
 
 
@@ -27,7 +28,6 @@ class Joinable:
     materials: DataFrame
     calibrations: DataFrame
     small: dict
-    window_pages: int = 1
 
 
 def prepare(lookups: Lookups) -> Joinable:
@@ -44,14 +44,40 @@ def prepare(lookups: Lookups) -> Joinable:
         "tag", "probe_calibration_date", "calibration_age_days", "drift_mv", "last_maintenance",
         "lab_note_ref", F.col("origin").alias("r_origin"))
     tables, small = stored_all({"assets": assets, "materials": materials, "calibrations": calibrations,
-                                "batches": _timed(lookups.batches),
-                                "batch_by_asset": batch_by_asset(_timed(lookups.batches))})
+                                "batches": _timed(lookups.batches)})
     timed = tables.pop("batches")
-    placed, _ = stored(place_windows(timed, tables["batch_by_asset"], small["batch_by_asset"]), "windows")
-    fullest = placed.groupBy("a_asset", "b_bucket").count().agg(F.max("count")).first()[0]
-    pages = max(1, math.ceil((fullest or 0) / PAGE_WINDOWS))
-    windows, small["batch_windows"] = stored(batch_windows(placed, pages), "batch-windows")
-    return Joinable(**tables, batch_windows=windows, small=small, window_pages=pages)
+    alive = timed.filter("to_s >= from_s")
+    most, longest = alive.groupBy("asset").agg(F.count("*").alias("n"), F.max(F.col("to_s") - F.col("from_s") + 1).alias("s")).agg(
+        F.coalesce(F.max("n"), F.lit(1)), F.coalesce(F.max("s"), F.lit(1))).first()
+    pages = min(math.ceil(math.sqrt(2 * most)), MAX_PAGES)
+    levels = longest.bit_length() - 1
+    shaped, sizes = stored_all({"batch_by_asset": batch_by_asset(timed, pages), "nodes": window_nodes(alive, levels)})
+    by_asset, nodes = shaped["batch_by_asset"], shaped["nodes"]
+    steps = first_open(alive, nodes, levels, sizes["nodes"])
+    windows, small["batch_windows"] = stored(batch_windows(steps, by_asset, sizes["batch_by_asset"]), "batch-windows")
+    small["batch_by_asset"] = sizes["batch_by_asset"]
+    return Joinable(**tables, batch_by_asset=by_asset, batch_windows=windows, small=small)
+
+
+class Snapshots:
+    """Lookups for a stream, loaded and prepared again only when their version has changed.
+
+    ``version`` is asked before every micro-batch, and before loading: a change that comes
+    while lookups are loaded is seen by the next micro-batch.
+    """
+
+    def __init__(self, load, version):
+        self.load, self.version = load, version
+        self.prepared, self._seen, self._held = 0, None, None
+
+    def __call__(self, spark) -> Joinable:
+        seen = self.version(spark)
+        if self._held is None or seen != self._seen:
+            loaded = self.load(spark)
+            self._held = loaded if isinstance(loaded, Joinable) else prepare(loaded)
+            self._seen = seen
+            self.prepared += 1
+        return self._held
 
 
 def _timed(batches: DataFrame) -> DataFrame:
@@ -59,41 +85,62 @@ def _timed(batches: DataFrame) -> DataFrame:
             .withColumn("to_s", s.epoch_second(s.clock_of("end"))))
 
 
-def batch_by_asset(timed: DataFrame) -> DataFrame:
+def batch_by_asset(timed: DataFrame, pages: int) -> DataFrame:
     """J2 build side: one row per asset.
 
     It carries the batch used outside every window (the first one with a batch, else the
-    first) and the bucket width: the mean window length of that asset.
+    first) and the times at which its pages begin: quantiles of the times at which windows
+    open and close, so that no page holds much more than its share of them.
     """
     facts = F.struct(*BATCH_FIELDS, "from_s", "to_s")
     rank = F.struct(F.when(F.col("has_batch"), 0).otherwise(1), F.col("seq"))
-    length = F.when(F.col("to_s") >= F.col("from_s"), F.col("to_s") - F.col("from_s") + 1)
-    return timed.groupBy(F.col("asset").alias("a_asset")).agg(
+    turns = F.when(F.col("to_s") >= F.col("from_s"), F.array(F.col("from_s"), F.col("to_s") + 1))
+    rows = timed.withColumn("_turn", F.explode_outer(turns))
+    shares = [i / pages for i in range(1, pages)]
+    none = F.array().cast("array<bigint>")
+    starts = F.array_distinct(F.percentile_approx("_turn", shares, MAX_PAGES)) if shares else F.any_value(none)
+    return rows.groupBy(F.col("asset").alias("a_asset")).agg(
         F.min_by(facts, rank).alias("b_default"), F.first("origin").alias("b_origin"),
-        F.greatest(F.ceil(F.avg(length)), F.lit(1)).cast("long").alias("b_width"))
+        F.coalesce(starts, F.any_value(none)).alias("b_starts"))
 
 
-def place_windows(timed: DataFrame, by_asset: DataFrame, small: bool) -> DataFrame:
-    """One row per asset, time bucket and window alive in it; copies of a window removed."""
-    alive = timed.filter("to_s >= from_s").groupBy(F.col("asset").alias("a_asset"), "from_s", "to_s").agg(
-        F.min_by(F.struct("seq", *BATCH_FIELDS), F.col("seq")).alias("win"))
-    alive = lookup_join(alive, by_asset.select("a_asset", "b_width"), "a_asset", "inner", small)
-    bucket = F.explode(F.sequence(F.floor(F.col("from_s") / F.col("b_width")),
-                                  F.floor(F.col("to_s") / F.col("b_width"))))
-    window = F.struct(F.col("win.seq").alias("seq"), "from_s", "to_s", *[F.col(f"win.{c}").alias(c) for c in BATCH_FIELDS])
-    return alive.select("a_asset", bucket.alias("b_bucket"), window.alias("w"))
+def window_nodes(alive: DataFrame, levels: int) -> DataFrame:
+    """The first window in file order per asset and node of time.
+
+    A node of a level is a stretch of 2^level seconds; a window is laid out as the few nodes, at most
+    two of a level, that make it up.
+    """
+    low, high = "shiftright(from_s + shiftleft(1L, l) - 1, l)", "shiftright(to_s + 1, l)"
+    nodes = F.expr(f"""filter(flatten(transform(sequence(0, {levels}), l -> array(
+        named_struct('level', l, 'node', {low}, 'used', {low} < {high} AND {low} % 2 <> 0),
+        named_struct('level', l, 'node', {high} - 1, 'used', {low} < {high} AND {high} % 2 <> 0)))), n -> n.used)""")
+    window = F.struct("seq", "from_s", "to_s", *BATCH_FIELDS)
+    placed = alive.select(F.col("asset").alias("a_asset"), window.alias("w"), F.inline(nodes))
+    return placed.groupBy("a_asset", "level", "node").agg(F.min("w").alias("w"))
+
 
+def first_open(alive: DataFrame, nodes: DataFrame, levels: int, small: bool) -> DataFrame:
+    """Per asset and time at which a window opens or closes: the first window in file order
+    that is open from then to the next such time, null if none is."""
+    turns = alive.select(F.col("asset").alias("a_asset"), F.explode(F.array(F.col("from_s"), F.col("to_s") + 1)).alias("at")).distinct()
+    probes = turns.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("node", F.expr("shiftright(at, level)"))
+    return lookup_join(probes, nodes, ["a_asset", "level", "node"], "left", small).groupBy("a_asset", "at").agg(F.min("w").alias("w"))
 
-def batch_windows(placed: DataFrame, pages: int = 1) -> DataFrame:
-    """J2 build side: the windows of an asset and bucket as one array per page.
 
-    A reading probes one row and never multiplies. Buckets are as wide as a typical
-    window, so an array holds about as many windows as run at once; where far more do,
-    they are spread over pages so that no array grows without bound.
+def _page(starts, at):
+    return F.size(F.filter(starts, lambda start: start <= at))
+
+
+def batch_windows(steps: DataFrame, by_asset: DataFrame, small: bool) -> DataFrame:
+    """J2 build side: the steps of an asset and page as one array in order of time.
+
+    A reading finds its page in the row of its asset and probes one row of steps, however many
+    windows are open at once. An asset of n windows has about sqrt(2n) pages of about as
+    many steps, so neither array grows with the table; beyond MAX_PAGES pages grow.
     """
-    page = F.pmod(F.xxhash64("w.seq"), F.lit(pages)).cast("int")
-    return placed.groupBy("a_asset", "b_bucket", page.alias("b_page")).agg(
-        F.array_sort(F.collect_list("w")).alias("b_windows"))
+    placed = lookup_join(steps, by_asset.select("a_asset", "b_starts"), "a_asset", "inner", small)
+    return placed.groupBy("a_asset", _page("b_starts", F.col("at")).alias("b_page")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "w"))).alias("b_windows"))
 
 
 def join_assets(readings: DataFrame, lk: Joinable) -> DataFrame:
@@ -101,10 +148,6 @@ def join_assets(readings: DataFrame, lk: Joinable) -> DataFrame:
     return lookup_join(readings, lk.assets, "tag", "left", lk.small["assets"])
 
 
-def window_type(windows: DataFrame) -> str:
-    return windows.schema["b_windows"].dataType.elementType.simpleString()
-
-
 def join_batches(readings: DataFrame, lk: Joinable) -> DataFrame:
     """The batch running on the asset at the reading's time.
 
@@ -112,15 +155,11 @@ def join_batches(readings: DataFrame, lk: Joinable) -> DataFrame:
     default batch is kept and flagged. No reading is dropped here.
     """
     placed = lookup_join(readings, lk.batch_by_asset, "a_asset", "left", lk.small["batch_by_asset"])
-    at = s.epoch_second("ts")
-    placed = placed.withColumn("_at", at).withColumn("b_bucket", F.floor(F.col("_at") / F.col("b_width")))
-    found = placed.withColumn("_hit", F.expr(f"CAST(NULL AS {window_type(lk.batch_windows)})"))
-    for page in range(lk.window_pages):
-        windows = lk.batch_windows.filter(F.col("b_page") == page).drop("b_page")
-        found = lookup_join(found, windows, ["a_asset", "b_bucket"], "left", lk.small["batch_windows"])
-        holds = F.filter("b_windows", lambda w: (w["from_s"] <= F.col("_at")) & (w["to_s"] >= F.col("_at")))
-        # Arrays are in file order, and the least window is the first one over all pages.
-        found = found.withColumn("_hit", F.least("_hit", F.try_element_at(holds, F.lit(1)))).drop("b_windows")
+    placed = placed.withColumn("_at", s.epoch_second("ts"))
+    placed = placed.withColumn("b_page", _page("b_starts", F.col("_at"))).drop("b_starts")
+    found = lookup_join(placed, lk.batch_windows, ["a_asset", "b_page"], "left", lk.small["batch_windows"])
+    before = F.filter("b_windows", lambda step: step["at"] <= F.col("_at"))
+    found = found.withColumn("_hit", F.try_element_at(before, F.lit(-1))["w"]).drop("b_windows")
     hit, default = F.col("_hit"), F.col("b_default")
     comparable = F.col("_at").isNotNull() & default["from_s"].isNotNull() & default["to_s"].isNotNull()
     uploaded = F.col("b_origin") == "upload"
@@ -130,7 +169,7 @@ def join_batches(readings: DataFrame, lk: Joinable) -> DataFrame:
             .when(comparable, "outside-window")
             .when(uploaded, "uploaded").otherwise("unparsed-ts"))
     chosen = [F.when(hit.isNotNull(), hit[c]).otherwise(default[c]).alias(c) for c in BATCH_FIELDS]
-    kept = [c for c in found.columns if c not in ("_hit", "_at", "b_default", "b_bucket", "b_width")]
+    kept = [c for c in found.columns if c not in ("_hit", "_at", "b_default", "b_page")]
     return found.select(*kept, *chosen, flag.alias("time_match"),
                         default.isNotNull().alias("has_batch_row"))
 

@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,16 +63,52 @@ def rows_of(df):
     return sorted(map(str, df.drop("lookup_origin").collect()))
 
 
-@pytest.mark.parametrize("pages", [1, 3])
-def test_large_lookups_and_full_buckets_give_the_same(spark, sf, monkeypatch, pages):
-    """Without any broadcast of lookups, and with windows spread over pages."""
+def test_large_lookups_give_the_same(spark, sf, monkeypatch):
+    """Without any broadcast of lookups."""
     readings = fx.floor_good(spark, sf)
     want = rows_of(en.enrich(readings, fx.floor_joinable(spark, sf), fx.FLOOR_PARAMETERS))
     monkeypatch.setattr(sizing, "BROADCAST_ROWS", -1)
-    monkeypatch.setattr(en, "PAGE_WINDOWS", 1000 if pages == 1 else 1)
-    shaped = en.prepare(fx.floor_lookups(spark, sf))
-    assert (shaped.window_pages == 1) == (pages == 1)
-    assert rows_of(en.enrich(readings, shaped, fx.FLOOR_PARAMETERS)) == want
+    assert rows_of(en.enrich(readings, en.prepare(fx.floor_lookups(spark, sf)), fx.FLOOR_PARAMETERS)) == want
+
+
+def crowded(spark, n):
+    """n windows of asset X, most of them open at once; some of a second, copies, and one before 1970."""
+    chance, rows = random.Random(n), []
+    for i in range(n):
+        start = datetime(2026, 1, 1) + timedelta(seconds=chance.randrange(4000))
+        end = start + timedelta(seconds=chance.choice([0, 1, 7, 500, 3000, 9000]))
+        rows.append(("X", f"b{i}", "P", str(start), str(end), chance.randrange(n)))
+    rows += [("X", "old", "P", "1969-12-31 23:00:00", "1970-01-01 01:00:00", n), (*rows[0][:5], n + 1)]
+    assets = spark.createDataFrame(ASSETS, "tag string, asset string, control string, seq long")
+    batches = spark.createDataFrame(rows, "asset string, lot string, sku string, start_time string, end_time string, seq long")
+    return rows, lk.build_lookups(spark, assets=assets, batches=batches, reference=False)
+
+
+def test_crowded_windows_cost_no_more_exchanges(spark, monkeypatch):
+    """Thousands of windows open at once: the first in file order by brute force, by the plan of a few."""
+    exchanges = []
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", -1)
+    for n in (5, 5000):
+        rows, lookups = crowded(spark, n)
+        times = [datetime(2026, 1, 1) + timedelta(seconds=s) for s in range(-5, 14000, 97)] + [datetime(1969, 12, 31, 23, 30), datetime(1970, 1, 1, 2)]
+        raw = spark.createDataFrame([(str(t), "A-1", 5.0, str(t)) for t in times], "reading_id string, tag string, value double, timestamp string")
+        full = en.enrich(en.consume(raw), en.prepare(lookups))
+        got = {r.reading_id: (r.batch, r.time_match) for r in full.select("reading_id", "batch", "time_match").collect()}
+        default = min(rows, key=lambda r: r[5])[1]
+        for t in map(str, times):
+            least = min((r[5] for r in rows if r[3] <= t <= r[4]), default=None)
+            names = {r[1] for r in rows if r[5] == least and r[3] <= t <= r[4]}
+            assert got[t][1] == ("in-window" if names else "outside-window")
+            assert got[t][0] in names if names else rows[[r[1] for r in rows].index(got[t][0])][5] == min(r[5] for r in rows), (t, default)
+        exchanges.append(full._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+    assert exchanges[0] == exchanges[1]
+
+
+def test_snapshots_are_prepared_when_the_version_changes(spark, lookups):
+    versions = iter([1, 1, 2, 2, 2, 3])
+    held = en.Snapshots(lambda session: lookups, lambda session: next(versions))
+    seen = [id(held(spark)) for _ in range(6)]
+    assert held.prepared == 3 and seen[0] == seen[1] and seen[2] == seen[4] != seen[5]
 
 
 def test_enrichment_does_not_shuffle_readings(spark, sf):
