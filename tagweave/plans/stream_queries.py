@@ -9,6 +9,7 @@ from tagweave.plans.context_queries import AUDIT_FOLD_SQL, AUDIT_HASH_SQL, AUDIT
 from tagweave.plans.registry import query
 from tagweave.plans.scan_queries import BRONZE_LIST, BRONZE_SQL, SILVER_SQL
 from tagweave.schemas import BRONZE_COLUMNS
+from tagweave.session import files_version
 from tagweave.streaming import jobs
 
 FILES = 6
@@ -58,8 +59,9 @@ UNION ALL SELECT reading_id, 'reject', NULL, NULL, NULL, NULL, NULL, reason FROM
 def z03(spark, sf):
     events, rejects = fx.scratch(spark, "z-events"), fx.scratch(spark, "z-rejects")
     stream = _reading_files(spark, fx.floor_good(spark, sf))
-    jobs.stream_enriched(stream, lambda session: enrich.prepare(fx.floor_lookups(session, sf)), events, rejects,
-                         fx.scratch(spark, "z-cp"), fx.FLOOR_PARAMETERS).awaitTermination()
+    lookups = enrich.Snapshots(lambda session: fx.floor_lookups(session, sf),
+                               lambda session: files_version(session, [f"{sf}/events.parquet"]))
+    jobs.stream_enriched(stream, lookups, events, rejects, fx.scratch(spark, "z-cp"), fx.FLOOR_PARAMETERS).awaitTermination()
     good = spark.read.parquet(events).select("reading_id", F.lit("event").alias("kind"), "asset", "batch", "status", "zone",
                                              "time_match", F.lit(None).cast("string").alias("reason"))
     bad = spark.read.parquet(rejects).select("reading_id", F.lit("reject").alias("kind"), "reason")

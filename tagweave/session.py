@@ -76,6 +76,18 @@ def names_in(spark: SparkSession, path: str) -> list:
     return [n for n in (f.getPath().getName() for f in files.listStatus(target)) if n[0] not in "._"]
 
 
+def files_version(spark: SparkSession, paths) -> tuple:
+    """What tells whether files at the given paths have changed: name, length and time of each."""
+    found = []
+    for path in paths:
+        target, files = _file_system(spark, path)
+        listed = files.listFiles(target, True) if files.exists(target) else None
+        while listed is not None and listed.hasNext():
+            one = listed.next()
+            found.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def create_file(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file that appears as a whole: under a hidden name first, then renamed."""
     target, files = _file_system(spark, path)

@@ -51,7 +51,8 @@ def stream_gold(envelopes: DataFrame, path: str, checkpoint: str, parameters=dim
 
 def stream_enriched(readings: DataFrame, load_lookups, events_path: str, rejects_path: str,
                     checkpoint: str, parameters=dims.BUILT_IN, available_now=True):
-    """Z3: every micro-batch through the batch chain; lookups are reloaded per batch.
+    """Z3: every micro-batch through the batch chain, with the lookups that ``load_lookups`` gives
+    for it; ``enrich.Snapshots`` prepares them again only when they have changed.
 
     Output lands under the batch id and replaces it, so a repeated batch changes nothing.
     """

@@ -1,9 +1,11 @@
 from pyspark.sql import functions as F
 
 from tagweave.operators import audit as au
-from tagweave.operators import medallion
+from tagweave.operators import enrich, medallion
+from tagweave.operators import lookups as lk
 from tagweave.operators.dedup import NATURAL_KEY, with_natural_key
 from tagweave.plans import fixtures as fx
+from tagweave.session import files_version
 from tagweave.sources import sinks
 from tagweave.streaming import jobs
 
@@ -41,6 +43,26 @@ def test_live_state_equals_batch(spark, tmp_path, sf):
     assert got == {r[0]: r[1] for r in rows.groupBy("key").agg(F.max("offset")).collect()}
 
 
+def test_a_change_of_lookups_reaches_the_next_batch(spark, tmp_path):
+    """Six batches and two changes of the lookup files: three preparations, each from its batch on."""
+    source, assets, out = (str(tmp_path / n) for n in ("in", "assets", "out"))
+    rows = spark.range(6).select(F.col("id").cast("string").alias("reading_id"), F.lit("A-1").alias("tag"), F.lit(5.0).alias("value"),
+                                 F.lit("2026-01-01").alias("timestamp"))
+    held = enrich.Snapshots(lambda session: lk.build_lookups(
+        session, assets=session.read.schema("tag string, asset string, control string, seq long").parquet(assets), reference=False,
+        batches=session.createDataFrame([(a, "b", "P", 1) for a in "XYZ"], "asset string, lot string, sku string, seq long")),
+        lambda session: files_version(session, [assets]))
+    for at in range(6):
+        if at % 2 == 0:
+            spark.createDataFrame([("A-1", "XYZ"[at // 2], "1 - 9", 1)], "tag string, asset string, control string, seq long").write.mode(
+                "overwrite").parquet(assets)
+        rows.filter(f"reading_id = '{at}'").coalesce(1).write.mode("append").parquet(source)
+        stream = enrich.consume(spark.readStream.schema(rows.schema).parquet(source))
+        jobs.stream_enriched(stream, held, out, str(tmp_path / "rejects"), str(tmp_path / "cp")).awaitTermination()
+    got = {r.reading_id: r.asset for r in spark.read.parquet(out).select("reading_id", "asset").collect()}
+    assert got == {str(at): "XYZ"[at // 2] for at in range(6)} and held.prepared == 3
+
+
 def test_live_chains_stay_valid(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows = spark.range(40).select((F.col("id") % 3).cast("string").alias("chain"), F.lit("t").alias("ts"), F.lit("a").alias("actor"),
