@@ -1,5 +1,7 @@
 """TF-IDF index and cosine search over document chunks."""
 
+import math
+import uuid
 from copy import copy
 from functools import cached_property
 
@@ -21,6 +23,8 @@ QUERY_ROWS = 200_000
 SEED_POSTINGS = 64
 # So many postings of a term meet its queries in one place when query terms are not broadcast.
 TERM_POSTINGS = 10_000
+# Chunks of a bucket of vectors.
+BUCKET_CHUNKS = 100_000
 # Bounds and scores are sums of doubles in different orders.
 MARGIN = 1e-6
 # So many segments of one level are merged into one of the next.
@@ -60,16 +64,24 @@ class Index:
         """Id, seq, piece, param, norm, words(term, tf, raw, df): raw is tf / length x idf.
 
         Words meet their idf through a join that does not shuffle hot terms and come
-        together again as one row per chunk; the norm comes from that row.
+        together again as one row per chunk; the norm comes from that row. Rows are kept in
+        buckets by id, so that a search adds up a chunk's words in the task that reads them.
         """
         idf, small = self._idf
         keys = ["id", "seq", "piece", "param", "length"]
-        spread = self.terms.select(*keys, F.inline("words"))
+        spark = self.terms.sparkSession
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(self.terms.count() / BUCKET_CHUNKS))
+        rows = self.terms.repartition(buckets, "id") if small else self.terms
+        spread = rows.select(*keys, F.inline("words"))
         weighed = lookup_join(spread, idf.select("term", "idf", "df"), "term", "inner", small).withColumn(
             "raw", F.col("tf") / F.col("length") * F.col("idf"))
         whole = weighed.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf", "raw", "df")).alias("words"),
                                            F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        return stored(whole.select("id", "seq", "piece", "param", "norm", "words"), "vectors")[0]
+        whole = whole.select("id", "seq", "piece", "param", "norm", "words")
+        name = f"vectors_{uuid.uuid4().hex}"
+        (whole if small else whole.repartition(buckets, "id")).write.format("parquet").option(
+            "path", scratch_path(spark, name)).bucketBy(buckets, "id").saveAsTable(name)
+        return spark.table(name)
 
     @property
     def postings(self) -> DataFrame:
@@ -302,7 +314,8 @@ def _boost():
 def _dots(index: Index, terms: DataFrame, small: bool) -> DataFrame:
     """Sum of the products of the given query terms, per chunk that holds one of them.
 
-    Few query terms are broadcast and meet a chunk's words where they lie. Many are shuffled
+    Few query terms are broadcast and meet a chunk's words where they lie, and nothing is
+    shuffled: words of a chunk are in one bucket. Many are shuffled
     by term, once; a common term is spread over as many places as its document count asks for.
     """
     postings, asked = index.postings, terms.drop("df")

@@ -64,6 +64,8 @@ def test_common_words_are_not_read(spark, monkeypatch):
         for k in (1, 3):
             got = {(r.query_id, r.rank): (r.id, r.score) for r in rt.search(index, asked, k).collect()}
             assert got == {(i, rank + 1): hit for i, (q, p) in enumerate(words) for rank, hit in enumerate(brute_force(made, q, k, p))}
+    scored = rt._dots(index, rt.query_terms(asked, index), True)
+    assert not re.search(r"hashpartitioning\(query_id#\w+, id#", scored._jdf.queryExecution().executedPlan().toString())
     effort = {r.query_id: r for r in rt.search_effort(index, asked, 1).collect()}
     assert effort[0].postings > 1200 and effort[0].seed_postings + effort[0].essential_postings <= 10
     assert all(r.essential_postings <= r.postings for r in effort.values())
