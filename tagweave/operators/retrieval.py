@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tagweave import fixed_values as fixed
 from tagweave.functions import scalars as s
 from tagweave.functions import text
-from tagweave.operators.sizing import first_per_key, lookup_join, stored, top_per_key
+from tagweave.operators import sizing
+from tagweave.operators.sizing import first_per_key, fits_broadcast, lookup_join, stored, top_per_key
 from tagweave.session import scratch_path
 from tagweave.sources import parameters as dims
 from tagweave.sources.commits import Batch, committed
@@ -67,14 +68,17 @@ class Index:
         together again as one row per chunk; the norm comes from that row. Rows are kept in
         buckets by id, so that a search adds up a chunk's words in the task that reads them.
         """
-        idf, small = self._idf
+        # A word that is not in the joined table is in one chunk, as most of a vocabulary is.
+        known = self.idf.filter("df > 1").select("term", "idf", "df")
+        small = fits_broadcast(known, sizing.BROADCAST_ROWS)
         keys = ["id", "seq", "piece", "param", "length"]
-        spark = self.terms.sparkSession
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(self.terms.count() / BUCKET_CHUNKS))
+        spark, n = self.terms.sparkSession, self.terms.count()
+        once = F.log(F.lit(max(n, 1) + 1) / (F.lit(1) + 1)) + 1
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / BUCKET_CHUNKS))
         rows = self.terms.repartition(buckets, "id") if small else self.terms
         spread = rows.select(*keys, F.inline("words"))
-        weighed = lookup_join(spread, idf.select("term", "idf", "df"), "term", "inner", small).withColumn(
-            "raw", F.col("tf") / F.col("length") * F.col("idf"))
+        weighed = lookup_join(spread, known, "term", "left", small).withColumn(
+            "raw", F.col("tf") / F.col("length") * F.coalesce("idf", once)).withColumn("df", F.coalesce("df", F.lit(1).cast("long")))
         whole = weighed.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf", "raw", "df")).alias("words"),
                                            F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
         whole = whole.select("id", "seq", "piece", "param", "norm", "words")
