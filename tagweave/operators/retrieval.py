@@ -22,6 +22,8 @@ CHUNK_COLUMNS = ["id", "type", "ref", "param", "text", "source", "filename", "ra
 QUERY_ROWS = 200_000
 # The first pass of a search reads a query's rarest terms, up to about so many postings per hit asked for.
 SEED_POSTINGS = 64
+# A search that meets more than so many times the postings of the index tries to leave common words out.
+PRUNE_ABOVE = 64
 # So many postings of a term meet its queries in one place when query terms are not broadcast.
 TERM_POSTINGS = 10_000
 # Chunks of a bucket of vectors.
@@ -32,6 +34,28 @@ MARGIN = 1e-6
 MERGE_SEGMENTS = 8
 
 
+def _idf_of(df, n: int):
+    return F.log(F.lit(max(n, 1) + 1) / (df + 1)) + 1
+
+
+def split_common(known: DataFrame) -> tuple:
+    """known(term, df): the most common terms, that fit a broadcast, and the rest (None if there is none).
+
+    They part at a power of two, so that a histogram of as many rows as a count has bits decides.
+    """
+    size = F.sum(F.octet_length("term") + 24)
+    histogram = known.groupBy(F.floor(F.log2("df")).alias("bits")).agg(F.count("*").alias("terms"), size.alias("bytes"))
+    least, terms, bytes_ = None, 0, 0
+    for row in sorted(histogram.collect(), reverse=True):
+        terms, bytes_ = terms + row.terms, bytes_ + row.bytes
+        if terms > sizing.BROADCAST_ROWS or bytes_ > sizing.BROADCAST_BYTES:
+            least = 2 ** (row.bits + 1)
+            break
+    if least is None:
+        return known, None
+    return known.filter(F.col("df") >= least), known.filter(F.col("df") < least)
+
+
 class Index:
     """What a search reads: chunks, terms(id, seq, piece, param, length, words) and df(term, df).
 
@@ -51,9 +75,9 @@ class Index:
 
     @cached_property
     def _idf(self) -> tuple:
-        n = max(self.terms.count(), 1)
+        n = self.terms.count()
         df = self._df.groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
-        return stored(df.withColumn("idf", F.log(F.lit(n + 1) / (F.col("df") + 1)) + 1), "idf")
+        return stored(df.withColumn("idf", _idf_of(F.col("df"), n)), "idf")
 
     @property
     def idf(self) -> DataFrame:
@@ -64,29 +88,41 @@ class Index:
     def vectors(self) -> DataFrame:
         """Id, seq, piece, param, norm, words(term, tf, raw, df): raw is tf / length x idf.
 
-        Words meet their idf through a join that does not shuffle hot terms and come
-        together again as one row per chunk; the norm comes from that row. Rows are kept in
-        buckets by id, so that a search adds up a chunk's words in the task that reads them.
+        Words meet their document counts where their chunk lies: common words through a
+        broadcast, rarer ones, of which there are few postings, through one map per id. Rows are
+        kept in buckets by id, so that a search adds up a chunk's words in the task that reads them.
         """
-        # A word that is not in the joined table is in one chunk, as most of a vocabulary is.
-        known = self.idf.filter("df > 1").select("term", "idf", "df")
-        small = fits_broadcast(known, sizing.BROADCAST_ROWS)
         keys = ["id", "seq", "piece", "param", "length"]
         spark, n = self.terms.sparkSession, self.terms.count()
-        once = F.log(F.lit(max(n, 1) + 1) / (F.lit(1) + 1)) + 1
+        # A word that is in neither table is in one chunk, as most of a vocabulary is.
+        known = self.idf.filter("df > 1").select("term", "df")
+        common, rare = split_common(known)
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / BUCKET_CHUNKS))
-        rows = self.terms.repartition(buckets, "id") if small else self.terms
-        spread = rows.select(*keys, F.inline("words"))
-        weighed = lookup_join(spread, known, "term", "left", small).withColumn(
-            "raw", F.col("tf") / F.col("length") * F.coalesce("idf", once)).withColumn("df", F.coalesce("df", F.lit(1).cast("long")))
-        whole = weighed.groupBy(*keys).agg(F.collect_list(F.struct("term", "tf", "raw", "df")).alias("words"),
-                                           F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        whole = whole.select("id", "seq", "piece", "param", "norm", "words")
+        # A null id is a key like any other.
+        rows = self.terms.withColumn("_key", F.coalesce("id", F.lit("")))
+        whole = rows.repartition(buckets, "_key")
+        if rare is None:
+            whole = whole.withColumn("_df", F.lit(None).cast("long")).select("_key", *keys, "_df", F.inline("words"))
+        else:
+            looked = rows.select("_key", F.explode("words.term").alias("term")).join(
+                F.broadcast(common.select("term")), "term", "left_anti").join(rare, "term")
+            maps = looked.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "df"))).alias("_rare"))
+            told = F.transform("words", lambda w: F.struct(w["term"].alias("term"), w["tf"].alias("tf"), F.col("_rare")[w["term"]].alias("_df")))
+            whole = whole.join(maps, "_key", "left").select("_key", *keys, F.inline(told))
+        met = whole.join(F.broadcast(common), "term", "left").withColumn("df", F.coalesce("df", "_df", F.lit(1).cast("long")))
+        weighed = met.withColumn("raw", F.col("tf") / F.col("length") * _idf_of(F.col("df"), n))
+        whole = weighed.groupBy("_key", *keys).agg(F.collect_list(F.struct("term", "tf", "raw", "df")).alias("words"),
+                                                   F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
         name = f"vectors_{uuid.uuid4().hex}"
-        (whole if small else whole.repartition(buckets, "id")).write.format("parquet").option(
+        whole.select("id", "seq", "piece", "param", "norm", "words").write.format("parquet").option(
             "path", scratch_path(spark, name)).bucketBy(buckets, "id").saveAsTable(name)
         return spark.table(name)
 
+    @cached_property
+    def held(self) -> int:
+        """The number of postings."""
+        return self.idf.agg(F.sum("df")).first()[0] or 0
+
     @property
     def postings(self) -> DataFrame:
         """id, seq, piece, param, norm, term, tf, raw, df, and weight: of unit length per chunk."""
@@ -292,20 +328,26 @@ def build_index(chunks: DataFrame) -> Index:
     return built.index()
 
 
-def query_terms(queries: DataFrame, index: Index) -> DataFrame:
-    """Unit-length query vectors; words that no chunk holds weigh nothing.
-
-    ``most`` is the most that a term can add to the score of any chunk.
-    """
+def query_weights(queries: DataFrame, index: Index) -> DataFrame:
+    """Unit-length query vectors; words that no chunk holds weigh nothing."""
     words = queries.select("query_id", F.col("param").alias("q_param"), text.tokens("query").alias("words"))
     counts = (words.select("query_id", "q_param", F.size("words").alias("length"), F.explode("words").alias("term"))
               .groupBy("query_id", "q_param", "length", "term").agg(F.count("*").alias("tf")))
-    known = index.idf.select("term", "idf", "df").join(index.bounds, "term").join(counts, "term")
+    known = index.idf.select("term", "idf", "df").join(counts, "term")
     known = known.withColumn("raw", F.col("tf") / F.col("length") * F.col("idf"))
-    norms = known.groupBy("query_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("q_norm"))
-    weighed = known.join(norms, "query_id").withColumn(
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("query_id")))
+    weighed = known.filter(F.col("query_id").isNotNull()).withColumn("q_norm", norm).withColumn(
         "q_weight", F.col("raw") / F.when(F.col("q_norm") == 0, 1.0).otherwise(F.col("q_norm")))
-    return weighed.select("query_id", "q_param", "term", "df", "q_weight", (F.col("q_weight") * F.col("top")).alias("most"))
+    return weighed.select("query_id", "q_param", "term", "df", "q_weight")
+
+
+def query_terms(queries: DataFrame, index: Index) -> DataFrame:
+    """``query_weights`` with ``most``, the most that a term can add to the score of any chunk."""
+    return _with_most(query_weights(queries, index), index)
+
+
+def _with_most(weights: DataFrame, index: Index) -> DataFrame:
+    return weights.join(index.bounds, "term").withColumn("most", F.col("q_weight") * F.col("top")).drop("top")
 
 
 HIT = ["query_id", "id", "seq", "piece"]
@@ -319,12 +361,15 @@ def _dots(index: Index, terms: DataFrame, small: bool) -> DataFrame:
     """Sum of the products of the given query terms, per chunk that holds one of them.
 
     Few query terms are broadcast and meet a chunk's words where they lie, and nothing is
-    shuffled: words of a chunk are in one bucket. Many are shuffled
+    shuffled: words of a chunk are in one bucket. Many meet the broadcast words of a small index
+    where their query lies. Else they are shuffled
     by term, once; a common term is spread over as many places as its document count asks for.
     """
     postings, asked = index.postings, terms.drop("df")
     if small:
         met = postings.join(F.broadcast(asked), "term")
+    elif index.held <= QUERY_ROWS:
+        met = asked.repartition("query_id").join(F.broadcast(postings), "term")
     else:
         places = F.ceil(F.col("df") / TERM_POSTINGS).cast("long")
         asked = terms.withColumn("_place", F.explode(F.sequence(F.lit(0).cast("long"), places - 1))).drop("df")
@@ -340,8 +385,18 @@ def pruned_terms(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, b
     a chunk to the floor are not ``essential``: a chunk that holds no other term of the query
     cannot be among the best. ``unread`` is the most that they add together.
     """
-    terms, small = stored(query_terms(queries, index), "query-terms")
-    small = small and terms.count() <= QUERY_ROWS
+    weights, small = _asked_terms(index, queries)
+    return _pruned(index, weights, small, k), small
+
+
+def _asked_terms(index: Index, queries: DataFrame) -> tuple[DataFrame, bool]:
+    """``query_weights``, written once, and whether they fit a broadcast."""
+    terms, small = stored(query_weights(queries, index), "query-terms")
+    return terms, small and terms.count() <= QUERY_ROWS
+
+
+def _pruned(index: Index, weights: DataFrame, small: bool, k: int) -> DataFrame:
+    terms = _with_most(weights, index)
     rarest = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
     terms = terms.withColumn("seed", F.coalesce(F.sum("df").over(rarest), F.lit(0)) < SEED_POSTINGS * k)
     seeds = terms.filter("seed").select("query_id", "q_param", "term", "df", "q_weight")
@@ -352,7 +407,7 @@ def pruned_terms(index: Index, queries: DataFrame, k: int) -> tuple[DataFrame, b
     known = terms.join(floor.select("query_id", F.col("score").alias("floor")), "query_id", "left")
     known = known.withColumn("essential", F.coalesce(together + MARGIN >= F.col("floor"), F.lit(True)))
     unread = F.sum(F.when(F.col("essential"), 0.0).otherwise(F.col("most"))).over(Window.partitionBy("query_id"))
-    return stored(known.withColumn("unread", unread), "pruned-terms")[0], small
+    return stored(known.withColumn("unread", unread), "pruned-terms")[0]
 
 
 def search_effort(index: Index, queries: DataFrame, k: int = 4) -> DataFrame:
@@ -366,10 +421,25 @@ def search_effort(index: Index, queries: DataFrame, k: int = 4) -> DataFrame:
 def _matched(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """Scores of all chunks that can be among the k best of a query by a word of it.
 
+    Every chunk's words are read once and all their products added up where they lie, unless the
+    queries meet many times the postings of the index and pruning leaves so few of them that
+    the chunks they bring up can be completed one by one.
+    """
+    terms, small = _asked_terms(index, queries)
+    met = terms.agg(F.sum("df")).first()[0] or 0
+    if met > PRUNE_ABOVE * index.held:
+        pruned = _pruned(index, terms, small, k)
+        if (pruned.filter("essential").agg(F.sum("df")).first()[0] or 0) <= sizing.BROADCAST_ROWS:
+            return _completed(index, pruned, small)
+    return _dots(index, terms, small).select(*HIT, F.round(F.col("dot") + _boost(), 9).alias("score"))
+
+
+def _completed(index: Index, terms: DataFrame, small: bool) -> DataFrame:
+    """Scores from pruned terms.
+
     Essential terms bring chunks up. Those whose sum could reach the floor with everything that
     was not read are completed from their own row; the words of other chunks are not met.
     """
-    terms, small = pruned_terms(index, queries, k)
     essential = terms.filter("essential").select("query_id", "q_param", "term", "df", "q_weight", "floor", "unread")
     parts = _dots(index, essential.drop("floor", "unread"), small)
     limits = essential.groupBy("query_id").agg(F.first("floor").alias("floor"), F.first("unread").alias("unread"))
@@ -379,10 +449,7 @@ def _matched(index: Index, queries: DataFrame, k: int) -> DataFrame:
     rest = terms.filter(~F.col("essential")).select("query_id", "term", "q_weight")
     rows = index.vectors.select("id", "seq", "piece", "norm", "words")
     open_ = left.filter("unread > 0").drop("dot", "unread")
-    if few:
-        found = rows.join(F.broadcast(open_), ["id", "seq", "piece"])
-    else:
-        found = lookup_join(open_, rows, ["id", "seq", "piece"], "inner", False)
+    found = rows.join(F.broadcast(open_) if few else open_, ["id", "seq", "piece"])
     unit = F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))
     words = found.select(*HIT, "param", "q_param", unit.alias("_unit"), F.inline("words"))
     more = words.join(F.broadcast(rest) if small else rest, ["query_id", "term"]).select(
@@ -394,7 +461,7 @@ def _matched(index: Index, queries: DataFrame, k: int) -> DataFrame:
 def search(index: Index, queries: DataFrame, k: int = 4) -> DataFrame:
     """R4 + T5: top k chunks per query(query_id, query, param) by cosine, boosted by parameter.
 
-    Exact, without scoring the postings of words that decide nothing (see ``pruned_terms``).
+    Exact; where it pays, postings of words that decide nothing are not scored (see ``_matched``).
     Each task keeps only its own top k per query before anything is shuffled. Chunks
     that share no word score 0 but may fill the top k: only the k newest chunks overall
     and of the query's parameter can get there, so just those are added.

@@ -208,3 +208,38 @@ def test_words_are_counted_in_their_row(spark):
     rows = [(1, "b a b  B c", "a"), (2, "", "a"), (3, None, "a"), (4, "x " * 20_000 + "y", "a")]
     got = {r.id: (r._length, [(w.term, w.tf) for w in r._words]) for r in rt.counted_words(chunk_rows(spark, rows)).collect()}
     assert got == {"C1": (5, [("a", 1), ("b", 3), ("c", 1)]), "C2": (1, []), "C3": (1, []), "C4": (20_001, [("x", 20_000), ("y", 1)])}
+
+
+def test_many_survivors_are_not_completed_one_by_one(spark, monkeypatch):
+    """Where pruning leaves most chunks, every posting is met once and none is read again per query."""
+    rows = [(i, f"the batch of line {i % 7} runs pump{i % 11} at seal{i % 13}", "ph" if i % 2 else "temp") for i in range(300)]
+    chunks = chunk_rows(spark, rows)
+    index = rt.build_index(chunks)
+    words = [(f"the batch of line {i} pump{i} seal{i} runs", None if i % 2 else "ph") for i in range(8)]
+    asked = spark.createDataFrame([(i, q, p) for i, (q, p) in enumerate(words)], "query_id int, query string, param string")
+    made = [r.asDict() for r in chunks.orderBy("seq").collect()]
+    want = {(i, rank + 1): hit for i, (q, p) in enumerate(words) for rank, hit in enumerate(brute_force(made, q, 6, p))}
+    written = []
+    monkeypatch.setattr(rt, "stored", lambda df, name, real=rt.stored: (written.append(name), real(df, name))[1])
+    for above, rows in ((0, -1), (0, 200_000), (64, 200_000)):
+        monkeypatch.setattr(rt, "PRUNE_ABOVE", above)
+        monkeypatch.setattr(rt.sizing, "BROADCAST_ROWS", rows)
+        written.clear()
+        assert {(r.query_id, r.rank): (r.id, r.score) for r in rt.search(index, asked, 6).collect()} == want
+        assert ("survivors" in written) == (above == 0 and rows > 0)
+
+
+def test_rare_words_take_their_counts_without_a_shuffle_of_all(spark, monkeypatch):
+    """Only words under the broadcast's bound are shuffled; null and repeated ids weigh as before."""
+    rows = [(i // 2, f"the batch of line {i % 5} runs w{i % 40} x{i % 90} only{i}", "ph") for i in range(200)]
+    chunks = chunk_rows(spark, rows).withColumn("id", F.when(F.col("seq") % 9 != 0, F.col("id")))
+    want = None
+    for bound in (200_000, 60, -1):
+        monkeypatch.setattr(rt.sizing, "BROADCAST_ROWS", bound)
+        index = rt.build_index(chunks)
+        got = sorted(map(str, index.vectors.select("id", "seq", F.round("norm", 9), F.expr(
+            "array_sort(transform(words, w -> struct(w.term, w.tf, round(w.raw, 9), w.df)))")).collect()))
+        want = want or got
+        assert got == want
+        common, rare = rt.split_common(index.idf.filter("df > 1").select("term", "df"))
+        assert (rare is None) == (bound == 200_000) and common.count() <= max(bound, 0)
