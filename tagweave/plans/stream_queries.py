@@ -1,18 +1,22 @@
 """Queries of the streaming jobs (Z): each runs to the end of its input and reads the result."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from tagweave.operators import audit as au
 from tagweave.operators import enrich, medallion
 from tagweave.plans import fixtures as fx
 from tagweave.plans.context_queries import AUDIT_FOLD_SQL, AUDIT_HASH_SQL, AUDIT_SEGMENT, AUDIT_SQL, audit_source
-from tagweave.plans.registry import query
+from tagweave.plans.registry import query, table
 from tagweave.plans.scan_queries import BRONZE_LIST, BRONZE_SQL, SILVER_SQL
 from tagweave.schemas import BRONZE_COLUMNS
 from tagweave.session import files_version
 from tagweave.streaming import jobs
 
 FILES = 6
+# Rows of a file at most, about.
+FILE_ROWS = 200_000
 
 
 def _log(spark, sf, copies=1):
@@ -46,11 +50,20 @@ def z02(spark, sf):
     return spark.read.parquet(out).select("tag", "param", "asset", "value", "unit", "ts", "quality", "bronze_offset", "context_status")
 
 
-def _reading_files(spark, df, name="readings"):
+def _reading_files(spark, sf, df, name="readings"):
+    """Readings as files of a bounded size, a third of them per micro-batch."""
     path = fx.scratch(spark, name)
-    df.repartition(FILES).write.parquet(path)
+    files = max(FILES, math.ceil(table(spark, sf, "events").count() / FILE_ROWS))
+    df.repartition(files).write.parquet(path)
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", math.ceil(files / 3)).parquet(path)
+
+
+def _run_on_arrival(spark, parts, path, start):
+    """Each part is written as it lies and then streamed as one micro-batch."""
+    for part in parts:
+        part.write.mode("append").parquet(path)
+        start(spark.readStream.schema(part.schema).parquet(path)).awaitTermination()
 
 
 @query("z03_stream_enrichment", fx.sql("""
@@ -58,7 +71,7 @@ SELECT reading_id, 'event' AS kind, asset, batch, status, zone, time_match, NULL
 UNION ALL SELECT reading_id, 'reject', NULL, NULL, NULL, NULL, NULL, reason FROM floor_placed WHERE reason IS NOT NULL""", "floor_placed"))
 def z03(spark, sf):
     events, rejects = fx.scratch(spark, "z-events"), fx.scratch(spark, "z-rejects")
-    stream = _reading_files(spark, fx.floor_good(spark, sf))
+    stream = _reading_files(spark, sf, fx.floor_good(spark, sf))
     lookups = enrich.Snapshots(lambda session: fx.floor_lookups(session, sf),
                                lambda session: files_version(session, [f"{sf}/events.parquet"]))
     jobs.stream_enriched(stream, lookups, events, rejects, fx.scratch(spark, "z-cp"), fx.FLOOR_PARAMETERS).awaitTermination()
@@ -76,10 +89,8 @@ def z04(spark, sf):
     rows = fx.plant_readings(spark, sf)
     path, (out, checkpoint) = fx.scratch(spark, "late"), _paths(spark, "z-dedup")
     new = F.col("ts") >= F.lit("2026-08-28").cast("timestamp_ntz")
-    for part in (rows.filter(new), rows.filter(new).unionByName(rows.filter(~new)), rows.filter(~new).unionByName(rows)):
-        part.coalesce(2).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    jobs.stream_deduplicated(stream, out, checkpoint).awaitTermination()
+    parts = (rows.filter(new), rows.filter(new).unionByName(rows.filter(~new)), rows.filter(~new).unionByName(rows))
+    _run_on_arrival(spark, parts, path, lambda stream: jobs.stream_deduplicated(stream, out, checkpoint))
     kept = spark.read.parquet(out).select("tag", F.round("value", 4).alias("value"), "timestamp")
     return kept.withColumn("kept", kept.agg(F.count("*")).scalar())
 
@@ -100,7 +111,7 @@ SELECT param, count(CASE zone WHEN 'control' THEN 1 END) AS control, count(CASE
   count(CASE status WHEN 'UNDER' THEN 1 END) AS "under", count(*) AS total FROM plant_graded GROUP BY 1""", "plant_graded"))
 def z06(spark, sf):
     out, checkpoint = _paths(spark, "z-counts")
-    stream = jobs.graded(_reading_files(spark, fx.plant_readings(spark, sf)))
+    stream = jobs.graded(_reading_files(spark, sf, fx.plant_readings(spark, sf)))
     jobs.stream_counts(stream, out, checkpoint).awaitTermination()
     return jobs.latest_state(spark, out, ["param"])
 
@@ -138,12 +149,9 @@ def z09(spark, sf):
     path = fx.scratch(spark, "entries")
     rows = audit_source(spark, sf)
     third = F.when(F.col("ts") < "2024-01-11", 0).when(F.col("ts") < "2024-01-21", 1).otherwise(2)
-    for i in range(3):
-        rows.filter(third == i).coalesce(1).write.mode("append").parquet(path)
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     out, checkpoint = _paths(spark, "z-audit")
-    jobs.stream_audit(stream, out, checkpoint, [F.col("event_id")], AUDIT_SEGMENT).awaitTermination()
+    _run_on_arrival(spark, [rows.filter(third == i) for i in range(3)], path,
+                    lambda stream: jobs.stream_audit(stream, out, checkpoint, [F.col("event_id")], AUDIT_SEGMENT))
     return au.stored_entries(spark, out).select("chain", "segment", "seq", "prev_hash", "hash")
 
 

@@ -74,10 +74,11 @@ def stream_deduplicated(readings: DataFrame, path: str, checkpoint: str, availab
     """
     def handle(batch: DataFrame, batch_id: int):
         day = F.when(F.col("key_time") == "", "unknown").otherwise(F.substring("key_time", 1, 10))
-        fresh = first_per_key(with_natural_key(batch), NATURAL_KEY, [F.xxhash64(*batch.columns)]).withColumn("dt", day)
+        keyed = with_natural_key(batch).withColumn("dt", day)
+        fresh = first_per_key(keyed, NATURAL_KEY, [F.xxhash64(*batch.columns)])
         stored = sinks.existing(batch.sparkSession, path)
         if stored is not None:
-            days = [r[0] for r in fresh.select("dt").distinct().collect()]  # as many as the calendar has
+            days = [r[0] for r in keyed.select("dt").distinct().collect()]  # as many as the calendar has
             before = stored.filter((F.col("micro_batch") < batch_id) & F.col("dt").cast("string").isin(days))
             fresh = fresh.join(with_natural_key(before).select(*NATURAL_KEY), NATURAL_KEY, "left_anti")
         (fresh.drop(*NATURAL_KEY).write.mode("overwrite").partitionBy("dt").parquet(f"{path}/micro_batch={batch_id}"))

@@ -88,3 +88,14 @@ def test_late_first_copies_are_kept(spark, tmp_path, sf):
         stream = spark.readStream.schema(rows.schema).parquet(source)
         jobs.stream_deduplicated(stream, out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == with_natural_key(rows).select(*NATURAL_KEY).distinct().count()
+
+
+def test_a_first_batch_without_rows(spark, tmp_path):
+    """An empty first file leaves a folder without data; the batches after it go on."""
+    rows = spark.createDataFrame([("T", 1.0, "2026-08-01 00:00:00"), ("T", 1.0, "2026-08-01 00:00:00"), ("U", 2.0, "")],
+                                 "tag string, value double, timestamp string")
+    path, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for part in (rows.limit(0), rows, rows):
+        part.coalesce(1).write.mode("append").parquet(path)
+        jobs.stream_deduplicated(spark.readStream.schema(rows.schema).parquet(path), out, checkpoint).awaitTermination()
+    assert sorted(r.tag for r in spark.read.parquet(out).collect()) == ["T", "U"]
