@@ -154,7 +154,8 @@ def chunk_documents(documents: DataFrame, parameters=dims.BUILT_IN) -> DataFrame
     prefix = F.upper(F.substring(F.replace(F.coalesce(kind, F.lit("up")), F.lit("_"), F.lit("")), 1, 8))
     pieces = text.chunks("text")
     whole = F.coalesce(F.nullif(text.strip("text"), F.lit("")), F.concat(F.lit("[file] "), "filename"))
-    pieces = F.when(F.size(pieces) > 0, pieces).otherwise(F.array(whole))
+    # As a variable the pieces are made once, not once to be counted and once to be taken.
+    pieces = F.flatten(F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(whole))))
     cut = documents.select("filename", kind.alias("rag_kind"), F.col("seq").cast("long").alias("seq"),
                            text.document_type(F.col("filename"), kind).alias("type"),
                            stem.alias("_stem"), prefix.alias("_prefix"), s.digest("filename", kind).alias("_digest"),
@@ -175,10 +176,14 @@ def append_chunks(base: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def replace_kinds(base: DataFrame, new: DataFrame) -> DataFrame:
-    """Drop the base chunks of every kind that the new ones bring, then add."""
-    kinds = new.select("rag_kind").filter(F.col("rag_kind").isNotNull()).distinct()
+    """Drop the base chunks of every kind that the new ones bring, then add.
+
+    The new chunks are written once: their kinds and the chunks themselves are read from there.
+    """
+    new, _ = stored(new, "new-chunks")
+    kinds, small = stored(new.select("rag_kind").filter(F.col("rag_kind").isNotNull()).distinct(), "kinds")
     kept = lookup_join(base.withColumnRenamed("rag_kind", "_k"),
-                       kinds.select(F.col("rag_kind").alias("_k"), F.lit(True).alias("_new")), "_k")
+                       kinds.select(F.col("rag_kind").alias("_k"), F.lit(True).alias("_new")), "_k", small=small)
     kept = kept.filter(F.col("_new").isNull()).drop("_new").withColumnRenamed("_k", "rag_kind")
     return append_chunks(kept.select(*base.columns), new)
 

@@ -6,6 +6,7 @@ from tagweave import fixed_values as fixed
 from tagweave.functions import text
 from tagweave.operators import decide as dc
 from tagweave.operators import retrieval as rt
+from tagweave.operators.sizing import stored
 from tagweave.plans import fixtures as fx
 from tagweave.plans.registry import query, table
 
@@ -157,10 +158,11 @@ def r07(spark, sf):
     """Saved documents to chunks, replacing their kinds in the base, to an index."""
     base = rt.replace_kinds(_earlier_upload(spark, sf), document_chunks(spark, sf))
     index = rt.build_index(base)
-    terms = index.terms.select("id", F.explode("words.term").alias("term")).join(index.idf.select("term", "df"), "term")
-    sums = terms.groupBy("id").agg(F.count("*").alias("n_terms"), F.sum("df").alias("df_sum"))
-    return index.chunks.join(sums, "id", "left").select(
-        "id", F.md5("text").alias("text_digest"), F.coalesce("n_terms", F.lit(0)).alias("n_terms"), "df_sum")
+    own = F.aggregate("words.df", F.lit(0).cast("long"), lambda a, b: a + b)
+    sums = index.vectors.select("id", F.size("words").cast("long").alias("n"), own.alias("own")).groupBy("id").agg(
+        F.sum("n").alias("n_terms"), F.sum("own").alias("df_sum"))
+    return index.chunks.select("id", F.md5("text").alias("text_digest")).join(sums, "id", "left").select(
+        "id", "text_digest", F.coalesce("n_terms", F.lit(0).cast("long")).alias("n_terms"), "df_sum")
 
 
 @query("r08_confidence_gate", fx.sql("""
@@ -213,9 +215,12 @@ SELECT coalesce(kind, '-') AS kind, count(*) AS chunks, CAST(sum(length(text)) A
  SELECT lang AS kind, text FROM c UNION ALL SELECT NULL, text FROM ({PASSAGE_CHUNKS}) UNION ALL SELECT 'kept', 'stale words' FROM documents WHERE lang = 'es') GROUP BY 1""",
                                   c=CHUNK_SQL))
 def u03(spark, sf):
-    base = rt.replace_kinds(_earlier_upload(spark, sf), document_chunks(spark, sf))
+    def measured(chunks):
+        return chunks.select("id", "rag_kind", "seq", "piece", F.length("text").alias("chars"))
+
+    base = rt.replace_kinds(measured(_earlier_upload(spark, sf)), measured(document_chunks(spark, sf)))
     return base.groupBy(F.coalesce("rag_kind", F.lit("-")).alias("kind")).agg(
-        F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+        F.count("*").alias("chunks"), F.sum("chars").alias("chars"))
 
 
 @query("u04_merge_hits", fx.sql("""
@@ -248,7 +253,8 @@ SELECT filename, CAST(strlen(replace(text, chr(10), concat(chr(10), chr(10)))) A
   FALSE AS failed FROM documents JOIN (SELECT filename, doc_id, count(*) AS chunks FROM c GROUP BY ALL) USING (doc_id)""", c=CHUNK_SQL))
 def a13(spark, sf):
     """English documents were indexed before, so their chunks are not added again."""
-    docs, chunks = fx.documents(spark, sf), document_chunks(spark, sf)
+    docs = fx.documents(spark, sf)
+    chunks, _ = stored(document_chunks(spark, sf).select("id", "filename", "rag_kind", "seq", "piece"), "chunk-ids")
     base = chunks.filter("rag_kind = 'en'")
     added = rt.append_chunks(base.limit(0), chunks.join(base.select("id"), "id", "left_anti"))
     return rt.index_report(docs, chunks, added)

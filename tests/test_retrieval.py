@@ -243,3 +243,28 @@ def test_rare_words_take_their_counts_without_a_shuffle_of_all(spark, monkeypatc
         assert got == want
         common, rare = rt.split_common(index.idf.filter("df > 1").select("term", "df"))
         assert (rare is None) == (bound == 200_000) and common.count() <= max(bound, 0)
+
+
+def test_new_chunks_are_cut_once(spark, monkeypatch):
+    """Kinds and chunks come from one pass over the texts."""
+    docs = spark.createDataFrame([("a.txt", "one", "sop", 100), ("b.txt", "two", None, 101)], "filename string, text string, kind string, seq long")
+    passes = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda t: (passes.add(1), t)[1])
+    new = rt.chunk_documents(docs.withColumn("text", counted.asNondeterministic()("text")))
+    assert rt.replace_kinds(rt.built_in_passages(spark), new).count() == 21
+    assert passes.value == 2
+
+
+def test_memory_and_hits_are_made_once(spark, monkeypatch):
+    """An answer looks the memory up twice and the hits once; neither is measured by a pass of its own."""
+    index = rt.build_index(rt.built_in_passages(spark))
+    asked = spark.createDataFrame([("1", "temp", "trip", "reactor temperature coolant loop")], "query_id string, agent string, zone string, query string")
+    memory = spark.createDataFrame([], "key string, rec struct<at:long,param:string,zone:string,reading_id:string,tag:string,"
+                                       "asset:string,status:string,value:double,unit:string,batch:string,"
+                                       "remedy:struct<summary:string,grounded_on:string,confidence:double>,"
+                                       "governance:struct<required:boolean>,agent_name:string>")
+    written = []
+    monkeypatch.setattr(dc, "stored", lambda df, name, real=dc.stored: (written.append(name), real(df, name))[1])
+    monkeypatch.setattr("tagweave.operators.sizing.fits_broadcast", lambda *a: 1 / 0)
+    assert dc.answer(asked, index, memory).count() == 1
+    assert sorted(written) == ["hit-lists", "memory"]
