@@ -89,7 +89,7 @@ def z04(spark, sf):
     rows = fx.plant_readings(spark, sf)
     path, (out, checkpoint) = fx.scratch(spark, "late"), _paths(spark, "z-dedup")
     new = F.col("ts") >= F.lit("2026-08-28").cast("timestamp_ntz")
-    parts = (rows.filter(new), rows.filter(new).unionByName(rows.filter(~new)), rows.filter(~new).unionByName(rows))
+    parts = (rows.filter(new), rows.filter(new), rows.filter(~new), rows.filter(~new), rows)
     _run_on_arrival(spark, parts, path, lambda stream: jobs.stream_deduplicated(stream, out, checkpoint))
     kept = spark.read.parquet(out).select("tag", F.round("value", 4).alias("value"), "timestamp")
     return kept.withColumn("kept", kept.agg(F.count("*")).scalar())

@@ -251,7 +251,7 @@ def test_new_chunks_are_cut_once(spark, monkeypatch):
     passes = spark.sparkContext.accumulator(0)
     counted = F.udf(lambda t: (passes.add(1), t)[1])
     new = rt.chunk_documents(docs.withColumn("text", counted.asNondeterministic()("text")))
-    assert rt.replace_kinds(rt.built_in_passages(spark), new).count() == 21
+    assert rt.replace_kinds(rt.built_in_passages(spark), new).count() == 20
     assert passes.value == 2
 
 
