@@ -7,14 +7,14 @@ is no piece is written as its UTF-8 bytes, or as the unknown piece where the mod
 byte pieces.
 
 A merge never reaches over two characters that stand side by side in no piece, so a text is
-cut there and each stretch is merged on its own: at the marks in front of words, at line
-feeds, between letters and other characters, and inside long stretches. Whether the
-vocabulary allows these cuts is looked up in its pieces. Distinct stretches are merged once
-per task, in a store of bounded size: those of one length side by side, with a row of an
-agenda matrix each, from which every step takes the best pair of every row; long ones and
-those with strange characters by themselves, with a heap as agenda, in which entries whose
-symbols have changed since are passed over. Every row is checked in its Arrow batch against
-the sentencepiece library, which also decodes.
+cut there and each stretch is merged on its own. The cuts of a slice of texts are found in
+the array of its characters, and its distinct stretches by Arrow's dictionary. Distinct
+stretches are merged once per task, in a store of bounded size: those of one length side by
+side, with a row of an agenda matrix each, from which every step takes the best pair of every
+row; long ones and those with strange characters by themselves, with a heap as agenda, in
+which entries whose symbols have changed since are passed over. The ids of all stretches of
+the store stand in one array, from which those of the slice are taken at once. Every row is
+checked in its Arrow batch against the sentencepiece library, which also decodes.
 
 Defined cases: null and empty texts have no ids and decode to an empty text. Control,
 unknown and byte pieces are never matched in a text. Every row of documents is encoded by
@@ -23,7 +23,6 @@ one chain of n symbols.
 """
 
 import heapq
-import re
 import struct
 import sys
 from itertools import chain, filterfalse
@@ -37,10 +36,10 @@ from tagweave.llm.common import text_slices
 
 MARK = "▁"
 KEPT_WORDS = 400_000
+KEPT_IDS = 4_000_000
 KEPT_LENGTH = 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGE_TYPE = 2
-LETTER = r"[^\W\d_]"
 # No symbol, no rank, and more than any number of pieces.
 GONE, NO_RANK, SPAN = -1, 1 << 40, 1 << 31
 # Stretches merged side by side.
@@ -99,68 +98,58 @@ class Model:
 
 
 class Encoder(dict):
-    """Ids per stretch of text; a missing stretch is merged when it is looked up."""
+    """Number per stretch of text; ``bounds`` tells where its ids stand in ``held``."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model = model
-        self.joints = {piece[i:i + 2] for piece in model.ids for i in range(len(piece) - 1)}
-        self.words = re.compile(self.pattern()).findall
         self.symbols = np.full(sys.maxunicode + 1, GONE, dtype=np.int32)
         for piece, i in model.ids.items():
             if len(piece) == 1:
                 self.symbols[ord(piece)] = i
+        characters = sorted(set(chain.from_iterable(model.ids)))
+        self.places = np.zeros(sys.maxunicode + 1, dtype=np.int32)  # 0: in no piece
+        self.places[[ord(c) for c in characters]] = np.arange(1, len(characters) + 1)
+        self.joints = np.zeros((len(characters) + 1, len(characters) + 1), dtype=bool)
+        sides = np.array([(ord(a), ord(b)) for piece in model.ids for a, b in zip(piece, piece[1:])], dtype=np.int64).reshape(-1, 2)
+        self.joints[self.places[sides[:, 0]], self.places[sides[:, 1]]] = True
         rank = {cost: at for at, cost in enumerate(sorted(set(model.cost.values())))}
         made = sorted((left * SPAN + right, rank[model.cost[piece]], i) for piece, i in model.ids.items()
                       for at in range(1, len(piece))
                       if (left := model.ids.get(piece[:at])) is not None and (right := model.ids.get(piece[at:])) is not None)
         self.pairs, self.ranks, self.made = (np.array(c, dtype=np.int64) for c in zip(*[(-1, 0, 0), *made]))
+        self.clear()
 
-    def pattern(self) -> str:
-        """Stretches between which no piece reaches."""
-        if any(MARK in piece.lstrip(MARK) for piece in self.model.ids):
-            return r"(?s).+"
-        other = f"[^{MARK}" + ("" if any("\n" in joint for joint in self.joints) else r"\n") + "]"
-        joints = [joint for joint in self.joints if MARK not in joint]
-        letter = LETTER
-        for _ in range(2):  # letters that a piece joins to other characters count as others
-            is_letter = re.compile(letter).match
-            mixed = [joint for joint in joints if bool(is_letter(joint[0])) != bool(is_letter(joint[1]))]
-            if not mixed:
-                return rf"{MARK}*{letter}+|{MARK}*(?:(?!{letter}){other})+|{MARK}+|\n"
-            letter = LETTER[:-1] + re.escape("".join(sorted({c for joint in mixed for c in joint if is_letter(c)}))) + "]"
-        return rf"{MARK}*{other}+|{MARK}+|\n"
-
-    def __missing__(self, word: str) -> list:
-        """Ids of a stretch by itself; long ones are cut further and not kept."""
-        if len(word) > KEPT_LENGTH:
-            start, ids = 0, []
-            for at in range(1, len(word)):
-                if word[at - 1:at + 1] not in self.joints:
-                    ids += self.named(self.merged(word[start:at]))
-                    start = at
-            return ids + self.named(self.merged(word[start:]))
-        self[word] = ids = self.named(self.merged(word))
-        return ids
+    def clear(self) -> None:
+        super().clear()
+        self.held, self.bounds = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
 
-    def learn(self, texts: list) -> None:
-        """Merge those of many stretches that are not in the store."""
-        fresh = set(filterfalse(self.__contains__, chain.from_iterable(texts)))
-        if len(self) + len(fresh) > KEPT_WORDS:
+    def learn(self, words: list) -> None:
+        """Merge those of distinct stretches that are not in the store."""
+        fresh = list(filterfalse(self.__contains__, words))
+        if len(self) + len(fresh) > KEPT_WORDS or len(self.held) > KEPT_IDS:
             self.clear()
-            fresh = set(chain.from_iterable(texts))
+            fresh = words
         by_length = {}
         for word in fresh:
-            if len(word) <= KEPT_LENGTH:
-                by_length.setdefault(len(word), []).append(word)
+            by_length.setdefault(min(len(word), KEPT_LENGTH + 1), []).append(word)
+        found = []
         for length, some in by_length.items():
+            if length > KEPT_LENGTH:
+                found += [self.named(self.merged(word)) for word in some]
+                continue
             codes = np.frombuffer("".join(some).encode("utf-32-le"), dtype=np.uint32).reshape(-1, length)
             symbols = self.symbols[codes]
             plain = (symbols != GONE).all(axis=1)
             for at in range(0, len(some), ROWS):
                 part = plain[at:at + ROWS]
-                known = [word for word, fine in zip(some[at:at + ROWS], part) if fine]
-                self.update(zip(known, self.merged_together(symbols[at:at + ROWS][part])))
+                together = iter(self.merged_together(symbols[at:at + ROWS][part]))
+                found += [next(together) if fine else self.named(self.merged(word))
+                          for word, fine in zip(some[at:at + ROWS], part)]
+        self.update(zip(chain.from_iterable(by_length.values()), range(len(self), len(self) + len(fresh))))
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found))) + len(self.held)
+        self.held = np.append(self.held, np.fromiter(chain.from_iterable(found), dtype=np.int32))
+        self.bounds = np.append(self.bounds, ends)
 
     def look_up(self, left: np.ndarray, right: np.ndarray):
         """Rank and piece of pairs of symbols."""
@@ -243,15 +232,46 @@ class Encoder(dict):
                 ids.append(self.model.unknown)
         return ids
 
+    def cut(self, texts: list):
+        """Distinct stretches of all texts together, the one at every place, and every text's first place."""
+        marked = [self.model.prefix + t.replace(" ", MARK) if t else "" for t in texts]
+        whole = "".join(marked)
+        first = np.cumsum([0, *map(len, marked)])
+        places = self.places[np.frombuffer(whole.encode("utf-32-le"), dtype=np.uint32)]
+        starts = np.ones(len(whole) + 1, dtype=bool)
+        starts[1:-1] = ~self.joints[places[:-1], places[1:]]
+        starts[first] = True
+        starts = np.flatnonzero(starts)
+        data = whole.encode()
+        at = np.append(np.flatnonzero(np.frombuffer(data, dtype=np.uint8) & 0xC0 != 0x80), len(data))[starts]
+        stretches = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)).dictionary_encode()
+        return stretches.dictionary.to_pylist(), stretches.indices.to_numpy(), np.searchsorted(starts, first)
+
+    def flat(self, texts: list):
+        """Ids of all texts, one after the other, and where each text's begin and the last one's end."""
+        words, stretches, first = self.cut(texts)
+        self.learn(words)
+        numbers = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))[stretches]
+        sizes = self.bounds[numbers + 1] - self.bounds[numbers]
+        ends = np.append(0, np.cumsum(sizes))
+        ids = self.held[np.arange(ends[-1]) + np.repeat(self.bounds[numbers] - ends[:-1], sizes)]
+        bounds = ends[first]
+        if self.model.bytes is None:  # unknown characters side by side are one unknown piece
+            kept = np.ones(len(ids) + 1, dtype=bool)
+            kept[1:-1] = (ids[1:] != self.model.unknown) | (ids[:-1] != self.model.unknown)
+            kept[bounds] = True
+            ids, bounds = ids[kept[:-1]], (np.cumsum(kept) - 1)[bounds]
+        return ids, bounds
+
     def texts(self, texts: list) -> list:
         """Ids of every text."""
-        cut = [self.words(self.model.prefix + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(cut)
-        found = [list(chain.from_iterable(map(self.__getitem__, words))) for words in cut]
-        if self.model.bytes is None:  # unknown characters side by side are one unknown piece
-            unknown = self.model.unknown
-            found = [[i for at, i in enumerate(ids) if i != unknown or not at or ids[at - 1] != unknown] for ids in found]
-        return found
+        return as_lists(*self.flat(texts))
+
+
+def as_lists(ids: np.ndarray, bounds: np.ndarray) -> list:
+    """The parts of an array between bounds."""
+    ids, bounds = ids.tolist(), bounds.tolist()
+    return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def encode(docs: DataFrame, model_path: str = None) -> DataFrame:
@@ -273,12 +293,13 @@ def encode(docs: DataFrame, model_path: str = None) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = encoder.texts(texts)
+                ids, bounds = encoder.flat(texts)
+                lists = as_lists(ids, bounds)
                 checked = library.encode(texts, num_threads=1)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
-                     pa.array(library.decode(ids, num_threads=1), pa.string()),
-                     pa.array([a == b for a, b in zip(ids, checked)], pa.bool_())],
+                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
+                     pa.array(library.decode(lists, num_threads=1), pa.string()),
+                     pa.array([a == b for a, b in zip(lists, checked)], pa.bool_())],
                     ["doc_id", "ids", "decoded", "agrees"])
 
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))

@@ -66,6 +66,39 @@ def test_agenda_order(encoder):
         assert encoder.merged(word) == symbols and encoder.merged_together(rows) == [[encoder.model.ids[s] for s in symbols]]
 
 
+def test_a_stretch_is_looked_up_once_per_slice(library):
+    class Counting(piece_merge.Encoder):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    encoder = Counting(piece_merge.Model(public_tokenizers.path("piece_bpe_32k.model")))
+    texts = ["one two three " * 500, "", "three  two\none " * 500]
+    assert encoder.texts(texts) == library.encode(texts)
+    assert encoder.asked < 50
+
+
+def test_pieces_after_the_store_was_emptied(library, monkeypatch):
+    monkeypatch.setattr(piece_merge, "KEPT_WORDS", 5)
+    encoder = piece_merge.Encoder(piece_merge.Model(public_tokenizers.path("piece_bpe_32k.model")))
+    for texts in (["one two", "three"], ["two four five six seven eight"], ["one", "日 two"]):
+        assert encoder.texts(texts) == library.encode(texts)
+
+
+def test_unknown_characters_side_by_side_are_one_piece(library):
+    model = piece_merge.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    spelled, model.bytes = set(model.bytes.values()), None
+    texts = ["a\u0e01\u0e02 b\u0e03", "\u0e01", "\u0e01\u0e01 c", "", "plain"]
+    want = []
+    for ids in library.encode(texts):
+        ids = [model.unknown if i in spelled else i for i in ids]
+        want.append([i for at, i in enumerate(ids) if i != model.unknown or not at or ids[at - 1] != model.unknown])
+    assert any(model.unknown in ids for ids in want)
+    assert piece_merge.Encoder(model).texts(texts) == want
+
+
 def test_pieces_of_text_ids_and_nothing(spark, none):
     rows = spark.createDataFrame([("a", "one two"), ("a", "one two"), (None, None)], "doc_id string, text string")
     got = piece_merge.encode(rows).collect()
