@@ -15,8 +15,8 @@ from tagweave.plans.text_queries import FOUND_SQL, PASSAGE_CHUNKS, chat_turns, m
 from tagweave.sources import parameters as dims
 
 
-def acted(spark, sf):
-    return dc.run_agent(fx.plant_events(spark, sf), passage_index(spark, sf))
+def acted(spark, sf, *keep):
+    return dc.run_agent(fx.plant_events(spark, sf), passage_index(spark, sf), keep=keep)
 
 
 def _quoted(value):
@@ -76,7 +76,7 @@ AGENT = agent_parts()
 
 @query("d06_remedy", fx.sql("SELECT reading_id, summary, grounded_on, confidence FROM acted WHERE status <> 'OK'", "plant_flat", **AGENT))
 def d06(spark, sf):
-    return acted(spark, sf).filter("action_required").select("reading_id", "remedy.summary", "remedy.grounded_on", "remedy.confidence")
+    return acted(spark, sf, "reading_id").filter("action_required").select("reading_id", "remedy.summary", "remedy.grounded_on", "remedy.confidence")
 
 
 def _steps_sql():
@@ -102,14 +102,14 @@ SELECT reading_id, CAST(unnest([1, 2, 3, 4]) AS BIGINT) AS n, unnest([{_steps_sq
   unnest([{_cite('SOP', 'refs[1]')}, {_cite('OEM', 'refs[2]')}, {_cite('CAPA', 'refs[-1]')}, {_cite('CAPA', 'refs[-1]')}]) AS cite
 FROM acted WHERE status <> 'OK'""", "plant_flat", **AGENT))
 def d07(spark, sf):
-    steps = acted(spark, sf).filter("action_required").select("reading_id", F.inline("steps"))
+    steps = acted(spark, sf, "reading_id").filter("action_required").select("reading_id", F.inline("steps"))
     return steps.select("reading_id", F.col("n").cast("long").alias("n"), "text", "cite")
 
 
 @query("d08_governance_gate", fx.sql("""
 SELECT reading_id, required, gate_action AS action, approver, control, message FROM acted WHERE status <> 'OK'""", "plant_flat", **AGENT))
 def d08(spark, sf):
-    return acted(spark, sf).filter("action_required").select("reading_id", "governance.*")
+    return acted(spark, sf, "reading_id").filter("action_required").select("reading_id", "governance.*")
 
 
 @query("d09_agent_run", fx.sql(f"""
@@ -119,7 +119,7 @@ FROM acted""", "plant_flat", **AGENT))
 def d09(spark, sf):
     def joined(fn):
         return F.coalesce(F.array_join(F.transform("hits", fn), "; "), F.lit(""))
-    return acted(spark, sf).select("reading_id", "status", "action_required", "agent_name",
+    return acted(spark, sf, "reading_id").select("reading_id", "status", "action_required", "agent_name",
                                    joined(lambda h: h["ref"]).alias("citations"),
                                    joined(lambda h: F.format_string("%.3f", h["score"])).alias("scores"))
 
@@ -134,7 +134,7 @@ SELECT reading_id, concat('evt-', param) AS event_id, param, asset, tag, zone,
 
 @query("d10_policy_view", fx.sql(POLICY_SQL, "plant_flat", **AGENT))
 def d10(spark, sf):
-    return dc.policy_view(acted(spark, sf))
+    return dc.policy_view(acted(spark, sf, "reading_id"))
 
 
 ROLE_SQL = """CASE o_orderpriority WHEN '1-URGENT' THEN 'qa' WHEN '2-HIGH' THEN 'shift_lead' WHEN '3-MEDIUM' THEN 'operator'
@@ -171,7 +171,7 @@ def d11_permitted(spark, sf):
 
 
 def committed(spark, sf):
-    events = acted(spark, sf).withColumn("request_id", F.col("seq"))
+    events = acted(spark, sf, "seq").withColumn("request_id", F.col("seq"))
     return dc.commit(events.join(requests(spark, sf), "request_id"))
 
 
@@ -330,7 +330,8 @@ def d16(spark, sf):
     """Raw reading, event, remedy, decision, audit entry."""
     raw = fx.plant_raw(spark, sf).drop("unit")
     events = enrich.events_of(enrich.enrich(enrich.consume(raw), fx.plant_joinable(spark, sf)))
-    done = dc.commit(dc.run_agent(events, passage_index(spark, sf)).withColumn("request_id", F.col("row_index"))
+    acted_on = dc.run_agent(events, passage_index(spark, sf), keep=["row_index", "timestamp"])
+    done = dc.commit(acted_on.withColumn("request_id", F.col("row_index"))
                      .join(requests(spark, sf), "request_id"))
     entries = dc.audit_entries(done)
     audit = au.append(entries, [F.col("request_id")], AUDIT_SEGMENT)
@@ -356,6 +357,6 @@ def d17(spark, sf):
 def d18(spark, sf):
     """The policy outcome of the newest reading of every parameter and zone, nothing committed."""
     events = bd.scenario_events(fx.plant_readings(spark, sf), fx.plant_joinable(spark, sf))
-    return dc.policy_view(dc.run_agent(events, passage_index(spark, sf)))
+    return dc.policy_view(dc.run_agent(events, passage_index(spark, sf), keep=["reading_id"]))
 
 

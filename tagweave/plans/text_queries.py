@@ -278,7 +278,8 @@ def chat_turns(spark, sf):
 
 
 def memory(spark, sf):
-    acted = dc.run_agent(fx.plant_events(spark, sf), passage_index(spark, sf))
+    acted = dc.run_agent(fx.plant_events(spark, sf), passage_index(spark, sf),
+                         keep=["seq", "reading_id", "value", "unit", "batch"])
     return dc.remember(acted.filter("action_required"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave.operators import audit as au
 from tagweave.operators import decide as dc
+from tagweave.operators import retrieval as rt
 from tagweave.operators import versions as vs
 
 GENESIS = "0" * 64
@@ -20,6 +21,32 @@ def test_gate(spark, param, zone, confidence, approver):
     assert got.approver == approver and got.required == (approver is not None)
 
 
+def test_answers_are_worked_out_once_per_case(spark, monkeypatch):
+    """Twenty events of every case: the same answers as event by event, from one row per case."""
+    index = rt.build_index(rt.built_in_passages(spark))
+    cases = [("temp", "OVER", "trip", "Temp", "A-1", "t1", ["jacket", "valve"]), ("temp", "OVER", "trip", "Temp", None, "t1", ["jacket", "valve"]),
+             ("temp", "OVER", "trip", "Temp", "", "t1", ["jacket", "valve"]), ("temp", "OVER", "trip", "Temp", "A-1", "t1", ["jacket valve"]),
+             ("ph", "UNDER", "alarm", "pH", "A-2", "t2", []), ("other", "OVER", "alarm", "Other", "A-3", None, None),
+             ("temp", "OK", "control", "Temp", "A-1", "t1", ["jacket"]), ("do", None, "alarm", "DO", "A-4", "t4", ["air"])]
+    events = spark.createDataFrame(
+        [(None if i == 3 else f"r{i % 150}", float(i), *cases[i % len(cases)]) for i in range(20 * len(cases))],
+        "reading_id string, value double, param string, status string, zone string, short string, asset string, tag string, drivers array<string>")
+    wanted = F.coalesce(F.col("status") != "OK", F.lit(False))
+    plain = dc.retrieve(events, index, wanted=wanted).withColumn("action_required", wanted)
+    plain = plain.withColumn("remedy", F.when(wanted, dc.remedy()))
+    plain = dc.with_steps(plain.withColumn("governance", F.when(wanted, dc.gate(F.col("remedy.confidence")))))
+    plain = plain.withColumn("steps", F.when(wanted, F.col("steps")))
+    answer = ["reading_id", *dc.CASE, "action_required", "hits", "remedy", "governance", "steps"]
+
+    seen, per_row = [], dc.with_steps
+    monkeypatch.setattr(dc, "with_steps", lambda rows, *more: seen.append(rows.count()) or per_row(rows, *more))
+    want = sorted(map(str, plain.select(*answer).collect()))
+    assert sorted(map(str, dc.run_agent(events, index).select(*answer).collect())) == want
+    kept = dc.run_agent(events, index, keep=["reading_id"])
+    assert "value" not in kept.columns and sorted(map(str, kept.select(*answer).collect())) == want
+    assert seen == [6, 6]
+
+
 def test_commit_order(spark):
     rows = [("reject", "nobody", "", True, "dual e-signature", "REJECTED"), ("commit", "nobody", "", False, "policy", "AUTONOMOUS"),
             ("commit", "operator", "x", True, "dual e-signature", "BLOCKED"), ("commit", "shift_lead", "", True, "dual e-signature", "E-SIGN REQUIRED"),
