@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tagweave.operators import audit as au
 from tagweave.operators import decide as dc
 from tagweave.operators import retrieval as rt
+from tagweave.operators import sizing
 from tagweave.operators import versions as vs
 
 GENESIS = "0" * 64
@@ -21,8 +22,10 @@ def test_gate(spark, param, zone, confidence, approver):
     assert got.approver == approver and got.required == (approver is not None)
 
 
-def test_answers_are_worked_out_once_per_case(spark, monkeypatch):
+@pytest.mark.parametrize("broadcast_rows", [sizing.BROADCAST_ROWS, 2])
+def test_answers_are_worked_out_once_per_case(spark, monkeypatch, broadcast_rows):
     """Twenty events of every case: the same answers as event by event, from one row per case."""
+    monkeypatch.setattr(sizing, "BROADCAST_ROWS", broadcast_rows)
     index = rt.build_index(rt.built_in_passages(spark))
     cases = [("temp", "OVER", "trip", "Temp", "A-1", "t1", ["jacket", "valve"]), ("temp", "OVER", "trip", "Temp", None, "t1", ["jacket", "valve"]),
              ("temp", "OVER", "trip", "Temp", "", "t1", ["jacket", "valve"]), ("temp", "OVER", "trip", "Temp", "A-1", "t1", ["jacket valve"]),
