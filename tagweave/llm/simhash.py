@@ -78,6 +78,9 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     Slot s * 32 + i is segment s with bit i a wildcard; there, a fingerprint with bit 0
     meets one with bit 1. Slots 64 and 65 are the segments as they are. So a pair is found
     once for each segment that differs in at most one bit.
+
+    The index has 66 rows per fingerprint, which Spark does not see when it sizes a side of the
+    join: it takes it for as large as the fingerprints and would broadcast it. So both are sorted.
     """
     if not 0 < max_bits <= 3:
         raise ValueError("two segments find at most three differing bits")
@@ -91,7 +94,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     left = keyed.filter("same OR side = 0").selectExpr("key", "fp AS u", "same")
     right = keyed.filter("same OR side = 1").selectExpr("key AS key_", "fp AS v")
     near = f"key = key_ AND bit_count(u ^ v) BETWEEN 1 AND {max_bits} AND (NOT same OR u < v)"
-    return left.join(right, F.expr(near)).select("u", "v")
+    return left.join(right.hint("merge"), F.expr(near)).select("u", "v")
 
 
 def shared_ids(prints: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tagweave.llm import decontamination, line_dedup, simhash
 
@@ -82,6 +83,15 @@ def test_simhash_links_every_pair_within_three_bits(spark):
     assert got == want
 
 
+def test_simhash_index_is_not_broadcast(spark):
+    """Few fingerprints have a large index: its size is not that of the fingerprints."""
+    nodes = spark.range(200).select(F.xxhash64("id").alias("fp"))
+    found = simhash.links(nodes.union(nodes.selectExpr("fp ^ 5")))
+    assert found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(-20, 40)] + [(100, i) for i in range(101, 160)] + [(500, 500)]
     got = dict(simhash.components(spark.createDataFrame(chain, "u long, v long")).collect())
