@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 import check
 import corpus_pipeline
-from tagweave.llm import queries
+from tagweave.llm import queries, simhash
 from tests.llm.test_duplicates import slow_components, slow_fingerprint, slow_lines, slow_matches
 from tests.llm.test_packing import check_cover
 
@@ -97,6 +97,19 @@ def test_one_row_of_every_group_of_copies_stays(spark, sf):
     assert [k[0] for k in kept] == [0, 4, 5, 9] and kept[0][1] == c and kept[2:] == [(5, a), (9, b)]
 
 
+def test_near_dedup_does_not_broadcast_its_index(spark, sf, monkeypatch):
+    """From a written table of few fingerprints, as the stage has it."""
+    made, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *args: made.append(links(*args)) or made[-1])
+    rows = [(i, " ".join(random.Random(i // 2).choices("abcdefghij", k=60)) + " end" * (i % 2)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect())
+    assert got == sorted(set(slow_components([(i, slow_fingerprint(t)) for i, t in rows])))
+    assert len(made) == 1 and len(made[0].collect()) > 0
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_a_text_in_three_languages_stays(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     langs = [r["lang"] for r in docs.groupBy("lang").count().filter("lang IS NOT NULL").orderBy(F.desc("count")).limit(3).collect()]
